@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pixeltide.llm import bpe, langid, quality, tokencount
+from pixeltide.llm import bpe, langid, linededup, ngramjoin, quality, tokencount
 from pixeltide.llm.common import fold, table
 
 
@@ -26,6 +26,15 @@ def op4_bpe(spark, sf_dir):
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents")))
 
 
+def op5_line_dedup(spark, sf_dir):
+    done = linededup.dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_ngram_jaccard(spark, sf_dir):
+    return ngramjoin.components_of(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op9_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), ~held(5, 0))
@@ -33,8 +42,30 @@ def op9_quality(spark, sf_dir):
     return scored.select("doc_id", held(5, 0).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op4_bpe, op9_quality)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op4_bpe, op5_line_dedup, op6_ngram_jaccard, op9_quality)}
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL: dict[str, str] = {
+    "op5_line_dedup": f"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, i, l[i] AS line, {LOWER.format("trim(l[i], chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')")} AS k
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM docs) x),
+hot AS (SELECT k, max(doc_id) AS holder FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT doc_id, i, line, h.k IS NOT NULL AND h.holder <> doc_id AS gone FROM lines LEFT JOIN hot h USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""",
+    "op6_ngram_jaccard": f"""
+WITH RECURSIVE d AS (SELECT doc_id, [x FOR x IN string_split_regex({LOWER.format("coalesce(text, '')")}, '[ \\t\\n\\x0B\\f\\r]+') IF x <> ''] AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0) x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.y) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id, n.n""",
+}
 
 
 def queries():
