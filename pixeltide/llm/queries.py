@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pixeltide.llm import bpe, langid, linededup, ngramjoin, quality, tokencount
+from pixeltide.llm import bpe, e8dedup, langid, linededup, ngramjoin, quality, tokencount
 from pixeltide.llm.common import fold, table
 
 
@@ -42,7 +42,11 @@ def op9_quality(spark, sf_dir):
     return scored.select("doc_id", held(5, 0).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op4_bpe, op5_line_dedup, op6_ngram_jaccard, op9_quality)}
+def op10_embedding_dedup(spark, sf_dir):
+    return e8dedup.linked(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op4_bpe, op5_line_dedup, op6_ngram_jaccard, op9_quality, op10_embedding_dedup)}
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
@@ -65,6 +69,15 @@ links AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y W
 reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.y) AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id, n.n""",
+    "op10_embedding_dedup": """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (SELECT vec_id, v FROM e WHERE len(v) > 0 AND len([x FOR x IN v IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN v IF x <> 0]) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+n AS (SELECT x, count(*) AS n FROM links GROUP BY x),
+c AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, c.c = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.x = vec_id JOIN c ON c.x = vec_id""",
 }
 
 
@@ -73,4 +86,4 @@ def queries():
 
 
 def oracle_sql():
-    return dict(SQL)
+    return dict(SQL)
\ No newline at end of file
