@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pixeltide.llm import bpe, e8dedup, langid, linededup, ngramjoin, quality, tokencount
+from pixeltide.llm import bpe, decontam, e8dedup, langid, linededup, lm, ngramjoin, quality, tokencount
 from pixeltide.llm.common import fold, table
 
 
@@ -35,6 +35,17 @@ def op6_ngram_jaccard(spark, sf_dir):
     return ngramjoin.components_of(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op7_decontamination(spark, sf_dir):
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_lm_score(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model, tail = lm.train(docs, ~held(7, 2), fold(2) == 0)
+    scored = lm.score(docs, model, tail)
+    return scored.select("doc_id", held(7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op9_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), ~held(5, 0))
@@ -46,7 +57,7 @@ def op10_embedding_dedup(spark, sf_dir):
     return e8dedup.linked(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op4_bpe, op5_line_dedup, op6_ngram_jaccard, op9_quality, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op4_bpe, op5_line_dedup, op6_ngram_jaccard, op7_decontamination, op8_lm_score, op9_quality, op10_embedding_dedup)}
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
