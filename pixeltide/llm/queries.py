@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pixeltide.llm import bpe, decontam, e8dedup, langid, linededup, lm, ngramjoin, quality, tokencount
+from pixeltide.llm import bpe, decontam, e8dedup, langid, linededup, lm, ngramjoin, quality, tokencount, urlfilter
 from pixeltide.llm.common import fold, table
 
 
@@ -22,6 +22,10 @@ def op2_token_counts(spark, sf_dir):
     return tokencount.count(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark, sf_dir):
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark, sf_dir):
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents")))
 
@@ -57,10 +61,11 @@ def op10_embedding_dedup(spark, sf_dir):
     return e8dedup.linked(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op4_bpe, op5_line_dedup, op6_ngram_jaccard, op7_decontamination, op8_lm_score, op9_quality, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_url_filter, op4_bpe, op5_line_dedup, op6_ngram_jaccard, op7_decontamination, op8_lm_score, op9_quality, op10_embedding_dedup)}
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op3_url_filter": urlfilter.sql(),
     "op5_line_dedup": f"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 lines AS (SELECT doc_id, i, l[i] AS line, {LOWER.format("trim(l[i], chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')")} AS k
