@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from pixeltide.plans import pixel_queries
+
+GROUPS = [pixel_queries]
+FLAGSHIP = "grayscale"
+
 
 def entry(spark, sf_dir):
-    name = next(iter(queries()))
-    return queries()[name](spark, sf_dir)
+    return queries()[FLAGSHIP](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {k: v for g in GROUPS for k, v in g.Q.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: v for g in GROUPS for k, v in g.SQL.items()}
