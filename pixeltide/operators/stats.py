@@ -52,7 +52,7 @@ def fps(latency: DataFrame) -> DataFrame:
 
 def total_fps(latency: DataFrame) -> DataFrame:
     """seq, total_ms (the nodes' means at that tick), fps, label."""
-    total = fps(latency).groupBy("seq").agg(F.sum("mean_ms").alias("total_ms"))
+    total = fps(latency).groupBy("seq").agg(F.round(F.sum("mean_ms"), 6).alias("total_ms"))  # rounded: the order of a sum is open
     return total.withColumn("fps", _rate(F.col("total_ms"))).withColumn("label", _rate_text(F.col("fps")))
 
 

@@ -176,6 +176,6 @@ put("depth_stats", on(GRAY, A.depth_stats), f"{G} SELECT frame_id, min(v) AS v_m
 LAT = ctes("f5_latency")
 put("fps", on("f5_latency", lambda p: A.fps(p).withColumn("fps", F.round("fps", 6)).withColumn("mean_ms", F.round("mean_ms", 6))), f"""{LAT}, a AS (SELECT *, avg(elapsed_ms) OVER (PARTITION BY node ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS mean_ms FROM f5_latency), b AS (SELECT *, CASE WHEN mean_ms>0 THEN 1000e0/mean_ms ELSE 0e0 END AS f FROM a)
 SELECT node, seq, elapsed_ms, round(mean_ms, 6) AS mean_ms, round(f, 6) AS fps, 'FPS:' || CASE WHEN f>1 THEN lpad(CAST(CAST(floor(f) AS BIGINT) AS VARCHAR), CAST(greatest(3, length(CAST(CAST(floor(f) AS BIGINT) AS VARCHAR))) AS INT), '0') ELSE printf('%.2f', f) END || ' (' || lpad(CAST(elapsed_ms AS VARCHAR), CAST(greatest(4, length(CAST(elapsed_ms AS VARCHAR))) AS INT), '0') || 'ms)' AS label FROM b""")
-put("total_fps", on("f5_latency", lambda p: A.total_fps(p).select("seq", F.round("total_ms", 6).alias("total_ms"), F.round("fps", 6).alias("fps"), "label")), f"""{LAT}, a AS (SELECT *, avg(elapsed_ms) OVER (PARTITION BY node ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS mean_ms FROM f5_latency), t AS (SELECT seq, sum(mean_ms) AS total_ms FROM a GROUP BY seq), b AS (SELECT *, CASE WHEN total_ms>0 THEN 1000e0/total_ms ELSE 0e0 END AS f FROM t)
+put("total_fps", on("f5_latency", lambda p: A.total_fps(p).select("seq", F.round("total_ms", 6).alias("total_ms"), F.round("fps", 6).alias("fps"), "label")), f"""{LAT}, a AS (SELECT *, avg(elapsed_ms) OVER (PARTITION BY node ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS mean_ms FROM f5_latency), t AS (SELECT seq, round(sum(mean_ms), 6) AS total_ms FROM a GROUP BY seq), b AS (SELECT *, CASE WHEN total_ms>0 THEN 1000e0/total_ms ELSE 0e0 END AS f FROM t)
 SELECT seq, round(total_ms, 6) AS total_ms, round(f, 6) AS fps, 'FPS:' || CASE WHEN f>1 THEN lpad(CAST(CAST(floor(f) AS BIGINT) AS VARCHAR), CAST(greatest(3, length(CAST(CAST(floor(f) AS BIGINT) AS VARCHAR))) AS INT), '0') ELSE printf('%.2f', f) END AS label FROM b""")
 put("latency_text", on("f5_latency", lambda p: p.select("node", "seq", A.latency_text(F.col("elapsed_ms")).alias("text")).withColumn("back", A.parse_latency(F.col("text")))), f"{LAT} SELECT node, seq, lpad(CAST(elapsed_ms AS VARCHAR), CAST(greatest(4, length(CAST(elapsed_ms AS VARCHAR))) AS INT), '0') || 'ms' AS text, elapsed_ms AS back FROM f5_latency")

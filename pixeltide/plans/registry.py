@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pixeltide.plans import pixel_queries
+from pixeltide.plans import detect_queries, pixel_queries
 
-GROUPS = [pixel_queries]
-FLAGSHIP = "grayscale"
+GROUPS = [detect_queries, pixel_queries]
+FLAGSHIP = "annotate_detections"
 
 
 def entry(spark, sf_dir):
