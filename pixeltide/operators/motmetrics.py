@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +27,20 @@ def matches(truth: DataFrame, tracks: DataFrame, limit: float = LIMIT) -> DataFr
     def run(g: pd.DataFrame) -> pd.DataFrame:
         before: dict = {}
         out = []
-        for n, f in g.sort_values("frame_no").groupby("frame_no"):
-            cost = {(a, b): d for a, b, d in zip(f.a_id, f.b_id, f.dist, strict=True)}
+        frames: dict = {}
+        for n, a, b, d in zip(g.frame_no, g.a_id, g.b_id, g.dist, strict=True):
+            frames.setdefault(n, {})[a, b] = d
+        for n in sorted(frames):
+            cost = frames[n]
             now = {a: b for a, b in before.items() if (a, b) in cost}
-            left = f[~f.a_id.isin(list(now)) & ~f.b_id.isin(list(now.values()))]
-            if len(left):
-                m = left.pivot_table(index="a_id", columns="b_id", values="dist").fillna(1e9)
-                now |= {m.index[i]: m.columns[j] for i, j in within(m.values, limit)}
+            used = set(now.values())
+            left = [(a, b) for a, b in cost if a not in now and b not in used]
+            if left:
+                rows, columns = sorted({a for a, _ in left}), sorted({b for _, b in left})
+                m = np.full((len(rows), len(columns)), 1e9)
+                for a, b in left:
+                    m[rows.index(a), columns.index(b)] = cost[a, b]
+                now |= {rows[i]: columns[j] for i, j in within(m, limit)}
             before |= now
             out += [(g.seq.iloc[0], n, a, b, cost[a, b]) for a, b in now.items()]
         return pd.DataFrame(out, columns=["seq", "frame_no", "a_id", "b_id", "dist"])

@@ -11,20 +11,24 @@ from pyspark.sql.window import Window
 
 from pixeltide.operators.params import clamp
 
-BY_TIME = Window.partitionBy("source_id").orderBy("ts")
+
+def by_time():
+    return Window.partitionBy("source_id").orderBy("ts")
+
+
 FULL = 10_000_000
 
 
 def skip_frames(frames: DataFrame, rate: int) -> DataFrame:
     """Each rate-th frame of a source."""
     rate = clamp(rate, 1, 10)
-    return frames.withColumn("_n", F.row_number().over(BY_TIME)).where(F.col("_n") % rate == 0).drop("_n")
+    return frames.withColumn("_n", F.row_number().over(by_time())).where(F.col("_n") % rate == 0).drop("_n")
 
 
 def loop_schedule(ticks: DataFrame, frames: DataFrame, rate: int, loop: bool = True) -> DataFrame:
     """The frame that each tick (source_id, tick from 1) shows: number tick * rate - 1, over and over; without loop it ends."""
     rate = clamp(rate, 1, 10)
-    numbered = frames.select("source_id", (F.row_number().over(BY_TIME) - 1).alias("shown"), "frame_id")
+    numbered = frames.select("source_id", (F.row_number().over(by_time()) - 1).alias("shown"), "frame_id")
     totals = frames.groupBy("source_id").agg(F.count("*").alias("total"))
     t = ticks.join(totals, "source_id").withColumn("shown", (F.col("tick") * rate - 1).cast("long"))
     t = t.withColumn("shown", F.col("shown") % F.col("total")) if loop else t.where(F.col("shown") < F.col("total"))
@@ -33,7 +37,7 @@ def loop_schedule(ticks: DataFrame, frames: DataFrame, rate: int, loop: bool = T
 
 def seek_frames(requests: DataFrame, frames: DataFrame) -> DataFrame:
     """The frame at seek ten-millionths of its source, for requests(source_id, ts, seek)."""
-    numbered = frames.select("source_id", (F.row_number().over(BY_TIME) - 1).cast("long").alias("pos"), "frame_id")
+    numbered = frames.select("source_id", (F.row_number().over(by_time()) - 1).cast("long").alias("pos"), "frame_id")
     totals = frames.groupBy("source_id").agg(F.count("*").alias("total"))
     seek = F.least(F.lit(FULL), F.greatest(F.lit(0), F.col("seek").cast("int")))
     r = requests.join(totals, "source_id").withColumn("pos", F.least(F.col("total") - 1, F.greatest(F.lit(0), F.floor(F.col("total") * seek / FULL))))
@@ -42,7 +46,7 @@ def seek_frames(requests: DataFrame, frames: DataFrame) -> DataFrame:
 
 def dedupe_seek(sought: DataFrame) -> DataFrame:
     """Adds `reread`: whether the position differs from the one before."""
-    return sought.withColumn("reread", ~F.lag("pos").over(BY_TIME).eqNullSafe(F.col("pos")))
+    return sought.withColumn("reread", ~F.lag("pos").over(by_time()).eqNullSafe(F.col("pos")))
 
 
 def throttle_latest(frames: DataFrame, interval: str) -> DataFrame:
@@ -72,13 +76,13 @@ def apply_param_feed(frames: DataFrame, params: DataFrame, low: float, high: flo
 
 def recording_sessions(ticks: DataFrame) -> DataFrame:
     """Numbers the recordings (from 1) of ticks(source_id, ts, has_frame): one ends at the first missing frame."""
-    starts = F.col("has_frame") & ~F.coalesce(F.lag("has_frame").over(BY_TIME), F.lit(False))
-    return ticks.withColumn("session", F.sum(starts.cast("int")).over(BY_TIME)).where("has_frame")
+    starts = F.col("has_frame") & ~F.coalesce(F.lag("has_frame").over(by_time()), F.lit(False))
+    return ticks.withColumn("session", F.sum(starts.cast("int")).over(by_time())).where("has_frame")
 
 
 def hold_last(ticks: DataFrame, column: str = "payload") -> DataFrame:
     """A tick without a frame repeats the last one."""
-    return ticks.withColumn(column, F.last(column, ignorenulls=True).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0)))
+    return ticks.withColumn(column, F.last(column, ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def gate(frames: DataFrame, switch: DataFrame) -> DataFrame:

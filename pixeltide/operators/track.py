@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +51,11 @@ def assign_optimal(pairs: DataFrame, keys: list[str], limit: float) -> DataFrame
     schema = pairs.select(*keys, "a_id", "b_id", "cost").schema
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        m = g.pivot_table(index="a_id", columns="b_id", values="cost", aggfunc="min").fillna(1e18)
-        got = [(m.index[i], m.columns[j], m.iat[i, j]) for i, j in within(m.values, limit)]
+        a, i = np.unique(g.a_id.values, return_inverse=True)
+        b, j = np.unique(g.b_id.values, return_inverse=True)
+        m = np.full((len(a), len(b)), 1e18)
+        np.minimum.at(m, (i, j), g.cost.values)
+        got = [(a[i], b[j], m[i, j]) for i, j in within(m, limit)]
         out = pd.DataFrame(got, columns=["a_id", "b_id", "cost"])
         for k in keys:
             out[k] = g[k].iloc[0]

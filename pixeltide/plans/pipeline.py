@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pixeltide.operators.rounds import checkpoint
@@ -105,7 +106,7 @@ def run_pipeline(document: dict, sources: dict[str, DataFrame], operators: dict[
 
 def apply_user_code(frames: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """fn on each frame (a one-row table with the columns of frames), as a function; where it fails, the frame and the error."""
-    schema = frames.schema.add("error", "string")
+    schema = T.StructType([*frames.schema.fields, T.StructField("error", T.StringType())])
 
     def run(batches):
         for b in batches:

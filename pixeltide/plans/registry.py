@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pixeltide.plans import detect_queries, pixel_queries
+from pixeltide.plans import detect_queries, pixel_queries, time_queries
 
-GROUPS = [detect_queries, pixel_queries]
+GROUPS = [detect_queries, pixel_queries, time_queries]
 FLAGSHIP = "annotate_detections"
 
 
