@@ -25,6 +25,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixeltide.llm.common import importable
 
@@ -177,7 +178,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """Adds decoded binary, the bytes of the column ids."""
     path = path or public_tokenizers.path(RANKS)
     importable(encoded.sparkSession)
-    schema = encoded.schema.add("decoded", "binary")
+    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
         c = codec(path)

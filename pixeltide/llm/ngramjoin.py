@@ -7,9 +7,9 @@ the set; classes are what is compared, so copies are never expanded into pairs.
    over all documents in 2^20 cells (CELLS), which orders n-grams rare first. The order decides what it costs, never
    what is found: any one order of all n-grams is right.
 2. A second pass emits each class's prefix: the n - ceil(t n) + 1 rarest n-grams. Two sets with Jaccard >= t share one.
-3. In each bucket (classes that share a prefix n-gram) the class with the most copies is joined with the others:
-   length, positional and suffix filters (the parities differ in at most as many cells as the sets do in n-grams), then
-   each pair once against the whole sets. This gives the bulk of the links in linear time.
+3. In each bucket (classes that share a prefix n-gram) the class with the most copies is the head. Each class is verified
+   once against the head it shares most of its prefix with, after length, positional and suffix filters (the parities
+   differ in at most as many cells as the sets do in n-grams). This gives the bulk of the links in linear time.
 4. All pairs of a bucket that are not yet in one component pass the same filters and are verified likewise. So no link
    that joins two components is lost, and no pair inside a component is expanded.
 
@@ -164,12 +164,14 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perc
                 sets = [set_of(t, k) for t in b.text.iloc[at : at + 200]]
                 yield pd.DataFrame({"class": [class_of(s) if len(s) else 0 for s in sets], "s": [s.view(np.int64) for s in sets]})
 
-    sets = text.mapInPandas(run, "class long, s array<long>").dropDuplicates(["class"])
-    sets = Saved(sets).df
-    left = pairs.join(sets.select(F.col("class").alias("b"), F.col("s").alias("sb")), "b")
-    both = left.join(sets.select(F.col("class").alias("a"), F.col("s").alias("sa")), "a")
+    sets = Saved(text.mapInPandas(run, "class long, s array<long>")).df
+    # ids are small and sets are not: the ids go to the sets while there are IDS of them at most
+    small = F.broadcast if pairs.count() <= IDS else lambda df: df
+    left = sets.select(F.col("class").alias("b"), F.col("s").alias("sb")).join(small(pairs), "b")
+    heads = sets.join(small(pairs.select(F.col("a").alias("class")).distinct()), "class", "left_semi")
+    both = left.join(heads.select(F.col("class").alias("a"), F.col("s").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common * (100 + percent) >= percent * (F.size("sa") + F.size("sb"))).select("a", "b")
+    return both.where(common * (100 + percent) >= percent * (F.size("sa") + F.size("sb"))).select("a", "b").distinct()
 
 
 def components_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -189,9 +191,11 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     parities = own.where("class is not null").groupBy("class").agg(F.first("parity").alias("parity"), F.first("n").alias("n"))
     near = shared.select(F.col("head").alias("x"), F.struct("class", "n", "pos").alias("y")).where("x.class <> y.class").where(may_link("x", "y", percent))
-    near = near.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+    near = near.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.count("*").alias("common"))
     near = near.join(parities.select(F.col("class").alias("a"), F.struct("n", "parity").alias("x")), "a").join(parities.select(F.col("class").alias("b"), F.struct("n", "parity").alias("y")), "b")
-    links = verified(near.where(suffix_filter("x", "y", percent)).select("a", "b"), docs, classes, k, percent)
+    # each class once: with the head that shares most of its prefix
+    near = near.where(suffix_filter("x", "y", percent)).groupBy("b").agg(F.max(F.struct("common", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    links = verified(near, docs, classes, k, percent)
     links = checkpoint(links)
 
     first = checkpoint(components(links))
