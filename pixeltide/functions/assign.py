@@ -10,6 +10,8 @@ def optimal(cost: np.ndarray) -> list[tuple[int, int]]:
     cost = np.asarray(cost, float)
     if not cost.size:
         return []
+    if min(cost.shape) == 1:
+        return [divmod(int(cost.argmin()), cost.shape[1])]
     turned = cost.shape[0] > cost.shape[1]
     c = cost.T if turned else cost
     n, m = c.shape
@@ -42,6 +44,9 @@ def within(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     if not cost.size:
         return []
     n, m = cost.shape
+    if min(n, m) == 1:
+        i, j = divmod(int(cost.argmin()), m)
+        return [(i, j)] if cost[i, j] <= limit else []
     wide = np.full((n + m, n + m), limit / 2)
     wide[n:, m:] = 0
     wide[:n, :m] = cost

@@ -48,20 +48,22 @@ def gate_pairs(pairs: DataFrame, names: tuple[str, ...] = ("x", "y", "a", "h"),
 
 def assign_optimal(pairs: DataFrame, keys: list[str], limit: float) -> DataFrame:
     """The one-to-one pairs of least total cost in each group of pairs(keys, a_id, b_id, cost); pairs over limit are never made."""
-    schema = pairs.select(*keys, "a_id", "b_id", "cost").schema
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        a, i = np.unique(g.a_id.values, return_inverse=True)
-        b, j = np.unique(g.b_id.values, return_inverse=True)
-        m = np.full((len(a), len(b)), 1e18)
-        np.minimum.at(m, (i, j), g.cost.values)
-        got = [(a[i], b[j], m[i, j]) for i, j in within(m, limit)]
-        out = pd.DataFrame(got, columns=["a_id", "b_id", "cost"])
-        for k in keys:
-            out[k] = g[k].iloc[0]
-        return out[[*keys, "a_id", "b_id", "cost"]]
-
-    return pairs.select(*keys, "a_id", "b_id", "cost").groupBy(*keys).applyInPandas(run, schema)
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    rows = pairs.groupBy(*keys).agg(F.collect_list(F.struct("a_id", "b_id", "cost")).alias("p"))
+    parts = rows.select(*keys, *[F.transform("p", lambda x, c=c: x[c]).alias(c) for c in ("a_id", "b_id", "cost")])
+
+    @F.pandas_udf(f"array<struct<a_id:{kinds['a_id']},b_id:{kinds['b_id']},cost:double>>")
+    def solve(a_ids: pd.Series, b_ids: pd.Series, costs: pd.Series) -> pd.Series:
+        out = []
+        for x, y, c in zip(a_ids, b_ids, costs, strict=True):
+            a, i = np.unique(x, return_inverse=True)
+            b, j = np.unique(y, return_inverse=True)
+            m = np.full((len(a), len(b)), 1e18)
+            np.minimum.at(m, (i, j), c)
+            out.append([{"a_id": a[i], "b_id": b[j], "cost": m[i, j]} for i, j in within(m, limit)])
+        return pd.Series(out)
+
+    return parts.select(*keys, F.inline(solve("a_id", "b_id", "cost")))
 
 
 def assign_greedy(pairs: DataFrame, keys: list[str], limit: float) -> DataFrame:

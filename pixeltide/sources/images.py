@@ -11,7 +11,7 @@ from pixeltide.operators.resample import resize
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """source_id, height, width, channels, data (bytes as numbers 0..255, blue first); files that are no images are left out."""
     raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    data = F.transform(F.split(F.decode("data", F.lit("ISO-8859-1")), ""), lambda ch: F.ascii(ch))  # a byte is a character there
+    data = F.transform(F.split(F.decode("data", "ISO-8859-1"), ""), lambda ch: F.ascii(ch))  # a byte is a character there
     return raw.select(F.col("origin").alias("source_id"), "height", "width", F.col("nChannels").alias("channels"), data.alias("data"))
 
 
