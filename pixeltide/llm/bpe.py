@@ -25,9 +25,8 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pixeltide.llm.common import importable
+from pixeltide.llm.common import ids_in, ids_out, importable
 
 RANKS = "byte_bpe_50k.tiktoken"
 CACHE, CACHE_BYTES = 1_000_000, 64
@@ -170,24 +169,20 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ids = [c.encode(t) if t else b"" for t in part.text]
                 yield pd.DataFrame({"doc_id": part.doc_id.array, "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, ids binary")
+    return ids_out(docs.select(ids_in(), "text").mapInPandas(run, "doc_id long, n_tokens long, ids binary"))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """Adds decoded binary, the bytes of the column ids."""
     path = path or public_tokenizers.path(RANKS)
     importable(encoded.sparkSession)
-    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
-    def run(batches):
+    @F.pandas_udf("binary")
+    def back(ids: pd.Series) -> pd.Series:
         c = codec(path)
-        for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.iloc[at : at + 500]
-                yield part.assign(decoded=[c.decode(x) for x in part.ids])
+        return pd.Series([c.decode(x or b"") for x in ids])
 
-    return encoded.mapInPandas(run, schema)
+    return encoded.withColumn("decoded", back("ids"))
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -203,8 +198,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ids = [c.encode(t) if t else b"" for t in part.text]
                 yield pd.DataFrame({"doc_id": part.doc_id.array, "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": [c.decode(x) for x in ids]})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+    return ids_out(docs.select(ids_in(), "text").mapInPandas(run, "doc_id long, n_tokens long, ids binary, decoded binary"))
 
 
 def digests(coded: DataFrame) -> DataFrame:

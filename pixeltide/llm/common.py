@@ -57,6 +57,18 @@ class Saved:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_NO_ID = -(1 << 63)
+
+
+def ids_in(col: str = "doc_id") -> Column:
+    """An id as it goes to pandas: a null would turn a whole batch of 64-bit ids into floats, so -2^63 stands for it."""
+    return F.coalesce(F.col(col).cast("long"), F.lit(_NO_ID)).alias(col)
+
+
+def ids_out(df: DataFrame, col: str = "doc_id") -> DataFrame:
+    return df.withColumn(col, F.nullif(F.col(col), F.lit(_NO_ID)))
+
+
 def fold(n: int, col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo n; null ids have none."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

@@ -20,6 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,6 +176,7 @@ def without_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     def run(batches):
         own = [s.value for s in shared]
         for b in batches:
-            yield b[[not any(block.leaks(t.encode("utf-8", "surrogatepass") if t else None) for block in own) for t in b.text]]
+            texts = b.column("text").cast("binary").to_pylist()
+            yield b.filter(pa.array([not any(block.leaks(t) for block in own) for t in texts], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixeltide.llm.common import checkpoint, importable
+from pixeltide.llm.common import checkpoint, ids_in, ids_out, importable
 from pixeltide.llm.pieces import WORD_START, Automaton, codes, over_trie, vocabulary
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -174,5 +174,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                             langs[i], scores[i] = m.langs[k], 1 / np.exp(x - x[k]).sum()
                 yield pd.DataFrame({"doc_id": part.doc_id.array, "lang_pred": langs, "score": scores})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    return ids_out(docs.select(ids_in(), "text").mapInPandas(run, "doc_id long, lang_pred string, score double"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixeltide.llm.common import Saved, checkpoint, hashes, importable, mix, shingles, words
+from pixeltide.llm.common import Saved, checkpoint, hashes, ids_in, ids_out, importable, mix, shingles, words
 from pixeltide.llm.graph import components
 
 CELLS, PARTS = 1 << 20, 16
@@ -68,14 +68,15 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
                 rows.append((d, len(s), class_of(s) if len(s) else None, parity(s) if len(s) else None))
             flat = np.concatenate(all_sets) if all_sets else np.zeros(0, np.uint64)
             counts += np.bincount((flat & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "class", "parity"])
-            yield out.assign(doc_id=out.doc_id.astype("Int64"), part=pd.array([None] * len(out), "Int32"), cells=None, **{"class": out["class"].astype("object")})
+            # numbers with gaps stay whole: 64-bit classes are no floats
+            whole = {k: pd.array([r[i] for r in rows], dtype="Int64") for i, k in ((0, "doc_id"), (2, "class"))}
+            yield pd.DataFrame({"doc_id": whole["doc_id"], "n": [r[1] for r in rows], "class": whole["class"], "parity": [r[3] for r in rows], "part": pd.array([None] * len(rows), "Int32"), "cells": None})
         size = CELLS // PARTS
         for i in range(PARTS if counts.any() else 0):
-            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": [0], "class": [None], "parity": [None], "part": pd.array([i], "Int32"), "cells": [counts[i * size : (i + 1) * size].astype("<i8").tobytes()]})
+            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": [0], "class": pd.array([None], "Int64"), "parity": [None], "part": pd.array([i], "Int32"), "cells": [counts[i * size : (i + 1) * size].astype("<i8").tobytes()]})
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return text.mapInPandas(run, "doc_id long, n int, class long, parity array<long>, part int, cells binary")
+    text = docs.select(ids_in(), F.col("text").cast("binary").alias("text"))
+    return ids_out(text.mapInPandas(run, "doc_id long, n int, class long, parity array<long>, part int, cells binary"))
 
 
 def cell_counts(parts: DataFrame) -> np.ndarray:
@@ -147,7 +148,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perc
     pairs = Saved(pairs).df
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     wanted = classes.join(wanted, "class", "left_semi").select(F.col("holder").alias("doc_id"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     wanted = checkpoint(wanted)
     if wanted.count() <= IDS:
         shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas().doc_id.values.astype(np.int64)))  # IDS at most
@@ -158,8 +159,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perc
         ids = shared.value if shared is not None else None
         for b in batches:
             if ids is not None:
-                b = b[b.doc_id.notna()]
-                b = b[np.isin(b.doc_id.values.astype(np.int64), ids)]
+                b = b[np.isin(b.doc_id.values, ids)]
             for at in range(0, len(b), 200):
                 sets = [set_of(t, k) for t in b.text.iloc[at : at + 200]]
                 yield pd.DataFrame({"class": [class_of(s) if len(s) else 0 for s in sets], "s": [s.view(np.int64) for s in sets]})
@@ -199,7 +199,7 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     links = checkpoint(links)
 
     first = checkpoint(components(links))
-    placed = shared.select("token", "class", "n", "pos").join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("own", F.coalesce("component_id", "class"))
+    placed = shared.select("token", "class", "n", "pos").join(first, F.col("class") == F.col("node"), "left").withColumn("own", F.coalesce("component_id", "class")).drop("node", "component_id")
     split = placed.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("token")
     open_ = placed.join(split, "token", "left_semi").join(parities.select("class", "parity"), "class").select("token", "class", "n", "pos", "own", "parity")
     open_ = Saved(open_).df

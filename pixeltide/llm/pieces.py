@@ -84,10 +84,8 @@ def over_trie(auto: Automaton, items: list[str], first: np.ndarray, combine):
             child = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(position[rows], n)
             to = auto.step(states[pick], chars[child])
             ok = to >= 0
-            if ok.any() or not grown:
+            if ok.any():
                 grown.append((child[ok], to[ok], values[pick[ok]]))
-            else:
-                break
         ends = []
         for rows, states, values in grown:
             p = auto.piece[states]

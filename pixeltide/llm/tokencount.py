@@ -22,7 +22,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from pixeltide.llm.common import importable
+from pixeltide.llm.common import ids_in, ids_out, importable
 from pixeltide.llm.pieces import WORD_START, Automaton, over_trie, vocabulary
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -79,5 +79,4 @@ def count(docs: DataFrame, path: str | None = None) -> DataFrame:
                 sums = np.array([got[i].sum(0) if len(i) else np.zeros(2) for i in ids]).reshape(-1, 2)
                 yield pd.DataFrame({"doc_id": part.doc_id.array, "n_pretokens": [len(i) for i in ids], "n_tokens": sums[:, 1].astype(np.int64), "score": sums[:, 0]})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_pretokens long, n_tokens long, score double")
+    return ids_out(docs.select(ids_in(), "text").mapInPandas(run, "doc_id long, n_pretokens long, n_tokens long, score double"))
