@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pixeltide.operators.params import small_table
+from pixeltide.operators.resample import resize
 from pixeltide.operators.stencil import mscn
 
 
@@ -82,13 +83,26 @@ def _fit(moments: DataFrame, keys: list[str]) -> DataFrame:
     return moments.crossJoin(F.broadcast(arr)).withColumn("alpha", near["alpha"]).drop("t")
 
 
-def brisque_features(px: DataFrame) -> DataFrame:
+def brisque_features(px: DataFrame, width: int = 8, height: int = 8, ranges: DataFrame | None = None) -> DataFrame:
+    """frame_id, feature (1..36), value: the features of the frame, and of it at half size.
+
+    ranges(feature, low, high) scales them to -1..1, as a score model wants them.
+    """
+    small = resize(px, width, height, max(1, width // 2), max(1, height // 2), "area")
+    both = scale_features(px, width, height).unionByName(scale_features(small, max(1, width // 2), max(1, height // 2)).withColumn("feature", F.col("feature") + 18))
+    if ranges is None:
+        return both
+    span = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low"))
+    return both.join(F.broadcast(ranges), "feature").select("frame_id", "feature", (-1 + 2 * (F.col("value") - F.col("low")) / span).alias("value"))
+
+
+def scale_features(px: DataFrame, width: int, height: int) -> DataFrame:
     """frame_id, feature (1..18), value at one scale: natural-scene statistics of gray frames.
 
     The first two are the shape and variance of the normalised luminance; then for each of the four neighbour products the
     shape, mean, and the left and right variance of its asymmetric fit.
     """
-    m = mscn(px)
+    m = mscn(px, width, height)
     right, down = Window.partitionBy("frame_id", "y").orderBy("x"), Window.partitionBy("frame_id", "x").orderBy("y")
     slant, back = Window.partitionBy("frame_id", F.col("y") - F.col("x")).orderBy("x"), Window.partitionBy("frame_id", F.col("y") + F.col("x")).orderBy("x")
     products = m.select("frame_id", F.col("m").alias("p0"), *[(F.col("m") * F.lead("m").over(w)).alias(f"p{i}") for i, w in enumerate((right, down, slant, back), 1)])

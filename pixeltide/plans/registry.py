@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pixeltide.plans import detect_queries, pixel_queries, time_queries
+from pixeltide.plans import detect_queries, io_queries, pixel_queries, time_queries
 
-GROUPS = [detect_queries, pixel_queries, time_queries]
+GROUPS = [detect_queries, pixel_queries, time_queries, io_queries]
 FLAGSHIP = "annotate_detections"
 
 
