@@ -50,7 +50,7 @@ def assign_optimal(pairs: DataFrame, keys: list[str], limit: float) -> DataFrame
     """The one-to-one pairs of least total cost in each group of pairs(keys, a_id, b_id, cost); pairs over limit are never made."""
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
     rows = pairs.groupBy(*keys).agg(F.collect_list(F.struct("a_id", "b_id", "cost")).alias("p"))
-    parts = rows.select(*keys, *[F.transform("p", lambda x, c=c: x[c]).alias(c) for c in ("a_id", "b_id", "cost")])
+    parts = rows.select(*keys, *[F.col("p").getField(c).alias(c) for c in ("a_id", "b_id", "cost")])
 
     @F.pandas_udf(f"array<struct<a_id:{kinds['a_id']},b_id:{kinds['b_id']},cost:double>>")
     def solve(a_ids: pd.Series, b_ids: pd.Series, costs: pd.Series) -> pd.Series:

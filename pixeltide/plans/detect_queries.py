@@ -167,7 +167,10 @@ def labels(s, d):
     return fixture(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("class_id"), F.col("n_name").alias("name"))
 
 
-def tag(cid, name, score):
+def tag(cid, name, score, raw=False):
+    """Two decimals: halves of a decimal number go up; raw: as the double is, with the sign of what rounds to zero."""
+    if raw:
+        return f"{cid} || ':' || {name} || '(' || printf('%.2f', {score}) || ')'"
     return f"{cid} || ':' || {name} || '(' || printf('%.2f', CAST(round(CAST({score} AS DECIMAL(12,6)), 2) AS DOUBLE)) || ')'"
 
 
@@ -186,7 +189,7 @@ def parts(source, rows):
 BOXROW = ("box", "floor(x1)", "floor(y1)", "floor(x2)", "floor(y2)", "CAST(NULL AS VARCHAR)")
 put("annotate_detections", lambda s, d: N.annotate_detections(fixture(s, d, "f3_det"), labels(s, d), 0.3), f"{DET}, a AS (SELECT f3_det.*, n_name AS name, {color('class_id')} FROM f3_det LEFT JOIN nation ON n_nationkey=class_id WHERE score >= 0.3e0) {parts('a', [(*BOXROW, 3), ('text', 'floor(x1)', 'floor(y1)-12', 'floor(x1)', 'floor(y1)-12', tag('class_id', 'name', 'score'), 3)])}")
 TOP = "t5 AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, class_id) AS INT) AS rank FROM f7_scores WHERE class_id < 25) WHERE rank <= 5)"
-put("annotate_classes", lambda s, d: N.annotate_classes(D.top_k_classes(fixture(s, d, "f7_scores").where("class_id < 25")), labels(s, d)), f"{SC}, {TOP}, a AS (SELECT t5.*, n_name AS name, 0 AS b, 255 AS g, 0 AS r FROM t5 JOIN nation ON n_nationkey=class_id) {parts('a', [('text', '15', '30+(rank-1)*35', '15', '30+(rank-1)*35', tag('class_id', 'name', 'score'), 3)])}")
+put("annotate_classes", lambda s, d: N.annotate_classes(D.top_k_classes(fixture(s, d, "f7_scores").where("class_id < 25")), labels(s, d)), f"{SC}, {TOP}, a AS (SELECT t5.*, n_name AS name, 0 AS b, 255 AS g, 0 AS r FROM t5 JOIN nation ON n_nationkey=class_id) {parts('a', [('text', '15', '30+(rank-1)*35', '15', '30+(rank-1)*35', tag('class_id', 'name', 'score', True), 3)])}")
 put(
     "annotate_crop_classes",
     lambda s, d: N.annotate_crop_classes(fixture(s, d, "f3_det").withColumn("crop_class", (F.col("det_id") % 25).cast("int")).withColumn("crop_score", F.round(1 - F.col("score"), 6)), labels(s, d), labels(s, d), 0.3),

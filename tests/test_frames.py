@@ -309,3 +309,12 @@ def test_annotation_of_nothing(spark):
     frames = spark.createDataFrame([(1,)], "frame_id long")
     assert annotate.annotate_text(frames, "").count() == 0
     assert [r.y1 for r in annotate.annotate_text(frames, "", F.lit("5ms")).collect()] == [30]
+
+
+def test_optimal_assignment_in_columns(spark):
+    cost = [[1.0, 2.0, 9.0], [1.5, 9.0, 9.0], [9.0, 9.0, 1.0]]
+    pairs = spark.createDataFrame([(1, i, j, c) for i, r in enumerate(cost) for j, c in enumerate(r)], "frame_id long, a_id int, b_id int, cost double")
+    one = track.assign_optimal(pairs, ["frame_id"], 5.0)
+    assert sorted((r.a_id, r.b_id) for r in one.collect()) == [(0, 1), (1, 0), (2, 2)]
+    two = track.assign_greedy(pairs, ["frame_id"], 5.0)
+    assert sorted((r.a_id, r.b_id) for r in two.collect()) == [(0, 0), (2, 2)]
