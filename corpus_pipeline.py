@@ -59,9 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = Saved(docs).df
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        saved = Saved(stage(spark, docs, sf_dir))
+        if before:
+            before.drop()
+        docs, before = saved.df, saved
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -48,7 +48,7 @@ class Saved:
 
     def __init__(self, df: DataFrame):
         spark = self.spark = df.sparkSession
-        self.path = f"{shared_dir(spark)}/pixeltide/{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(spark)}/pixeltide/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 

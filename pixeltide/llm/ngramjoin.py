@@ -145,7 +145,8 @@ def suffix_filter(a: str, b: str, percent: int) -> Column:
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of pairs(a, b), each once, whose whole sets are linked."""
-    pairs = Saved(pairs).df
+    found = Saved(pairs)
+    pairs = found.df
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     wanted = classes.join(wanted, "class", "left_semi").select(F.col("holder").alias("doc_id"))
     text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -164,14 +165,18 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perc
                 sets = [set_of(t, k) for t in b.text.iloc[at : at + 200]]
                 yield pd.DataFrame({"class": [class_of(s) if len(s) else 0 for s in sets], "s": [s.view(np.int64) for s in sets]})
 
-    sets = Saved(text.mapInPandas(run, "class long, s array<long>")).df
+    made = Saved(text.mapInPandas(run, "class long, s array<long>"))
+    sets = made.df
     # ids are small and sets are not: the ids go to the sets while there are IDS of them at most
     small = F.broadcast if pairs.count() <= IDS else lambda df: df
     left = sets.select(F.col("class").alias("b"), F.col("s").alias("sb")).join(small(pairs), "b")
     heads = sets.join(small(pairs.select(F.col("a").alias("class")).distinct()), "class", "left_semi")
     both = left.join(heads.select(F.col("class").alias("a"), F.col("s").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common * (100 + percent) >= percent * (F.size("sa") + F.size("sb"))).select("a", "b").distinct()
+    links = checkpoint(both.where(common * (100 + percent) >= percent * (F.size("sa") + F.size("sb"))).select("a", "b").distinct())
+    made.drop()
+    found.drop()
+    return links
 
 
 def components_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -196,7 +201,6 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # each class once: with the head that shares most of its prefix
     near = near.where(suffix_filter("x", "y", percent)).groupBy("b").agg(F.max(F.struct("common", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     links = verified(near, docs, classes, k, percent)
-    links = checkpoint(links)
 
     first = checkpoint(components(links))
     placed = shared.select("token", "class", "n", "pos").join(first, F.col("class") == F.col("node"), "left").withColumn("own", F.coalesce("component_id", "class")).drop("node", "component_id")
@@ -205,7 +209,7 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     open_ = Saved(open_).df
     more = open_.alias("x").join(open_.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.own") < F.col("y.own")) & may_link("x", "y", percent) & suffix_filter("x", "y", percent))
     more = more.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-    links = checkpoint(links.union(verified(more, docs, classes, k, percent)))
+    links = links.union(verified(more, docs, classes, k, percent))
 
     found = components(links)
     joined = classes.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("own", F.coalesce("component_id", "class"))
