@@ -137,10 +137,21 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return (F.lit(percent) * F.greatest(na, nb) <= F.lit(100) * F.least(na, nb)) & (rest >= least_common(na, nb, percent))
 
 
-def suffix_filter(a: str, b: str, percent: int) -> Column:
+def suffix_filter(a: str, b: str, percent: int, cells: list[str]) -> Column:
+    """Rows differ in at least as many n-grams as their parities (the columns `cells`) differ in bits."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = sum((F.bit_count(F.col(f"{a}.parity")[i].bitwiseXOR(F.col(f"{b}.parity")[i])) for i in range(1, 8)), F.bit_count(F.col(f"{a}.parity")[0].bitwiseXOR(F.col(f"{b}.parity")[0])))
-    return differ <= na + nb - 2 * least_common(na, nb, percent)
+    bits = [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in cells]
+    return sum(bits[1:], bits[0]) <= na + nb - 2 * least_common(na, nb, percent)
+
+
+WIDE, NARROW = [f"p{i}" for i in range(8)], ["f0", "f1"]
+
+
+def passing(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs(a, b, ...) that the suffix filter with all cells lets through."""
+    own = lambda c, n: parities.select(F.col("class").alias(c), F.struct("n", *WIDE).alias(n))
+    both = pairs.join(own("a", "x"), "a").join(own("b", "y"), "b")
+    return both.where(suffix_filter("x", "y", percent, WIDE)).drop("x", "y")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -195,20 +206,23 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     shared = Saved(shared.select("token", "class", "n", "pos", "head")).df
 
     parities = own.where("class is not null").groupBy("class").agg(F.first("parity").alias("parity"), F.first("n").alias("n"))
+    cell = [F.col("parity")[i] for i in range(8)]
+    fold = [cell[i].bitwiseXOR(cell[i + 2]).bitwiseXOR(cell[i + 4]).bitwiseXOR(cell[i + 6]) for i in (0, 1)]  # 128 coarser cells
+    parities = parities.select("class", "n", *[e.alias(c) for e, c in zip(cell + fold, WIDE + NARROW, strict=True)])
     near = shared.select(F.col("head").alias("x"), F.struct("class", "n", "pos").alias("y")).where("x.class <> y.class").where(may_link("x", "y", percent))
     near = near.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.count("*").alias("common"))
-    near = near.join(parities.select(F.col("class").alias("a"), F.struct("n", "parity").alias("x")), "a").join(parities.select(F.col("class").alias("b"), F.struct("n", "parity").alias("y")), "b")
     # each class once: with the head that shares most of its prefix
-    near = near.where(suffix_filter("x", "y", percent)).groupBy("b").agg(F.max(F.struct("common", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    near = passing(near, parities, percent).groupBy("b").agg(F.max(F.struct("common", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     links = verified(near, docs, classes, k, percent)
 
     first = checkpoint(components(links))
     placed = shared.select("token", "class", "n", "pos").join(first, F.col("class") == F.col("node"), "left").withColumn("own", F.coalesce("component_id", "class")).drop("node", "component_id")
     split = placed.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("token")
-    open_ = placed.join(split, "token", "left_semi").join(parities.select("class", "parity"), "class").select("token", "class", "n", "pos", "own", "parity")
+    open_ = placed.join(split, "token", "left_semi").join(parities.select("class", *NARROW), "class").select("token", "class", "n", "pos", "own", *NARROW)
     open_ = Saved(open_).df
-    more = open_.alias("x").join(open_.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.own") < F.col("y.own")) & may_link("x", "y", percent) & suffix_filter("x", "y", percent))
+    more = open_.alias("x").join(open_.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.own") < F.col("y.own")) & may_link("x", "y", percent) & suffix_filter("x", "y", percent, NARROW))
     more = more.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+    more = passing(more, parities, percent)
     links = links.union(verified(more, docs, classes, k, percent))
 
     found = components(links)
