@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pixeltide.llm.common import ids_in, ids_out, importable
 
 RANKS = "byte_bpe_50k.tiktoken"
-CACHE, CACHE_BYTES = 1_000_000, 64
+CACHE, CACHE_BYTES = 600_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
