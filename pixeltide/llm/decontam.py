@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-A first pass counts, over all documents, how many hold each n-gram of the benchmark. Of every WINDOW consecutive n-grams
-of an item the rarest is a seed, so any run of WINDOW + N - 1 copied words has one, however common the item is. A second
-pass finds the seeds in each text; around the seeds of an item it cuts a passage, drops it if the words it shares with
-the item can't reach the threshold (an upper bound on the alignment), and aligns the rest: match 2, mismatch and gap -1.
-The score is the best local alignment over that of the whole item with itself; a leak scores LEAK or more.
+Every run of N words of an item is a seed, and one seed in a text is enough, however short or edited the copy is. Around
+the seeds of an item a passage is cut that holds any alignment which can reach the threshold, dropped if the words it
+shares with the item can't reach it (an upper bound on the alignment), and the rest aligned: match 2, mismatch and gap
+-1. The score is the best local alignment over that of the whole item with itself; a leak scores LEAK or more. A copy
+without any run of N words of the item isn't found.
 
-Both passes are scans without a shuffle of texts. The benchmark goes to the workers in blocks of at most BLOCK_WORDS
-words, one pair of passes for each block.
+One scan without a shuffle of texts. The benchmark goes to the workers in blocks of at most BLOCK_WORDS words, one scan
+for each block.
 
 Words are lower-cased (A-Z), with ASCII punctuation as white space. Defined cases: items of fewer than N words, or null,
 leak nowhere; null and empty texts hold no leak; repeated items are items each; rows that repeat a doc_id are looked at
@@ -16,8 +16,6 @@ each and their best score per item is given; rows without doc_id are kept by `wi
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,7 +24,7 @@ from pyspark.sql import functions as F
 
 from pixeltide.llm.common import hashes, importable, shingles
 
-N, WINDOW, LEAK = 3, 4, 0.5
+N, LEAK = 3, 0.5
 BLOCK_WORDS = 2_000_000
 MATCH, MISS, GAP = 2, -1, -1
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
@@ -53,27 +51,21 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 
 class Bench:
-    """A block of benchmark items, with their n-grams and seeds."""
+    """A block of benchmark items, with their n-grams, which are the seeds, and their words by number."""
 
     def __init__(self, ids: list[int], texts: list[bytes | None]):
         kept = [(i, w) for i, t in zip(ids, texts, strict=True) if len(w := plain_words(t)) >= N]
-        self.ids, self.words = [i for i, _ in kept], [hashes(w) for _, w in kept]
-        self.grams = [shingles(h, N) for h in self.words]
-        self.all = np.unique(np.concatenate(self.grams)) if kept else np.zeros(0, np.uint64)
-
-    def choose(self, freq: np.ndarray) -> None:
-        """The seeds, by the number of documents that hold each n-gram of `all`."""
-        rows = []
-        for i, g in enumerate(self.grams):
-            f = freq[np.searchsorted(self.all, g)]
-            w = min(WINDOW, len(g))
-            seeds = {at + int(np.argmin(f[at : at + w])) for at in range(len(g) - w + 1)}
-            rows += [(int(g[p]), i, p) for p in sorted(seeds)]
-        rows.sort()
-        self.seeds = np.array([r[0] for r in rows], np.uint64)
-        self.item = np.array([r[1] for r in rows], np.int64)
-        self.pos = np.array([r[2] for r in rows], np.int64)
-        self.n_seeds = np.bincount(self.item, minlength=len(self.ids))
+        self.ids, words = [i for i, _ in kept], [hashes(w) for _, w in kept]
+        none = np.zeros(0, np.uint64)
+        self.known = np.unique(np.concatenate([none, *words]))
+        self.words = [np.searchsorted(self.known, h) for h in words]
+        self.need = [np.unique(w, return_counts=True) for w in self.words]
+        grams = [shingles(h, N) for h in words]
+        seeds = np.concatenate([none, *grams])
+        order = np.argsort(seeds, kind="stable")
+        self.seeds = seeds[order]
+        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
+        self.pos = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in grams]])[order]
 
     def leaks(self, text: bytes | None) -> list[tuple[int, float, int, int]]:
         """item id, score, first and last word of the passage, for each item that leaks into a text."""
@@ -81,28 +73,31 @@ class Bench:
         if len(h) < N or not len(self.seeds):
             return []
         g = shingles(h, N)
-        lo, hi = np.searchsorted(self.seeds, g), np.searchsorted(self.seeds, g, "right")
-        at = np.flatnonzero(hi > lo)
+        lo = np.searchsorted(self.seeds, g)
+        at = np.flatnonzero(self.seeds[np.minimum(lo, len(self.seeds) - 1)] == g)
         if not len(at):
             return []
-        n = hi[at] - lo[at]
+        lo = lo[at]
+        n = np.searchsorted(self.seeds, g[at], "right") - lo
         where = np.repeat(at, n)
-        seed = np.repeat(lo[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        seed = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        k = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        number = np.where(self.known[k] == h, k, -1)
+        item_of = self.item[seed]
+        order = np.argsort(item_of, kind="stable")
         out = []
-        for i in np.unique(self.item[seed]).tolist():
-            mine = self.item[seed] == i
-            if len(np.unique(self.pos[seed[mine]])) < min(2, self.n_seeds[i]):
-                continue
-            item = self.words[i]
-            size, pad = len(item), len(item) // 3 + 2
-            first = np.maximum(0, np.sort(where[mine] - self.pos[seed[mine]]) - pad)
-            groups = np.split(first, np.flatnonzero(np.diff(first) > size + 2 * pad) + 1)
+        for mine in np.split(order, np.flatnonzero(np.diff(item_of[order])) + 1):
+            i = int(item_of[mine[0]])
+            item, (distinct, times) = self.words[i], self.need[i]
+            size = len(item)  # an alignment that reaches LEAK has fewer gaps than the item has words
+            first = np.maximum(0, np.sort(where[mine] - self.pos[seed[mine]]) - size)
+            groups = np.split(first, np.flatnonzero(np.diff(first) > 3 * size) + 1)
             full, best = MATCH * size, (0.0, 0, 0)
-            need = Counter(item.tolist())
             for x in groups:
-                passage = h[x[0] : x[-1] + size + 2 * pad]
-                own = Counter(passage[np.isin(passage, item)].tolist())
-                if MATCH * sum(min(c, own[w]) for w, c in need.items()) < LEAK * full:
+                passage = number[x[0] : x[-1] + 3 * size]
+                own = np.sort(passage)
+                shared = np.minimum(times, np.searchsorted(own, distinct, "right") - np.searchsorted(own, distinct))
+                if MATCH * shared.sum() < LEAK * full:
                     continue
                 s, a, b = align(item, passage)
                 if s / full > best[0]:
@@ -124,37 +119,11 @@ def blocks(bench: DataFrame) -> list[Bench]:
     return out
 
 
-def seeded(docs: DataFrame, bench: DataFrame) -> list[Bench]:
-    """The blocks with their seeds chosen by how many documents hold each n-gram."""
-    importable(docs.sparkSession)
-    text = docs.select(F.col("text").cast("binary").alias("text"))
-    out = blocks(bench)
-    for block in out:
-        shared = docs.sparkSession.sparkContext.broadcast(block.all)
-
-        def run(batches, shared=shared):
-            grams = shared.value
-            n = np.zeros(len(grams), np.int64)
-            for b in batches:
-                for t in b.text:
-                    g = np.unique(shingles(hashes(plain_words(t)), N))
-                    if len(g) and len(grams):
-                        at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
-                        n[at[grams[at] == g]] += 1
-            k = np.flatnonzero(n)
-            yield pd.DataFrame({"k": k, "n": n[k]})
-
-        got = text.mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # one row per n-gram of the block
-        freq = np.zeros(len(block.all), np.int64)
-        freq[got.k.values] = got.n.values
-        block.choose(freq)
-    return out
-
-
 def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word: the passages of docs(doc_id, text) that copy items of bench(item_id, text)."""
     spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(b) for b in seeded(docs, bench)]
+    importable(spark)
+    shared = [spark.sparkContext.broadcast(b) for b in blocks(bench)]
 
     def run(batches):
         own = [s.value for s in shared]
@@ -171,7 +140,8 @@ def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that hold no leak."""
     spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(b) for b in seeded(docs, bench)]
+    importable(spark)
+    shared = [spark.sparkContext.broadcast(b) for b in blocks(bench)]
 
     def run(batches):
         own = [s.value for s in shared]

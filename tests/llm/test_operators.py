@@ -339,6 +339,31 @@ def test_leaks_against_brute_force(spark, sf_dir, corpus):
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(corpus, bench).collect()} == want
 
 
+def test_leaks_of_short_edited_items(spark):
+    """Random substitutions in items of 15 to 25 words, whose n-grams are held by unequal numbers of documents."""
+    rng = np.random.default_rng(11)
+    items = [[f"i{k}w{j}" for j in range(rng.integers(15, 26))] for k in range(12)]
+    texts = []
+    for w in items:
+        for _ in range(25):
+            edited = [f"z{rng.integers(1 << 40)}" if rng.random() < 0.25 else x for x in w]
+            if rng.random() < 0.3:  # and some words put in
+                edited[8:8] = [f"z{rng.integers(1 << 40)}" for _ in range(rng.integers(1, 12))]
+            texts.append([f"b{rng.integers(1 << 40)}" for _ in range(20)] + edited + ["end"])
+        for j in range(len(w) - 2):  # runs of three on their own
+            texts += [["x", *w[j : j + 3], "y"]] * int(rng.integers(0, 4))
+    want = set()
+    for d, t in enumerate(texts):
+        for i, w in enumerate(items):
+            run = {tuple(w[j : j + 3]) for j in range(len(w))} & {tuple(t[j : j + 3]) for j in range(len(t) - 2)}
+            ids = {x: n for n, x in enumerate(t)}
+            if run and plain_alignment([ids.get(x, -1) for x in w], [ids[x] for x in t]) >= 2 * len(w) * decontam.LEAK:
+                want.add((d, i))
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert len(want) > 100 and {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()} == want
+
+
 # --- 8 language model
 
 
