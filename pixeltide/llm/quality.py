@@ -2,11 +2,12 @@
 
 A document's strength is linear in a few dozen features of its whole text. Preference pairs put a document labelled 1
 over one labelled 0; the weights minimise the logistic loss on the difference of the two feature vectors. The raw
-threshold is a quantile of the training scores: the share of rows labelled 0. Scores are then mapped by a logistic curve
-that puts this quantile at CUT, so `score >= CUT` is the quantile rule.
+threshold is a quantile of the scores of all labelled training rows: the share of them labelled 0. Scores are then
+mapped by a logistic curve that puts this quantile at CUT, so `score >= CUT` is the quantile rule.
 
 The weights are fitted on a bounded sample: MAX_TRAIN rows of each label, those with the lowest hashes of their id, and
-PAIRS preference pairs per row. Scoring is one pass over all texts without a shuffle.
+PAIRS preference pairs per row. The threshold and the curve's scale come from a pass over all texts, whose raw scores are
+joined with the labels. Scoring is another pass over all texts without a shuffle.
 
 Defined cases: a null or empty text has features of zero length and is scored like any other; without labels of both
 kinds every score is 0.5; a doc_id with several labels counts with the lowest; null labels and ids are not learned from;
@@ -23,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixeltide.llm.common import ids_in, ids_out, importable
+from pixeltide.llm.common import Saved, ids_in, ids_out, importable
 
 CUT = 0.3
 MAX_TRAIN, PAIRS = 8_000, 8
+FINE = 1_000_000  # ranks are exact up to half as many rows, and within a millionth beyond
 
 _LETTERS = bytes(c for c in range(256) if chr(c).isalpha() and c < 128 or c >= 128)
 _UPPER = bytes(range(65, 91))
@@ -76,18 +78,30 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> dict:
         w = w + step
         if np.abs(step).max() < 1e-5:
             break
-    raw = z @ w
-    cut = float(np.quantile(raw, np.mean(y == 0)))
-    scale = float(np.median(np.abs(raw - cut))) or 1.0
-    return {"mean": mean, "std": std, "w": w, "cut": cut, "scale": scale / 3}
+    return {"mean": mean, "std": std, "w": w}
+
+
+def strength(x: np.ndarray, model: dict) -> np.ndarray:
+    return np.clip((x - model["mean"]) / model["std"], -8, 8) @ model["w"]
+
+
+def place(rows: DataFrame) -> dict:
+    """The threshold and scale, from rows(quality, raw): the quantile of raw at the share of label 0, between two rows as numpy does."""
+    n, zeros = rows.agg(F.count("*"), F.count(F.when(F.col("quality") == 0, 1))).first()
+    if not n:
+        return {"cut": 0.0, "scale": 1 / 3}
+    at = [min(1.0, max(0.0, (zeros + x) / n)) for x in (-0.5, 0.5)]
+    below, above = rows.agg(F.percentile_approx("raw", at, FINE)).first()[0]
+    cut = below + (above - below) * (1 - zeros / n)
+    scale = rows.agg(F.percentile_approx(F.abs(F.col("raw") - cut), 0.5, FINE)).first()[0] or 1.0
+    return {"cut": cut, "scale": scale / 3}
 
 
 def score(x: np.ndarray, model: dict) -> np.ndarray:
     if not model:
         return np.full(len(x), 0.5)
-    raw = np.clip((x - model["mean"]) / model["std"], -8, 8) @ model["w"]
     shift = np.log(CUT / (1 - CUT))
-    return 1 / (1 + np.exp(-np.clip((raw - model["cut"]) / model["scale"] + shift, -50, 50)))
+    return 1 / (1 + np.exp(-np.clip((strength(x, model) - model["cut"]) / model["scale"] + shift, -50, 50)))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn=None, max_train: int = MAX_TRAIN) -> dict:
@@ -98,11 +112,13 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, max_train: int = MAX_T
     n = {r.quality: r["count"] for r in own.groupBy("quality").count().collect()}
     if set(n) != {0, 1}:
         return {}
-    # rows whose hash is below the wanted share of their label's rows; the limit holds the bound
+    # the lowest hashes; only those below a share of somewhat more rows than wanted are sorted
     picked = None
     for q in (0, 1):
-        share = min(1.0, 1.1 * max_train / n[q])
-        part = own.where((F.col("quality") == q) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))).limit(max_train)
+        share = 1.1 * max(1000, max_train) / n[q]
+        part = own.where(F.col("quality") == q)
+        part = part.where(F.xxhash64("doc_id") < int(share * 2**64) - 2**63) if share < 1 else part
+        part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")  # at most 2 * max_train rows
 
@@ -111,7 +127,20 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, max_train: int = MAX_T
             yield pd.DataFrame({"quality": b.quality, "x": [features(t) for t in b.text]})
 
     rows = texts.mapInPandas(run, "quality int, x array<double>").toPandas()
-    return fit(np.stack(rows.x.values), rows.quality.values) if len(rows) else {}
+    model = fit(np.stack(rows.x.values), rows.quality.values) if len(rows) else {}
+    if not model:
+        return {}
+
+    def weigh(batches):
+        for b in batches:
+            x = np.stack([features(t) for t in b.text]) if len(b) else np.zeros((0, 2 * len(NAMES)))
+            yield pd.DataFrame({"doc_id": b.doc_id.array, "raw": strength(x, model)})
+
+    all_texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    raw = Saved(all_texts.mapInPandas(weigh, "doc_id long, raw double").join(own, "doc_id").select("quality", "raw"))
+    model |= place(raw.df)
+    raw.drop()
+    return model
 
 
 def rank(docs: DataFrame, model: dict) -> DataFrame:

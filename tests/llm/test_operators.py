@@ -410,6 +410,24 @@ def test_quality_held_out(spark, sf_dir, corpus):
     assert ((held.score >= quality.CUT).astype(int) == held.quality).mean() > 0.9 and held.score.between(0, 1).all()
 
 
+def test_quality_threshold_takes_the_share_of_all_labels(spark, sf_dir, corpus):
+    labels = common.table(spark, sf_dir, "labels")
+    model = quality.train(corpus, labels, max_train=20)  # as many rows of each label in the sample, not in the table
+    got = quality.rank(corpus, model).join(labels, "doc_id").toPandas()
+    assert (got.quality == 0).sum() > 20 or (got.quality == 1).sum() > 20
+    assert (got.score < quality.CUT).sum() == (got.quality == 0).sum()
+
+
+def test_quality_sample_and_quantile(spark, sf_dir, corpus):
+    rng = np.random.default_rng(9)
+    raw, y = rng.normal(size=501), (rng.random(501) > 0.2).astype(int)
+    got = quality.place(spark.createDataFrame(list(zip(y.tolist(), raw.tolist(), strict=True)), "quality int, raw double"))
+    assert got["cut"] == pytest.approx(np.quantile(raw, np.mean(y == 0)))
+    labels = common.table(spark, sf_dir, "labels")
+    a, b = (quality.train(corpus, t, max_train=20) for t in (labels.repartition(7), labels.orderBy(F.desc("doc_id"))))
+    assert np.allclose(np.sort(a["mean"]), np.sort(b["mean"])) and np.allclose(a["std"], b["std"])  # the same rows
+
+
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(5, 1, None), (8, 0, None), (9, 0, 1), (4, 1, 0), (4, None, 0), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
     model = quality.train(odd, labels)
