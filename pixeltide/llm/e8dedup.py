@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pixeltide.llm.common import Saved, importable
 from pixeltide.llm.graph import components
 
-TABLES, PROBES, SCALE = 6, 1, 0.40
+TABLES, PROBES, SCALE, BLOCKS = 6, 1, 0.40, 2  # the same at every size, so a pair's link doesn't hang on the table it is in
 BLOCK, LOT = 2048, 4096
 ID = "vec_id"
 
@@ -116,12 +116,11 @@ def classes(vectors: DataFrame, column: str) -> DataFrame:
     return ok.groupBy("v").agg(F.min("id").alias("class"), F.countDistinct("id").alias("copies"))
 
 
-def linked(vectors: DataFrame, column: str = "embedding", least: float = 0.95, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, blocks: int | None = None) -> DataFrame:
+def linked(vectors: DataFrame, column: str = "embedding", least: float = 0.95, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, blocks: int = BLOCKS) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors(vec_id, column)."""
     importable(vectors.sparkSession)
     own = Saved(classes(vectors, column)).df
     n = own.count()
-    blocks = blocks or (2 if n < 50_000_000 else 3)  # finer cells for more vectors
 
     def place(batches):
         for b in batches:

@@ -489,6 +489,20 @@ def test_vector_recall(spark):
     assert sum(g[1] for g in got) >= 0.9 * sum(w[1] for w in want)
 
 
+def test_vector_links_do_not_depend_on_size(spark, monkeypatch):
+    """Pairs just over the threshold, and the same in a table that counts as many rows."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(1000):
+        a, b = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+        rows += [(2 * i, a.tolist()), (2 * i + 1, (0.951 * a + math.sqrt(1 - 0.951**2) * b).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    small = sorted(map(tuple, e8dedup.linked(df).collect()))
+    assert sum(r[1] for r in small) >= 0.99 * 2000
+    monkeypatch.setattr(type(df), "count", lambda self: 60_000_000)
+    assert sorted(map(tuple, e8dedup.linked(df).collect())) == small
+
+
 def test_folds(spark):
     df = spark.createDataFrame([(1,), (22,), (None,)], "doc_id long").select(common.fold(7).alias("f"))
     assert [r.f for r in df.collect()] == [zlib.crc32(b"1") % 7, zlib.crc32(b"22") % 7, None]
