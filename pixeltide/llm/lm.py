@@ -1,23 +1,23 @@
-"""A deleted-interpolation language model, counted and scored with Spark.
+"""A deleted-interpolation bigram language model, counted and scored with Spark.
 
-Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, and one end per text. The N-gram part works on classes of
-words: each of the most frequent words (at most HEAD) is its own class; other looked-up words (at most LOOKED_UP) form
-bands by the power of two of their count; all rarer and unknown words are the tail. So
+Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, and one end per text, which is also what the first word
+follows. With c the counts over all training documents, N the tokens and V the distinct words,
 
-    P(w | v) = P(class(w) | class(v)) * P(w | class(w)),
+    P(w | v) = a c(v, w) / c(v) + b c(w) / N + (1 - a - b) / (V + 1),
 
-with P(w | class) the maximum-likelihood share in a band and the add-one share in the tail (unknown words included). The
-class part interpolates bigram and unigram maximum-likelihood estimates and the uniform distribution, with weights per
-bucket of the context's frequency (powers of two), learned by expectation-maximisation on held-out counts: the training
-documents are split in two halves, each in turn counted and held out, and the weights averaged. P sums to one.
+where the last part is shared by all words and one for the unknown, so P sums to one. The weights a, b are those of the
+context's bucket (c(v) by powers of two), learned by expectation-maximisation on held-out counts: the training documents
+are split in two halves, each in turn counted and held out, and the weights averaged.
 
-Counts cover all training documents. The words that are looked up in the workers are bounded (LOOKED_UP rows, chosen by
-a count threshold); the tail, which grows with the corpus, is joined with the exact count table. The tables of class
-pairs are bounded by the square of the classes, whatever the corpus.
+Every pair of words that follow each other is counted, and the table of pairs is written: it grows with the corpus. A
+round of the maximisation is an aggregation of that table, so BUCKETS x 3 numbers a half reach the driver. What workers
+look up is bounded: LOOKED_UP words and the pairs of the HEAD most frequent words, so that no frequent pair is joined. All
+other pairs of a document, and all rarer words (the tail), are joined with the tables of pairs and words. Rarer words
+are known by 63 bits of their hash there.
 
-Defined cases: a null or empty text has its end token only; without training documents all counts are 0; rows without
-doc_id are neither held out nor learned from by `fold`; repeated rows are counted and scored each; other columns are
-left out.
+Defined cases: a null or empty text has its end token only; without training documents all counts are 0 and P is
+uniform; rows without doc_id are neither held out nor learned from by `fold`; repeated rows are counted and scored each;
+other columns are left out.
 """
 
 from __future__ import annotations
@@ -29,29 +29,31 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixeltide.llm.common import Saved, ids_in, ids_out, importable, words
 
-HEAD, LOOKED_UP, BUCKETS, ROUNDS = 1024, 200_000, 24, 40
+HEAD, LOOKED_UP, BUCKETS, ROUNDS, STILL = 1024, 200_000, 24, 40, 1e-3
 END = b""
 
 
-def counts_of(docs: DataFrame) -> DataFrame:
-    """word binary, n long over docs(text); the end token is the empty word."""
+def counts_of(docs: DataFrame, half) -> DataFrame:
+    """word binary, n long, two long (of n, those where half holds) over docs(text); the end token is the empty word."""
     importable(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            n: Counter = Counter()
-            for t in b.text:
-                n.update(words(t))
-            n[END] += len(b)
-            yield pd.DataFrame({"word": list(n), "n": list(n.values())})
+            n = Counter(), Counter()
+            for t, h in zip(b.text, b.half, strict=True):
+                n[h].update(words(t))
+                n[h][END] += 1
+            both = n[0] + n[1]
+            yield pd.DataFrame({"word": list(both), "n": list(both.values()), "two": [n[1][w] for w in both]})
 
-    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(run, "word binary, n long")
-    return rows.groupBy("word").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col("text").cast("binary").alias("text"), F.when(half, 1).otherwise(0).alias("half")).mapInPandas(run, "word binary, n long, two long")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("two").alias("two"))
 
 
 def threshold(counts: DataFrame, most: int) -> int:
@@ -68,25 +70,14 @@ def threshold(counts: DataFrame, most: int) -> int:
 
 
 class Classes:
-    """Classes of words: head words, bands, then the tail and the start of a text. Words are kept as one run of bytes."""
+    """The looked-up words, the most frequent first; the first `heads` have a table of pairs. Words are kept as one run of bytes."""
 
     def __init__(self, top: pa.Table, head_least: int):
-        top = top.sort_by("word").combine_chunks()
+        top = top.sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
         lens = pc.binary_length(top["word"]).to_numpy().astype(np.int64)
         self.blob, self.ends = b"".join(x for chunk in top["word"].chunks for x in _pieces(chunk)), np.cumsum(lens)
-        self.n = top["n"].to_numpy().astype(np.int64)
-        own = self.n >= head_least
-        self.heads = int(own.sum())
-        self.band_of = np.zeros(len(lens), np.int32)
-        self.band_of[own] = np.arange(self.heads)
-        powers = np.floor(np.log2(np.maximum(1, self.n))).astype(np.int64)
-        bands = np.unique(powers[~own])
-        self.band_of[~own] = self.heads + np.searchsorted(bands, powers[~own])
-        self.tail = self.heads + len(bands)
-        self.start = self.tail + 1
-        self.size = self.tail + 2
-        total = np.bincount(self.band_of, self.n, minlength=self.size)
-        self.log_share = np.log10(np.maximum(1, self.n) / np.maximum(1, total[self.band_of]))
+        self.n, self.two = top["n"].to_numpy().astype(np.int64), top["two"].to_numpy().astype(np.int64)
+        self.heads = self.tail = int((self.n >= head_least).sum())  # in the table of pairs, all other words are one
 
     def index(self) -> dict[bytes, int]:
         ends = self.ends.tolist()
@@ -99,93 +90,162 @@ def _pieces(words: pa.Array):
         yield b"".join(words.slice(at, 50_000).to_pylist())
 
 
-def look_up(get, w: list[bytes]) -> np.ndarray:
-    """Each word's number, then the end's; -1 for the tail."""
-    out = np.empty(len(w) + 1, np.int32)
-    out[:-1] = np.fromiter(map(get, w, repeat(-1)), np.int32, len(w))
-    out[-1] = get(END, -1)
+def keys(get, w: list[bytes]) -> np.ndarray:
+    """A number for each word and the end: its place among the looked-up words, or a negative hash."""
+    w = [*w, END]
+    out = np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))
+    far = np.flatnonzero(out < 0)
+    if len(far):
+        out[far] = np.fromiter((xxhash.xxh64_intdigest(w[j], 42) | 1 << 63 for j in far.tolist()), np.uint64, len(far)).view(np.int64)
     return out
 
 
-def pair_counts(docs: DataFrame, classes: Classes, half) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of class pairs in both halves of docs(text); half: a condition."""
+def hashed(word="word"):
+    """The same hash as a column."""
+    return F.xxhash64(word).bitwiseOR(F.lit(-(1 << 63)))
+
+
+def before(k: np.ndarray) -> np.ndarray:
+    """What each token follows; the first follows the end."""
+    return np.append(k[-1:], k[:-1])
+
+
+def pair_counts(docs: DataFrame, classes: Classes, half) -> DataFrame:
+    """v, w, one, two: counts of all pairs of words in both halves of docs(text); half: a condition."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
-    size = classes.size
 
     def run(batches):
-        c = shared.value
-        get, of = c.index().get, np.append(c.band_of, c.tail)
-        n = np.zeros((2, size * size), np.int64)
+        get = shared.value.index().get
         for b in batches:
             for h in (0, 1):
-                codes = []
-                for t in b.text[b.half == h]:
-                    k = of[look_up(get, words(t))].astype(np.int64)
-                    before = np.append(c.start, k[:-1])
-                    codes.append(before * size + k)
-                if codes:
-                    n[h] += np.bincount(np.concatenate(codes), minlength=size * size)
-        code = np.flatnonzero(n.any(0))
-        yield pd.DataFrame({"code": code.astype(np.int32), "one": n[0, code], "two": n[1, code]})
+                ks = [keys(get, words(t)) for t in b.text[b.half == h]]
+                if not ks:
+                    continue
+                v, w = np.concatenate([before(k) for k in ks]), np.concatenate(ks)
+                known = (v >= 0) & (w >= 0)
+                code, n = np.unique(v[known] << 31 | w[known], return_counts=True)
+                n = np.append(n, np.ones(int((~known).sum()), np.int64))
+                out = {"v": np.append(code >> 31, v[~known]), "w": np.append(code & (1 << 31) - 1, w[~known])}
+                yield pd.DataFrame(out | {"one": n * (1 - h), "two": n * h})
 
     rows = docs.select(F.col("text").cast("binary").alias("text"), F.when(half, 1).otherwise(0).alias("half"))
-    got = rows.mapInPandas(run, "code int, one long, two long").groupBy("code").agg(F.sum("one").alias("one"), F.sum("two").alias("two")).toArrow()  # size^2 rows at most
-    out = np.zeros((2, size * size))
-    code = got["code"].to_numpy()
-    out[0, code], out[1, code] = got["one"].to_numpy(), got["two"].to_numpy()
-    return out[0].reshape(size, size), out[1].reshape(size, size)
-
-
-def estimates(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Of pair counts: bigram and unigram maximum likelihood, the contexts' buckets, the uniform probability."""
-    context = n.sum(1)
-    two = n / np.maximum(1, context)[:, None]
-    one = n.sum(0) / max(1, n.sum())
-    bucket = np.minimum(BUCKETS - 1, np.floor(np.log2(context + 1)).astype(int))
-    return two, one, bucket, 1 / (n.shape[1] - 1)  # all classes but the start
-
-
-def weights(kept: np.ndarray, held: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Mixture weights (BUCKETS x 3: bigram, unigram, uniform) by expectation-maximisation on the held-out counts."""
-    two, one, bucket, flat = estimates(kept)
-    v, w = np.nonzero(held)
-    p = np.stack([two[v, w], one[w], np.full(len(v), flat)], 1)
-    b, n = bucket[v], held[v, w]
-    mix = np.full((BUCKETS, 3), 1 / 3)
+    return rows.mapInPandas(run, "v long, w long, one long, two long").groupBy("v", "w").agg(F.sum("one").alias("one"), F.sum("two").alias("two"))
+
+
+class Tables:
+    """What grows with the corpus: the tail's words (key, n, two) and the pairs' gains (v, w, gain); and the looked-up words."""
+
+    def __init__(self, tail: DataFrame, looked: DataFrame):
+        self.tail, self.looked, self.gains = tail, looked, None
+
+    def counted(self, pairs: DataFrame) -> DataFrame:
+        """pairs(v, w, ...) with the counts of their words: v_n, v_two, w_n, w_two."""
+
+        def named(t, k):
+            return t.select(F.col("key").alias(f"{k}_key"), F.col("n").alias(f"{k}_n"), F.col("two").alias(f"{k}_two"))
+
+        def given(df, k, frequent):
+            if frequent:
+                return df.join(F.broadcast(named(self.looked, k)), F.col(k) == F.col(f"{k}_key"), "left").drop(f"{k}_key")
+            return df.join(named(self.tail, k), F.col(k) == F.col(f"{k}_key"), "left").drop(f"{k}_key")
+
+        out = None
+        for v in (True, False):
+            for w in (True, False):
+                part = pairs.where(((F.col("v") >= 0) == v) & ((F.col("w") >= 0) == w))
+                part = given(given(part, "v", v), "w", w)
+                out = part if out is None else out.unionByName(part)
+        return out.fillna(0, [f"{k}_{x}" for k in "vw" for x in ("n", "two")])
+
+
+def bucket_of(n):
+    return F.least(F.lit(BUCKETS - 1), F.floor(F.log2(n + F.lit(1)) + 1e-12)).cast("int")
+
+
+def buckets(n: np.ndarray) -> np.ndarray:
+    return np.minimum(BUCKETS - 1, np.floor(np.log2(n + 1) + 1e-12).astype(int))
+
+
+def weight(mix: np.ndarray, k: int, at):
+    return F.element_at(F.array(*[F.lit(float(x)) for x in mix[..., k].ravel()]), at + 1)
+
+
+def weights(counted: DataFrame, ones: int, twos: int, flat: float, rounds: int = ROUNDS) -> np.ndarray:
+    """Mixture weights (BUCKETS x 3: bigram, unigram, uniform), each half's pairs held out from the other's counts."""
+    c = F.col
+    parts = []
+    for d, kept, held, total in ((0, lambda k: c(f"{k}_n") - c(f"{k}_two"), "two", ones), (1, lambda k: c(f"{k}_two"), "one", twos)):
+        own = c("one") if d == 0 else c("two")
+        parts.append(counted.where(c(held) > 0).select((F.lit(d * BUCKETS) + bucket_of(kept("v"))).alias("at"), (own / F.greatest(kept("v"), F.lit(1))).alias("p2"), (kept("w") / F.lit(max(1, total))).alias("p1"), c(held).alias("n")))
+    rows = Saved(parts[0].unionByName(parts[1]).groupBy("at", "p2", "p1").agg(F.sum("n").alias("n")))
+    mix = np.full((2 * BUCKETS, 3), 1 / 3)
     for _ in range(rounds):
-        post = mix[b] * p
-        post *= (n / post.sum(1))[:, None]
-        total = np.stack([np.bincount(b, post[:, k], minlength=BUCKETS) for k in range(3)], 1)
-        seen = total.sum(1) > 0
-        mix[seen] = (total[seen] + 1e-6) / (total[seen] + 1e-6).sum(1, keepdims=True)
+        part = [weight(mix, 0, c("at")) * c("p2"), weight(mix, 1, c("at")) * c("p1"), weight(mix, 2, c("at")) * F.lit(flat)]
+        shared = rows.df.select("at", "n", *[x.alias(f"x{k}") for k, x in enumerate(part)])
+        got = shared.groupBy("at").agg(*[F.sum(c("n") * c(f"x{k}") / (c("x0") + c("x1") + c("x2"))) for k in range(3)]).collect()  # 2 * BUCKETS rows
+        new = mix.copy()
+        for r in got:
+            x = np.array(r[1:]) + 1e-6
+            new[r.at] = x / x.sum()
+        moved, mix = np.abs(new - mix).max(), new
+        if moved < STILL:
+            break
+    rows.drop()
+    mix = mix.reshape(2, BUCKETS, 3).mean(0)
     mix[0] = [0, *(mix[0, 1:] / mix[0, 1:].sum())]  # a context never seen has no estimate
-    return mix
+    return mix if ones + twos else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
 
 
 class Model:
-    def __init__(self, classes: Classes, one: np.ndarray, two: np.ndarray, n: int, v: int, tail_n: int, tail_v: int):
-        both = one + two
-        self.mix = (weights(one, two) + weights(two, one)) / 2
-        bi, uni, bucket, flat = estimates(both)
-        m = self.mix[bucket]
-        self.log = np.log10(m[:, :1] * bi + m[:, 1:2] * uni[None, :] + m[:, 2:] * flat)
-        self.classes, self.n, self.v = classes, n, v
+    """What workers need: the weights, the looked-up words, and log P among the heads; the last column is all other words."""
+
+    def __init__(self, classes: Classes, mix: np.ndarray, near: np.ndarray, n: int, v: int):
+        self.classes, self.mix, self.n, self.v = classes, mix, n, v
+        self.flat, h = 1 / (v + 1), classes.heads
+        context, one = classes.n[:h], classes.n[:h] / max(1, n)
+        m = mix[buckets(context)]
+        two = near / np.maximum(1, context)[:, None]
+        p = m[:, :1] * two + m[:, 1:2] * one[None, :] + m[:, 2:] * self.flat
+        rest = m[:, 0] * (1 - two.sum(1)) + m[:, 1] * (1 - one.sum()) + m[:, 2] * (1 - h * self.flat)
+        with np.errstate(divide="ignore"):
+            self.log = np.log10(np.maximum(0, np.append(p, rest[:, None], 1)))
         self.base_floor = np.log10(n + v + 1)
-        self.tail_floor = np.log10(tail_n + tail_v + 1)
 
 
-def train(docs: DataFrame, learn, half) -> tuple[Model, DataFrame]:
-    """The model and the exact counts (word, n), from the rows of docs(text, ...) that learn; half: splits them for the weights."""
+def train(docs: DataFrame, learn, half) -> tuple[Model, Tables]:
+    """The model and its tables, from the rows of docs(text, ...) that learn; half: splits them for the weights."""
+    spark = docs.sparkSession
     own = docs.where(learn)
-    counts = Saved(counts_of(own)).df
+    counts = Saved(counts_of(own, half)).df
     looked, head = threshold(counts, LOOKED_UP), threshold(counts, HEAD)
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("n") < looked, F.col("n"))).alias("tail_n"), F.count(F.when(F.col("n") < looked, 1)).alias("tail_v")).first()
+    n, v, twos = (x or 0 for x in counts.agg(F.sum("n"), F.count("*"), F.sum("two")).first())
     classes = Classes(counts.where(F.col("n") >= looked).toArrow(), head)  # LOOKED_UP rows at most
-    one, two = pair_counts(own, classes, half)
-    return Model(classes, one, two, total.n or 0, total.v, total.tail_n or 0, total.tail_v), counts.where(F.col("n") < looked)
-
-
-def score(docs: DataFrame, model: Model, tail_counts: DataFrame) -> DataFrame:
+    words_ = spark.createDataFrame(pa.table({"key": np.arange(len(classes.n)), "n": classes.n, "two": classes.two}), "key long, n long, two long")
+    tables = Tables(counts.where(F.col("n") < looked).select(hashed().alias("key"), "n", "two"), words_)
+    pairs = Saved(pair_counts(own, classes, half))
+    counted = Saved(tables.counted(pairs.df))
+    pairs.drop()
+    mix = weights(counted.df, n - twos, twos, 1 / (v + 1))
+    among = F.col("v").between(0, classes.heads - 1) & F.col("w").between(0, classes.heads - 1)
+    got = counted.df.where(among).select("v", "w", (F.col("one") + F.col("two")).alias("n")).toArrow()  # HEAD^2 rows at most
+    near = np.zeros((classes.heads, classes.heads))
+    near[got["v"].to_numpy(), got["w"].to_numpy()] = got["n"].to_numpy()
+    model = Model(classes, mix, near, n, v)
+    low = lower(model)
+    high = weight(mix, 0, bucket_of(F.col("v_n"))) * (F.col("one") + F.col("two")) / F.col("v_n")
+    gains = Saved(counted.df.where(~among).select("v", "w", F.log10(1 + high / low).alias("gain")))
+    counted.drop()
+    tables.gains = gains.df
+    return model, tables
+
+
+def lower(model: Model):
+    """What a pair has without its own count, by the counts of its words."""
+    b = bucket_of(F.col("v_n"))
+    return weight(model.mix, 1, b) * F.col("w_n") / F.lit(max(1, model.n)) + weight(model.mix, 2, b) * F.lit(model.flat)
+
+
+def score(docs: DataFrame, model: Model, tables: Tables) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score for each row of docs(doc_id, text)."""
     importable(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -193,36 +253,43 @@ def score(docs: DataFrame, model: Model, tail_counts: DataFrame) -> DataFrame:
     def run(batches):
         m = shared.value
         c = m.classes
-        get, of = c.index().get, np.append(c.band_of, c.tail)
-        base, share = np.append(np.log10(c.n + 1) - m.base_floor, 0.0), np.append(c.log_share, 0.0)
+        get, base = c.index().get, np.log10(c.n + 1) - m.base_floor
+        weight_of, share = m.mix[buckets(c.n)], c.n / max(1, m.n)
         for b in batches:
             rows = []
             for d, r, t in zip(b.doc_id, b.row, b.text, strict=True):
-                w = words(t)
-                i = look_up(get, w)
-                k = of[i]
-                far = np.flatnonzero(i < 0)
-                tail = Counter(w[j] if j < len(w) else END for j in far.tolist())
-                logs = m.log[np.append(c.start, k[:-1]), k].sum() + share[i].sum()
-                rows.append((d, r, len(i), len(i) - len(far), base[i].sum(), logs, list(tail), list(tail.values())))
-            yield pd.DataFrame(rows, columns=["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "tail", "times"])
+                w = keys(get, words(t))
+                v = before(w)
+                known, seen = w >= 0, (v >= 0) & (w >= 0)
+                near = seen & (v < c.heads) & (w < c.heads)
+                plain = seen & ~near
+                x = weight_of[v[plain]]
+                logs = m.log[v[near], w[near]].sum() + np.log10(x[:, 1] * share[w[plain]] + x[:, 2] * m.flat).sum()
+                code, n = np.unique(v[plain] << 31 | w[plain], return_counts=True)
+                far = Counter(zip(v[~seen].tolist(), w[~seen].tolist(), strict=True))
+                vs = [*(code >> 31).tolist(), *(x[0] for x in far)]
+                ws = [*(code & (1 << 31) - 1).tolist(), *(x[1] for x in far)]
+                rows.append((d, r, len(w), int(known.sum()), base[w[known]].sum(), logs, vs, ws, [*n.tolist(), *far.values()]))
+            yield pd.DataFrame(rows, columns=["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "v", "w", "times"])
 
     text = docs.select(ids_in(), F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text"))
-    rows = Saved(text.mapInPandas(run, "doc_id long, row long, n_tokens long, n_known long, base_score double, score double, tail array<binary>, times array<long>")).df
-    tail = rows.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.times").alias("times"))
-    found = tail.join(tail_counts, "word", "left")
-    sums = found.groupBy("row").agg(
-        F.sum("times").alias("far"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("logs"),
+    rows = Saved(text.mapInPandas(run, "doc_id long, row long, n_tokens long, n_known long, base_score double, score double, v array<long>, w array<long>, times array<long>")).df
+    far = rows.select("row", F.explode(F.arrays_zip("v", "w", "times")).alias("x")).select("row", "x.v", "x.w", "x.times")
+    zero, none, rare = F.lit(0).cast("long"), F.lit(0.0), F.col("w") < 0
+    gained = far.join(tables.gains, ["v", "w"]).select("row", (F.col("times") * F.col("gain")).alias("logs"), zero.alias("far"), zero.alias("known"), none.alias("base"))
+    tail = tables.counted(far.where("v < 0 or w < 0")).select(
+        "row",
+        (F.col("times") * F.log10(lower(model))).alias("logs"),
+        F.when(rare, F.col("times")).otherwise(zero).alias("far"),
+        F.when(rare & (F.col("w_n") > 0), F.col("times")).otherwise(zero).alias("known"),
+        F.when(rare, F.col("times") * F.log10(F.col("w_n") + 1)).otherwise(none).alias("base"),
     )
-    zero = F.lit(0)
-    out = rows.drop("tail", "times").join(sums, "row", "left")
-    far, logs = F.coalesce("far", zero), F.coalesce("logs", F.lit(0.0))
+    sums = gained.unionByName(tail).groupBy("row").agg(*[F.sum(x).alias(x) for x in ("logs", "far", "known", "base")])
+    out = rows.drop("v", "w", "times").join(sums, "row", "left").fillna(0, ["logs", "far", "known", "base"])
     return ids_out(out).select(
         "doc_id",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("known", zero)).alias("n_known"),
-        (F.col("base_score") + logs - far * float(model.base_floor)).alias("base_score"),
-        (F.col("score") + logs - far * float(model.tail_floor)).alias("score"),
+        (F.col("n_known") + F.col("known")).alias("n_known"),
+        (F.col("base_score") + F.col("base") - F.col("far") * float(model.base_floor)).alias("base_score"),
+        (F.col("score") + F.col("logs")).alias("score"),
     )

@@ -400,6 +400,34 @@ def test_lm_base_by_hand(spark, odd, none, monkeypatch):
     assert lm.score(odd, m, t).where("score is null or score > 0 or score = '-Infinity'").count() == 0
 
 
+def test_lm_counts_the_bigrams_of_every_word(spark, monkeypatch):
+    """Scores by hand from the counts of all pairs, with few words in the workers' tables."""
+    monkeypatch.setattr(lm, "HEAD", 5)
+    monkeypatch.setattr(lm, "LOOKED_UP", 20)
+    rng = np.random.default_rng(13)
+    rows = [(i, " ".join(f"w{min(int(x), 60)}" for x in rng.zipf(1.4, rng.integers(0, 30)))) for i in range(120)] + [(200, "never seen w1 w2"), (201, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    learn = lambda d: d < 100
+    model, tables = lm.train(df, F.col("doc_id") < 100, F.col("doc_id") % 2 == 0)
+    assert model.classes.heads <= 5 and len(model.classes.n) <= 20
+    one, two = {}, {}
+    seq = {d: ["", *(t or "").split(), ""] for d, t in rows}
+    for d, w in seq.items():
+        for a, b in zip(w, w[1:], strict=False):
+            if learn(d):
+                one[b], two[a, b] = one.get(b, 0) + 1, two.get((a, b), 0) + 1
+    n, v = sum(one.values()), len(one)
+
+    def p(a, b):
+        c = one.get(a, 0)
+        m = model.mix[min(lm.BUCKETS - 1, int(math.log2(c + 1) + 1e-12))]
+        return m[0] * two.get((a, b), 0) / max(1, c) + m[1] * one.get(b, 0) / n + m[2] / (v + 1)
+
+    got = {r.doc_id: r.score for r in lm.score(df, model, tables).collect()}
+    assert all(got[d] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(w, w[1:], strict=False))) for d, w in seq.items())
+    assert all(sum(p(a, b) for b in [*one, "never seen"]) == pytest.approx(1) for a in [*one, "never seen"])
+
+
 # --- 9 quality
 
 
