@@ -26,8 +26,10 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         edges = checkpoint(small)
         r = edges.agg(F.count("*").alias("n"), F.sum(F.col("a").cast("decimal(20,0)")).alias("x"), F.sum(F.col("b").cast("decimal(20,0)")).alias("y"), F.countDistinct("a").alias("d")).first()
         now = tuple(r)
-        if now == before or r.n == 0:
+        if r.n == 0 or now == before and r.n == r.d:  # every node has one edge
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component_id"))
     return stars.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component_id"))).groupBy("node").agg(F.min("component_id").alias("component_id"))

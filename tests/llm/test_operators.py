@@ -289,6 +289,12 @@ def test_components(spark):
     assert {r.node: r.component_id for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()} == want
 
 
+def test_components_tell_when_they_do_not_settle(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        graph.components(chain, max_rounds=2)
+
+
 # --- 7 benchmark
 
 
