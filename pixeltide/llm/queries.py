@@ -45,8 +45,7 @@ def op7_decontamination(spark, sf_dir):
 
 def op8_lm_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model, tail = lm.train(docs, ~held(7, 2), fold(2) == 0)
-    scored = lm.score(docs, model, tail)
+    scored, model = lm.score(docs, fold(7) != 2, fold(2) == 0)
     return scored.select("doc_id", held(7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -373,65 +373,94 @@ def test_leaks_of_short_edited_items(spark):
 # --- 8 language model
 
 
-def test_lm_sums_to_one_and_beats_the_base(corpus):
-    learn = common.fold(7) != 2
-    model, tail = lm.train(corpus, learn, common.fold(2) == 0)
-    p = 10**model.log
-    assert np.allclose(p[:, : model.classes.tail + 1].sum(1), 1)
-    assert np.allclose(model.mix.sum(1), 1) and (model.mix >= 0).all()
-    s = lm.score(corpus.where(~learn), model, tail).agg(F.sum("score"), F.sum("base_score")).first()
-    assert s[0] > s[1]
-
-
-def test_lm_base_by_hand(spark, odd, none, monkeypatch):
-    monkeypatch.setattr(lm, "LOOKED_UP", 4)  # so that most words go the way of the tail
-    rows = [(1, "A b a c"), (2, "b b d e f"), (3, None), (4, "zz a"), (5, "e d")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    model, tail = lm.train(df, F.col("doc_id") != 4, F.col("doc_id") % 2 == 0)
-    counts: dict = {}
-    for d, t in rows:
-        if d != 4:
-            for w in [*(t or "").lower().split(), ""]:
-                counts[w] = counts.get(w, 0) + 1
-    n, v = sum(counts.values()), len(counts)
-    got = {r.doc_id: r for r in lm.score(df, model, tail).collect()}
-    for d, t in rows:
-        w = [*(t or "").lower().split(), ""]
-        assert got[d].n_tokens == len(w) and got[d].n_known == sum(x in counts for x in w)
-        assert got[d].base_score == pytest.approx(sum(math.log10((counts.get(x, 0) + 1) / (n + v + 1)) for x in w))
-    assert (model.n, model.v) == (n, v)
-    empty, tail0 = lm.train(none, F.lit(True), F.lit(True))
-    assert [r.base_score for r in lm.score(df.where("doc_id = 3"), empty, tail0).collect()] == [0.0]
-    m, t = lm.train(odd, F.lit(True), F.col("doc_id") % 2 == 0)
-    assert lm.score(odd, m, t).where("score is null or score > 0 or score = '-Infinity'").count() == 0
-
-
-def test_lm_counts_the_bigrams_of_every_word(spark, monkeypatch):
-    """Scores by hand from the counts of all pairs, with few words in the workers' tables."""
-    monkeypatch.setattr(lm, "HEAD", 5)
-    monkeypatch.setattr(lm, "LOOKED_UP", 20)
-    rng = np.random.default_rng(13)
-    rows = [(i, " ".join(f"w{min(int(x), 60)}" for x in rng.zipf(1.4, rng.integers(0, 30)))) for i in range(120)] + [(200, "never seen w1 w2"), (201, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    learn = lambda d: d < 100
-    model, tables = lm.train(df, F.col("doc_id") < 100, F.col("doc_id") % 2 == 0)
-    assert model.classes.heads <= 5 and len(model.classes.n) <= 20
+def lm_by_hand(rows, learned, model):
+    """n, v, and for each document its tokens, known tokens, base and score, from plain counts of words and pairs."""
     one, two = {}, {}
-    seq = {d: ["", *(t or "").split(), ""] for d, t in rows}
+    seq = {d: ["", *(t or "").lower().split(), ""] for d, t in rows}
     for d, w in seq.items():
         for a, b in zip(w, w[1:], strict=False):
-            if learn(d):
+            if learned(d):
                 one[b], two[a, b] = one.get(b, 0) + 1, two.get((a, b), 0) + 1
     n, v = sum(one.values()), len(one)
 
     def p(a, b):
         c = one.get(a, 0)
         m = model.mix[min(lm.BUCKETS - 1, int(math.log2(c + 1) + 1e-12))]
-        return m[0] * two.get((a, b), 0) / max(1, c) + m[1] * one.get(b, 0) / n + m[2] / (v + 1)
+        return m[0] * two.get((a, b), 0) / max(1, c) + m[1] * one.get(b, 0) / max(1, n) + m[2] / (v + 1)
+
+    out = {}
+    for d, w in seq.items():
+        base = sum(math.log10((one.get(x, 0) + 1) / (n + v + 1)) for x in w[1:])
+        out[d] = (len(w) - 1, sum(x in one for x in w[1:]), base, sum(math.log10(p(a, b)) for a, b in zip(w, w[1:], strict=False)))
+    return n, v, out, p, one
+
+
+def lm_rows(df, model):
+    return {r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in df.collect()}
 
-    got = {r.doc_id: r.score for r in lm.score(df, model, tables).collect()}
-    assert all(got[d] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(w, w[1:], strict=False))) for d, w in seq.items())
+
+@pytest.mark.parametrize("head,looked,per", [(5, 20, 300), (3, 3, 50), (1024, 200_000, 2_000_000)])
+def test_lm_scores_by_hand(spark, monkeypatch, head, looked, per):
+    """From the counts of all words and pairs, with few words looked up and several buckets, and with production parameters."""
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "LOOKED_UP", looked)
+    monkeypatch.setattr(lm, "PER_BUCKET", per)
+    rng = np.random.default_rng(13)
+    rows = [(i, " ".join(f"w{min(int(x), 60)}" for x in rng.zipf(1.4, rng.integers(0, 30)))) for i in range(120)] + [(200, "Never seen w1 w2 never seen"), (201, None), (202, "")]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, word string").repartition(3)
+    scored, model = lm.score(df, F.col("doc_id") < 100, F.col("doc_id") % 2 == 0)
+    assert model.classes.heads <= head and len(model.classes.n) <= looked
+    n, v, want, p, one = lm_by_hand(rows, lambda d: d < 100, model)
+    got = lm_rows(scored, model)
+    assert (model.n, model.v) == (n, v) and all(got[d] == pytest.approx(want[d]) for d, _ in rows)
     assert all(sum(p(a, b) for b in [*one, "never seen"]) == pytest.approx(1) for a in [*one, "never seen"])
+    assert np.allclose(model.mix.sum(1), 1) and (model.mix >= 0).all()
+
+
+def test_lm_weights_are_those_of_plain_maximisation(spark):
+    """The cells of an eighth of an octave give what maximisation over all held-out pairs gives."""
+    rng = np.random.default_rng(14)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 40) if x < 500)) for i in range(200)]
+    _, model = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True), F.col("doc_id") % 2 == 0)
+    counts = [({}, {}), ({}, {})]
+    for d, t in rows:
+        one, two = counts[1 - d % 2]
+        w = ["", *t.split(), ""]
+        for a, b in zip(w, w[1:], strict=False):
+            one[b], two[a, b] = one.get(b, 0) + 1, two.get((a, b), 0) + 1
+    flat, mixes = 1 / (len({*counts[0][0], *counts[1][0]}) + 1), []
+    for (one, two), (_, held) in (counts, counts[::-1]):
+        n = sum(one.values())
+        at = np.array([min(lm.BUCKETS - 1, int(math.log2(one.get(a, 0) + 1) + 1e-12)) for a, _ in held])
+        p = np.array([[two.get((a, b), 0) / max(1, one.get(a, 0)), one.get(b, 0) / n, flat] for a, b in held])
+        times, m = np.array(list(held.values())), np.full((lm.BUCKETS, 3), 1 / 3)
+        for _ in range(200):
+            x = m[at] * p
+            x *= (times / x.sum(1))[:, None]
+            m = np.stack([np.bincount(at, x[:, k], lm.BUCKETS) for k in range(3)], 1) + 1e-6
+            m /= m.sum(1, keepdims=True)
+        mixes.append(m)
+    want = np.mean(mixes, 0)
+    assert np.abs(model.mix[1:] - want[1:]).max() < 0.03
+
+
+def test_lm_held_out_beats_the_base(corpus):
+    scored, _ = lm.score(corpus, common.fold(7) != 2, common.fold(2) == 0)
+    s = scored.join(corpus.where(common.fold(7) == 2).select("doc_id"), "doc_id").agg(F.sum("score"), F.sum("base_score")).first()
+    assert s[0] > s[1]
+
+
+def test_lm_odd_and_empty(spark, odd, none):
+    scored, model = lm.score(none, F.lit(True), F.lit(True))
+    assert scored.count() == 0 and (model.n, model.v) == (0, 0)
+    scored, _ = lm.score(odd, F.lit(False), F.lit(True))
+    assert {(r.base_score, r.score, r.n_known) for r in scored.collect()} == {(0.0, 0.0, 0)}
+    scored, model = lm.score(odd, F.lit(True), F.col("doc_id") % 2 == 0)
+    assert scored.where("score is null or score > 0 or score = double('-Infinity')").count() == 0 and scored.count() == len(ODD)
+    # rows without an id have no fold: neither held out nor learned from
+    few = spark.createDataFrame([(None, "a b c"), (3, "a"), (5, "b b")], "doc_id long, text string")
+    n = few.where(common.fold(7) != 2).agg(F.sum(F.size(F.split("text", " ")) + 1)).first()[0]
+    assert lm.score(few, common.fold(7) != 2, common.fold(2) == 0)[1].n == n < 10
 
 
 # --- 9 quality
