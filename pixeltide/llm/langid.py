@@ -30,11 +30,15 @@ from pixeltide.llm.pieces import WORD_START, Automaton, codes, over_trie, vocabu
 VOCABULARY = "piece_bpe_32k.model"
 PER_LANG, ROUNDS, SMOOTH = 3_000, 3, 0.05
 LONGEST = 40  # longer words of the sample aren't learned from; they are scored
-_WORDS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")  # letters, and numbers that are no digits
 
 
 def letter_words(text: str | None) -> list[str]:
-    return _WORDS.findall(text.lower()) if text else []
+    """Runs of letters (Unicode category L), lower-cased."""
+    found = _WORDS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in "".join(ch if ch.isalpha() else " " for ch in x).split()]
 
 
 class Model:
