@@ -1,19 +1,23 @@
 """URL filter by a path-template tree per host, in SQL only.
 
 1. Each URL is split into host and path; listed rules (host suffix and path prefix, longest first) decide what they fit.
-2. Path segments become template segments: digits are generalised at once; a node with more than MANY different children
-   of fewer than FEW pages each gets one wildcard child instead.
+2. Path segments become template segments: runs of digits are generalised at once; a node with more than MANY different
+   children of fewer than FEW pages each gets one wildcard child instead. The tree has DEPTH levels; what a path has
+   beyond DEPTH - 1 segments is one segment of the last level, so nothing of a path is left out.
 3. What rules decided are the labels. From the host down, siblings are ordered by their smoothed share of blocked pages
    and merged while neighbours don't differ by more than Z standard errors; the purity of a merged branch is its blocked
-   share, smoothed towards its parent's by WEIGHT pages (the root: towards the share over all hosts).
+   share, smoothed towards its parent's by WEIGHT pages (the root: towards the share over all hosts). Below its last
+   segment a path goes on with its purity, so DEPTH doesn't matter to shorter paths.
 4. A template is rejected if its purity is PURE or more; hosts without a labelled page are allowed.
 
 Each step is one SELECT that Spark and other SQL engines read alike. Only counts per distinct template are grouped and
 joined; pages are scanned for their url and joined once with the templates' verdicts (Spark broadcasts these while they
 are small and splits skewed partitions otherwise).
 
-Defined cases: a null url, or one without `://`, has an empty host and path and no rule; templates deeper than DEPTH
-segments share the rest; repeated pages are judged each; other columns are left out.
+The windows are per node of a host, and their rows are that node's different children, not its pages.
+
+Defined cases: a null url, or one without `://`, has an empty host and path and no rule; repeated pages are judged each; an
+empty table stays empty; other columns are left out.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pixeltide.llm.common import checkpoint
 
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
-DEPTH, MANY, FEW = 4, 30, 5
+DEPTH, MANY, FEW = 6, 30, 5
 WEIGHT, Z, PURE = 4, 2, 0.5
 MAX_RULES = 1000
 
@@ -46,16 +50,16 @@ def _rule_case(rules) -> str:
     return "CASE " + " ".join(out) + " END"
 
 
-def steps(rules=RULES, depth: int = DEPTH) -> list[tuple[str, str]]:
-    """(name, SELECT) in order; {name} stands for an earlier step or the pages."""
+def steps(rules=RULES, depth: int = DEPTH, every: str = "") -> list[tuple[str, str]]:
+    """(name, SELECT) in order; {name} stands for an earlier step or the pages. every: what an engine wants besides to replace all matches."""
     assert len(rules) <= MAX_RULES
     t = [f"t{i}" for i in range(1, depth + 1)]
     verdicts = " ".join(f"WHEN {_quoted(r)} THEN {_quoted(v)}" for r, v in rules)
     verdict = f"CASE rule {verdicts} END" if rules else "CAST(NULL AS string)"
 
     def seg(i):
-        s = f"split_part(path, '/', {i + 1})"
-        return f"CASE WHEN regexp_extract({s}, '[0-9]', 0) <> '' THEN regexp_extract({s}, '^[^0-9]*', 0) || '#' || regexp_extract({s}, '[^0-9]*$', 0) ELSE {s} END"
+        s = f"split_part(path, '/', {i + 1})" if i < depth else f"regexp_extract(path, '^{'[^/]*/' * depth}((?s:.*))', 1)"
+        return f"regexp_replace({s}, '[0-9]+', '#'{every})"
 
     judged = f"""SELECT page_id, host, path, rule, {verdict} AS judged, {", ".join(f"{seg(i)} AS s{i}" for i in range(1, depth + 1))}
 FROM (SELECT page_id, host, path, {_rule_case(rules)} AS rule
@@ -84,12 +88,13 @@ FROM (SELECT *, {raw} AS raw FROM {{judged}}) x GROUP BY host, raw""",
         key = f"{up}, t{d}"
         same = " AND ".join(f"k.{c} = p.{c}" for c in ["host", *t[: d - 1]])
         columns = ", ".join(f"k.{c}" for c in ["host", *t[:d]])
-        rated = f"""SELECT {columns}, k.lab, k.bad, p.host_lab, p.purity AS above, k.lab > 0 AS known, (k.bad + {WEIGHT}e0 * p.purity) / (k.lab + {WEIGHT}e0) AS rate
+        ended = f"(k.t{d} = '' AND k.t{d - 1} = '')" if d > 1 else "FALSE"  # the path was over before
+        rated = f"""SELECT {columns}, k.lab, k.bad, p.host_lab, p.purity AS above, {ended} AS ended, CASE WHEN {ended} THEN 2 WHEN k.lab > 0 THEN 1 ELSE 0 END AS known, (k.bad + {WEIGHT}e0 * p.purity) / (k.lab + {WEIGHT}e0) AS rate
 FROM (SELECT {key}, sum(lab) AS lab, sum(bad) AS bad FROM {leaf} GROUP BY {key}) k JOIN {{node{d - 1}}} p ON {same}"""
         marked = f"""SELECT *, CASE WHEN rate - lag(rate) OVER (PARTITION BY {up}, known ORDER BY rate, t{d}) > {Z}e0 * sqrt(spread + lag(spread) OVER (PARTITION BY {up}, known ORDER BY rate, t{d})) THEN 1 ELSE 0 END AS gap
 FROM (SELECT *, rate * (1e0 - rate) / (lab + {WEIGHT}e0) AS spread FROM ({rated}) a) b"""
         grouped = f"SELECT *, sum(gap) OVER (PARTITION BY {up}, known ORDER BY rate, t{d} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS branch FROM ({marked}) c"
-        out.append((f"node{d}", f"""SELECT {key}, host_lab, (sum(bad) OVER (PARTITION BY {up}, known, branch) + {WEIGHT}e0 * above) / (sum(lab) OVER (PARTITION BY {up}, known, branch) + {WEIGHT}e0) AS purity FROM ({grouped}) d"""))
+        out.append((f"node{d}", f"""SELECT {key}, host_lab, CASE WHEN ended THEN above ELSE (sum(bad) OVER (PARTITION BY {up}, known, branch) + {WEIGHT}e0 * above) / (sum(lab) OVER (PARTITION BY {up}, known, branch) + {WEIGHT}e0) END AS purity FROM ({grouped}) d"""))
     same = " AND ".join(f"l.{c} = k.{c}" for c in ["host", *t])
     out.append(("template", f"SELECT l.host, l.raw, k.purity, CASE WHEN k.host_lab > 0 AND k.purity >= {PURE:e} THEN 'block' ELSE 'allow' END AS verdict FROM {leaf} l JOIN {{node{depth}}} k ON {same}"))
     own = " || '/' || ".join(f"p.s{i}" for i in range(1, depth + 1))
@@ -109,8 +114,8 @@ def judge(pages: DataFrame, rules=RULES, depth: int = DEPTH) -> DataFrame:
 
 
 def sql(pages: str = "pages", rules=RULES, depth: int = DEPTH) -> str:
-    """The same as one statement."""
-    all_steps = steps(rules, depth)
+    """The same as one statement, for engines that replace all matches of a pattern by the option g."""
+    all_steps = steps(rules, depth, ", 'g'")
     names = {name: name for name, _ in all_steps} | {"pages": pages}
     *before, (_, last) = [(name, select.format(**names)) for name, select in all_steps]
     return "WITH " + ",\n".join(f"{name} AS ({select})" for name, select in before) + "\n" + last
