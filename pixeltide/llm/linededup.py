@@ -7,12 +7,13 @@ the hot keys; keys that become hot are inserted, keys that no longer are get del
 back (`add`, `remove`, `update_filters`) without a rebuild. A line whose fingerprint is in no filter is kept without a
 look-up; the rest are joined with the exact table, so filter errors never reach the result.
 
-Filters are broadcast only while their total is under BROADCAST bytes; beyond that all lines go to the exact join.
+Every line passes the filters. They are sent to the workers while their total is under BROADCAST bytes; beyond that the
+lines are dealt to the filters' shards, in SALTS lots each. There is a shard for each SHARD_KEYS hot keys, SHARDS at least.
 A hot line is one key with many postings: counts are combined before the shuffle, and the join is with the small hot
 side, whose skewed partitions Spark splits.
 
 Keys: a line with all of [\\x20\\x09-\\x0D] stripped at both ends and A-Z lower-cased, hashed to 128 bits; only keys of at
-least MIN_CHARS code points count. Defined cases: a null or empty text is one empty line and comes back as an empty text;
+least MIN_CHARS code points count. Defined cases: a null or empty text is one empty line and comes back as it was;
 rows that repeat a doc_id are one document when counting and each is cleaned; rows with a null doc_id hold no keys and
 keep all lines; other columns pass through.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pixeltide.llm.common import Saved, importable
 
 MIN_DOCS, MIN_CHARS = 3, 20
-SHARDS, BROADCAST = 64, 64 << 20
+SHARDS, SHARD_KEYS, SALTS, BROADCAST = 64, 200_000, 16, 64 << 20
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -173,12 +174,11 @@ def update_filters(filters: DataFrame | None, added: DataFrame, removed: DataFra
 
 
 def candidates(docs: DataFrame, filters: DataFrame, shards: int = SHARDS, min_chars: int = MIN_CHARS, broadcast: int = BROADCAST) -> DataFrame:
-    """key, doc_id of the lines that may be hot: those that a filter holds, or all while the filters are too large to send."""
-    spark = docs.sparkSession
+    """key, doc_id of the lines that may be hot: those that a filter holds."""
     size = filters.agg(F.sum(F.length("filter"))).first()[0] or 0
     if size > broadcast:
-        return postings(docs, min_chars)
-    shared = spark.sparkContext.broadcast({r.shard: r["filter"] for r in filters.collect()})  # at most `broadcast` bytes
+        return _dealt(postings(docs, min_chars), filters, shards)
+    shared = docs.sparkSession.sparkContext.broadcast({r.shard: r["filter"] for r in filters.collect()})  # at most `broadcast` bytes
 
     def run(batches):
         own = {s: Cuckoo.load(raw) for s, raw in shared.value.items()}
@@ -201,14 +201,32 @@ def candidates(docs: DataFrame, filters: DataFrame, shards: int = SHARDS, min_ch
     return docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(run, "key binary, doc_id long")
 
 
+def _dealt(held: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """The postings that the filters of their shards hold; a shard's postings are dealt to SALTS lots by the document."""
+
+    def tag(batches):
+        for b in batches:
+            if len(b):
+                yield b.assign(shard=shard_of(halves(b.key), shards).astype(np.int32))[["shard", "key", "doc_id"]]
+
+    def probe(f: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(f) or not len(rows):
+            return rows[:0][["key", "doc_id"]]
+        return rows[Cuckoo.load(f["filter"].iloc[0]).contains(halves(rows.key))][["key", "doc_id"]]
+
+    tagged = held.mapInPandas(tag, "shard int, key binary, doc_id long").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    spread = filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread.groupBy("shard", "salt").cogroup(tagged.groupBy("shard", "salt")).applyInPandas(probe, "key binary, doc_id long")
+
+
 def drops(found: DataFrame, hot: DataFrame) -> DataFrame:
     """doc_id, keys array<binary>: what each document loses."""
     gone = found.join(hot.select("key", "holder"), "key").where("doc_id <> holder")
     return gone.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
-def clean(docs: DataFrame, lost: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """All columns of docs with the text after the dropped lines are out, and the columns n_lines, n_dropped (long)."""
+def clean(docs: DataFrame, lost: DataFrame, min_chars: int = MIN_CHARS, counts: bool = True) -> DataFrame:
+    """All columns of docs with the text after the dropped lines are out; counts: and n_lines, n_dropped (long), in place of any of docs."""
     importable(docs.sparkSession)
     names = docs.columns
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
@@ -218,9 +236,8 @@ def clean(docs: DataFrame, lost: DataFrame, min_chars: int = MIN_CHARS) -> DataF
     def cut(text: pd.Series, keys: pd.Series) -> pd.DataFrame:
         out = []
         for t, k in zip(text, keys, strict=True):
-            t = t or ""
-            lines = t.count("\n") + 1
-            if k is None or not len(k):
+            lines = t.count("\n") + 1 if t else 1
+            if not t or k is None or not len(k):
                 out.append((t, lines, 0))
                 continue
             gone = set(k)
@@ -229,12 +246,14 @@ def clean(docs: DataFrame, lost: DataFrame, min_chars: int = MIN_CHARS) -> DataF
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
     done = joined.withColumn("_cut", cut("_text", "_keys"))
-    columns = [F.col("_cut.text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names if c not in ("n_lines", "n_dropped")]
-    return done.select(*columns, "_cut.n_lines", "_cut.n_dropped")
+    more = ["n_lines", "n_dropped"] if counts else []
+    columns = [F.col("_cut.text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names if c not in more]
+    return done.select(*columns, *[f"_cut.{c}" for c in more])
 
 
-def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int = SHARDS, broadcast: int = BROADCAST) -> DataFrame:
+def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, broadcast: int = BROADCAST, counts: bool = True) -> DataFrame:
     """clean() of all docs against each other, by the filters and the exact table."""
     hot = Saved(hot_keys(postings(docs, min_chars), min_docs)).df  # the hot part alone: cuts what is computed twice
-    filters = build_filters(hot, shards)
-    return clean(docs, drops(candidates(docs, filters, shards, min_chars, broadcast), hot), min_chars)
+    shards = max(SHARDS, -(-hot.count() // SHARD_KEYS))
+    filters = Saved(build_filters(hot, shards)).df
+    return clean(docs, drops(candidates(docs, filters, shards, min_chars, broadcast), hot), min_chars, counts)

@@ -32,7 +32,7 @@ def op4_bpe(spark, sf_dir):
 
 def op5_line_dedup(spark, sf_dir):
     done = linededup.dedup(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def op6_ngram_jaccard(spark, sf_dir):
