@@ -116,6 +116,27 @@ def classes(vectors: DataFrame, column: str) -> DataFrame:
     return ok.groupBy("v").agg(F.min("id").alias("class"), F.countDistinct("id").alias("copies"))
 
 
+def first_meeting(cells_: np.ndarray, homes: np.ndarray, r: np.ndarray, q: np.ndarray, cell: int) -> np.ndarray:
+    """For rows r and q that meet in a cell: whether no earlier cell has both and is one's own."""
+    out = np.ones(len(r), bool)
+    for k in range(cells_.shape[1]):
+        mine = cells_[r, k]
+        same = (cells_[q] == mine[:, None]) & (mine < cell)[:, None]
+        out &= ~(same & (homes[r, k][:, None] | homes[q])).any(1)
+    return out
+
+
+def star(label: np.ndarray, r: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Gives the rows that the links r, q connect the least label among them; returns the rows."""
+    while True:
+        a, b = label[r], label[q]
+        if (a == b).all():
+            return np.unique(np.concatenate([r, q]))
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 def linked(vectors: DataFrame, column: str = "embedding", least: float = 0.95, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, blocks: int = BLOCKS) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors(vec_id, column)."""
     importable(vectors.sparkSession)
@@ -143,16 +164,23 @@ def linked(vectors: DataFrame, column: str = "embedding", least: float = 0.95, t
     lots = max(1, n * tables * (1 + probes) // LOT)
     lot = F.when(F.col("chunks") > 1, F.col("cell")).otherwise(F.pmod(F.xxhash64("cell"), F.lit(lots)))
     met = met.select("cell", "class", "home", "chunk", (F.col("chunks") > 1).alias("large"), lot.alias("lot"), F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
-    mine = placed.groupBy("class").agg(F.collect_list(F.when(F.col("home"), F.col("cell"))).alias("homes"), F.collect_list("cell").alias("cells"))  # tables * (1 + probes) at most
+    mine = placed.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("cell", "home"))).alias("cells"))  # tables * (1 + probes) at most
+    mine = mine.select("class", F.col("cells.cell").alias("cells"), F.col("cells.home").alias("homes"))
     full = met.join(own.join(mine, "class"), "class")
+    width = tables * (1 + probes)
+
+    def grid(lists, fill, kind):
+        """Lists of at most `width` items as a table."""
+        out = np.full((len(lists), width), fill, kind)
+        lens = np.fromiter(map(len, lists), np.int64, len(lists))
+        out[np.arange(width) < lens[:, None]] = np.concatenate(list(lists))
+        return out
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         lo, hi = g.lo.iloc[0], g.hi.iloc[0]
         cell_of, ids, home, copies, part = g.cell.values, g["class"].values, g.home.values.astype(bool), g.copies.values, g.chunk.values
-        vectors_, homes, all_cells = g.v.values, g.homes.values, g.cells.values
-        counts: dict[int, int] = {}
-        out_a: list[int] = []
-        out_b: list[int] = []
+        vectors_, homes, all_cells = g.v.values, grid(g.homes.values, False, bool), grid(g.cells.values, np.iinfo(np.int64).max, np.int64)
+        n_rows, forest = np.zeros(len(g), np.int64), []
         order = np.argsort(cell_of, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(cell_of[order])) + 1):
             if len(rows) < 2:
@@ -164,49 +192,33 @@ def linked(vectors: DataFrame, column: str = "embedding", least: float = 0.95, t
                 continue
             ua = unit_rows(vectors_[a])[0]
             ub = ua if lo == hi else unit_rows(vectors_[b])[0]
-            root: dict[int, int] = {}
-            seen: dict[int, tuple[set, set]] = {}
-
-            def find(x, root=root):
-                while root.setdefault(x, x) != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            def before(r, seen=seen, cell=cell):
-                """The cells of a row that come before this one: its own, and all."""
-                if r not in seen:
-                    h, x = np.asarray(homes[r]), np.asarray(all_cells[r])
-                    seen[r] = set(h[h < cell].tolist()), set(x[x < cell].tolist())
-                return seen[r]
-
-            def meets_here(r, q):
-                """No earlier cell had both rows and was one's own."""
-                x, y = before(r), before(q)
-                return x[0].isdisjoint(y[1]) and x[1].isdisjoint(y[0])
-
+            label = np.arange(len(g))
+            linked_ = []
             for at in range(0, len(a), 512):
                 i, j = np.nonzero((ua[at : at + 512] @ ub.T >= least - 1e-9) & (home[a[at : at + 512], None] | home[b][None, :]))
                 i += at
                 keep = ids[a[i]] < ids[b[j]] if lo == hi else np.ones(len(i), bool)
                 i, j = i[keep], j[keep]
-                if not len(i):
-                    continue
-                exact = np.einsum("ij,ij->i", ua[i], ub[j]) >= least
-                pairs = [(r, q) for r, q in zip(a[i[exact]].tolist(), b[j[exact]].tolist(), strict=True) if meets_here(r, q)]
-                for r, q in pairs:
-                    x, y = int(ids[r]), int(ids[q])
-                    counts[x] = counts.get(x, 0) + int(copies[q])
-                    counts[y] = counts.get(y, 0) + int(copies[r])
-                    k, m = find(x), find(y)
-                    if k != m:
-                        root[max(k, m)] = min(k, m)
-                        out_a.append(x)
-                        out_b.append(y)
-        n = len(counts)
-        gap = [None] * n
-        whole = {"class": [*counts, *[None] * len(out_a)], "n": [*counts.values(), *[0] * len(out_a)], "a": gap + out_a, "b": gap + out_b}
-        return pd.DataFrame({k: pd.array(v, dtype="Int64") for k, v in whole.items()})
+                for k in range(0, len(i), 1 << 15):
+                    x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+                    ok = np.einsum("ij,ij->i", ua[x], ub[y]) >= least
+                    r, q = a[x[ok]], b[y[ok]]
+                    ok = first_meeting(all_cells, homes, r, q, cell)
+                    r, q = r[ok], q[ok]
+                    n_rows += np.bincount(r, copies[q], len(g)).astype(np.int64) + np.bincount(q, copies[r], len(g)).astype(np.int64)
+                    linked_.append(star(label, r, q))
+            if linked_:
+                ends = np.unique(np.concatenate(linked_))
+                forest.append(np.stack([ends, label[ends]], 1)[label[ends] != ends])
+        at = np.flatnonzero(n_rows)
+        links = np.concatenate([np.zeros((0, 2), np.int64), *forest])
+        n, m = len(at), len(links)
+
+        def column(x, above, below):
+            gaps = np.zeros(above, np.int64), np.zeros(below, np.int64)
+            return pd.arrays.IntegerArray(np.concatenate([gaps[0], x, gaps[1]]), np.concatenate([gaps[0] == 0, np.zeros(len(x), bool), gaps[1] == 0]))
+
+        return pd.DataFrame({"class": column(ids[at], 0, m), "n": column(n_rows[at], 0, m), "a": column(ids[links[:, 0]], n, 0), "b": column(ids[links[:, 1]], n, 0)})
 
     found = Saved(full.groupBy("large", "lot", "lo", "hi").applyInPandas(compare, "class long, n long, a long, b long")).df
     written.drop()
