@@ -1,17 +1,20 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Every run of N words of an item is a seed, and one seed in a text is enough, however short or edited the copy is. Around
-the seeds of an item a passage is cut that holds any alignment which can reach the threshold, dropped if the words it
-shares with the item can't reach it (an upper bound on the alignment), and the rest aligned: match 2, mismatch and gap
--1. The score is the best local alignment over that of the whole item with itself; a leak scores LEAK or more. A copy
-without any run of N words of the item isn't found.
+Every pair of words that follow each other in an item is a seed. A text is aligned with an item around its seeds where
+they are as many as a leak has: one for each NEED words of the item, or a run of three words. A copy that scores LEAK has
+more than that whatever words were replaced or deleted (each costs at most two seeds and three points of 2 n), and so has
+one with words put in after up to NEED - 1 of NEED words. Around the seeds a passage is cut that holds any alignment which
+can reach the threshold, dropped if the words it shares with the item can't reach it (an upper bound on the alignment),
+and the rest aligned: match 2, mismatch and gap -1. The score is the best local alignment over that of the whole item
+with itself; a leak scores LEAK or more.
 
-One scan without a shuffle of texts. The benchmark goes to the workers in blocks of at most BLOCK_WORDS words, one scan
-for each block.
+One scan without a shuffle of texts. The benchmark goes to the workers in blocks of at most about BLOCK_WORDS words, one
+scan for each block.
 
 Words are lower-cased (A-Z), with ASCII punctuation as white space. Defined cases: items of fewer than N words, or null,
 leak nowhere; null and empty texts hold no leak; repeated items are items each; rows that repeat a doc_id are looked at
-each and their best score per item is given; rows without doc_id are kept by `without_leaks` only if they hold no leak.
+each and their best score per item is given; rows without doc_id are kept by `without_leaks` only if they hold no leak; an
+empty table, of either kind, gives no leak.
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixeltide.llm.common import hashes, importable, shingles
+from pixeltide.llm.common import Saved, hashes, importable
 
-N, LEAK = 3, 0.5
+N, NEED, LEAK = 2, 8, 0.5
 BLOCK_WORDS = 2_000_000
 MATCH, MISS, GAP = 2, -1, -1
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
@@ -51,102 +54,111 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 
 class Bench:
-    """A block of benchmark items, with their n-grams, which are the seeds, and their words by number."""
+    """A block of benchmark items: their words by number, and their pairs of words, which are the seeds."""
 
     def __init__(self, ids: list[int], texts: list[bytes | None]):
         kept = [(i, w) for i, t in zip(ids, texts, strict=True) if len(w := plain_words(t)) >= N]
         self.ids, words = [i for i, _ in kept], [hashes(w) for _, w in kept]
-        none = np.zeros(0, np.uint64)
-        self.known = np.unique(np.concatenate([none, *words]))
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
         self.words = [np.searchsorted(self.known, h) for h in words]
         self.need = [np.unique(w, return_counts=True) for w in self.words]
-        grams = [shingles(h, N) for h in words]
-        seeds = np.concatenate([none, *grams])
+        self.size = np.fromiter(map(len, words), np.int64, len(words))
+        none = np.zeros(0, np.int64)
+        seeds = np.concatenate([none, *[w[:-1] * len(self.known) + w[1:] for w in self.words]])
         order = np.argsort(seeds, kind="stable")
         self.seeds = seeds[order]
-        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
-        self.pos = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in grams]])[order]
+        self.item = np.repeat(np.arange(len(words)), self.size - 1)[order]
+        self.pos = np.concatenate([none, *[np.arange(n - 1) for n in self.size]])[order]
 
     def leaks(self, text: bytes | None) -> list[tuple[int, float, int, int]]:
         """item id, score, first and last word of the passage, for each item that leaks into a text."""
         h = hashes(plain_words(text))
         if len(h) < N or not len(self.seeds):
             return []
-        g = shingles(h, N)
-        lo = np.searchsorted(self.seeds, g)
-        at = np.flatnonzero(self.seeds[np.minimum(lo, len(self.seeds) - 1)] == g)
+        k = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        number = np.where(self.known[k] == h, k, -1)
+        at = np.flatnonzero((number[:-1] >= 0) & (number[1:] >= 0))
+        code = number[at] * len(self.known) + number[at + 1]
+        lo = np.searchsorted(self.seeds, code)
+        hit = self.seeds[np.minimum(lo, len(self.seeds) - 1)] == code
+        at, lo = at[hit], lo[hit]
         if not len(at):
             return []
-        lo = lo[at]
-        n = np.searchsorted(self.seeds, g[at], "right") - lo
+        n = np.searchsorted(self.seeds, code[hit], "right") - lo
         where = np.repeat(at, n)
         seed = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        k = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        number = np.where(self.known[k] == h, k, -1)
-        item_of = self.item[seed]
-        order = np.argsort(item_of, kind="stable")
-        out = []
-        for mine in np.split(order, np.flatnonzero(np.diff(item_of[order])) + 1):
-            i = int(item_of[mine[0]])
-            item, (distinct, times) = self.words[i], self.need[i]
-            size = len(item)  # an alignment that reaches LEAK has fewer gaps than the item has words
-            first = np.maximum(0, np.sort(where[mine] - self.pos[seed[mine]]) - size)
-            groups = np.split(first, np.flatnonzero(np.diff(first) > 3 * size) + 1)
-            full, best = MATCH * size, (0.0, 0, 0)
-            for x in groups:
-                passage = number[x[0] : x[-1] + 3 * size]
-                own = np.sort(passage)
-                shared = np.minimum(times, np.searchsorted(own, distinct, "right") - np.searchsorted(own, distinct))
-                if MATCH * shared.sum() < LEAK * full:
-                    continue
-                s, a, b = align(item, passage)
-                if s / full > best[0]:
-                    _, _, back = align(item[a::-1], passage[b::-1])
-                    best = (s / full, int(x[0]) + b - back, int(x[0]) + b)
-            if best[0] >= LEAK:
-                out.append((self.ids[i], *best))
-        return out
-
-
-def blocks(bench: DataFrame) -> list[Bench]:
-    """The benchmark in blocks of a bounded number of words."""
+        item, begin = self.item[seed], where - self.pos[seed]
+        order = np.lexsort((where, begin, item))
+        item, begin, where = item[order], begin[order], where[order]
+        # seeds of one item near each other, and whether two of them lie in a row
+        new = np.append(True, (item[1:] != item[:-1]) | (np.diff(begin) > 3 * self.size[item[1:]]))
+        first = np.flatnonzero(new)
+        row = np.append(False, ~new[1:] & (begin[1:] == begin[:-1]) & (where[1:] == where[:-1] + 1))
+        count = np.diff(np.append(first, len(item)))
+        ok = (count >= np.maximum(1, self.size[item[first]] // NEED)) | np.logical_or.reduceat(row, first)
+        best: dict[int, tuple[float, int, int]] = {}
+        for x, n in zip(first[ok].tolist(), count[ok].tolist(), strict=True):
+            i = int(item[x])
+            words, (distinct, times) = self.words[i], self.need[i]
+            size = len(words)  # an alignment that reaches LEAK has no more gaps than the item has words
+            a = max(0, int(begin[x]) - size)
+            passage = number[a : max(0, int(begin[x + n - 1])) + 2 * size + 1]
+            own = np.sort(passage)
+            shared = np.minimum(times, np.searchsorted(own, distinct, "right") - np.searchsorted(own, distinct)).sum()
+            full = MATCH * size
+            if MATCH * shared < LEAK * full:
+                continue
+            s, i_end, p_end = align(words, passage)
+            if s / full >= max(LEAK, best.get(i, (0.0,))[0]):
+                _, _, back = align(words[i_end::-1], passage[p_end::-1])
+                new_ = (s / full, a + p_end - back, a + p_end)
+                if new_[0] > best.get(i, (0.0,))[0]:
+                    best[i] = new_
+        return [(self.ids[i], *x) for i, x in best.items()]
+
+
+def blocks(bench: DataFrame):
+    """The benchmark in blocks of a bounded number of words, one at a time."""
     size = bench.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()[0] or 0
     n = -(-size // BLOCK_WORDS)
-    out = []
     for k in range(n):
         rows = bench.where(F.col("item_id").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).select("item_id", F.col("text").cast("binary").alias("text")).toPandas()
-        out.append(Bench([int(i) for i in rows.item_id], list(rows.text)))
-    return out
+        yield Bench([int(i) for i in rows.item_id], list(rows.text))
 
 
 def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word: the passages of docs(doc_id, text) that copy items of bench(item_id, text)."""
     spark = docs.sparkSession
     importable(spark)
-    shared = [spark.sparkContext.broadcast(b) for b in blocks(bench)]
-
-    def run(batches):
-        own = [s.value for s in shared]
-        for b in batches:
-            rows = [(d, *x) for d, t in zip(b.doc_id, b.text, strict=True) for block in own for x in block.leaks(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "first_word", "last_word"])
-
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null")
-    found = text.mapInPandas(run, "doc_id long, item_id long, score double, first_word long, last_word long")
+    kind = "doc_id long, item_id long, score double, first_word long, last_word long"
+    found = spark.createDataFrame([], kind)
+    for block in blocks(bench):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            own = shared.value
+            for b in batches:
+                rows = [(d, *x) for d, t in zip(b.doc_id, b.text, strict=True) for x in own.leaks(t)]
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "first_word", "last_word"])
+
+        found = found.unionByName(text.mapInPandas(run, kind))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "first_word", "last_word")).alias("x"))
     return best.select("doc_id", "item_id", "x.score", "x.first_word", "x.last_word")
 
 
 def without_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that hold no leak."""
+    """The rows of docs, all columns, that hold no leak. Between two blocks the rows are written."""
     spark = docs.sparkSession
     importable(spark)
-    shared = [spark.sparkContext.broadcast(b) for b in blocks(bench)]
+    for k, block in enumerate(blocks(bench)):
+        shared = spark.sparkContext.broadcast(block)
 
-    def run(batches):
-        own = [s.value for s in shared]
-        for b in batches:
-            texts = b.column("text").cast("binary").to_pylist()
-            yield b.filter(pa.array([not any(block.leaks(t) for block in own) for t in texts], pa.bool_()))
+        def run(batches, shared=shared):
+            own = shared.value
+            for b in batches:
+                texts = b.column("text").cast("binary").to_pylist()
+                yield b.filter(pa.array([not own.leaks(t) for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+        docs = (Saved(docs).df if k else docs).mapInArrow(run, docs.schema)
+    return docs
