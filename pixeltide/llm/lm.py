@@ -47,8 +47,8 @@ from pyspark.sql import functions as F
 from pixeltide.llm.common import Saved, ids_in, ids_out, importable, mix, words
 
 HEAD, LOOKED_UP, BUCKETS = 1024, 200_000, 24
-PER_BUCKET = 2_000_000
-LOT, LOT_CHARS = 2_000, 3_000_000  # documents that travel together, and characters about
+PER_BUCKET = 1_000_000
+LOT, LOT_CHARS = 1_500, 2_000_000  # documents that travel together, and characters about
 ROW, WORD = 12, 18  # bits of a document's place in its lot, and of a looked-up word
 END = b""
 
@@ -423,7 +423,7 @@ def score(docs: DataFrame, learn, half) -> tuple[DataFrame, Model]:
     shared = spark.sparkContext.broadcast(classes)
     n_buckets = 1 + (n + others) // PER_BUCKET
 
-    dealt = packed(docs, shared, n_buckets).repartition(max(n_buckets, spark.sparkContext.defaultParallelism), "bucket")
+    dealt = packed(docs, shared, n_buckets).repartition(4 * n_buckets, "bucket")  # so many that few buckets meet in one
     made = Saved(counted(dealt, shared, n - twos, twos))
     tail = counts.where(F.col("n") < looked).select(hashed().alias("w"), F.col("n").alias("w_n"), F.col("two").alias("w_two"))
     far = made.df.where("kind = 'far'").select("w", "v_n", "v_two", "one", "two", "rows", "times").join(tail, "w", "left").fillna(0, ["w_n", "w_two"])
