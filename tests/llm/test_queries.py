@@ -6,12 +6,13 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pixeltide.llm import bpe, decontam, quality, queries
 from pixeltide.llm.common import fold, table
 from tests.conftest import DATA
-from tests.llm.test_operators import cleaned, linked_by_hand
+from tests.llm.test_operators import DOCS, ODD, cleaned, linked_by_hand
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -58,7 +59,19 @@ def test_pipeline_against_brute_force(spark):
     assert len(want) < len(rows) and math.isclose(len(want), got.count())
 
 
-def test_stages_keep_the_columns(spark):
-    docs = table(spark, DATA, "documents").limit(30)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, DATA).columns == docs.columns
+def test_stages_on_odd_rows(spark):
+    """Each stage by itself on null and blank texts, repeated rows, null ids, long texts and columns whose names it uses itself."""
+    extra = ["n_lines", "n_dropped", "row", "class", "component_id", "score", "keys", "_id", "half", "quality"]
+    odd = spark.createDataFrame([(*r, 7) for r in ODD], DOCS + ", n_chars int").select("*", *[F.lit("z").alias(c) for c in extra])
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, DATA)
+        assert got.columns == odd.columns and stage(spark, odd.limit(0), DATA).count() == 0
+        rows = got.collect()
+        assert all(r.n_lines == r.quality == "z" for r in rows)
+        if name != names[0]:
+            assert sum(r.text is None for r in rows) == 1 and sum(r.doc_id is None for r in rows) == 1
+            gone = {6} if name == names[2] else set()  # a copy of document 5
+            assert sorted(r.doc_id or -1 for r in rows) == sorted(r[0] or -1 for r in ODD if r[0] not in gone)
+    ids = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, odd, DATA).collect()}
+    assert len(ids) == len({r[0] for r in ODD}) and ids[1].n_tokens == 0 and ids[1].decoded_sha256 == hashlib.sha256(b"").hexdigest()
