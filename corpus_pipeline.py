@@ -1,6 +1,12 @@
 """documents -> quality -> line dedup -> near-duplicate removal -> benchmark decontamination -> token ids.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs, in order, with
+any names: a stage reads doc_id and text (line dedup also writes n_chars, where there is one).
+
+Defined cases of every stage: a null text is handled as an empty one and stays null; very long texts are read whole;
+rows without doc_id are judged by their text, but never dropped for lines or texts that other documents hold; rows that
+repeat a doc_id are judged each, and lines and near duplicates see them as one document; ties go to the smallest doc_id
+(line dedup: the largest, which keeps a line); an empty table stays empty, with its columns.
 """
 
 from __future__ import annotations
@@ -15,19 +21,21 @@ SHINGLE, PERCENT = 5, 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is under the threshold go."""
+    """Documents whose score is under the threshold go; all stay where `labels` has not both kinds."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
     return quality.keep(docs, model)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that at least three documents hold stay in one of them; n_chars follows the text."""
-    done = linededup.dedup(docs).drop("n_lines", "n_dropped")
-    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
+    done = linededup.dedup(docs, counts=False)
+    if "n_chars" not in docs.columns:
+        return done
+    return done.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates the document with the smallest id stays. Texts without words are in no group."""
     found = ngramjoin.components_of(docs, SHINGLE, PERCENT)
     gone = checkpoint(found.where("doc_id <> component_id").select("doc_id").distinct())
     if gone.count() <= ngramjoin.IDS:  # else the texts are shuffled
