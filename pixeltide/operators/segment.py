@@ -36,9 +36,12 @@ def class_palette(n: int) -> list[tuple[int, int, int, int]]:
 
 
 def segmentation_overlay(px: DataFrame, planes: DataFrame, th: float, n_classes: int) -> DataFrame:
-    """Class by class in order: where the class is over th its colour, else the image, blended half and half plus 1."""
+    """Class by class in order: where the class is over th its colour, else the image, blended half and half plus 1.
+
+    A pixel without planes stays as it is.
+    """
     colors = small_table(px.sparkSession, [(k, c, v) for k, *bgr in class_palette(n_classes) for c, v in enumerate(bgr)], "class_id int, c int, color int")
     layers = planes.join(colors, "class_id").groupBy(*AT, "c").agg(F.sort_array(F.collect_list(F.struct("class_id", (F.col("v") > th).alias("on"), "color"))).alias("layers"))
-    both = px.join(layers, [*AT, "c"])
+    both = px.join(layers, [*AT, "c"], "left")
     blend = F.aggregate("layers", F.col("v").cast("double"), lambda acc, k: F.least(F.lit(255.0), F.bround(acc * 0.5 + F.when(k["on"], k["color"].cast("double")).otherwise(acc) * 0.5 + 1.0, 0)))
-    return both.select(*AT, "c", blend.cast("int").alias("v"))
+    return both.select(*AT, "c", F.when(F.col("layers").isNull(), F.col("v")).otherwise(blend.cast("int")).alias("v"))

@@ -134,16 +134,14 @@ put("mask_area", on("f8_planes", lambda p: S.mask_area(S.mask_argmax(p)).withCol
 
 
 def overlay(s, d):
-    n = fixture(s, d, "f8_planes").agg(F.max("frame_id").alias("m"))
-    px = fixture(s, d, "f2_bgr").crossJoin(F.broadcast(n)).where("frame_id <= m").drop("m")  # one row: the last frame with planes
-    return S.segmentation_overlay(px, fixture(s, d, "f8_planes"), 0.5, 4)
+    return S.segmentation_overlay(fixture(s, d, "f2_bgr"), fixture(s, d, "f8_planes"), 0.5, 4)
 
 
 _steps = []
 for k in range(4):
     prev = "CAST(p.v AS DOUBLE)" if k == 0 else "p.a"
     source = "f2_bgr" if k == 0 else f"s{k - 1}"
-    _steps.append(f"s{k} AS (SELECT p.frame_id, p.y, p.x, p.c, least(255e0, round_even({prev}*0.5 + (CASE WHEN q.v > 0.5 THEN CAST(m.color AS DOUBLE) ELSE {prev} END)*0.5 + 1, 0)) AS a FROM {source} p JOIN f8_planes q ON q.frame_id=p.frame_id AND q.y=p.y AND q.x=p.x AND q.class_id={k} JOIN pal m ON m.k={k} AND m.c=p.c)")
+    _steps.append(f"s{k} AS (SELECT p.frame_id, p.y, p.x, p.c, CASE WHEN q.v IS NULL THEN {prev} ELSE least(255e0, round_even({prev}*0.5 + (CASE WHEN q.v > 0.5 THEN CAST(m.color AS DOUBLE) ELSE {prev} END)*0.5 + 1, 0)) END AS a FROM {source} p LEFT JOIN f8_planes q ON q.frame_id=p.frame_id AND q.y=p.y AND q.x=p.x AND q.class_id={k} JOIN pal m ON m.k={k} AND m.c=p.c)")
 put("segmentation_overlay", overlay, f"{ctes('f2_bgr', 'f8_planes')}, pal(k, c, color) AS {values([(k, c, v) for k, *bgr in S.class_palette(4) for c, v in enumerate(bgr)])}, {', '.join(_steps)} SELECT frame_id, y, x, c, CAST(a AS INT) AS v FROM s3")
 
 put(
@@ -188,8 +186,8 @@ def parts(source, rows):
 
 BOXROW = ("box", "floor(x1)", "floor(y1)", "floor(x2)", "floor(y2)", "CAST(NULL AS VARCHAR)")
 put("annotate_detections", lambda s, d: N.annotate_detections(fixture(s, d, "f3_det"), labels(s, d), 0.3), f"{DET}, a AS (SELECT f3_det.*, n_name AS name, {color('class_id')} FROM f3_det LEFT JOIN nation ON n_nationkey=class_id WHERE score >= 0.3e0) {parts('a', [(*BOXROW, 3), ('text', 'floor(x1)', 'floor(y1)-12', 'floor(x1)', 'floor(y1)-12', tag('class_id', 'name', 'score'), 3)])}")
-TOP = "t5 AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, class_id) AS INT) AS rank FROM f7_scores WHERE class_id < 25) WHERE rank <= 5)"
-put("annotate_classes", lambda s, d: N.annotate_classes(D.top_k_classes(fixture(s, d, "f7_scores").where("class_id < 25")), labels(s, d)), f"{SC}, {TOP}, a AS (SELECT t5.*, n_name AS name, 0 AS b, 255 AS g, 0 AS r FROM t5 JOIN nation ON n_nationkey=class_id) {parts('a', [('text', '15', '30+(rank-1)*35', '15', '30+(rank-1)*35', tag('class_id', 'name', 'score', True), 3)])}")
+TOP = "t5 AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, class_id) AS INT) AS rank FROM f7_scores ) WHERE rank <= 5)"
+put("annotate_classes", lambda s, d: N.annotate_classes(D.top_k_classes(fixture(s, d, "f7_scores")), labels(s, d)), f"{SC}, {TOP}, a AS (SELECT t5.*, n_name AS name, 0 AS b, 255 AS g, 0 AS r FROM t5 LEFT JOIN nation ON n_nationkey=class_id) {parts('a', [('text', '15', '30+(rank-1)*35', '15', '30+(rank-1)*35', tag('class_id', "coalesce(name, 'null')", 'score', True), 3)])}")
 put(
     "annotate_crop_classes",
     lambda s, d: N.annotate_crop_classes(fixture(s, d, "f3_det").withColumn("crop_class", (F.col("det_id") % 25).cast("int")).withColumn("crop_score", F.round(1 - F.col("score"), 6)), labels(s, d), labels(s, d), 0.3),

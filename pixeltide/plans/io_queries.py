@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import struct
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -56,6 +59,41 @@ def written(s, d):
 put("write_frames", written, f"{_resized(ctes('f1_gray'), 'f1_gray', 8, 8, 12, 10, 'linear')} SELECT frame_id%4 AS source_id, frame_id, y, x, c, v FROM small")
 
 
+def bitmap(height: int, width: int, data) -> bytes:
+    """A 24-bit BMP of blue, green, red values from the top row down."""
+    gap = bytes(-width * 3 % 4)
+    rows = np.asarray(data).astype(np.uint8).reshape(height, width * 3)
+    body = b"".join(r.tobytes() + gap for r in rows[::-1])
+    return struct.pack("<2sIHHI", b"BM", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
+
+
+def image_files(s, d):
+    """The colour frames as numbered image files in the shared folder."""
+    at = place(s)
+    folder = at.removeprefix("file:")
+
+    def save(batches):
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            for n, data in zip(b.frame_id, b.data, strict=True):
+                with open(f"{folder}/{n:08d}.bmp", "wb") as f:
+                    f.write(bitmap(8, 8, data))
+            yield b[["frame_id"]]
+
+    frames = fixture(s, d, "f2_bgr").groupBy("frame_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "c", "v"))).alias("p"))
+    frames.select("frame_id", F.transform("p", lambda p: p["v"]).alias("data")).mapInPandas(save, "frame_id long").count()
+    return at
+
+
+def image_values(df, name):
+    return df.select(name, F.posexplode("data").alias("i", "v")).select(F.col(name).cast("long").alias("frame_id"), F.floor(F.col("i") / 24).cast("int").alias("y"), (F.floor(F.col("i") / 3) % 8).cast("int").alias("x"), (F.col("i") % 3).cast("int").alias("c"), F.col("v").cast("int").alias("v"))
+
+
+IMAGE_SQL = f"{ctes('f2_bgr')} SELECT frame_id, y, x, c, v FROM f2_bgr"
+put("read_images", lambda s, d: image_values(images.read_images(s, image_files(s, d)).withColumn("n", F.regexp_extract("source_id", r"(\d+)\.bmp$", 1)), "n"), IMAGE_SQL)
+put("read_frame_dir", lambda s, d: image_values(images.read_frame_dir(s, image_files(s, d)), "frame_no"), IMAGE_SQL)
+
+
 def mot_files(s, d):
     f = fixture(s, d, "f4_stream").withColumn("track_id", F.col("stream_id") * 10 + F.col("det_id"))
     mot.write_mot(f, at := place(s))

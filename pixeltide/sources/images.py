@@ -23,6 +23,8 @@ def read_frame_dir(spark: SparkSession, path: str, length: int | None = None) ->
 
 def write_frames(px: DataFrame, path: str, width: int, height: int, size: tuple[int, int] = (1280, 720)) -> None:
     """Pixels (source_id, session, frame_id, y, x, c, v), resized and written as Parquet by source and session."""
-    keys = px.select("source_id", "session", "frame_id").distinct()
-    done = px if size == (width, height) else resize(px, width, height, *size).join(keys, "frame_id")
+    done = px
+    if size != (width, height):
+        keys = ["source_id", "session", "frame_id"]  # frame_id alone may repeat between sources
+        done = resize(px.withColumn("frame_id", F.struct(*keys)), width, height, *size).select(*[F.col(f"frame_id.{k}").alias(k) for k in keys], "y", "x", "c", "v")
     done.select("source_id", "session", "frame_id", "y", "x", "c", "v").write.partitionBy("source_id", "session").parquet(path)
