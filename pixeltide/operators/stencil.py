@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,52 +63,61 @@ SOBEL_X = [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]]
 SOBEL_Y = [[-1, -2, -1], [0, 0, 0], [1, 2, 1]]
 
 
+def gradients(gray: DataFrame, width: int, height: int) -> DataFrame:
+    """frame_id, y, x, gx, gy: both Sobel sums in one pass. From here on a frame's rows are together, so nothing else moves."""
+    rows = [(dy, dx, SOBEL_X[dy + 1][dx + 1], SOBEL_Y[dy + 1][dx + 1]) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+    wide = padded(padded(gray.select("frame_id", "y", "x", "v"), "x", width, 1, 1), "y", height, 1, 1).repartition("frame_id")
+    hit = wide.join(small_table(gray.sparkSession, rows, "dy int, dx int, wx int, wy int"))
+    hit = hit.select("frame_id", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), (F.col("v") * F.col("wx")).alias("gx"), (F.col("v") * F.col("wy")).alias("gy"))
+    hit = hit.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+    return hit.groupBy("frame_id", "y", "x").agg(F.sum("gx").cast("int").alias("gx"), F.sum("gy").cast("int").alias("gy"))
+
+
 def edge_candidates(gray: DataFrame, lo: int, hi: int, width: int, height: int) -> DataFrame:
     """frame_id, y, x, strong: pixels that are largest across their edge, over lo (strong: over hi)."""
     lo, hi = clamp(lo, 1, 254), clamp(hi, 2, 255)
     if lo > hi:
         lo = hi - 1
-    gx = correlate(gray, SOBEL_X, width, height).withColumnRenamed("s", "gx")
-    gy = correlate(gray, SOBEL_Y, width, height).withColumnRenamed("s", "gy")
-    keys = ["frame_id", "y", "x", "c"]
-    g = gx.join(gy, keys).select("frame_id", "y", "x", F.col("gx").cast("int").alias("gx"), F.col("gy").cast("int").alias("gy"))
-    g = g.withColumn("m", F.abs("gx") + F.abs("gy"))
+    g = gradients(gray, width, height).withColumn("m", F.abs("gx") + F.abs("gy"))
     ax, ay = F.abs("gx"), F.abs("gy")
     flat, steep = ay * 1000 < ax * 414, ay * 1000 > ax * 2414  # tangents of 22.5 and 67.5 degrees
     same = (F.col("gx") >= 0) == (F.col("gy") >= 0)
-    dx = F.when(flat, 1).when(steep, 0).when(same, 1).otherwise(-1)
-    dy = F.when(flat, 0).otherwise(1)
-    g = g.withColumn("dx", dx).withColumn("dy", dy).where(F.col("m") > lo)
-    # both neighbours across the edge, as targets of each pixel
-    at = gx.join(gy, keys).select("frame_id", "y", "x", (F.abs("gx") + F.abs("gy")).cast("int").alias("nm"))
-    one = at.select("frame_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("nm").alias("after"))
-    two = at.select("frame_id", F.col("y").alias("py"), F.col("x").alias("px"), F.col("nm").alias("before"))
-    g = g.withColumn("ny", F.col("y") + F.col("dy")).withColumn("nx", F.col("x") + F.col("dx")).withColumn("py", F.col("y") - F.col("dy")).withColumn("px", F.col("x") - F.col("dx"))
-    g = g.join(one, ["frame_id", "ny", "nx"], "left").join(two, ["frame_id", "py", "px"], "left")
-    zero = F.lit(0)
-    return g.where((F.col("m") > F.coalesce("before", zero)) & (F.col("m") >= F.coalesce("after", zero))).select("frame_id", "y", "x", (F.col("m") > hi).alias("strong"))
-
-
-def canny(gray: DataFrame, lo: int, hi: int, width: int, height: int, max_rounds: int = 10_000) -> DataFrame:
+    lines = {"row": ([F.col("y")], "x"), "column": ([F.col("x")], "y"), "fall": ([F.col("y") - F.col("x")], "y"), "rise": ([F.col("y") + F.col("x")], "y")}
+    for name, (line, along) in lines.items():  # both neighbours on each line through a pixel; 0 outside the frame
+        w = Window.partitionBy("frame_id", *line).orderBy(along)
+        for side, at, step in (("before", F.lag, -1), ("after", F.lead, 1)):
+            g = g.withColumn(f"{name}_{side}", F.when(at(along).over(w) == F.col(along) + step, at("m").over(w)).otherwise(0))
+
+    def neighbour(side):
+        return F.when(flat, F.col(f"row_{side}")).when(steep, F.col(f"column_{side}")).when(same, F.col(f"fall_{side}")).otherwise(F.col(f"rise_{side}"))
+
+    return g.where((F.col("m") > lo) & (F.col("m") > neighbour("before")) & (F.col("m") >= neighbour("after"))).select("frame_id", "y", "x", (F.col("m") > hi).alias("strong"))
+
+
+def canny(gray: DataFrame, lo: int, hi: int, width: int, height: int) -> DataFrame:
     """Edges: strong candidates and all candidates that a chain of 8-neighbours joins to one; 255, and 0 elsewhere.
 
-    Each round adds the neighbours of the last round's edges; it is checkpointed, and ends when there are none.
+    Chains are followed frame by frame, over the candidates of one frame.
     """
-    from pixeltide.operators.rounds import checkpoint
-
-    cand = checkpoint(edge_candidates(gray, lo, hi, width, height))
-    edges = cand.where("strong").select("frame_id", "y", "x")
-    weak = cand.where(~F.col("strong")).select("frame_id", "y", "x")
-    steps = small_table(gray.sparkSession, [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx], "dy int, dx int")
-    front = edges
-    for _ in range(max_rounds):
-        reach = front.join(steps).select("frame_id", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")).distinct()
-        front = checkpoint(weak.join(reach, ["frame_id", "y", "x"], "left_semi"))
-        if front.isEmpty():
-            break
-        edges = edges.unionByName(front)
-        weak = checkpoint(weak.join(front, ["frame_id", "y", "x"], "left_anti"))
-    found = edges.withColumn("e", F.lit(255))
+    cand = edge_candidates(gray, lo, hi, width, height)
+    kind = cand.schema["frame_id"].dataType.simpleString()
+
+    def follow(g: pd.DataFrame) -> pd.DataFrame:
+        wide = width + 2
+        code = (g.y.to_numpy(np.int64) + 1) * wide + g.x.to_numpy(np.int64) + 1
+        order = np.argsort(code)
+        code, on = code[order], g.strong.to_numpy(bool)[order]
+        steps = np.array([dy * wide + dx for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
+        front = code[on]
+        while len(front):
+            near = np.unique(front[:, None] + steps)
+            at = np.minimum(np.searchsorted(code, near), len(code) - 1)
+            at = at[(code[at] == near) & ~on[at]]
+            on[at] = True
+            front = code[at]
+        return g.iloc[order[on]][["frame_id", "y", "x"]]
+
+    found = cand.groupBy("frame_id").applyInPandas(follow, f"frame_id {kind}, y int, x int").withColumn("e", F.lit(255))
     return gray.select("frame_id", "y", "x", "c").join(found, ["frame_id", "y", "x"], "left").select("frame_id", "y", "x", "c", F.coalesce("e", F.lit(0)).alias("v"))
 
 

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pixeltide.operators.rounds import checkpoint
-
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """pipeline_id (the file's place), doc: one JSON document per file."""
@@ -42,35 +40,44 @@ def validate_links(links: DataFrame, order: list[str], port: list[str] | None =
     return links.where(F.col("src_type") == F.col("dst_type")).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def pipeline_levels(nodes: DataFrame, links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def pipeline_levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """pipeline_id, node_id, level: 0 for producers, else one more than the highest input; null on or behind a cycle.
 
-    Each round settles the nodes whose inputs are all settled, and is checkpointed; it ends when none is left or new.
+    A document is a handful of nodes: each is settled by itself, from its nodes and links as arrays. An input that is no
+    node of the document counts as a producer.
     """
-    keys = ["pipeline_id", "node_id"]
-    edges = links.select("pipeline_id", F.col("src"), F.col("dst").alias("node_id")).distinct()
-    todo = nodes.select(*keys).distinct()
-    edges = checkpoint(edges.join(todo, keys, "left_semi"))
-    done = checkpoint(todo.join(edges.select(*keys).distinct(), keys, "left_anti").withColumn("level", F.lit(0)))
-    todo = checkpoint(todo.join(done, keys, "left_anti"))
-    for level in range(1, max_rounds):
-        if todo.isEmpty():
-            break
-        waiting = edges.join(todo.select("pipeline_id", F.col("node_id").alias("src")), ["pipeline_id", "src"], "left_semi")
-        ready = checkpoint(todo.join(waiting.select(*keys).distinct(), keys, "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
-            break
-        done = done.unionByName(ready)
-        todo = checkpoint(todo.join(ready, keys, "left_anti"))
-        if level % 16 == 0:
-            done = checkpoint(done)
-    return done.unionByName(todo.withColumn("level", F.lit(None).cast("int")))
+    n = nodes.select("pipeline_id", "node_id").distinct().groupBy("pipeline_id").agg(F.collect_list("node_id").alias("ns"))
+    e = links.select("pipeline_id", "src", "dst").distinct().groupBy("pipeline_id").agg(F.collect_list(F.struct("src", "dst")).alias("es"))
+    docs = n.join(e, "pipeline_id", "left").select("pipeline_id", "ns", *[F.coalesce(F.col("es").getField(c), F.array().cast(f"array<{links.schema[c].dataType.simpleString()}>")).alias(c) for c in ("src", "dst")])
+
+    @F.pandas_udf(f"array<struct<node_id:{nodes.schema['node_id'].dataType.simpleString()},level:int>>")
+    def settle(ns: pd.Series, srcs: pd.Series, dsts: pd.Series) -> pd.Series:
+        return pd.Series([levels(*x) for x in zip(ns, srcs, dsts, strict=True)])
+
+    return docs.select("pipeline_id", F.inline(settle("ns", "src", "dst")))
+
+
+def levels(nodes, srcs, dsts) -> list[dict]:
+    waits, leads = dict.fromkeys(nodes, 0), {}
+    for a, b in zip(srcs, dsts, strict=True):
+        if b in waits:
+            waits[b] += 1
+            leads.setdefault(a, []).append(b)
+    level = {a: 0 for a in {*waits, *leads} if not waits.get(a)}
+    ready = list(level)
+    for a in ready:
+        for b in leads.get(a, ()):
+            waits[b] -= 1
+            if not waits[b]:
+                level[b] = level[a] + 1  # inputs come in order of level, so the last one is the highest
+                ready.append(b)
+    return [{"node_id": n, "level": level.get(n)} for n in nodes]
 
 
 def version_check(nodes: DataFrame, current: DataFrame) -> DataFrame:
     """Nodes whose saved ver differs from current(key, ver)'s: the join is on the columns both have but ver."""
     keys = [c for c in current.columns if c != "ver"]
-    return nodes.join(F.broadcast(current.withColumnRenamed("ver", "code_ver")), keys).where(~F.col("ver").eqNullSafe(F.col("code_ver")))
+    return nodes.join(current.withColumnRenamed("ver", "code_ver"), keys).where(~F.col("ver").eqNullSafe(F.col("code_ver")))
 
 
 def delete_nodes(nodes: DataFrame, links: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
