@@ -18,8 +18,8 @@ def class_color(i: Column) -> list[Column]:
 
 
 def with_labels(df: DataFrame, labels: DataFrame, by: str = "class_id", name: str = "name") -> DataFrame:
-    """A left join with labels(class_id, name), which is small."""
-    return df.join(F.broadcast(labels.select(F.col("class_id").alias(by), F.col("name").alias(name))), by, "left")
+    """A left join with labels(class_id, name), which Spark broadcasts while they are small."""
+    return df.join(labels.select(F.col("class_id").alias(by), F.col("name").alias(name)), by, "left")
 
 
 def _record(df: DataFrame, kind: str, x1, y1, x2, y2, text, color, thickness: int) -> DataFrame:

@@ -153,7 +153,7 @@ def palette(name: str) -> list[tuple[int, int, int, int]]:
 
 def apply_colormap(px: DataFrame, lut: DataFrame) -> DataFrame:
     """Gray values through a palette table (v, b, g, r)."""
-    return spread(px.join(F.broadcast(lut), "v"))
+    return spread(px.join(lut, "v"))
 
 
 def bgr_to_hsv(px: DataFrame) -> DataFrame:

@@ -55,16 +55,33 @@ def throttle_latest(frames: DataFrame, interval: str) -> DataFrame:
     return frames.groupBy("source_id", F.window("ts", interval)).agg(newest).select("source_id", F.col("window.start").alias("start"), "f.frame_id", "f.ts")
 
 
-def as_of(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+BUCKET = "day"
+
+
+def last_known(df: DataFrame, value: str, order: list[str], bucket: str = BUCKET) -> DataFrame:
+    """Adds _v: the last value up to each row of a source that isn't null, in the given order (which starts with ts).
+
+    A source is dealt out by buckets of its time, so a busy one is no single task; what a bucket ends with is carried to
+    the next one's start over one row per bucket.
+    """
+    df = df.withColumn("_b", F.date_trunc(bucket, "ts"))
+    here = Window.partitionBy("source_id", "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = df.groupBy("source_id", "_b").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_e"))
+    past = Window.partitionBy("source_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("source_id").alias("_s"), F.col("_b").alias("_t"), F.last("_e", ignorenulls=True).over(past).alias("_c"))
+    both = df.join(carried, F.col("source_id").eqNullSafe(F.col("_s")) & F.col("_b").eqNullSafe(F.col("_t")))
+    return both.withColumn("_v", F.coalesce(F.last(value, ignorenulls=True).over(here), F.col("_c"))).drop("_b", "_s", "_t", "_c")
+
+
+def as_of(left: DataFrame, right: DataFrame, columns: list[str], bucket: str = BUCKET) -> DataFrame:
     """Adds columns of the latest row of right(source_id, ts, ...) that is not after each row of left.
 
-    Both sides meet in one window per source; at equal times the right row applies.
+    Both sides meet in windows per source and bucket of time; at equal times the right row applies.
     """
     marked = [F.struct(*[F.col(c) for c in columns]).alias("_r")]
     a = left.withColumn("_r", F.lit(None).cast(right.select(*marked).schema["_r"].dataType)).withColumn("_k", F.lit(1))
     b = right.select("source_id", "ts", *marked, F.lit(0).alias("_k"))
-    w = Window.partitionBy("source_id").orderBy("ts", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_v", F.last("_r", ignorenulls=True).over(w))
+    both = last_known(a.unionByName(b, allowMissingColumns=True), "_r", ["ts", "_k"], bucket)
     return both.where("_k = 1").select(*left.columns, *[F.col(f"_v.{c}").alias(c) for c in columns])
 
 
@@ -82,7 +99,8 @@ def recording_sessions(ticks: DataFrame) -> DataFrame:
 
 def hold_last(ticks: DataFrame, column: str = "payload") -> DataFrame:
     """A tick without a frame repeats the last one."""
-    return ticks.withColumn(column, F.last(column, ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
+    held = last_known(ticks, column, ["ts"])
+    return held.select(*[F.col("_v").alias(c) if c == column else F.col(c) for c in ticks.columns])
 
 
 def gate(frames: DataFrame, switch: DataFrame) -> DataFrame:

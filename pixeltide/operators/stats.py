@@ -93,7 +93,7 @@ def brisque_features(px: DataFrame, width: int = 8, height: int = 8, ranges: Dat
     if ranges is None:
         return both
     span = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low"))
-    return both.join(F.broadcast(ranges), "feature").select("frame_id", "feature", (-1 + 2 * (F.col("value") - F.col("low")) / span).alias("value"))
+    return both.join(ranges, "feature").select("frame_id", "feature", (-1 + 2 * (F.col("value") - F.col("low")) / span).alias("value"))
 
 
 def scale_features(px: DataFrame, width: int, height: int) -> DataFrame:

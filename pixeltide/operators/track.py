@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from pixeltide.functions.assign import within
 from pixeltide.operators.detect import BOX, iou
+from pixeltide.operators.trackers import Axis
 
 
 def iou_pairs(a: DataFrame, b: DataFrame, keys: list[str], eps: float = 1e-7, plus_one: bool = False) -> DataFrame:
@@ -74,88 +75,99 @@ def assign_greedy(pairs: DataFrame, keys: list[str], limit: float) -> DataFrame:
     return a.select(*keys, F.inline(kept)).select(*keys, "a_id", "b_id", "cost")
 
 
-def _ordered(rows: DataFrame, keys: list[str], columns: list[Column]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("frame_no", *columns))).alias("m"))
+def _along(rows: DataFrame, keys: list[str], names: list[str], start, step) -> DataFrame:
+    """A state carried along each track by frame_no: step(state, row) changes it and returns the numbers `names`.
 
-
-def _fold(rows: DataFrame, keys: list[str], names: list[str], first, step) -> DataFrame:
-    """A struct of numbers carried along each track; every state of it comes out, with its frame_no.
-
-    `out` collects the states, so a track's length bounds the array.
+    A track is a sequence by its nature; it goes through one worker, in time and memory that follow its length.
     """
+    columns = [c for c in rows.columns if c not in keys]
 
-    def state(values: dict[str, Column], frame) -> Column:
-        return F.struct(frame.alias("frame_no"), *[values[n].cast("double").alias(n) for n in names])
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(columns)
+        state, out = start(), []
+        for z in g[columns[1:]].itertuples(index=False):
+            out.append(step(state, z))
+        made = pd.DataFrame(out, columns=names)
+        return pd.concat([g[[*keys, "frame_no"]].reset_index(drop=True), made], axis=1)
 
-    start = F.array(state(first(F.col("m")[0]), F.col("m")[0]["frame_no"]))
-    rest = F.slice("m", F.lit(2), F.greatest(F.lit(0), F.size("m") - 1))
-    folded = F.aggregate(rest, start, lambda acc, z: F.concat(acc, F.array(state(step(F.element_at(acc, -1), z), z["frame_no"]))))
-    return rows.select(*keys, F.inline(folded))
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in [*keys, "frame_no"])
+    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, {', '.join(f'{n} double' for n in names)}")
 
 
 def kalman_smooth(dets: DataFrame, keys: list[str], model: str = "box") -> DataFrame:
     """Filtered centres and sizes of each track's measurements, one step per measurement. model: box or xyah.
 
     box: 30 steps a second, centre with velocity, static size. xyah: one step a frame; centre, aspect, height with
-    velocity and noise in shares of the filtered height. Numbers in arrays of states stay columns; nothing runs in Python.
+    velocity and noise in shares of the filtered height.
     """
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    lit = lambda v: F.lit(float(v))
-    if model == "box":
-        dt, q, axes, sizes = 1 / 30, 5000.0, ["cx", "cy"], ["w", "h"]
-        rows = _ordered(dets, keys, [cx.alias("cx"), cy.alias("cy"), w.alias("w"), h.alias("h")])
-
-        def first(z):
-            out = {}
-            for n in axes:
-                out |= {n: z[n], f"v{n}": lit(0), f"a{n}": lit(1000), f"b{n}": lit(0), f"c{n}": lit(1000)}
-            for n in sizes:
-                out |= {n: z[n], f"p{n}": lit(1000)}
-            return out
-
-        noise = lambda s: {n: (q * dt**4 / 4, q * dt**3 / 2, q * dt**2, lit(0.1)) for n in axes}
+    third = w.alias("w") if model == "box" else (w / h).alias("r")
+    rows = dets.select(*keys, "frame_no", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), third, h.alias("h"))
+    names = ["cx", "cy", "w", "h", "vcx", "vcy"] if model == "box" else ["cx", "cy", "r", "h", "vcx", "vcy", "vr", "vh"]
+    return _along(rows, keys, names, list, _box_step if model == "box" else _xyah_step)
+
+
+def _box_step(state: list, z) -> list[float]:
+    dt, q = 1 / 30, 5000.0
+    if not state:
+        state += [Axis(z[0], 1000.0, 1000.0), Axis(z[1], 1000.0, 1000.0), [z[2], 1000.0], [z[3], 1000.0]]
+    else:
+        for a, v in zip(state[:2], z[:2], strict=True):
+            a.predict(dt, q * dt**4 / 4, q * dt**3 / 2, q * dt**2)
+            a.update(v, 0.1)
+        for size, v in zip(state[2:], z[2:], strict=True):
+            size[1] += 10.0
+            k = size[1] / (size[1] + 1.0)
+            size[0] += k * (v - size[0])
+            size[1] *= 1 - k
+    x, y, w, h = state
+    return [x.x, y.x, w[0], h[0], x.v, y.v]
+
+
+def _xyah_step(state: list, z) -> list[float]:
+    if not state:
+        hh = z[3] * z[3]
+        state += [Axis(v, 1e-4, 1e-10) if k == 2 else Axis(v, hh * 0.01, hh * (10 / 160) ** 2) for k, v in enumerate(z)]
     else:
-        dt, axes, sizes = 1.0, ["cx", "cy", "r", "h"], []
-        rows = _ordered(dets, keys, [cx.alias("cx"), cy.alias("cy"), (w / h).alias("r"), h.alias("h")])
-
-        def first(z):
-            out = {}
-            for n in axes:
-                p, v = (lit(1e-4), lit(1e-10)) if n == "r" else (z["h"] * z["h"] * 0.01, z["h"] * z["h"] * (10 / 160) ** 2)
-                out |= {n: z[n], f"v{n}": lit(0), f"a{n}": p, f"b{n}": lit(0), f"c{n}": v}
-            return out
-
-        def noise(s):
-            hh, then = s["h"] * s["h"], (s["h"] + s["vh"]) * (s["h"] + s["vh"])
-            return {n: (lit(1e-4), 0.0, lit(1e-10), lit(1e-2)) if n == "r" else (hh * 0.0025, 0.0, hh * (1 / 160) ** 2, then * 0.0025) for n in axes}
-
-    def step(s, z):
-        out = {}
-        for n, (qp, qb, qv, r) in noise(s).items():
-            x, v, a, b, c = (s[f"{k}{n}"] for k in ("", "v", "a", "b", "c"))
-            x, a, b, c = x + dt * v, a + 2 * dt * b + dt * dt * c + qp, b + dt * c + qb, c + qv
-            k, g, y = a / (a + r), b / (a + r), z[n] - x
-            out |= {n: x + k * y, f"v{n}": v + g * y, f"a{n}": a * (1 - k), f"b{n}": b * (1 - k), f"c{n}": c - g * b}
-        for n in sizes:
-            p = s[f"p{n}"] + 10.0
-            k = p / (p + 1.0)
-            out |= {n: s[n] + k * (z[n] - s[n]), f"p{n}": p * (1 - k)}
-        return out
-
-    names = [f"{k}{n}" for n in axes for k in ("", "v", "a", "b", "c")] + [f"{k}{n}" for n in sizes for k in ("", "p")]
-    return _fold(rows, keys, names, first, step).select(*keys, "frame_no", *axes, *sizes, *[f"v{n}" for n in axes])
-
-
-def smooth_tracks(tracks: DataFrame, keys: list[str]) -> DataFrame:
-    """Score as .8 old + .2 new, box as half old and half new, class as the most frequent so far (the one seen first on ties)."""
-    rows = _ordered(tracks, keys, [F.col("score"), *map(F.col, BOX)])
-    half = lambda s, z, n: s[n] * 0.5 + z[n] * 0.5
-    num = _fold(rows, keys, ["score", *BOX], lambda z: {n: z[n] for n in ("score", *BOX)}, lambda s, z: {"score": s["score"] * 0.8 + z["score"] * 0.2, **{n: half(s, z, n) for n in BOX}})
+        hh, then = state[3].x ** 2, (state[3].x + state[3].v) ** 2
+        for k, (a, v) in enumerate(zip(state, z, strict=True)):
+            a.predict(1.0, *((1e-4, 0.0, 1e-10) if k == 2 else (hh * 0.0025, 0.0, hh * (1 / 160) ** 2)))
+            a.update(v, 1e-2 if k == 2 else then * 0.0025)
+    return [a.x for a in state] + [a.v for a in state]
+
+
+def _mean_step(state: list, z) -> list[float]:
+    new = z if not state else [state[0] * 0.8 + z[0] * 0.2, *[o * 0.5 + v * 0.5 for o, v in zip(state[1:], z[1:], strict=True)]]
+    state[:] = new
+    return list(state)
+
+
+def smooth_tracks(tracks: DataFrame, keys: list[str], feature: str | None = None) -> DataFrame:
+    """Score as .8 old + .2 new, box as half old and half new, class as the most frequent so far (the one seen first on ties).
+
+    feature: a column with an array of numbers, which goes on as .9 old + .1 new; a null leaves it as it is.
+    """
+    num = _along(tracks.select(*keys, "frame_no", "score", *BOX), keys, ["score", *BOX], list, _mean_step)
     so_far = Window.partitionBy(*keys).orderBy("frame_no")
     per = tracks.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "class_id").orderBy("frame_no"))).withColumn("_first", F.min("frame_no").over(Window.partitionBy(*keys, "class_id")))
     best = per.withColumn("_b", F.max(F.struct("_n", (-F.col("_first")).alias("f"), "class_id")).over(so_far))
-    return num.join(best.select(*keys, "frame_no", F.col("_b.class_id").alias("class_id")), [*keys, "frame_no"])
+    out = num.join(best.select(*keys, "frame_no", F.col("_b.class_id").alias("class_id")), [*keys, "frame_no"])
+    return out if feature is None else out.join(_mean_features(tracks, keys, feature), [*keys, "frame_no"])
+
+
+def _mean_features(tracks: DataFrame, keys: list[str], feature: str) -> DataFrame:
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("frame_no")
+        state, out = None, []
+        for x in g[feature]:
+            if x is not None:
+                new = np.asarray(x, float)
+                state = new if state is None else 0.9 * state + 0.1 * new
+            out.append(state)
+        return g.assign(**{feature: out})
+
+    rows = tracks.select(*keys, "frame_no", F.col(feature).cast("array<double>").alias(feature))
+    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
 
 
 def dedupe_tracks(tracked: DataFrame, lost: DataFrame, keys: list[str], limit: float = 0.15) -> tuple[DataFrame, DataFrame]:
