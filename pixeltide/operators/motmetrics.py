@@ -38,8 +38,9 @@ def matches(truth: DataFrame, tracks: DataFrame, limit: float = LIMIT) -> DataFr
             if left:
                 rows, columns = sorted({a for a, _ in left}), sorted({b for _, b in left})
                 m = np.full((len(rows), len(columns)), 1e9)
+                row, column = ({x: i for i, x in enumerate(xs)} for xs in (rows, columns))
                 for a, b in left:
-                    m[rows.index(a), columns.index(b)] = cost[a, b]
+                    m[row[a], column[b]] = cost[a, b]
                 now |= {rows[i]: columns[j] for i, j in within(m, limit)}
             before |= now
             out += [(g.seq.iloc[0], n, a, b, cost[a, b]) for a, b in now.items()]

@@ -1,7 +1,7 @@
 """Multi-object trackers as keyed state: one step per frame of a stream, the same in batch and in a stream.
 
 A tracker has a `step(frame_no, dets)` that returns rows (track_id, x1, y1, x2, y2, score, class_id); dets is a list of
-(det_id, x1, y1, x2, y2, score, class_id). State is plain numbers, so it pickles. Track ids tell stream, frame and
+(det_id, x1, y1, x2, y2, score, class_id), and a feature (a list of numbers or None) where dets have one. State is plain numbers, so it pickles. Track ids tell stream, frame and
 detection of a track's birth. Every axis of the motion models is a filter of its own: position and velocity, or a size.
 """
 
@@ -41,6 +41,27 @@ class Axis:
         self.a *= 1 - k
 
 
+class Accelerating:
+    """Constant-acceleration filter of one number."""
+
+    def __init__(self, z, p0):
+        self.s, self.p = np.array([z, 0.0, 0.0]), np.eye(3) * p0
+
+    @property
+    def x(self):
+        return float(self.s[0])
+
+    def predict(self, dt, q):
+        f = np.array([[1, dt, dt * dt / 2], [0, 1, dt], [0, 0, 1]])
+        g = np.array([dt * dt / 2, dt, 1])
+        self.s, self.p = f @ self.s, f @ self.p @ f.T + q * np.outer(g, g)
+
+    def update(self, z, r):
+        k = self.p[:, 0] / (self.p[0, 0] + r)
+        self.s = self.s + k * (z - self.s[0])
+        self.p = self.p - np.outer(k, self.p[0])
+
+
 def overlap(a: np.ndarray, b: np.ndarray, eps: float = 0.0) -> np.ndarray:
     """IoU of all pairs of two lists of boxes."""
     a, b = np.asarray(a, float).reshape(-1, 1, 4), np.asarray(b, float).reshape(1, -1, 4)
@@ -50,37 +71,53 @@ def overlap(a: np.ndarray, b: np.ndarray, eps: float = 0.0) -> np.ndarray:
     return np.divide(both, area + eps, out=np.zeros_like(both), where=area + eps > 0)
 
 
+MOTIONS = ("velocity", "acceleration", "none")
+
+
 class BoxTrack:
-    """A track of the box tracker: centre with velocity, static size, smoothed score, most frequent class."""
+    """A track of the box tracker: moving centre, static size, smoothed score and feature, most frequent class.
+
+    Its motion is of constant velocity or acceleration, or none: then a box is half the old and half the new one.
+    """
 
     DT, Q, R, Q_SIZE, R_SIZE, P0 = 1 / 30, 5000.0, 0.1, 10.0, 1.0, 1000.0
 
-    def __init__(self, name, det):
-        _, x1, y1, x2, y2, score, cls = det
-        self.name, self.score, self.alive, self.hits, self.stale = name, score, 1, 1, 0
-        self.axes = [Axis((x1 + x2) / 2, self.P0, self.P0), Axis((y1 + y2) / 2, self.P0, self.P0)]
+    def __init__(self, name, det, motion="velocity"):
+        _, x1, y1, x2, y2, score, cls, *_ = det
+        self.name, self.score, self.alive, self.hits, self.stale, self.motion, self.feature = name, score, 1, 1, 0, motion, None
+        centre = (x1 + x2) / 2, (y1 + y2) / 2
+        self.axes = [Accelerating(z, self.P0) for z in centre] if motion == "acceleration" else [Axis(z, self.P0, self.P0) for z in centre]
         self.size = [[x2 - x1, self.P0], [y2 - y1, self.P0]]
         self.classes = {cls: 1}
 
     def predict(self):
+        self.alive += 1
+        if self.motion == "none":
+            return
         dt, q = self.DT, self.Q
         for a in self.axes:
-            a.predict(dt, q * dt**4 / 4, q * dt**3 / 2, q * dt**2)
+            a.predict(*((dt, q) if self.motion == "acceleration" else (dt, q * dt**4 / 4, q * dt**3 / 2, q * dt**2)))
         for s in self.size:
             s[1] += self.Q_SIZE
-        self.alive += 1
 
     def update(self, det):
-        _, x1, y1, x2, y2, score, cls = det
+        _, x1, y1, x2, y2, score, cls, *feature = det
+        still = self.motion == "none"
         for a, z in zip(self.axes, ((x1 + x2) / 2, (y1 + y2) / 2), strict=True):
-            a.update(z, self.R)
+            if still:
+                a.x = (a.x + z) / 2
+            else:
+                a.update(z, self.R)
         for s, z in zip(self.size, (x2 - x1, y2 - y1), strict=True):
-            k = s[1] / (s[1] + self.R_SIZE)
+            k = 0.5 if still else s[1] / (s[1] + self.R_SIZE)
             s[0] += k * (z - s[0])
             s[1] *= 1 - k
         self.hits += 1
         self.classes[cls] = self.classes.get(cls, 0) + 1
         self.score = 0.8 * self.score + 0.2 * score
+        if feature and feature[0] is not None:
+            new = np.asarray(feature[0], float)
+            self.feature = new if self.feature is None else 0.9 * self.feature + 0.1 * new
         self.stale = max(0, self.stale - 3)
 
     @property
@@ -93,12 +130,26 @@ class BoxTrack:
 
 
 class BoxTracker:
-    """Optimal matching by IoU; further detections that overlap a matched track strongly update it too."""
+    """Optimal matching by IoU; further detections that overlap a matched track strongly update it too.
+
+    With beta, overlaps count beta + (1 - beta) times the likeness of features (1 less half their cosine distance) when
+    tracks are matched, as long as all tracks and detections of a frame have one; a track has none before its first match.
+    """
 
-    def __init__(self, stream, min_iou=0.25, multi_iou=0.93, max_stale=5, min_alive=3):
+    def __init__(self, stream, min_iou=0.25, multi_iou=0.93, max_stale=5, min_alive=3, motion="velocity", beta=None):
+        assert motion in MOTIONS
+        self.motion, self.beta = motion, beta
         self.stream, self.min_iou, self.multi_iou, self.max_stale, self.min_alive = stream, min_iou, multi_iou, max_stale, min_alive
         self.tracks: list[BoxTrack] = []
 
+    def aptitude(self, m, dets):
+        a, b = [t.feature for t in self.tracks], [d[7] if len(d) > 7 else None for d in dets]
+        if self.beta is None or any(x is None for x in [*a, *b]):
+            return m
+        unit = lambda rows: (v := np.array([np.asarray(x, float) for x in rows])) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        like = 1 - np.maximum(0.0, 1 - unit(a) @ unit(b).T) / 2
+        return m * (self.beta + (1 - self.beta) * like)
+
     def step(self, frame_no, dets):
         dets = [d for d in dets if None not in d[1:5] and not np.isnan(d[1:5]).any()]
         for t in self.tracks:
@@ -107,14 +158,14 @@ class BoxTracker:
         pairs = []
         if known and dets:
             m = overlap([t.box() for t in self.tracks], [d[1:5] for d in dets], 1e-7)
-            for i, j in optimal(-m):
+            for i, j in optimal(-self.aptitude(m, dets)):
                 if m[i, j] >= self.min_iou:
                     pairs.append((i, j))
                 pairs += [(i, k) for k in range(len(dets)) if k != j and m[i, k] > self.multi_iou]
         for i, j in pairs:
             self.tracks[i].update(dets[j])
         matched, taken = {i for i, _ in pairs}, {j for _, j in pairs}
-        self.tracks += [BoxTrack(f"{self.stream}:{frame_no}:{d[0]}", d) for j, d in enumerate(dets) if j not in taken]
+        self.tracks += [BoxTrack(f"{self.stream}:{frame_no}:{d[0]}", d, self.motion) for j, d in enumerate(dets) if j not in taken]
         for i, t in enumerate(self.tracks):  # new tracks count as unmatched in their first step
             if i not in matched:
                 t.stale += 1
@@ -159,9 +210,13 @@ class ScoreTrack:
 
 
 class ScoreTracker:
-    """High scores are matched first, then low ones with what is left; unmatched tracks stay lost for a while."""
+    """High scores are matched first, then low ones with what is left; unmatched tracks stay lost for a while.
+
+    crowded: overlaps are not weighed by scores.
+    """
 
-    def __init__(self, stream, high=0.5, low=0.1, match=0.8, again=0.5, unsure=0.7, fps=30, buffer=30, min_area=10.0):
+    def __init__(self, stream, high=0.5, low=0.1, match=0.8, again=0.5, unsure=0.7, fps=30, buffer=30, min_area=10.0, crowded=False):
+        self.crowded = crowded
         self.stream, self.high, self.low, self.match, self.again, self.unsure = stream, high, low, match, again, unsure
         self.keep, self.min_area, self.frames = int(fps / 30 * buffer), min_area, 0
         self.tracked: list[ScoreTrack] = []
@@ -171,7 +226,7 @@ class ScoreTracker:
         if not tracks or not dets:
             return []
         m = overlap([t.box() for t in tracks], [d[1:5] for d in dets])
-        return within(1 - m * np.array([d[5] for d in dets]) if fuse else 1 - m, limit)
+        return within(1 - m * np.array([d[5] for d in dets]) if fuse and not self.crowded else 1 - m, limit)
 
     def step(self, frame_no, dets):
         self.frames += 1
@@ -221,12 +276,12 @@ class PointTrack:
     """A track of the point tracker: four coordinates with velocity, a hit counter, and counters for both corners."""
 
     R, Q_POS, Q_VEL, P_POS, P_VEL = 4.0, 1.0, 0.1, 1.0, 10.0
-    LEAST, MOST, DELAY = 10, 25, 7
-    POINT_LEAST, POINT_MOST = 2, 7
-
-    def __init__(self, name, det):
+    def __init__(self, name, det, least=10, most=25, delay=None, period=1):
+        self.LEAST, self.MOST, self.period = least, most, period
+        self.DELAY = (most - least) // 2 if delay is None else delay
+        self.POINT_LEAST, self.POINT_MOST = least // 4, max(-(-most // 4), least // 4 + period)
         self.name, self.score, self.cls = name, det[5], det[6]
-        self.hits, self.known, self.points, self.seen = self.LEAST + 1, False, self.POINT_LEAST, False
+        self.hits, self.known, self.points, self.seen = self.LEAST + period, False, self.POINT_LEAST, False
         self.axes = [Axis(z, self.P_POS, self.P_VEL) for z in det[1:5]]
 
     def predict(self):
@@ -240,10 +295,10 @@ class PointTrack:
 
     def update(self, det):
         if self.hits < self.MOST:
-            self.hits += 2
+            self.hits += 2 * self.period
         over = det[5] > 0
         if over:
-            self.points += 2
+            self.points += 2 * self.period
         self.points = max(0, min(self.points, self.POINT_MOST))
         if over:
             for a, z in zip(self.axes, det[1:5], strict=True):
@@ -259,18 +314,32 @@ class PointTrack:
         return self.known
 
 
+#: Distances of all pairs of two arrays of boxes: of all four coordinates, of the corners on average, and of overlap.
+DISTANCES = {
+    "euclidean": lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)),
+    "corners": lambda a, b: np.sqrt(((a[:, None] - b[None]).reshape(len(a), len(b), 2, 2) ** 2).sum(-1)).mean(-1),
+    "iou": lambda a, b: 1 - overlap(a, b),
+}
+
+
 class PointTracker:
-    """Greedy matching by the Euclidean distance of both corners; tracks count once they were hit often enough."""
+    """Greedy matching by a distance of both corners; tracks count once they were hit often enough.
+
+    distance: a name of DISTANCES, or a function of two arrays of boxes that can be pickled. period: frames from one step
+    to the next, which a hit makes good. least, most, delay: bounds of the hit counter, and how far over the least one a
+    track counts (half the range if None).
+    """
 
-    def __init__(self, stream, limit=30.0):
-        self.stream, self.limit = stream, limit
+    def __init__(self, stream, limit=30.0, distance="euclidean", period=1, least=10, most=25, delay=None):
+        self.stream, self.limit, self.distance = stream, limit, distance
+        self.options = {"least": least, "most": most, "delay": delay, "period": period}
         self.tracks: list[PointTrack] = []
 
     def match(self, tracks, dets):
         if not tracks or not dets:
             return dets
         a, b = np.array([d[1:5] for d in dets], float), np.array([t.box() for t in tracks])
-        cost = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+        cost = (DISTANCES[self.distance] if isinstance(self.distance, str) else self.distance)(a, b)
         taken = set()
         for i, j in greedy(cost, self.limit):
             tracks[j].update(dets[i])
@@ -284,7 +353,7 @@ class PointTracker:
         known = [t.settle() for t in self.tracks]
         left = self.match([t for t, k in zip(self.tracks, known, strict=True) if k], list(dets))
         left = self.match([t for t in self.tracks if not t.settle()], left)
-        self.tracks += [PointTrack(f"{self.stream}:{frame_no}:{d[0]}", d) for d in left]
+        self.tracks += [PointTrack(f"{self.stream}:{frame_no}:{d[0]}", d, **self.options) for d in left]
         return [(t.name, *t.box(), t.score, t.cls) for t in self.tracks if t.settle()]
 
 
@@ -295,7 +364,7 @@ FIELDS = ["det_id", "x1", "y1", "x2", "y2", "score", "class_id"]
 
 def advance(tracker, last: int | None, rows: pd.DataFrame, stream: int) -> tuple[pd.DataFrame, int | None]:
     """Steps through the frames of rows, in order and without gaps; frames up to `last` came before and are left out."""
-    out = []
+    out, fields = [], [*FIELDS, *[c for c in ("feature",) if c in rows.columns]]
     rows = rows.sort_values(["frame_no", "det_id"])
     by_frame = dict(tuple(rows.groupby("frame_no")))
     for n in sorted(by_frame):
@@ -303,22 +372,48 @@ def advance(tracker, last: int | None, rows: pd.DataFrame, stream: int) -> tuple
             continue
         for gap in range(n if last is None else last + 1, n):
             out += [(stream, gap, *t) for t in tracker.step(gap, [])]
-        dets = list(by_frame[n][FIELDS].itertuples(index=False, name=None))
+        dets = list(by_frame[n][fields].itertuples(index=False, name=None))
         out += [(stream, n, *t) for t in tracker.step(n, dets)]
         last = n
     return pd.DataFrame(out, columns=["stream_id", "frame_no", "track_id", "x1", "y1", "x2", "y2", "score", "class_id"]), None if last is None else int(last)
 
 
 def track(dets: DataFrame, kind: str, **params) -> DataFrame:
-    """Tracks of dets(stream_id, frame_no, det_id, x1..y2, score, class_id), per stream (and class, by kind). Streams are the unit of parallel work."""
-    keys = ["stream_id", "class_id"] if PER_CLASS[kind] else ["stream_id"]
+    """Tracks of dets(stream_id, frame_no, det_id, x1..y2, score, class_id[, feature]), per stream (and class, by kind).
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        stream = int(rows.stream_id.iloc[0])
-        name = f"{stream}:{int(rows.class_id.iloc[0])}" if PER_CLASS[kind] else stream
-        return advance(TRACKERS[kind](name, **params), None, rows, stream)[0]
+    A stream is a sequence by its nature, so streams are the unit of parallel work. Its rows come sorted, in batches, and
+    only the tracker and one frame are kept between them.
+    """
+    keys = ["stream_id", "class_id"] if PER_CLASS[kind] else ["stream_id"]
 
-    return dets.groupBy(*keys).applyInPandas(run, SCHEMA)
+    def run(batches):
+        key, tracker, last, rest = None, None, None, None
+        for b in _and_end(batches):
+            if b is None:
+                rows, rest = rest, None
+            else:
+                b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+                if not len(b):
+                    continue
+                end = (b[[*keys, "frame_no"]] == b[[*keys, "frame_no"]].iloc[-1]).all(axis=1)  # a frame that may go on
+                rows, rest = b[~end], b[end]
+            if rows is None or not len(rows):
+                continue
+            part = (rows[keys] != rows[keys].shift()).any(axis=1).cumsum()
+            for _, g in rows.groupby(part, sort=False):
+                now = tuple(int(g[k].iloc[0]) for k in keys)
+                if now != key:
+                    key, last = now, None
+                    tracker = TRACKERS[kind](f"{now[0]}:{now[1]}" if PER_CLASS[kind] else now[0], **params)
+                out, last = advance(tracker, last, g, now[0])
+                yield out
+
+    return dets.repartition(*keys).sortWithinPartitions(*keys, "frame_no", "det_id").mapInPandas(run, SCHEMA)
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
 
 
 def save(tracker) -> bytes:

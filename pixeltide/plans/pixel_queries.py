@@ -137,12 +137,20 @@ g1 AS (SELECT *, u*u+w*w AS uu FROM g), g2 AS (SELECT *, (-2*uu + sqrt(4*uu*uu -
 g3 AS (SELECT y, x, t AS px, u*(t+1)*{n(math.cos(r))} + w*(t+1)*{n(math.sin(r))} AS py, w*(t+1)*{n(math.cos(r))} - u*(t+1)*{n(math.sin(r))} AS pz FROM g2),
 g4 AS (SELECT y, x, px*{n(math.cos(p))} - pz*{n(math.sin(p))} AS px, py, px*{n(math.sin(p))} + pz*{n(math.cos(p))} AS pz FROM g3),
 g5 AS (SELECT y, x, px*{n(math.cos(q))} + py*{n(math.sin(q))} AS px, py*{n(math.cos(q))} - px*{n(math.sin(q))} AS py, pz FROM g4),
-g6 AS (SELECT y, x, px, py, asin(pz) AS lat, asin(least(1e0, greatest(-1e0, py/cos(asin(pz))))) AS side FROM g5)
-SELECT f.frame_id, y, x, round(lat*8/pi() + 4, 6) AS src_y, round((CASE WHEN px<0 THEN (CASE WHEN py>0 THEN pi() WHEN py<0 THEN -pi() ELSE 0 END) - side ELSE side END)*8/(2*pi()) + 4, 6) AS src_x FROM g6, (SELECT DISTINCT frame_id FROM f1_gray) f"""
+g6 AS (SELECT y, x, px, py, asin(pz) AS lat, asin(least(1e0, greatest(-1e0, py/cos(asin(pz))))) AS side FROM g5),
+vm AS (SELECT y, x, lat*8/pi() + 4 AS src_y, (CASE WHEN px<0 THEN (CASE WHEN py>0 THEN pi() WHEN py<0 THEN -pi() ELSE 0 END) - side ELSE side END)*8/(2*pi()) + 4 AS src_x FROM g6)"""
 
 
-put("equirect_map", view_places, f"{G}, {_view_sql()}")
-put("equirect_view", on(GRAY, lambda p: R.equirect_view(p, **VIEW)))
+def _cubic(t, k):
+    d = f"abs({k} - ({t}))"
+    return f"CASE WHEN {d} <= 1 THEN 1.25e0*{d}*{d}*{d} - 2.25e0*{d}*{d} + 1 ELSE -0.75e0*{d}*{d}*{d} + 3.75e0*{d}*{d} - 6e0*{d} + 3 END"
+
+
+put("equirect_map", view_places, f"{G}, {_view_sql()} SELECT f.frame_id, y, x, round(src_y, 6) AS src_y, round(src_x, 6) AS src_x FROM vm, (SELECT DISTINCT frame_id FROM f1_gray) f")
+put("equirect_view", on(GRAY, lambda p: R.equirect_view(p, **VIEW)), f"""{G}, {_view_sql()},
+taps AS (SELECT y, x, CAST(floor(src_y) AS INT) + ky.i AS sy, CAST(floor(src_x) AS INT) + kx.i AS sx, ({_cubic("src_y - floor(src_y)", "ky.i")}) * ({_cubic("src_x - floor(src_x)", "kx.i")}) AS wt FROM vm, range(-1, 3) ky(i), range(-1, 3) kx(i)),
+sums AS (SELECT f.frame_id, t.y, t.x, f.c, sum(f.v * wt) AS s FROM f1_gray f JOIN taps t ON t.sy = f.y AND t.sx = f.x GROUP BY ALL)
+SELECT frame_id, y, x, c, CAST(least(255, greatest(0, round_even(round(s, 6), 0))) AS INT) AS v FROM sums""")
 
 
 def _mirror(e, n):

@@ -93,10 +93,28 @@ def stream_throttle(s, d):
     return streamed(s, d, run, "source_id long, start timestamp, frame_id long, at timestamp")
 
 
-put("stream_throttle_latest", stream_throttle)
+#: What a stream has given out at its end: windows that end no later than the last time seen less the delay.
+put("stream_throttle_latest", lambda s, d: stream_throttle(s, d).select("source_id", "frame_id", F.col("at").cast("timestamp_ntz").alias("at")), f"{FR}, b AS (SELECT *, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS w FROM f5_frames), k AS (SELECT *, row_number() OVER (PARTITION BY source_id, w ORDER BY ts DESC) AS k FROM b) SELECT source_id, frame_id, ts AS at FROM k WHERE k = 1 AND w + INTERVAL '6 hours' <= (SELECT max(ts) FROM f5_frames) - INTERVAL '1 hour'")
+
+
+def stream_sessions(s, d):
+    from pixeltide.streaming import stateful
+
+    def run(events):
+        f = events.where("event_type in ('view','click')").select(F.col("user_id").alias("source_id"), "ts")
+        return stateful.recording_sessions(stateful.prepare(f, "1 hour"), "12 hours")
+
+    out = streamed(s, d, run, "source_id long, start timestamp, end timestamp, frames long")
+    return out.select("source_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "frames")
+
+
+put("stream_recording_sessions", stream_sessions, f"""{FR}, n AS (SELECT *, CASE WHEN lag(ts) OVER w + INTERVAL '12 hours' >= ts THEN 0 ELSE 1 END AS st FROM f5_frames WINDOW w AS (PARTITION BY source_id ORDER BY ts)),
+g AS (SELECT *, sum(st) OVER (PARTITION BY source_id ORDER BY ts) AS k FROM n), x AS (SELECT source_id, min(ts) AS start, max(ts) + INTERVAL '12 hours' AS "end", count(*) AS frames FROM g GROUP BY source_id, k)
+SELECT source_id, start, "end", frames FROM x WHERE "end" <= (SELECT max(ts) FROM f5_frames) - INTERVAL '1 hour'""")
 
 # --- pairs of boxes of one stream: a frame's with the next frame's
-A = "a AS (SELECT stream_id, frame_no, det_id AS a_id, x1, y1, x2, y2, score FROM f4_stream), b AS (SELECT stream_id, frame_no-1 AS frame_no, det_id AS b_id, x1, y1, x2, y2, score FROM f4_stream)"
+A = "a AS MATERIALIZED (SELECT stream_id, frame_no, det_id AS a_id, x1, y1, x2, y2, score FROM f4_stream), b AS MATERIALIZED (SELECT stream_id, frame_no-1 AS frame_no, det_id AS b_id, x1, y1, x2, y2, score FROM f4_stream)"
+ONCE = ST.replace("f4_stream AS (", "f4_stream AS MATERIALIZED (")
 FKEY = ["stream_id", "frame_no"]
 
 
@@ -108,7 +126,7 @@ def next_pairs(s, d):
 
 
 PAIRS = f"{A}, pr AS (SELECT a.stream_id, a.frame_no, a_id, b_id, a.score AS a_score, b.score AS b_score, {iou_sql('a', 'b', 0, '1e-7')} AS iou FROM a JOIN b ON b.stream_id=a.stream_id AND b.frame_no=a.frame_no)"
-put("iou_pairs", lambda s, d: next_pairs(s, d).select(*FKEY, "a_id", "b_id", F.round("iou", 6).alias("iou")), f"{ST}, {PAIRS} SELECT stream_id, frame_no, a_id, b_id, round(iou, 6) AS iou FROM pr")
+put("iou_pairs", lambda s, d: next_pairs(s, d).select(*FKEY, "a_id", "b_id", F.round("iou", 6).alias("iou")), f"{ONCE}, {PAIRS} SELECT stream_id, frame_no, a_id, b_id, round(iou, 6) AS iou FROM pr")
 
 
 def appearance(s, d):
@@ -119,7 +137,7 @@ def appearance(s, d):
 
 
 put("appearance_pairs", appearance, "WITH p AS (SELECT a.vec_id AS a_id, greatest(0e0, 1-list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS c FROM embeddings a JOIN embeddings b ON b.vec_id=a.vec_id+1) SELECT a_id, round(c, 6) AS cosdist, round(1-c/2, 6) AS similarity, round((a_id%10)/10e0*(0.5+0.5*(1-c/2)), 6) AS aptitude FROM p")
-put("fuse_cost", lambda s, d: T.fuse_cost(next_pairs(s, d).withColumn("score", F.col("b_score")).withColumn("reid", (F.col("a_id") + 1) / (F.col("b_id") + 2)).withColumn("gate", F.abs(F.col("a_id") - F.col("b_id")).cast("double"))).select(*FKEY, "a_id", "b_id", *[F.round(c, 6).alias(c) for c in ("by_score", "by_iou", "by_motion")]), f"{ST}, {PAIRS} SELECT stream_id, frame_no, a_id, b_id, round(1-iou*b_score, 6) AS by_score, round(1-(a_id+1)/CAST(b_id+2 AS DOUBLE)*(1+iou)/2, 6) AS by_iou, round(0.98e0*(1-iou)+0.02e0*abs(a_id-b_id), 6) AS by_motion FROM pr")
+put("fuse_cost", lambda s, d: T.fuse_cost(next_pairs(s, d).withColumn("score", F.col("b_score")).withColumn("reid", (F.col("a_id") + 1) / (F.col("b_id") + 2)).withColumn("gate", F.abs(F.col("a_id") - F.col("b_id")).cast("double"))).select(*FKEY, "a_id", "b_id", *[F.round(c, 6).alias(c) for c in ("by_score", "by_iou", "by_motion")]), f"{ONCE}, {PAIRS} SELECT stream_id, frame_no, a_id, b_id, round(1-iou*b_score, 6) AS by_score, round(1-(a_id+1)/CAST(b_id+2 AS DOUBLE)*(1+iou)/2, 6) AS by_iou, round(0.98e0*(1-iou)+0.02e0*abs(a_id-b_id), 6) AS by_motion FROM pr")
 
 
 def gated(s, d):
@@ -134,7 +152,7 @@ def gated(s, d):
 
 
 _MEAS = "SELECT stream_id, frame_no, det_id, (x1+x2)/2 AS x, (y1+y2)/2 AS y, (x2-x1)/(y2-y1) AS a, y2-y1 AS h FROM f4_stream"
-put("gate_pairs", gated, f"{ST}, m AS ({_MEAS}), g AS (SELECT p.stream_id, p.frame_no, p.det_id AS a_id, q.det_id AS b_id, (p.x-q.x)*(p.x-q.x)/(p.h*p.h*0.0125e0) + (p.y-q.y)*(p.y-q.y)/(p.h*p.h*0.0125e0) + (p.a-q.a)*(p.a-q.a)/0.0101e0 + (p.h-q.h)*(p.h-q.h)/(p.h*p.h*0.0125e0) AS gate FROM m p JOIN m q ON q.stream_id=p.stream_id AND q.frame_no=p.frame_no+1) SELECT stream_id, frame_no, a_id, b_id, round(gate, 6) AS gate FROM g WHERE gate <= 9.4877e0")
+put("gate_pairs", gated, f"{ONCE}, m AS MATERIALIZED ({_MEAS}), nx AS MATERIALIZED (SELECT * REPLACE (frame_no-1 AS frame_no) FROM m), g AS (SELECT p.stream_id, p.frame_no, p.det_id AS a_id, q.det_id AS b_id, (p.x-q.x)*(p.x-q.x)/(p.h*p.h*0.0125e0) + (p.y-q.y)*(p.y-q.y)/(p.h*p.h*0.0125e0) + (p.a-q.a)*(p.a-q.a)/0.0101e0 + (p.h-q.h)*(p.h-q.h)/(p.h*p.h*0.0125e0) AS gate FROM m p JOIN nx q ON q.stream_id=p.stream_id AND q.frame_no=p.frame_no) SELECT stream_id, frame_no, a_id, b_id, round(gate, 6) AS gate FROM g WHERE gate <= 9.4877e0")
 
 
 def costs(s, d):
@@ -228,6 +246,39 @@ _X, _Y = "floor(x1)", "floor(y1)"
 put("annotate_tracks", tagged, f"{ST}, {NAMED}, an AS (SELECT stream_id*1000+frame_no AS frame_id, x1, y1, x2, y2, 'TID:' || display_id || '(' || printf('%.2f', score) || ')' AS t1, 'CID:' || class_id || '(' || n_name || ')' AS t2, {color('display_id')} FROM tr JOIN di USING (stream_id, track_id) LEFT JOIN nation ON n_nationkey=class_id) {parts('an', [(*BOXROW, 2), ('text', _X, _Y + '-36', _X, _Y + '-36', 't1', 2), ('text', _X, _Y + '-12', _X, _Y + '-12', 't2', 2)])}")
 for kind in K.TRACKERS:
     put(f"track_{kind}", on("f4_stream", lambda p, k=kind: K.track(p, k)))
+put("track_box_acceleration", on("f4_stream", lambda p: K.track(p, "box", motion="acceleration")))
+put("track_score_crowded", on("f4_stream", lambda p: K.track(p, "score", crowded=True)))
+put("track_point_corners", on("f4_stream", lambda p: K.track(p, "point", distance="corners", limit=20.0, period=2)))
+
+
+def featured(s, d):
+    """Detections with a vector: that of their stream and object."""
+    f, e = fixture(s, d, "f4_stream"), fixture(s, d, "embeddings")
+    n = e.count()
+    return f.withColumn("vec_id", (F.col("stream_id") * 3 + F.col("det_id")) % n).join(e.select("vec_id", F.col("embedding").alias("feature")), "vec_id").drop("vec_id")
+
+
+put("track_box_features", lambda s, d: K.track(featured(s, d), "box", beta=0.5))
+
+
+def stream_tracks(s, d):
+    """Tracks of the detections as a stream reads them."""
+    import uuid
+
+    from pixeltide.operators.rounds import checkpoint
+    from pixeltide.streaming import stateful
+
+    checkpoint(s.range(1))
+    at = f"{s.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.PROVIDER)
+    fixture(s, d, "f4_stream").drop("ts").write.parquet(f"{at}/in")
+    rows = s.readStream.schema(s.read.parquet(f"{at}/in").schema).parquet(f"{at}/in")
+    q = stateful.track(rows, "box").writeStream.outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).format("parquet").start(f"{at}/out")
+    q.awaitTermination()
+    return s.read.schema(K.SCHEMA).parquet(f"{at}/out")
+
+
+put("stream_track_box", stream_tracks)
 
 
 def scored(s, d):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixeltide.functions.assign import greedy, optimal, within
-from pixeltide.operators import annotate, detect, fuse, keypoints, pixels, resample, sampling, segment, stats, stencil, track, trackers
+from pixeltide.operators import annotate, detect, fuse, keypoints, motmetrics, pixels, resample, sampling, segment, stats, stencil, track, trackers
 from pixeltide.operators.params import clamp
 from pixeltide.plans import pipeline
 from pixeltide.plans.fixtures import fixture
@@ -297,6 +297,143 @@ def test_write_frames(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).where("source_id = 'a' and session = 1").count() == 36
 
 
+def test_write_frames_of_sources_that_share_numbers(spark, tmp_path):
+    px = spark.createDataFrame([(src, s, 7, y, x, 0, v) for src, s, v in (("a", 1, 10), ("b", 1, 20), ("b", 2, 30)) for y in range(3) for x in range(3)], "source_id string, session int, frame_id long, y int, x int, c int, v int")
+    images.write_frames(px, str(tmp_path / "o"), 3, 3, (6, 6))
+    got = spark.read.parquet(str(tmp_path / "o")).groupBy("source_id", "session").agg(F.min("v"), F.max("v"), F.count("*"))
+    assert sorted(map(tuple, got.collect())) == [("a", 1, 10, 10, 36), ("b", 1, 20, 20, 36), ("b", 2, 30, 30, 36)]
+
+
+def test_overlay_passes_frames_without_planes(spark):
+    px = spark.createDataFrame([(f, 0, 0, c, 100) for f in (1, 2) for c in range(3)], "frame_id long, y int, x int, c int, v int")
+    planes = spark.createDataFrame([(1, 0, 0, 0, 0.9)], "frame_id long, class_id int, y int, x int, v double")
+    got = {(r.frame_id, r.c): r.v for r in segment.segmentation_overlay(px, planes, 0.5, 1).collect()}
+    assert got == {(1, 0): 51, (1, 1): 51, (1, 2): 115, (2, 0): 100, (2, 1): 100, (2, 2): 100}
+
+
+def test_values_are_carried_over_days(spark):
+    import datetime
+
+    t = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    ticks = spark.createDataFrame([(1, t(0), None), (1, t(1), 5.0), (1, t(30), None), (1, t(31), 6.0), (1, t(32), None), (1, t(200), None), (2, t(40), None), (None, t(3), 9.0), (None, t(60), None)], "source_id long, ts timestamp, payload double")
+    got = {(r.source_id, (r.ts - t(0)).total_seconds() / 3600): r.payload for r in sampling.hold_last(ticks).collect()}
+    assert got == {(1, 0): None, (1, 1): 5.0, (1, 30): 5.0, (1, 31): 6.0, (1, 32): 6.0, (1, 200): 6.0, (2, 40): None, (None, 3): 9.0, (None, 60): 9.0}
+    feed = ticks.where("payload is not null").withColumnRenamed("payload", "param")
+    got = {(r.source_id, (r.ts - t(0)).total_seconds() / 3600): r.param for r in sampling.as_of(ticks, feed, ["param"]).collect()}
+    assert got[1, 30] == 5.0 and got[1, 200] == 6.0 and got[1, 0] is None and got[2, 40] is None and len(got) == 9
+
+
+DET = "stream_id long, frame_no int, det_id int, x1 double, y1 double, x2 double, y2 double, score double, class_id int"
+
+
+def test_box_tracker_step_by_step():
+    """By hand: born at frame 0, shown from its third step on, gone after the fifth frame missed in a row (each hit makes good three)."""
+    t = trackers.BoxTracker(1)
+    det = [(0, 0.0, 0.0, 10.0, 10.0, 0.8, 2)]
+    assert [len(t.step(n, det)) for n in range(4)] == [0, 0, 1, 1] and t.tracks[0].stale == 0
+    assert t.step(4, [(0, 0.0, 0.0, 10.0, 10.0, 0.3, 2)])[0][5:] == (pytest.approx(0.8 * 0.8 + 0.2 * 0.3), 2)
+    assert [len(t.step(n, [])) for n in range(5, 11)] == [1, 1, 1, 1, 0, 0] and not t.tracks
+    # two detections that overlap one track strongly both count as its hits; a third far away is a new one
+    t = trackers.BoxTracker(1)
+    t.step(0, det)
+    t.step(1, [det[0], (1, 0.0, 0.0, 10.0, 10.2, 0.8, 2), (2, 50.0, 50.0, 60.0, 60.0, 0.8, 2)])
+    assert [(x.name, x.hits) for x in t.tracks] == [("1:0:0", 3), ("1:1:2", 1)]
+
+
+def test_box_tracker_options():
+    # a track without a velocity stays half way between its boxes
+    t = trackers.BoxTracker(1, motion="none")
+    t.step(0, [(0, 0.0, 0.0, 10.0, 10.0, 0.8, 0)])
+    t.step(1, [(0, 2.0, 0.0, 12.0, 10.0, 0.8, 0)])
+    assert t.tracks[0].box() == [1.0, 0.0, 11.0, 10.0]
+    # constant acceleration: after many steps it foretells x = n^2 / 8, which constant velocity lags behind
+    ahead = {}
+    for motion in ("acceleration", "velocity"):
+        t = trackers.BoxTracker(1, motion=motion)
+        for n in range(30):
+            t.step(n, [(0, n * n / 8, 0.0, n * n / 8 + 40, 40.0, 0.8, 0)])
+        t.tracks[0].predict()
+        ahead[motion] = abs(t.tracks[0].box()[0] - 30 * 30 / 8)
+    assert ahead["acceleration"] < 0.1 * ahead["velocity"] < 1
+    # likeness decides between two equal overlaps, once tracks have a feature
+    for beta, name in ((0.0, "b"), (None, "a")):
+        t = trackers.BoxTracker(1, beta=beta)
+        a, b = [1.0, 0.0], [0.0, 1.0]
+        two = [(0, 0.0, 0.0, 10.0, 10.0, 0.8, 0, a), (1, 0.0, 4.0, 10.0, 14.0, 0.8, 0, b)]
+        t.step(0, two)
+        t.step(1, two)
+        assert [np.allclose(x.feature, f) for x, f in zip(t.tracks, (a, b), strict=True)] == [True, True]
+        m = trackers.overlap([x.box() for x in t.tracks], [two[0][1:5], two[1][1:5]], 1e-7)
+        swapped = t.aptitude(m, [(*two[0][:7], b), (*two[1][:7], a)])
+        assert ("b" if swapped[0, 0] < 0.6 * m[0, 0] else "a") == name and np.allclose(t.aptitude(m, [two[0][:7], two[1]]), m)
+
+
+def test_score_tracker_step_by_step():
+    """By hand: tracks of the first frame are sure at once, later ones after a match; a low score goes on with a track but starts none."""
+    t = trackers.ScoreTracker("s")
+    box = lambda x, score, i=0: (i, x, 0.0, x + 40, 80.0, score, 1)
+    assert [r[0] for r in t.step(0, [box(0, 0.9), box(500, 0.3, 1)])] == ["s:0:0"]
+    assert [r[0] for r in t.step(1, [box(1, 0.3)])] == ["s:0:0"]
+    assert [r[0] for r in t.step(2, [box(2, 0.9), box(300, 0.9, 1)])] == ["s:0:0"] and len(t.tracked) == 2
+    assert [r[0] for r in t.step(3, [box(2, 0.9), box(300, 0.9, 1)])] == ["s:0:0", "s:2:1"]
+    assert t.step(4, []) == [] and len(t.lost) == 2
+    assert [r[0] for r in t.step(20, [box(3, 0.9)])] == ["s:0:0"]
+    assert t.step(60, []) == [] and not t.lost
+    # overlap 0.6 with score 0.3 over the high threshold: 1 - 0.18 is over the limit, 1 - 0.6 is not
+    for crowded, same in ((False, False), (True, True)):
+        t = trackers.ScoreTracker("s", high=0.2, crowded=crowded)
+        t.step(0, [box(0, 0.9)])
+        assert ([r[0] for r in t.step(1, [box(10, 0.31)])] == ["s:0:0"]) is same
+
+
+def test_point_tracker_step_by_step():
+    """By hand: the counter starts at 11, a hit makes 1 (2 less the step's 1), and a track counts over 17, so from its eighth frame on."""
+    t = trackers.PointTracker("p")
+    det = [(0, 0.0, 0.0, 10.0, 10.0, 0.8, 0)]
+    shown = [len(t.step(n, det)) for n in range(9)]
+    assert shown == [0] * 7 + [1, 1] and t.tracks[0].hits == 19
+    assert [len(t.step(9 + n, [])) for n in range(11)] == [1] * 10 + [0]
+    # with period 2 a hit makes 3: 12, 15, 18
+    t = trackers.PointTracker("p", period=2)
+    assert [len(t.step(n, det)) for n in range(4)] == [0, 0, 1, 1] and t.tracks[0].POINT_MOST == 7
+    # corners (3, 4) away: 5 on average, 7.07 in all coordinates
+    away = [(0, 3.0, 4.0, 13.0, 14.0, 0.8, 0)]
+    for distance, one in (("euclidean", False), ("corners", True), (trackers.DISTANCES["corners"], True)):
+        t = trackers.PointTracker("p", limit=6.0, distance=distance)
+        t.step(0, det)
+        t.step(1, away)
+        assert (len(t.tracks) == 1) is one
+
+
+def test_tracks_of_streams_that_come_in_many_batches(spark, sf_dir):
+    f = fixture(spark, sf_dir, "f4_stream").where("stream_id < 6")
+    want = {k: sorted(map(str, trackers.track(f, k).collect())) for k in trackers.TRACKERS}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {k: sorted(map(str, trackers.track(f, k).collect())) for k in trackers.TRACKERS}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and all(want.values())
+
+
+def test_mot_metrics_by_hand(spark):
+    """Two truths in three frames; one track goes from the first truth to the second, one is a false alarm."""
+    box = lambda x: (x, 0.0, x + 10.0, 10.0)
+    kind = "seq long, frame_no int, id int, x1 double, y1 double, x2 double, y2 double"
+    truth = spark.createDataFrame([(1, n, i, *box(100.0 * i)) for n in range(3) for i in (0, 1)], kind)
+    found = [(1, 0, 7, *box(0.0)), (1, 0, 8, *box(100.0)), (1, 1, 7, *box(0.0)), (1, 2, 9, *box(0.0)), (1, 2, 8, *box(102.0)), (1, 2, 5, *box(500.0))]
+    r = motmetrics.mot_metrics(truth, spark.createDataFrame(found, kind)).where("seq = 1").first()
+    assert (r.n_truth, r.n_pred, r.tp, r.fp, r.fn, r.switches) == (6, 6, 5, 1, 1, 1)
+    assert r.mota == pytest.approx(1 - 3 / 6) and r.motp == pytest.approx((1 - 80 / 120) / 5) and r.idf1 == pytest.approx(2 * 4 / 12)
+
+
+def test_smoothed_features(spark):
+    rows = [(1, n, 0.5, 0.0, 0.0, 1.0, 1.0, 0, f) for n, f in enumerate([None, [1.0, 0.0], [0.0, 1.0], None])]
+    df = spark.createDataFrame(rows, "t long, frame_no int, score double, x1 double, y1 double, x2 double, y2 double, class_id int, feature array<double>")
+    got = {r.frame_no: r.feature for r in track.smooth_tracks(df, ["t"], "feature").collect()}
+    assert got[0] is None and got[1] == [1.0, 0.0] and got[2] == pytest.approx([0.9, 0.1]) and got[3] == got[2]
+
+
 def test_models_are_built_once_per_worker(spark):
     def factory():
         return lambda b: b.assign(v=b.v + 1)
