@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pixeltide.functions.assign import optimal, within
+from pixeltide.operators.params import dealt
 from pixeltide.operators.track import iou_pairs
 
 LIMIT = 0.5
@@ -46,7 +47,7 @@ def matches(truth: DataFrame, tracks: DataFrame, limit: float = LIMIT) -> DataFr
             out += [(g.seq.iloc[0], n, a, b, cost[a, b]) for a, b in now.items()]
         return pd.DataFrame(out, columns=["seq", "frame_no", "a_id", "b_id", "dist"])
 
-    return pairs.groupBy("seq").applyInPandas(run, schema).withColumnRenamed("a_id", "t_id").withColumnRenamed("b_id", "p_id")
+    return dealt(pairs, "seq").groupBy("seq").applyInPandas(run, schema).withColumnRenamed("a_id", "t_id").withColumnRenamed("b_id", "p_id")
 
 
 def identity_overlap(truth: DataFrame, tracks: DataFrame, limit: float = LIMIT) -> DataFrame:

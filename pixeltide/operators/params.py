@@ -20,3 +20,11 @@ def saturate(v: Column) -> Column:
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A parameter table (look-up values, weights, edges) for a broadcast join; its size doesn't depend on the data."""
     return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys in as many partitions as the session shuffles to.
+
+    For steps that take long per row: by their bytes alone, few rows would be put together in one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixeltide.operators.params import clamp, saturate, small_table
+from pixeltide.operators.params import clamp, dealt, saturate, small_table
 
 
 def mirror(i: int, n: int) -> int:
@@ -66,7 +66,7 @@ SOBEL_Y = [[-1, -2, -1], [0, 0, 0], [1, 2, 1]]
 def gradients(gray: DataFrame, width: int, height: int) -> DataFrame:
     """frame_id, y, x, gx, gy: both Sobel sums in one pass. From here on a frame's rows are together, so nothing else moves."""
     rows = [(dy, dx, SOBEL_X[dy + 1][dx + 1], SOBEL_Y[dy + 1][dx + 1]) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
-    wide = padded(padded(gray.select("frame_id", "y", "x", "v"), "x", width, 1, 1), "y", height, 1, 1).repartition("frame_id")
+    wide = dealt(padded(padded(gray.select("frame_id", "y", "x", "v"), "x", width, 1, 1), "y", height, 1, 1), "frame_id")
     hit = wide.join(small_table(gray.sparkSession, rows, "dy int, dx int, wx int, wy int"))
     hit = hit.select("frame_id", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), (F.col("v") * F.col("wx")).alias("gx"), (F.col("v") * F.col("wy")).alias("gy"))
     hit = hit.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from pixeltide.functions.assign import within
 from pixeltide.operators.detect import BOX, iou
+from pixeltide.operators.params import dealt
 from pixeltide.operators.trackers import Axis
 
 
@@ -91,7 +92,7 @@ def _along(rows: DataFrame, keys: list[str], names: list[str], start, step) -> D
         return pd.concat([g[[*keys, "frame_no"]].reset_index(drop=True), made], axis=1)
 
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in [*keys, "frame_no"])
-    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, {', '.join(f'{n} double' for n in names)}")
+    return dealt(rows, *keys).groupBy(*keys).applyInPandas(run, f"{kinds}, {', '.join(f'{n} double' for n in names)}")
 
 
 def kalman_smooth(dets: DataFrame, keys: list[str], model: str = "box") -> DataFrame:
@@ -167,7 +168,7 @@ def _mean_features(tracks: DataFrame, keys: list[str], feature: str) -> DataFram
         return g.assign(**{feature: out})
 
     rows = tracks.select(*keys, "frame_no", F.col(feature).cast("array<double>").alias(feature))
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+    return dealt(rows, *keys).groupBy(*keys).applyInPandas(run, rows.schema)
 
 
 def dedupe_tracks(tracked: DataFrame, lost: DataFrame, keys: list[str], limit: float = 0.15) -> tuple[DataFrame, DataFrame]:

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from pixeltide.functions.assign import greedy, optimal, within
+from pixeltide.operators.params import dealt
 
 SCHEMA = "stream_id long, frame_no int, track_id string, x1 double, y1 double, x2 double, y2 double, score double, class_id int"
 
@@ -408,7 +409,7 @@ def track(dets: DataFrame, kind: str, **params) -> DataFrame:
                 out, last = advance(tracker, last, g, now[0])
                 yield out
 
-    return dets.repartition(*keys).sortWithinPartitions(*keys, "frame_no", "det_id").mapInPandas(run, SCHEMA)
+    return dealt(dets, *keys).sortWithinPartitions(*keys, "frame_no", "det_id").mapInPandas(run, SCHEMA)
 
 
 def _and_end(batches):

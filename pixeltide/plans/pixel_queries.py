@@ -174,11 +174,36 @@ cand AS (SELECT a.frame_id, a.y, a.x, a.m > 200 AS strong FROM mag a LEFT JOIN m
 edge(frame_id, y, x) AS (SELECT frame_id, y, x FROM cand WHERE strong UNION SELECT c.frame_id, c.y, c.x FROM edge e JOIN cand c ON c.frame_id=e.frame_id AND abs(c.y-e.y)<=1 AND abs(c.x-e.x)<=1)
 SELECT f.frame_id, f.y, f.x, f.c, CASE WHEN e.y IS NULL THEN 0 ELSE 255 END AS v FROM f10_mosaic f LEFT JOIN edge e ON e.frame_id=f.frame_id AND e.y=f.y AND e.x=f.x""")
 _W = N.gaussian()
-MSCN = f"""mu AS (SELECT t.frame_id, t.y, t.x, t.c, t.v, sum(s.v*CAST(ky.w AS DOUBLE)*CAST(kx.w AS DOUBLE)) AS mu, sum(CAST(s.v*s.v AS DOUBLE)*CAST(ky.w AS DOUBLE)*CAST(kx.w AS DOUBLE)) AS sq FROM f1_gray t, {values(enumerate(_W, -3))} ky(i, w), {values(enumerate(_W, -3))} kx(i, w) JOIN f1_gray s ON s.frame_id=t.frame_id AND s.y={_mirror('t.y+ky.i', 8)} AND s.x={_mirror('t.x+kx.i', 8)} GROUP BY ALL),
-mm AS (SELECT frame_id, y, x, c, (v-mu)/(sqrt(greatest(0e0, sq-mu*mu))+1) AS m FROM mu)"""
+
+
+def _mscn(source, n, name):
+    return f"""{name}_mu AS (SELECT t.frame_id, t.y, t.x, t.c, t.v, sum(s.v*CAST(ky.w AS DOUBLE)*CAST(kx.w AS DOUBLE)) AS mu, sum(CAST(s.v*s.v AS DOUBLE)*CAST(ky.w AS DOUBLE)*CAST(kx.w AS DOUBLE)) AS sq FROM {source} t, {values(enumerate(_W, -3))} ky(i, w), {values(enumerate(_W, -3))} kx(i, w) JOIN {source} s ON s.frame_id=t.frame_id AND s.y={_mirror('t.y+ky.i', n)} AND s.x={_mirror('t.x+kx.i', n)} GROUP BY ALL),
+{name} AS (SELECT frame_id, y, x, c, (v-mu)/(sqrt(greatest(0e0, sq-mu*mu))+1) AS m FROM {name}_mu)"""
+
+
+MSCN = _mscn("f1_gray", 8, "mm")
 put("mscn", on(GRAY, lambda p: N.mscn(p).withColumn("m", F.round("m", 6))), f"{G}, {MSCN} SELECT frame_id, y, x, c, round(m, 6) AS m FROM mm")
 put("mscn_moments", on(GRAY, lambda p: A.mscn_moments(p).select("frame_id", "n", *[F.round(c, 6).alias(c) for c in ("m1", "m2", "mabs")])), f"{G}, {MSCN} SELECT frame_id, count(*) AS n, round(avg(m), 6) AS m1, round(avg(m*m), 6) AS m2, round(avg(abs(m)), 6) AS mabs FROM mm GROUP BY frame_id")
-put("brisque_features", on(GRAY, A.brisque_features))
+
+
+def _scene(source, shift):
+    """Features of one scale: products with each neighbour, their moments, and the shape whose ratio of moments is nearest."""
+    p = f"{source}_"
+    lines = {1: ("y", "x"), 2: ("x", "y"), 3: ("y-x", "x"), 4: ("y+x", "x")}
+    products = ", ".join(f"m * lead(m) OVER (PARTITION BY frame_id, {part} ORDER BY {order}) AS p{k}" for k, (part, order) in lines.items())
+    return f"""{p}pr AS (SELECT frame_id, m AS p0, {products} FROM {source}),
+{p}lg AS ({" UNION ALL ".join(f"SELECT frame_id, {k} AS k, p{k} AS p FROM {p}pr WHERE p{k} IS NOT NULL" for k in range(5))}),
+{p}mo AS (SELECT frame_id, k, avg(p*p) AS m2, avg(abs(p)) AS mabs, coalesce(avg(p*p) FILTER (WHERE p < 0), 0) AS lv, coalesce(avg(p*p) FILTER (WHERE p > 0), 0) AS rv FROM {p}lg GROUP BY ALL),
+{p}ga AS (SELECT *, CASE WHEN m2 > 0 THEN mabs*mabs/m2 ELSE 0 END AS r, CASE WHEN rv > 0 THEN sqrt(lv/rv) ELSE 1 END AS g FROM {p}mo),
+{p}ra AS (SELECT *, CASE WHEN k = 0 THEN r ELSE r*(g*g*g+1)*(g+1)/((g*g+1)*(g*g+1)) END AS q FROM {p}ga),
+{p}sh AS (SELECT frame_id, k, m2, lv, rv, arg_min(alpha, abs(ratio-q)) AS alpha FROM {p}ra, shapes GROUP BY ALL),
+{p}fe AS (SELECT frame_id, 1+{shift} AS feature, alpha AS value FROM {p}sh WHERE k = 0 UNION ALL SELECT frame_id, 2+{shift}, m2 FROM {p}sh WHERE k = 0
+UNION ALL SELECT frame_id, 4*k-1+i+{shift}, CASE i WHEN 0 THEN alpha WHEN 1 THEN sqrt(rv)-sqrt(lv) WHEN 2 THEN lv ELSE rv END FROM {p}sh, range(4) z(i) WHERE k > 0)"""
+
+
+SHAPES = "shapes AS (SELECT a/1000e0 AS alpha, gamma(2000e0/a)*gamma(2000e0/a)/(gamma(1000e0/a)*gamma(3000e0/a)) AS ratio FROM range(200, 10001, 5) z(a))"
+HALF = "half AS (SELECT frame_id, y//2 AS y, x//2 AS x, c, CAST((sum(v)*1048576 + 2097152) >> 22 AS INT) AS v FROM f1_gray GROUP BY ALL)"
+put("brisque_features", on(GRAY, lambda p: A.brisque_features(p).withColumn("value", F.round("value", 6))), f"{G}, {SHAPES}, {HALF}, {MSCN}, {_mscn('half', 4, 'hm')}, {_scene('mm', 0)}, {_scene('hm', 18)} SELECT frame_id, CAST(feature AS INT) AS feature, round(value, 6) AS value FROM (SELECT * FROM mm_fe UNION ALL SELECT * FROM hm_fe) z")
 put("rgb_histogram", on(BGR, A.rgb_histogram), f"{B}, h AS (SELECT frame_id, c, v, count(*) AS n FROM f2_bgr GROUP BY ALL), k AS (SELECT frame_id, c, sum(n) AS t FROM h GROUP BY ALL) SELECT k.frame_id, k.c, CAST(r.v AS INT) AS v, coalesce(h.n, 0) AS n, coalesce((SELECT CAST(floor(t/32) AS BIGINT) FROM k z WHERE z.frame_id=k.frame_id AND z.c=0), 0) AS ceiling FROM k, range(256) r(v) LEFT JOIN h ON h.frame_id=k.frame_id AND h.c=k.c AND h.v=r.v")
 put("depth_stats", on(GRAY, A.depth_stats), f"{G} SELECT frame_id, min(v) AS v_min, max(v) AS v_max, avg(v) AS v_mean, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.75) AS q75 FROM f1_gray GROUP BY frame_id")
 LAT = ctes("f5_latency")
