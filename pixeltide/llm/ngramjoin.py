@@ -10,8 +10,8 @@ the set; classes are what is compared, so copies are never expanded into pairs.
 3. In each bucket (classes that share a prefix n-gram) the class with the most copies is the head. Each class is verified
    once against the head it shares most of its prefix with, after length, positional and suffix filters (the parities
    differ in at most as many cells as the sets do in n-grams). This gives the bulk of the links in linear time.
-4. All pairs of a bucket that are not yet in one component pass the same filters and are verified likewise. So no link
-   that joins two components is lost, and no pair inside a component is expanded.
+4. All pairs of a bucket that are not yet in one component pass the same filters, as they are made, and are verified
+   likewise. So no link that joins two components is lost, and no pair inside a component is expanded.
 
 Nothing is capped. Large buckets are one join key whose skewed partitions Spark splits; exact copies are combined
 before the shuffle. Whole sets are only computed for classes of pairs that pass all filters.
@@ -144,7 +144,7 @@ def suffix_filter(a: str, b: str, percent: int, cells: list[str]) -> Column:
     return sum(bits[1:], bits[0]) <= na + nb - 2 * least_common(na, nb, percent)
 
 
-WIDE, NARROW = [f"p{i}" for i in range(8)], ["f0", "f1"]
+WIDE = [f"p{i}" for i in range(8)]
 
 
 def passing(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
@@ -207,8 +207,7 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     parities = own.where("class is not null").groupBy("class").agg(F.first("parity").alias("parity"), F.first("n").alias("n"))
     cell = [F.col("parity")[i] for i in range(8)]
-    fold = [cell[i].bitwiseXOR(cell[i + 2]).bitwiseXOR(cell[i + 4]).bitwiseXOR(cell[i + 6]) for i in (0, 1)]  # 128 coarser cells
-    parities = parities.select("class", "n", *[e.alias(c) for e, c in zip(cell + fold, WIDE + NARROW, strict=True)])
+    parities = parities.select("class", "n", *[e.alias(c) for e, c in zip(cell, WIDE, strict=True)])
     near = shared.select(F.col("head").alias("x"), F.struct("class", "n", "pos").alias("y")).where("x.class <> y.class").where(may_link("x", "y", percent))
     near = near.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.count("*").alias("common"))
     # each class once: with the head that shares most of its prefix
@@ -218,11 +217,10 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     first = checkpoint(components(links))
     placed = shared.select("token", "class", "n", "pos").join(first, F.col("class") == F.col("node"), "left").withColumn("own", F.coalesce("component_id", "class")).drop("node", "component_id")
     split = placed.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("token")
-    open_ = placed.join(split, "token", "left_semi").join(parities.select("class", *NARROW), "class").select("token", "class", "n", "pos", "own", *NARROW)
+    open_ = placed.join(split, "token", "left_semi").join(parities.select("class", *WIDE), "class").select("token", "class", "n", "pos", "own", *WIDE)
     open_ = Saved(open_).df
-    more = open_.alias("x").join(open_.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.own") < F.col("y.own")) & may_link("x", "y", percent) & suffix_filter("x", "y", percent, NARROW))
+    more = open_.alias("x").join(open_.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.own") < F.col("y.own")) & may_link("x", "y", percent) & suffix_filter("x", "y", percent, WIDE))
     more = more.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-    more = passing(more, parities, percent)
     links = links.union(verified(more, docs, classes, k, percent))
 
     found = components(links)
