@@ -48,8 +48,8 @@ UNION ALL SELECT pipeline_id, 2, 1, 'Image', 'Image' FROM {f9_nodes} WHERE node_
 }
 #: The vectors, and as many of zeros as fill the last group of k.
 _PADDED = """SELECT vec_id, i, e FROM {{emb}} UNION ALL SELECT n + k.j AS vec_id, i, CAST(0 AS DOUBLE) AS e
-FROM (SELECT COUNT(*) AS n FROM {{embeddings}}) c CROSS JOIN ({numbers}) k CROSS JOIN (SELECT DISTINCT i FROM {{emb}}) p WHERE n % {k} <> 0 AND k.j < {k} - n % {k}"""
-PADDED = {f"emb{k}": _PADDED.format(k=k, numbers=" UNION ALL ".join(f"SELECT {j} AS j" for j in range(k))) for k in (3, 4, 8, 64)}
+FROM (SELECT COUNT(*) AS n FROM {{embeddings}}) c CROSS JOIN ({numbers}) k CROSS JOIN ({places}) p WHERE n % {k} <> 0 AND k.j < {k} - n % {k}"""
+PADDED = {f"emb{k}": _PADDED.format(k=k, numbers=" UNION ALL ".join(f"SELECT {j} AS j" for j in range(k)), places=" UNION ALL ".join(f"SELECT {i} AS i" for i in range(64))) for k in (3, 4, 8, 64)}
 _EMB_SPARK = "SELECT vec_id, i, CAST(e AS DOUBLE) AS e FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS i, e"
 _EMB_ORACLE = "SELECT vec_id, CAST(r.i AS INT) AS i, CAST(embedding[r.i+1] AS DOUBLE) AS e FROM embeddings, range(64) r(i)"
 
