@@ -40,17 +40,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder; Spark drops its files when no plan refers to them."""
+    """A reliable checkpoint in the shared folder; with spark.cleaner.referenceTracking.cleanCheckpoints Spark drops its files when no plan refers to them."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def new_path(spark: SparkSession) -> str:
+    """A place in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/pixeltide/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 class Saved:
     """A table written to the shared folder, for larger steps: columnar and compressed, dropped by hand once it is used up."""
 
     def __init__(self, df: DataFrame):
         spark = self.spark = df.sparkSession
-        self.path = f"{shared_dir(spark)}/pixeltide/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+        self.path = new_path(spark)
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pixeltide.llm import bpe, decontam, e8dedup, langid, linededup, lm, ngramjoin, quality, tokencount, urlfilter
-from pixeltide.llm.common import fold, table
+from pixeltide.llm import bpe, decontam, divergence, e8dedup, idfiles, langid, linededup, lm, ngramjoin, quality, tokencount, urlfilter, whitening
+from pixeltide.llm.common import fold, new_path, table
 
 
 def held(n: int, remainder: int):
@@ -60,7 +60,25 @@ def op10_embedding_dedup(spark, sf_dir):
     return e8dedup.linked(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_url_filter, op4_bpe, op5_line_dedup, op6_ngram_jaccard, op7_decontamination, op8_lm_score, op9_quality, op10_embedding_dedup)}
+def op11_embedding_whitening(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.components(vectors, whitening.fit(vectors), "vec_id")
+
+
+def op12_token_files(spark, sf_dir):
+    path = new_path(spark)
+    idfiles.write(idfiles.tokenise(table(spark, sf_dir, "documents")), path, idfiles.tokens(idfiles.public_tokenizers.path(idfiles.TOKENIZER)).wide)
+    return idfiles.digests(idfiles.read(spark, path))
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_token_counts, op3_url_filter, op4_bpe, op5_line_dedup, op6_ngram_jaccard, op7_decontamination, op8_lm_score, op9_quality, op10_embedding_dedup, op11_embedding_whitening, op12_token_files, op13_source_divergence)
+}
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
@@ -93,6 +111,25 @@ n AS (SELECT x, count(*) AS n FROM links GROUP BY x),
 c AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, c.c = vec_id AS kept
 FROM embeddings LEFT JOIN n ON n.x = vec_id JOIN c ON c.x = vec_id""",
+    "op13_source_divergence": f"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT d, lang, source, {LOWER.format("unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))")} AS term FROM docs),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT d) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM docs),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+size AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS size FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (size + v) AS p
+  FROM g JOIN kept k USING (lang) JOIN size USING (lang, source) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (sum(sum(n)) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM c GROUP BY lang, term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+term AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM term)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
 }
 
 
