@@ -1,6 +1,9 @@
 """Which frames pass: sampling, seeking, throttling, parameter feeds, sessions and gates.
 
 frames(source_id, frame_no, frame_id, ts, payload); a source's frames are in order of ts.
+
+A busy source is no single task: rows are dealt out by source and bucket of time. What a row needs from before its bucket
+(a count, the last row, the last known value) is carried over one row per bucket.
 """
 
 from __future__ import annotations
@@ -12,41 +15,80 @@ from pyspark.sql.window import Window
 from pixeltide.operators.params import clamp
 
 
-def by_time():
-    return Window.partitionBy("source_id").orderBy("ts")
+FULL = 10_000_000
+BUCKET = "day"
+ORDER = ("ts",)
+
+
+def _here(order) -> Window:
+    return Window.partitionBy("source_id", "_b").orderBy(*order)
 
 
-FULL = 10_000_000
+def _past() -> Window:
+    """Of rows that stand for a bucket each: those before."""
+    return Window.partitionBy("source_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def carried(rows: DataFrame, ends: Column, past: Column, name: str) -> DataFrame:
+    """rows, which have their bucket _b, with `name`: `past` over what the earlier buckets end with, which is the aggregate `ends` AS _e."""
+    before = rows.groupBy("source_id", "_b").agg(ends.alias("_e")).select(F.col("source_id").alias("_s"), F.col("_b").alias("_t"), past.over(_past()).alias(name))
+    return rows.join(before, F.col("source_id").eqNullSafe(F.col("_s")) & F.col("_b").eqNullSafe(F.col("_t"))).drop("_s", "_t")
+
+
+def bucketed(rows: DataFrame, bucket: str = BUCKET) -> DataFrame:
+    return rows.withColumn("_b", F.date_trunc(bucket, "ts"))
+
+
+def numbered(rows: DataFrame, name: str, order=ORDER, bucket: str = BUCKET) -> DataFrame:
+    """Adds `name`: the row's number in its source, from 1."""
+    out = carried(bucketed(rows, bucket), F.count("*"), F.sum("_e"), "_n")
+    return out.withColumn(name, F.row_number().over(_here(order)) + F.coalesce("_n", F.lit(0))).drop("_b", "_n")
 
 
-def skip_frames(frames: DataFrame, rate: int) -> DataFrame:
+def previous(rows: DataFrame, column: str, name: str, order=ORDER, bucket: str = BUCKET) -> DataFrame:
+    """Adds `name`: the column's value in the source's row before, null in the first."""
+    out = carried(bucketed(rows, bucket), F.max_by(F.struct(column), F.struct(*order)), F.last("_e"), "_n")
+    local = F.lag(F.struct(column)).over(_here(order))
+    return out.withColumn(name, F.coalesce(local, "_n")[column]).drop("_b", "_n")
+
+
+def running(rows: DataFrame, column: str, name: str, order=ORDER, bucket: str = BUCKET) -> DataFrame:
+    """Adds `name`: the sum of the column in the source's rows up to this one."""
+    out = carried(bucketed(rows, bucket), F.sum(column), F.sum("_e"), "_n")
+    return out.withColumn(name, F.sum(column).over(_here(order)) + F.coalesce("_n", F.lit(0))).drop("_b", "_n")
+
+
+def skip_frames(frames: DataFrame, rate: int, bucket: str = BUCKET) -> DataFrame:
     """Each rate-th frame of a source."""
     rate = clamp(rate, 1, 10)
-    return frames.withColumn("_n", F.row_number().over(by_time())).where(F.col("_n") % rate == 0).drop("_n")
+    return numbered(frames, "_k", bucket=bucket).where(F.col("_k") % rate == 0).drop("_k")
+
+
+def places(frames: DataFrame, name: str, bucket: str = BUCKET) -> DataFrame:
+    """source_id, frame_id and the frame's place in its source, from 0."""
+    return numbered(frames.select("source_id", "ts", "frame_id"), "_k", bucket=bucket).select("source_id", (F.col("_k") - 1).cast("long").alias(name), "frame_id")
 
 
-def loop_schedule(ticks: DataFrame, frames: DataFrame, rate: int, loop: bool = True) -> DataFrame:
+def loop_schedule(ticks: DataFrame, frames: DataFrame, rate: int, loop: bool = True, bucket: str = BUCKET) -> DataFrame:
     """The frame that each tick (source_id, tick from 1) shows: number tick * rate - 1, over and over; without loop it ends."""
     rate = clamp(rate, 1, 10)
-    numbered = frames.select("source_id", (F.row_number().over(by_time()) - 1).alias("shown"), "frame_id")
     totals = frames.groupBy("source_id").agg(F.count("*").alias("total"))
     t = ticks.join(totals, "source_id").withColumn("shown", (F.col("tick") * rate - 1).cast("long"))
     t = t.withColumn("shown", F.col("shown") % F.col("total")) if loop else t.where(F.col("shown") < F.col("total"))
-    return t.join(numbered, ["source_id", "shown"]).select("source_id", "tick", "shown", "frame_id")
+    return t.join(places(frames, "shown", bucket), ["source_id", "shown"]).select("source_id", "tick", "shown", "frame_id")
 
 
-def seek_frames(requests: DataFrame, frames: DataFrame) -> DataFrame:
+def seek_frames(requests: DataFrame, frames: DataFrame, bucket: str = BUCKET) -> DataFrame:
     """The frame at seek ten-millionths of its source, for requests(source_id, ts, seek)."""
-    numbered = frames.select("source_id", (F.row_number().over(by_time()) - 1).cast("long").alias("pos"), "frame_id")
     totals = frames.groupBy("source_id").agg(F.count("*").alias("total"))
     seek = F.least(F.lit(FULL), F.greatest(F.lit(0), F.col("seek").cast("int")))
     r = requests.join(totals, "source_id").withColumn("pos", F.least(F.col("total") - 1, F.greatest(F.lit(0), F.floor(F.col("total") * seek / FULL))))
-    return r.join(numbered, ["source_id", "pos"]).select("source_id", "ts", "pos", "frame_id")
+    return r.join(places(frames, "pos", bucket), ["source_id", "pos"]).select("source_id", "ts", "pos", "frame_id")
 
 
-def dedupe_seek(sought: DataFrame) -> DataFrame:
+def dedupe_seek(sought: DataFrame, bucket: str = BUCKET) -> DataFrame:
     """Adds `reread`: whether the position differs from the one before."""
-    return sought.withColumn("reread", ~F.lag("pos").over(by_time()).eqNullSafe(F.col("pos")))
+    return previous(sought, "pos", "_p", bucket=bucket).withColumn("reread", ~F.col("_p").eqNullSafe(F.col("pos"))).drop("_p")
 
 
 def throttle_latest(frames: DataFrame, interval: str) -> DataFrame:
@@ -55,22 +97,12 @@ def throttle_latest(frames: DataFrame, interval: str) -> DataFrame:
     return frames.groupBy("source_id", F.window("ts", interval)).agg(newest).select("source_id", F.col("window.start").alias("start"), "f.frame_id", "f.ts")
 
 
-BUCKET = "day"
-
-
 def last_known(df: DataFrame, value: str, order: list[str], bucket: str = BUCKET) -> DataFrame:
-    """Adds _v: the last value up to each row of a source that isn't null, in the given order (which starts with ts).
-
-    A source is dealt out by buckets of its time, so a busy one is no single task; what a bucket ends with is carried to
-    the next one's start over one row per bucket.
-    """
-    df = df.withColumn("_b", F.date_trunc(bucket, "ts"))
-    here = Window.partitionBy("source_id", "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ends = df.groupBy("source_id", "_b").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_e"))
-    past = Window.partitionBy("source_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(F.col("source_id").alias("_s"), F.col("_b").alias("_t"), F.last("_e", ignorenulls=True).over(past).alias("_c"))
-    both = df.join(carried, F.col("source_id").eqNullSafe(F.col("_s")) & F.col("_b").eqNullSafe(F.col("_t")))
-    return both.withColumn("_v", F.coalesce(F.last(value, ignorenulls=True).over(here), F.col("_c"))).drop("_b", "_s", "_t", "_c")
+    """Adds _v: the last value up to each row of a source that isn't null, in the given order (which starts with ts)."""
+    last = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order)))
+    out = carried(bucketed(df, bucket), last, F.last("_e", ignorenulls=True), "_c")
+    here = _here(order).rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn("_v", F.coalesce(F.last(value, ignorenulls=True).over(here), F.col("_c"))).drop("_b", "_c")
 
 
 def as_of(left: DataFrame, right: DataFrame, columns: list[str], bucket: str = BUCKET) -> DataFrame:
@@ -91,10 +123,11 @@ def apply_param_feed(frames: DataFrame, params: DataFrame, low: float, high: flo
     return as_of(frames, params, ["param"]).withColumn("param", value.cast("int") if digits is None else F.round(value, digits))
 
 
-def recording_sessions(ticks: DataFrame) -> DataFrame:
+def recording_sessions(ticks: DataFrame, bucket: str = BUCKET) -> DataFrame:
     """Numbers the recordings (from 1) of ticks(source_id, ts, has_frame): one ends at the first missing frame."""
-    starts = F.col("has_frame") & ~F.coalesce(F.lag("has_frame").over(by_time()), F.lit(False))
-    return ticks.withColumn("session", F.sum(starts.cast("int")).over(by_time())).where("has_frame")
+    marked = previous(ticks, "has_frame", "_p", bucket=bucket)
+    marked = marked.withColumn("_f", (F.col("has_frame") & ~F.coalesce("_p", F.lit(False))).cast("int"))
+    return running(marked, "_f", "session", bucket=bucket).where("has_frame").drop("_p", "_f")
 
 
 def hold_last(ticks: DataFrame, column: str = "payload") -> DataFrame:

@@ -34,6 +34,7 @@ def parse_latency(text):
 
 
 LAST = 10
+BLOCK = 100_000
 
 
 def _rate(mean):
@@ -44,10 +45,28 @@ def _rate_text(rate):
     return F.concat(F.lit("FPS:"), F.when(rate > 1, F.lpad(F.floor(rate).cast("string"), F.greatest(F.lit(3), F.length(F.floor(rate).cast("string"))), "0")).otherwise(F.format_string("%.2f", rate)))
 
 
-def fps(latency: DataFrame) -> DataFrame:
-    """Per node and tick of latency(node, seq, elapsed_ms): the mean of the last 10, the rate and its text."""
-    last = Window.partitionBy("node").orderBy("seq").rowsBetween(-(LAST - 1), 0)
-    out = latency.withColumn("mean_ms", F.avg("elapsed_ms").over(last)).withColumn("fps", _rate(F.col("mean_ms")))
+def with_halo(latency: DataFrame, rows: int, block: int = BLOCK) -> DataFrame:
+    """Adds _b, the block of seq, and to each block of a node the `rows` rows before it, marked by _own false.
+
+    A block's last rows are an array of at most that many; the arrays of as many filled blocks hold what the next one needs.
+    """
+    own = latency.withColumn("_b", F.floor(F.col("seq") / block)).withColumn("_own", F.lit(True))
+    nth = F.row_number().over(Window.partitionBy("node", "_b").orderBy(F.desc("seq")))
+    row = F.struct("seq", "elapsed_ms")
+    ends = own.withColumn("_r", nth).where(F.col("_r") <= rows).groupBy("node", "_b").agg(F.sort_array(F.collect_list(row)).alias("_e"))
+    before = F.flatten(F.collect_list("_e").over(Window.partitionBy("node").orderBy("_b").rowsBetween(-rows, -1)))
+    halo = ends.withColumn("_h", before).select("node", "_b", F.inline(F.slice("_h", F.greatest(F.lit(1), F.size("_h") - rows + 1), F.lit(rows))))
+    return own.unionByName(halo.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+
+
+def fps(latency: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Per node and tick of latency(node, seq, elapsed_ms): the mean of the last 10, the rate and its text.
+
+    A busy node is dealt out in blocks of seq, each with the rows before it that its first means need.
+    """
+    last = Window.partitionBy("node", "_b").orderBy("seq").rowsBetween(-(LAST - 1), 0)
+    out = with_halo(latency, LAST - 1, block).withColumn("mean_ms", F.avg("elapsed_ms").over(last)).where("_own").drop("_b", "_own")
+    out = out.withColumn("fps", _rate(F.col("mean_ms")))
     return out.withColumn("label", F.concat(_rate_text(F.col("fps")), F.lit(" ("), latency_text(F.col("elapsed_ms")), F.lit(")")))
 
 

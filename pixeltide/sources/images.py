@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from pixeltide.operators.resample import resize
 
@@ -21,10 +24,34 @@ def read_frame_dir(spark: SparkSession, path: str, length: int | None = None) ->
     return out if length is None else out.where(F.col("frame_no") <= length)
 
 
-def write_frames(px: DataFrame, path: str, width: int, height: int, size: tuple[int, int] = (1280, 720)) -> None:
+def write_frames(px: DataFrame, path: str, width: int, height: int, size: tuple[int, int] = (1280, 720), mode: str = "errorifexists") -> None:
     """Pixels (source_id, session, frame_id, y, x, c, v), resized and written as Parquet by source and session."""
     done = px
     if size != (width, height):
         keys = ["source_id", "session", "frame_id"]  # frame_id alone may repeat between sources
         done = resize(px.withColumn("frame_id", F.struct(*keys)), width, height, *size).select(*[F.col(f"frame_id.{k}").alias(k) for k in keys], "y", "x", "c", "v")
-    done.select("source_id", "session", "frame_id", "y", "x", "c", "v").write.partitionBy("source_id", "session").parquet(path)
+    done.select("source_id", "session", "frame_id", "y", "x", "c", "v").write.mode(mode).partitionBy("source_id", "session").parquet(path)
+
+
+def stream_frames(frames: DataFrame, path: str, checkpoint: str, write: Callable[[DataFrame, str], None] | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Starts writing a stream of rows with source_id and session (`streaming.stateful.recordings` gives them) as files by both.
+
+    A micro-batch writes a folder of its own, batch=<its number>, and replaces what is there: one that is done again after a
+    failure or a restart leaves its rows once. write(rows, folder): another way to write a batch, such as write_frames with
+    mode "overwrite" for pixels.
+    """
+
+    def put(rows: DataFrame, batch: int) -> None:
+        at = f"{path}/batch={batch}"
+        if write is None:
+            rows.write.mode("overwrite").partitionBy("source_id", "session").parquet(at)
+        else:
+            write(rows, at)
+
+    return frames.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_streamed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All rows that stream_frames has written, with the given columns."""
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    return spark.read.schema(f"{schema}, batch int").parquet(path).select(*names)
