@@ -27,6 +27,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -40,60 +41,65 @@ from pixeltide.llm.common import Saved, ids_in, ids_out, importable
 
 TOKENIZER, END = "word_bpe_49k.json", 2
 MAX_BITS, BLOCK, SEGMENT = 20, 256, 1 << 18
-WORDS, PIECES = 600_000, 300_000  # that a worker remembers
+PIECES, WORDS = 800_000, 200_000  # that a worker remembers
 
 # --- ids of texts
 
 
+_LETTERS = "a-zß-öø-įı-ž"
+_PLAIN = "!-&(-~À-ÖØ-öø-įı-ž"  # no apostrophe, nothing that NFC changes or that lower-cases to two
+
+
 class Tokens:
-    """Ids by the tokenizers library, word by word: its normaliser and its pre-tokens never look past white space.
+    """Ids by the tokenizers library, piece by piece: its normaliser and its pre-tokens never look past white space.
 
     Words of plain letters and marks are cut at the library's own pre-token borders, so that a word with a comma and
-    the word alone are one piece; any other word is encoded whole.
+    the word alone share a piece, which goes to the library's model; any other word is encoded whole.
     """
 
-    plain = re.compile(r"[!-&(-~À-ÖØ-öø-įı-ž]+").fullmatch  # no apostrophe, nothing that NFC changes or that lower-cases to two
-    odd = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search  # may be blanks here and not there
-    cut = re.compile(r"[a-zß-öø-įı-ž]+|[0-9]|[^a-zß-öø-įı-ž0-9]+").findall
+    plain = re.compile(rf"[{_PLAIN}]+").fullmatch
+    all_plain = re.compile(rf"[{_PLAIN} \t-\r]+").fullmatch
+    cut = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9 \t-\r]+").findall
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.wide = id_type(self.tokenizer.get_vocab_size())
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        letters = [chr(c) for c in range(0xDF, 0x180) if re.fullmatch(f"[{_LETTERS}]", chr(c))]
+        self.written = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})  # as the model has them
+
+    def _piece(self, piece: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(piece.translate(self.written))], self.wide).tobytes()
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.wide).tobytes()
+    def _known(self, held: dict[str, bytes], items: list[str], make) -> list[bytes]:
+        got = list(map(held.get, items))
+        if not all(got):
+            for k, x in enumerate(got):
+                if x is None:
+                    x = held.get(items[k])
+                    got[k] = held[items[k]] = make(items[k]) if x is None else x
+        return got
 
     def _word(self, word: str) -> bytes:
-        if not self.plain(word):
-            return self._encode(word)
-        out = b""
-        for piece in self.cut(word.lower()):
-            got = self.pieces.get(piece)
-            if got is None:
-                got = self.pieces[piece] = self._encode(piece)
-            out += got
-        return out
+        if self.plain(word):
+            return b"".join(self._known(self.pieces, self.cut(word.lower()), self._piece))
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.wide).tobytes()
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        words = self.words
-        items = re.split(r"[ \t-\r]+", text) if self.odd(text) else text.split()
-        got = list(map(words.get, items))
-        if None in got:
-            for k, x in enumerate(got):
-                if x is None:
-                    w = items[k]
-                    got[k] = words[w] = self._word(w) if w else b""
-        for held, most in ((words, WORDS), (self.pieces, PIECES)):
-            if len(held) > most:
-                held.clear()
-        return b"".join(got)
+        for held, most in ((self.pieces, PIECES), (self.words, WORDS)):
+            if len(held) > most:  # the older half goes
+                for k in list(islice(held, most // 2)):
+                    del held[k]
+        if self.all_plain(text):
+            return b"".join(self._known(self.pieces, self.cut(text.lower()), self._piece))
+        return b"".join(self._known(self.words, [w for w in re.split(r"[ \t-\r]+", text) if w], self._word))
 
 
 def id_type(vocabulary: int) -> str:
