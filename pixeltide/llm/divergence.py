@@ -158,7 +158,8 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 def _sent(counts: dict[str, Counter], name: str) -> pd.DataFrame:
     """(lang, term, name) rows of counters by language, which are emptied."""
-    out = pd.DataFrame({"lang": np.repeat(list(counts), [len(c) for c in counts.values()]), "term": [t for c in counts.values() for t in c], name: [n for c in counts.values() for n in c.values()]})
+    langs = pd.Series([lang for lang, c in counts.items() for _ in c], dtype=object)  # a text column of pandas' own may come in chunks
+    out = pd.DataFrame({"lang": langs, "term": [t for c in counts.values() for t in c], name: [n for c in counts.values() for n in c.values()]})
     counts.clear()
     return out
 
@@ -283,7 +284,8 @@ def _dealt(docs: DataFrame, made: DataFrame, shards: dict[str, int]) -> DataFram
         def send():
             for (lang, source), c in counts.items():
                 h = hashes(list(c))
-                yield pd.DataFrame({"lang": lang, "source": source, "shard": shard_of(h, shards[lang]).astype(np.int32), "salt": (h[:, 0] % np.uint64(SALTS)).astype(np.int32), "term": list(c), "n": list(c.values())})
+                same = [pd.Series([x] * len(c), dtype=object) for x in (lang, source)]
+                yield pd.DataFrame({"lang": same[0], "source": same[1], "shard": shard_of(h, shards[lang]).astype(np.int32), "salt": (h[:, 0] % np.uint64(SALTS)).astype(np.int32), "term": list(c), "n": list(c.values())})
             counts.clear()
 
         for part in (p for b in batches for p in parts([b])):
