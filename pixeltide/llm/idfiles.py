@@ -41,6 +41,7 @@ from pixeltide.llm.common import Saved, ids_in, ids_out, importable
 
 TOKENIZER, END = "word_bpe_49k.json", 2
 MAX_BITS, BLOCK, SEGMENT = 20, 256, 1 << 18
+TOGETHER = 8  # segments that are decoded side by side
 PIECES, WORDS = 800_000, 200_000  # that a worker remembers
 
 # --- ids of texts
@@ -161,7 +162,7 @@ class Codes:
     """Canonical codes of lengths by id (0: no code), a decoding table over all windows of as many bits as the longest has."""
 
     def __init__(self, bits: np.ndarray):
-        self.bits = bits.astype(np.uint64)
+        self.bits, self.short = bits.astype(np.uint64), bits.astype(np.int8)
         used = np.flatnonzero(bits)
         order = used[np.lexsort((used, bits[used]))]
         self.longest = int(bits.max(initial=0))
@@ -184,37 +185,48 @@ class Codes:
         """The codes one after the other, padded to whole bytes, and the bit at which each block begins."""
         if not len(ids):
             return b"", np.zeros(0, np.uint64)
-        bits, code = self.bits[ids], self.code[ids]
+        bits, code = self.short[ids], self.code[ids]
         if not bits.all():
             raise ValueError("an id without a code")
-        end = np.cumsum(bits)
+        end = np.cumsum(bits, dtype=np.int64)
         begin = end - bits
-        word, inside = (begin >> np.uint64(6)).astype(np.int64), begin & np.uint64(63)
-        left = np.int64(64) - (inside + bits).astype(np.int64)  # bits left in the word; negative: the code goes on in the next
+        word = begin >> 6
+        left = ((word + 1) << 6) - end  # bits left in the word; negative: the code goes on in the next
         over = np.flatnonzero(left < 0)
-        here = code << np.maximum(left, 0).astype(np.uint64)
+        here = code << left.view(np.uint64)
         here[over] = code[over] >> (-left[over]).astype(np.uint64)
         words = np.zeros(int(word[-1]) + 2, np.uint64)
-        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))  # codes are shorter than words, so each has one
+        first = np.append(0, np.flatnonzero(word[1:] != word[:-1]) + 1)  # codes are shorter than words, so each has one
         words[word[first]] = np.bitwise_or.reduceat(here, first)
         words[word[over] + 1] |= code[over] << (64 + left[over]).astype(np.uint64)
         return words.astype(">u8").tobytes()[: (int(end[-1]) + 7) // 8], begin[::block]
 
     def decode(self, payload: bytes, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
-        """n ids (uint32) from the blocks that begin at the bits `offsets`; all blocks step together."""
-        if not n:
-            return np.zeros(0, np.uint32)
-        raw = np.frombuffer(payload + bytes(block * 4 + 8), np.uint8).astype(np.uint32)
+        """n ids (uint32) from the blocks that begin at the bits `offsets`."""
+        return self.decode_all([(payload, offsets, n)], block)[0]
+
+    def decode_all(self, runs: list[tuple[bytes, np.ndarray, int]], block: int = BLOCK) -> list[np.ndarray]:
+        """decode for several runs (payload, offsets, n); the blocks of all of them step together."""
+        pad = bytes(block * 4 + 8)  # what a short last block reads beyond its end
+        sizes = np.array([len(p) + len(pad) for p, _, _ in runs], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        at = np.concatenate([o.astype(np.int64) + 8 * s for (_, o, _), s in zip(runs, starts, strict=True)])
+        raw = np.frombuffer(b"".join(x for p, _, _ in runs for x in (p, pad)), np.uint8).astype(np.uint32)
         window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
-        at, table, down = offsets.astype(np.int64), self.table, np.uint32(32 - self.longest)
-        out = np.empty((min(block, n), len(at)), np.uint32)
-        last = len(window) - 1
+        table, down, last = self.table, np.uint32(32 - self.longest), len(window) - 1
+        id_bits, bits = table.dtype.type(5), table.dtype.type(31)
+        out = np.empty((block if len(at) else 0, len(at)), np.uint32)
         for k in range(len(out)):
-            bit = (at & 7).astype(np.uint32)
-            got = table[(window[np.minimum(at >> 3, last)] << bit) >> down]
-            out[k] = got >> got.dtype.type(5)
-            at = at + (got & got.dtype.type(31)).astype(np.int64)
-        return out.T.ravel()[:n]
+            word = window[np.minimum(at >> 3, last)]
+            word <<= (at & 7).astype(np.uint32)
+            word >>= down
+            got = table[word]
+            np.right_shift(got, id_bits, out=out[k], casting="unsafe")
+            got &= bits
+            at += got
+        rows = np.ascontiguousarray(out.T)
+        ends = np.cumsum([len(o) for _, o, _ in runs]).tolist()
+        return [rows[e - len(o) : e].ravel()[:n] for (_, o, n), e in zip(runs, ends, strict=True)]
 
 
 def count_ids(held: DataFrame, wide: str) -> np.ndarray:
@@ -306,14 +318,14 @@ def read(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
 
     def run(batches):
         made = Codes(shared.value)
-        for b in batches:
-            for r in b.itertuples():
-                ids = made.decode(r.payload, np.frombuffer(r.offsets, "<u8"), r.ids, block)
-                if zlib.crc32(ids.astype("<u4").tobytes()) != r.crc:
+        for part in (list(b.iloc[k : k + TOGETHER].itertuples()) for b in batches for k in range(0, len(b), TOGETHER)):
+            decoded = made.decode_all([(r.payload, np.frombuffer(r.offsets, "<u8"), r.ids) for r in part], block)
+            for r, ids in zip(part, decoded, strict=True):
+                raw = ids.astype("<u4", copy=False).tobytes()
+                if zlib.crc32(raw) != r.crc:
                     raise ValueError(f"segment {r.segment} of part {r.part} doesn't decode to its crc")
                 n = np.asarray(r.n, np.int64)
                 end = np.cumsum(n)
-                raw = ids.astype("<u4").tobytes()
                 yield pd.DataFrame({"doc_id": r.doc_id, "start": r.start + end - n, "n_tokens": n, "ids": [raw[4 * (e - k) : 4 * e] for e, k in zip(end.tolist(), n.tolist(), strict=True)]})
 
     rows = segments(spark, path).withColumn("doc_id", F.transform("doc_id", lambda d: F.coalesce(d, F.lit(-(1 << 63)))))
