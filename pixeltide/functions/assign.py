@@ -1,7 +1,9 @@
-"""One-to-one assignment of the rows of a small cost matrix."""
+"""One-to-one assignment: of the rows of a small cost matrix, or of lists of the pairs that may be made."""
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
@@ -62,3 +64,78 @@ def greedy(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
         out.append((i, j))
         cost[i, :] = cost[:, j] = np.inf
     return out
+
+
+def parts_of(rows: list[int], columns: list[int]) -> list[int]:
+    """For each pair, which connected part of the graph of all pairs it is in."""
+    up: dict = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i, j in zip(rows, columns, strict=True):
+        up[root((0, i))] = root((1, j))
+    number: dict = {}
+    return [number.setdefault(root((0, i)), len(number)) for i in rows]
+
+
+def sparse(rows: list[int], columns: list[int], costs: list[float], limit: float) -> list[tuple[int, int, float]]:
+    """`within` for listed pairs: row, column and cost of those that are made. Pairs that aren't listed are never made.
+
+    Each connected part is solved by itself, by shortest augmenting paths over the rows' lists; a row may end such a path by
+    staying alone, at the price of `limit`. Of a pair that is listed twice the cheaper one counts.
+    """
+    parts: dict[int, dict] = {}
+    for part, i, j, c in zip(parts_of(rows, columns), rows, columns, costs, strict=True):
+        if c <= limit:
+            own = parts.setdefault(part, {}).setdefault(i, {})
+            own[j] = min(c, own.get(j, c))
+    out = []
+    for part in parts.values():
+        out += _augmented(part, limit)
+    return sorted(out)
+
+
+def _augmented(near: dict[int, dict[int, float]], limit: float) -> list[tuple[int, int, float]]:
+    u = {i: min(own.values()) for i, own in near.items()}
+    v: dict[int, float] = {}
+    by_row: dict[int, int] = {}
+    by_column: dict[int, int] = {}
+    for start in near:
+        dist, before, done, seen, heap = {}, {}, {}, [(start, 0.0)], []
+        row, so_far, best, end, alone = start, 0.0, float("inf"), None, None
+        while True:
+            stay = so_far + limit - u[row]
+            if stay < best:
+                best, alone = stay, row
+            for j, c in near[row].items():
+                if j not in done:
+                    d = so_far + c - u[row] - v.get(j, 0.0)
+                    if d <= best and d < dist.get(j, float("inf")):
+                        dist[j], before[j] = d, row
+                        heapq.heappush(heap, (d, j))
+            while heap and (heap[0][1] in done or heap[0][0] > dist[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] > best:
+                break
+            so_far, j = heapq.heappop(heap)
+            done[j] = so_far
+            if j not in by_column:
+                best, end = so_far, j
+                break
+            row = by_column[j]
+            seen.append((row, so_far))
+        for i, d in seen:
+            u[i] += max(0.0, best - d)
+        for j, d in done.items():
+            v[j] = v.get(j, 0.0) - max(0.0, best - d)
+        j = end if end is not None else by_row.pop(alone, None)
+        while j is not None:  # along the path, each row takes the column it was found by
+            i = before[j]
+            j_next = by_row.get(i)
+            by_row[i], by_column[j] = j, i
+            j = j_next
+    return [(i, j, near[i][j]) for i, j in by_row.items()]

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import mul
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pixeltide.operators import grid as cells
 from pixeltide.operators.params import small_table
+from pixeltide.operators.rounds import checkpoint
 
 BOX = ["x1", "y1", "x2", "y2"]
 _MODELS: dict = {}
@@ -104,20 +109,19 @@ def class_argmax(scored: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, (-F.col("b.k")).alias("class_id"), F.col("b.score").alias("score"))
 
 
-def iou(a, b, plus_one: bool = False, eps: float = 0.0) -> Column:
-    """Intersection over union of two structs of corners."""
+def iou(a, b, plus_one: bool = False, eps: float = 0.0, axes=cells.AXES) -> Column:
+    """Intersection over union of two structs of corners, in as many dimensions as there are axes."""
     one = 1.0 if plus_one else 0.0
-    zero = F.lit(0.0)
-    w = F.greatest(zero, F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]) + one)
-    h = F.greatest(zero, F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]) + one)
-    area = lambda s: (s["x2"] - s["x1"] + one) * (s["y2"] - s["y1"] + one)
-    return w * h / (area(a) + area(b) - w * h + eps)
+    shared = [F.greatest(F.lit(0.0), F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo]) + one) for lo, hi in axes]
+    size = lambda s: reduce(mul, [s[hi] - s[lo] + one for lo, hi in axes])
+    both = reduce(mul, shared)
+    return both / (size(a) + size(b) - both + eps)
 
 
 def nms(det: DataFrame, th: float = 0.45, plus_one: bool = False, class_aware: bool = False, score_th: float | None = None, eps: float = 0.0) -> DataFrame:
     """Greedy suppression per frame: by falling score (det_id on ties), drops a box that overlaps a kept one by over th.
 
-    A frame's boxes are one array; use nms_boxes' topk where a frame can hold very many.
+    A frame's boxes are one array; nms_crowded is for frames that can hold very many.
     """
     if score_th is not None:
         det = det.where(F.col("score") > score_th)
@@ -130,6 +134,83 @@ def nms(det: DataFrame, th: float = 0.45, plus_one: bool = False, class_aware: b
     return out.select("frame_id", "det_id", *BOX, "score", "class_id")
 
 
+CROWD = 1000
+_UNDECIDED, _KEPT = 0, 1
+_BLOCKED, _CLEAR, _FINAL, _GONE = 0, 1, 2, 3
+
+
+def _settled(g: pd.DataFrame, th: float, one: float, eps: float) -> np.ndarray:
+    """What a tile tells of its boxes, which are in order: gone for a better kept one, kept for good (if all of the box is
+    here), clear of better ones here, or blocked by a better one that isn't settled."""
+    x1, y1, x2, y2 = (g[c].to_numpy(float) for c in BOX)
+    area = (x2 - x1 + one) * (y2 - y1 + one)
+    alone, kept = (g["_tiles"] == 1).to_numpy(), (g["_state"] == _KEPT).to_numpy()
+    told, gone, blocked = np.zeros(len(g), int), np.zeros(len(g), bool), np.zeros(len(g), bool)
+    for i in range(len(g)):
+        if gone[i]:
+            told[i] = _GONE
+            continue
+        w = np.maximum(0.0, np.minimum(x2[i + 1 :], x2[i]) - np.maximum(x1[i + 1 :], x1[i]) + one)
+        h = np.maximum(0.0, np.minimum(y2[i + 1 :], y2[i]) - np.maximum(y1[i + 1 :], y1[i]) + one)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            over = w * h / (area[i] + area[i + 1 :] - w * h + eps) > th
+        if kept[i] or alone[i] and not blocked[i]:
+            told[i] = _FINAL
+            gone[i + 1 :] |= over
+        else:
+            told[i] = _BLOCKED if blocked[i] else _CLEAR
+            blocked[i + 1 :] |= over
+    return told
+
+
+def nms_crowded(det: DataFrame, th: float = 0.45, plus_one: bool = False, class_aware: bool = False, score_th: float | None = None, eps: float = 0.0, crowd: int = CROWD) -> DataFrame:
+    """What nms gives, for frames of any number of boxes.
+
+    Frames with more than `crowd` boxes are dealt out in tiles, of about so many boxes and twice as wide as boxes are on the mean.
+    A tile settles the boxes that lie in it alone, in order; one that lies in several is kept once it is clear of better
+    ones in each. What is open then goes on to a next round, with the tiles shifted, so that other boxes lie across their
+    borders. The best of the open ones is always settled.
+    """
+    if score_th is not None:
+        det = det.where(F.col("score") > score_th)
+    keys = ["frame_id", "class_id"] if class_aware else ["frame_id"]
+    name = ["frame_id", "det_id"]
+    out = det.select("frame_id", "det_id", *BOX, "score", "class_id")
+    one = 1.0 if plus_one else 0.0
+    size = F.avg(cells.side(cells.AXES, one))
+    room = (F.max("x2") - F.min("x1") + 1) * (F.max("y2") - F.min("y1") + 1)
+    per = out.groupBy(*keys).agg(F.count("*").alias("_n"), F.greatest(F.lit(1.0), 2 * size, F.sqrt(room * crowd / F.count("*"))).alias("_side"))
+    few = out.join(per.where(F.col("_n") <= crowd).select(*keys), keys, "left_semi")
+    many = checkpoint(out.join(per.where(F.col("_n") > crowd).select(*keys, "_side"), keys))
+    usable = cells.usable(many, cells.AXES)
+    odd = many.join(usable.select(*name), name, "left_anti")  # they overlap nothing
+    kept = [odd.drop("_side")]
+    left = usable.withColumn("_state", F.lit(_UNDECIDED))
+    kinds = ", ".join(f"{c} {out.schema[c].dataType.simpleString()}" for c in name)
+
+    def settle(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["score", "det_id"], ascending=[False, True])
+        return g[name].assign(_told=_settled(g, th, one, eps))
+
+    turn = 0
+    while not left.where(F.col("_state") == _UNDECIDED).isEmpty():
+        off = F.col("_side") * (int(f"{turn:b}"[::-1], 2) / (1 << turn.bit_length()) if turn else 0.0)  # 0, 1/2, 1/4, 3/4, ...
+        spans = [(F.floor((F.col(lo) + off) / F.col("_side")), F.floor((F.col(hi) + one + off) / F.col("_side"))) for lo, hi in cells.AXES]
+        spread = left.withColumn("_tiles", reduce(mul, [b - a + 1 for a, b in spans]))
+        for k, (a, b) in enumerate(spans):
+            spread = spread.withColumn(f"_t{k}", F.explode(F.sequence(a, F.greatest(a, b))))
+        told = spread.groupBy(*keys, "_t0", "_t1").applyInPandas(settle, f"{kinds}, _told int")
+        word = F.struct(F.max("_told").alias("most"), F.min("_told").alias("least"))
+        now = left.join(told.groupBy(*name).agg(word.alias("_w")), name)
+        state = F.when(F.col("_w.most") == _GONE, F.lit(None)).when((F.col("_w.most") == _FINAL) | (F.col("_w.least") == _CLEAR), _KEPT).otherwise(_UNDECIDED)
+        now = checkpoint(now.select(*left.columns[:-1], F.col("_state").alias("_old"), state.cast("int").alias("_state")))
+        new = now.where((F.col("_old") == _UNDECIDED) & (F.col("_state") == _KEPT))
+        kept.append(new.select(*out.columns))
+        left = now.where((F.col("_state") == _UNDECIDED) | (F.col("_state") == _KEPT) & (F.col("_old") == _UNDECIDED)).drop("_old")
+        turn += 1
+    return reduce(DataFrame.unionByName, kept, nms(few, th, plus_one, class_aware, eps=eps))
+
+
 def nms_boxes(boxes: DataFrame, score_th: float, th: float, topk: int, keep: int) -> DataFrame:
     """For boxes(frame_id, det_id, x, y, w, h, score): scores over score_th, the topk best of a frame, greedy, then the keep best."""
     best = Window.partitionBy("frame_id").orderBy(F.desc("score"), "det_id")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixeltide.functions.assign import optimal, within
+from pixeltide.functions.assign import sparse
 from pixeltide.operators.params import dealt
 from pixeltide.operators.track import iou_pairs
 
@@ -21,7 +20,7 @@ def matches(truth: DataFrame, tracks: DataFrame, limit: float = LIMIT) -> DataFr
     truth(seq, frame_no, id, box) and tracks(seq, frame_no, id, box). The pairs are made and filtered by Spark; a
     sequence, whose frames depend on each other, is one group.
     """
-    pairs = iou_pairs(truth.withColumnRenamed("id", "a_id"), tracks.withColumnRenamed("id", "b_id"), ["seq", "frame_no"], 0.0)
+    pairs = iou_pairs(truth.withColumnRenamed("id", "a_id"), tracks.withColumnRenamed("id", "b_id"), ["seq", "frame_no"], 0.0, only_overlapping=limit < 1)
     pairs = pairs.select("seq", "frame_no", "a_id", "b_id", (1 - F.col("iou")).alias("dist")).where(F.col("dist") <= limit)
     schema = pairs.schema
 
@@ -38,11 +37,9 @@ def matches(truth: DataFrame, tracks: DataFrame, limit: float = LIMIT) -> DataFr
             left = [(a, b) for a, b in cost if a not in now and b not in used]
             if left:
                 rows, columns = sorted({a for a, _ in left}), sorted({b for _, b in left})
-                m = np.full((len(rows), len(columns)), 1e9)
                 row, column = ({x: i for i, x in enumerate(xs)} for xs in (rows, columns))
-                for a, b in left:
-                    m[row[a], column[b]] = cost[a, b]
-                now |= {rows[i]: columns[j] for i, j in within(m, limit)}
+                made = sparse([row[a] for a, _ in left], [column[b] for _, b in left], [cost[k] for k in left], limit)
+                now |= {rows[i]: columns[j] for i, j, _ in made}
             before |= now
             out += [(g.seq.iloc[0], n, a, b, cost[a, b]) for a, b in now.items()]
         return pd.DataFrame(out, columns=["seq", "frame_no", "a_id", "b_id", "dist"])
@@ -52,12 +49,12 @@ def matches(truth: DataFrame, tracks: DataFrame, limit: float = LIMIT) -> DataFr
 
 def identity_overlap(truth: DataFrame, tracks: DataFrame, limit: float = LIMIT) -> DataFrame:
     """seq, idtp: frames that agree under the best one-to-one naming of truths and tracks of each sequence."""
-    pairs = iou_pairs(truth.withColumnRenamed("id", "a_id"), tracks.withColumnRenamed("id", "b_id"), ["seq", "frame_no"], 0.0).where(1 - F.col("iou") <= limit)
+    pairs = iou_pairs(truth.withColumnRenamed("id", "a_id"), tracks.withColumnRenamed("id", "b_id"), ["seq", "frame_no"], 0.0, only_overlapping=limit < 1).where(1 - F.col("iou") <= limit)
     counts = pairs.groupBy("seq", "a_id", "b_id").agg(F.count("*").alias("n"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        m = g.pivot_table(index="a_id", columns="b_id", values="n").fillna(0).values
-        return pd.DataFrame({"seq": [g.seq.iloc[0]], "idtp": [int(sum(m[i, j] for i, j in optimal(-m)))]})
+        a, b = pd.factorize(g.a_id)[0], pd.factorize(g.b_id)[0]
+        return pd.DataFrame({"seq": [g.seq.iloc[0]], "idtp": [-int(sum(c for *_, c in sparse(a.tolist(), b.tolist(), (-g.n.astype(float)).tolist(), 0.0)))]})
 
     return counts.groupBy("seq").applyInPandas(run, f"seq {truth.schema['seq'].dataType.simpleString()}, idtp long")
 

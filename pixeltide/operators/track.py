@@ -8,17 +8,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixeltide.functions.assign import within
+from pixeltide.functions.assign import sparse
+from pixeltide.operators import grid
 from pixeltide.operators.detect import BOX, iou
 from pixeltide.operators.params import dealt
 from pixeltide.operators.trackers import Axis
 
 
-def iou_pairs(a: DataFrame, b: DataFrame, keys: list[str], eps: float = 1e-7, plus_one: bool = False) -> DataFrame:
-    """IoU of all pairs of boxes a(keys, a_id, ...) and b(keys, b_id, ...) with the same keys; a frame bounds its pairs."""
-    x = a.select(*keys, "a_id", F.struct(*BOX).alias("p"), *[F.col(c).alias(f"a_{c}") for c in ("score",) if c in a.columns])
-    y = b.select(*keys, "b_id", F.struct(*BOX).alias("q"), *[F.col(c).alias(f"b_{c}") for c in ("score",) if c in b.columns])
-    return x.join(y, keys).withColumn("iou", iou(F.col("p"), F.col("q"), plus_one, eps)).drop("p", "q")
+def iou_pairs(a: DataFrame, b: DataFrame, keys: list[str], eps: float = 1e-7, plus_one: bool = False, only_overlapping: bool = False, axes=grid.AXES) -> DataFrame:
+    """IoU of pairs of boxes a(keys, a_id, ...) and b(keys, b_id, ...) with the same keys: of all, or of those that overlap.
+
+    axes: the columns of the lower and upper corner in each dimension, for boxes of any number of them. The pairs that overlap are
+    found by grids, so a crowded frame makes no more than these; all pairs are for frames that bound them.
+    """
+    corners = [c for pair in axes for c in pair]
+    score = {n: ["score"] if "score" in d.columns else [] for n, d in (("a", a), ("b", b))}
+    if only_overlapping:
+        met = grid.overlapping(a.select(*keys, "a_id", *corners, *score["a"]), b.select(*keys, "b_id", *corners, *score["b"]), keys, axes, 1.0 if plus_one else 0.0)
+        both = met.select(*keys, "p.a_id", "q.b_id", "p", "q", *[F.col("p.score").alias("a_score") for _ in score["a"]], *[F.col("q.score").alias("b_score") for _ in score["b"]])
+    else:
+        x = a.select(*keys, "a_id", F.struct(*corners).alias("p"), *[F.col(c).alias(f"a_{c}") for c in score["a"]])
+        y = b.select(*keys, "b_id", F.struct(*corners).alias("q"), *[F.col(c).alias(f"b_{c}") for c in score["b"]])
+        both = x.join(y, keys)
+    return both.withColumn("iou", iou(F.col("p"), F.col("q"), plus_one, eps, axes)).drop("p", "q")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -51,7 +63,7 @@ def gate_pairs(pairs: DataFrame, names: tuple[str, ...] = ("x", "y", "a", "h"),
 def assign_optimal(pairs: DataFrame, keys: list[str], limit: float) -> DataFrame:
     """The one-to-one pairs of least total cost in each group of pairs(keys, a_id, b_id, cost); pairs over limit are never made."""
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    rows = pairs.groupBy(*keys).agg(F.collect_list(F.struct("a_id", "b_id", "cost")).alias("p"))
+    rows = pairs.where(F.col("cost") <= limit).groupBy(*keys).agg(F.collect_list(F.struct("a_id", "b_id", "cost")).alias("p"))
     parts = rows.select(*keys, *[F.col("p").getField(c).alias(c) for c in ("a_id", "b_id", "cost")])
 
     @F.pandas_udf(f"array<struct<a_id:{kinds['a_id']},b_id:{kinds['b_id']},cost:double>>")
@@ -60,14 +72,21 @@ def assign_optimal(pairs: DataFrame, keys: list[str], limit: float) -> DataFrame
         for x, y, c in zip(a_ids, b_ids, costs, strict=True):
             a, i = np.unique(x, return_inverse=True)
             b, j = np.unique(y, return_inverse=True)
-            m = np.full((len(a), len(b)), 1e18)
-            np.minimum.at(m, (i, j), c)
-            out.append([{"a_id": a[i], "b_id": b[j], "cost": m[i, j]} for i, j in within(m, limit)])
+            out.append([{"a_id": a[m], "b_id": b[n], "cost": v} for m, n, v in sparse(i.tolist(), j.tolist(), np.asarray(c, float).tolist(), limit)])
         return pd.Series(out)
 
     return parts.select(*keys, F.inline(solve("a_id", "b_id", "cost")))
 
 
+def multi_match(pairs: DataFrame, assigned: DataFrame, keys: list[str], least: float = 0.1, multi: float | None = None) -> DataFrame:
+    """From pairs(keys, a_id, b_id, iou) and assigned(keys, a_id, b_id): the assigned pairs of at least `least`, and with multi
+    all others of over `multi` whose a_id is assigned (to whatever). Adds `extra`: whether a pair is one of these."""
+    own = assigned.select(*keys, "a_id", F.col("b_id").alias("_own"))
+    both = pairs.join(own, [*keys, "a_id"]).withColumn("extra", F.col("b_id") != F.col("_own")).drop("_own")
+    more = F.col("extra") & (F.col("iou") > multi) if multi is not None and multi < 1 else F.lit(False)
+    return both.where((~F.col("extra") & (F.col("iou") >= least)) | more)
+
+
 def assign_greedy(pairs: DataFrame, keys: list[str], limit: float) -> DataFrame:
     """Cheapest first (a_id, then b_id on ties), each side once, only costs under limit."""
     a = pairs.where(F.col("cost") < limit).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cost", "a_id", "b_id"))).alias("s"))
@@ -173,7 +192,7 @@ def _mean_features(tracks: DataFrame, keys: list[str], feature: str) -> DataFram
 
 def dedupe_tracks(tracked: DataFrame, lost: DataFrame, keys: list[str], limit: float = 0.15) -> tuple[DataFrame, DataFrame]:
     """Of tracked and lost tracks (keys, track_id, age, box) that overlap, keeps the older; the lost one on ties."""
-    pairs = iou_pairs(tracked.withColumnRenamed("track_id", "a_id"), lost.withColumnRenamed("track_id", "b_id"), keys, 0.0).where(1 - F.col("iou") < limit)
+    pairs = iou_pairs(tracked.withColumnRenamed("track_id", "a_id"), lost.withColumnRenamed("track_id", "b_id"), keys, 0.0, only_overlapping=limit <= 1).where(1 - F.col("iou") < limit)
     pairs = pairs.join(tracked.select(*keys, F.col("track_id").alias("a_id"), F.col("age").alias("a_age")), [*keys, "a_id"]).join(lost.select(*keys, F.col("track_id").alias("b_id"), F.col("age").alias("b_age")), [*keys, "b_id"])
     older = F.col("a_age") > F.col("b_age")
     return (

@@ -52,6 +52,8 @@ done AS (SELECT {part}, unnest(arg_max(kept, r)) AS q FROM rec GROUP BY {part})"
 RDET = ctes("f3_det", recursive=True)
 put("nms", on("f3_det", lambda p: D.nms(p, 0.45, plus_one=True, score_th=0.1)), f"{nms_sql(RDET, ['frame_id'], 0.45, 1, 0.1)} SELECT frame_id, q.det_id, q.x1, q.y1, q.x2, q.y2, q.score, q.class_id FROM done")
 put("nms_class_aware", on("f3_det", lambda p: D.nms(p, 0.5, class_aware=True, score_th=0.1)), f"{nms_sql(RDET, ['frame_id', 'class_id'], 0.5, 0, 0.1)} SELECT frame_id, q.det_id, q.x1, q.y1, q.x2, q.y2, q.score, q.class_id FROM done")
+RCROWD = ctes("f3_crowd", recursive=True)
+put("nms_crowded", on("f3_crowd", lambda p: D.nms_crowded(p, 0.45, plus_one=True, score_th=0.1, crowd=100)), f"{nms_sql(RCROWD, ['frame_id'], 0.45, 1, 0.1, 'f3_crowd')} SELECT frame_id, q.det_id, q.x1, q.y1, q.x2, q.y2, q.score, q.class_id FROM done")
 put(
     "nms_boxes",
     on("f3_det", lambda p: D.nms_boxes(p.select("frame_id", "det_id", F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"), "score"), 0.2, 0.3, 6, 3)),

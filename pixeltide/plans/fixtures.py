@@ -19,6 +19,11 @@ FIXTURES = {
   CAST(l_partkey%40 AS DOUBLE) AS x1, CAST(l_suppkey%40 AS DOUBLE) AS y1,
   CAST(l_partkey%40+20+l_quantity AS DOUBLE) AS x2, CAST(l_suppkey%40+20+l_linenumber*5 AS DOUBLE) AS y2,
   CAST((l_partkey*37+l_linenumber*11)%1000 AS DOUBLE)/1000 AS score, CAST(l_partkey%5 AS INT) AS class_id
+FROM {lineitem}""",
+    "f3_crowd": """SELECT l_suppkey AS frame_id, CAST(ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey,l_linenumber,l_partkey) AS INT) AS det_id,
+  CAST((l_partkey*7+l_orderkey)%300 AS DOUBLE) AS x1, CAST(l_orderkey*3%300 AS DOUBLE) AS y1,
+  CAST((l_partkey*7+l_orderkey)%300+20+l_quantity AS DOUBLE) AS x2, CAST(l_orderkey*3%300+20+l_linenumber*5 AS DOUBLE) AS y2,
+  CAST((l_partkey*37+l_linenumber*11)%1000 AS DOUBLE)/1000 AS score, CAST(l_partkey%5 AS INT) AS class_id
 FROM {lineitem}""",
     "f4_stream": """SELECT stream_id, frame_no, ts, k AS det_id,
   CAST(100*k+(frame_no*(2+k))%60 AS DOUBLE) AS x1, CAST(50*k+frame_no%30 AS DOUBLE) AS y1,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pixeltide.operators import annotate as N
 from pixeltide.operators import motmetrics as M
@@ -189,15 +190,30 @@ ONCE = ST.replace("f4_stream AS (", "f4_stream AS MATERIALIZED (")
 FKEY = ["stream_id", "frame_no"]
 
 
-def next_pairs(s, d):
+def next_pairs(s, d, **how):
     f = fixture(s, d, "f4_stream")
     a = f.withColumnRenamed("det_id", "a_id")
     b = f.withColumn("frame_no", F.col("frame_no") - 1).withColumnRenamed("det_id", "b_id")
-    return T.iou_pairs(a, b, FKEY)
+    return T.iou_pairs(a, b, FKEY, **how)
 
 
 PAIRS = f"{A}, pr AS (SELECT a.stream_id, a.frame_no, a_id, b_id, a.score AS a_score, b.score AS b_score, {iou_sql('a', 'b', 0, '1e-7')} AS iou FROM a JOIN b ON b.stream_id=a.stream_id AND b.frame_no=a.frame_no)"
 put("iou_pairs", lambda s, d: next_pairs(s, d).select(*FKEY, "a_id", "b_id", F.round("iou", 6).alias("iou")), f"{ONCE}, {PAIRS} SELECT stream_id, frame_no, a_id, b_id, round(iou, 6) AS iou FROM pr")
+put("overlapping_pairs", lambda s, d: next_pairs(s, d, only_overlapping=True).select(*FKEY, "a_id", "b_id", F.round("iou", 6).alias("iou")), f"{ONCE}, {PAIRS} SELECT stream_id, frame_no, a_id, b_id, round(iou, 6) AS iou FROM pr WHERE iou > 0")
+DEEP = (("x1", "x2"), ("y1", "y2"), ("z1", "z2"))
+
+
+def crowd_pairs(s, d):
+    """Boxes of a frame with a depth, by their scores: those of class 0 with those of class 1."""
+    f = fixture(s, d, "f3_crowd").withColumn("z1", F.floor(F.col("score") * 10).cast("double")).withColumn("z2", F.col("z1") + 1 + F.col("det_id") % 3)
+    a, b = f.where("class_id = 0").withColumnRenamed("det_id", "a_id"), f.where("class_id = 1").withColumnRenamed("det_id", "b_id")
+    return T.iou_pairs(a.drop("score"), b.drop("score"), ["frame_id"], only_overlapping=True, axes=DEEP)
+
+
+put("overlapping_solids", lambda s, d: crowd_pairs(s, d).select("frame_id", "a_id", "b_id", F.round("iou", 6).alias("iou")), f"""{ctes("f3_crowd").replace("f3_crowd AS (", "f3_crowd AS MATERIALIZED (")}, z AS MATERIALIZED (SELECT frame_id, det_id, class_id, x1, y1, x2, y2, floor(score*10) AS z1, floor(score*10)+1+det_id%3 AS z2 FROM f3_crowd),
+o AS (SELECT a.frame_id, a.det_id AS a_id, b.det_id AS b_id, (least(a.x2,b.x2)-greatest(a.x1,b.x1))*(least(a.y2,b.y2)-greatest(a.y1,b.y1))*(least(a.z2,b.z2)-greatest(a.z1,b.z1)) AS i, (a.x2-a.x1)*(a.y2-a.y1)*(a.z2-a.z1)+(b.x2-b.x1)*(b.y2-b.y1)*(b.z2-b.z1) AS s
+FROM z a JOIN z b ON a.frame_id=b.frame_id AND a.class_id=0 AND b.class_id=1 AND least(a.x2,b.x2)>greatest(a.x1,b.x1) AND least(a.y2,b.y2)>greatest(a.y1,b.y1) AND least(a.z2,b.z2)>greatest(a.z1,b.z1))
+SELECT frame_id, a_id, b_id, round(i/(s-i+1e-7), 6) AS iou FROM o""")
 
 
 def appearance(s, d):
@@ -223,7 +239,8 @@ def gated(s, d):
 
 
 _MEAS = "SELECT stream_id, frame_no, det_id, (x1+x2)/2 AS x, (y1+y2)/2 AS y, (x2-x1)/(y2-y1) AS a, y2-y1 AS h FROM f4_stream"
-put("gate_pairs", gated, f"{ONCE}, m AS MATERIALIZED ({_MEAS}), nx AS MATERIALIZED (SELECT * REPLACE (frame_no-1 AS frame_no) FROM m), g AS (SELECT p.stream_id, p.frame_no, p.det_id AS a_id, q.det_id AS b_id, (p.x-q.x)*(p.x-q.x)/(p.h*p.h*0.0125e0) + (p.y-q.y)*(p.y-q.y)/(p.h*p.h*0.0125e0) + (p.a-q.a)*(p.a-q.a)/0.0101e0 + (p.h-q.h)*(p.h-q.h)/(p.h*p.h*0.0125e0) AS gate FROM m p JOIN nx q ON q.stream_id=p.stream_id AND q.frame_no=p.frame_no) SELECT stream_id, frame_no, a_id, b_id, round(gate, 6) AS gate FROM g WHERE gate <= 9.4877e0")
+put("gate_pairs", gated, f"""{ST}, m AS ({_MEAS}), g AS (SELECT p.stream_id, p.frame_no, p.det_id AS a_id, q.det_id AS b_id, (p.x-q.x)*(p.x-q.x)/(p.h*p.h*0.0125e0) + (p.y-q.y)*(p.y-q.y)/(p.h*p.h*0.0125e0) + (p.a-q.a)*(p.a-q.a)/0.0101e0 + (p.h-q.h)*(p.h-q.h)/(p.h*p.h*0.0125e0) AS gate
+FROM m p JOIN m q ON q.stream_id = p.stream_id AND q.frame_no = p.frame_no + 1) SELECT stream_id, frame_no, a_id, b_id, round(gate, 6) AS gate FROM g WHERE gate <= 9.4877e0""")
 
 
 def costs(s, d):
@@ -240,6 +257,28 @@ rec AS (SELECT stream_id, frame_no, r, [{{'a': a_id, 'b': b_id, 'c': cost}}] AS
 done AS (SELECT stream_id, frame_no, unnest(arg_max(kept, r)) AS q FROM rec GROUP BY stream_id, frame_no) SELECT stream_id, frame_no, q.a AS a_id, q.b AS b_id, q.c AS cost FROM done""")
 put("assign_optimal", lambda s, d: T.assign_optimal(costs(s, d), FKEY, 150.0))
 
+
+def least_cost(s, d):
+    """How much the pairs made save, against leaving everything alone; the best assignment isn't always the only one."""
+    made = T.assign_optimal(costs(s, d), FKEY, 150.0)
+    return made.groupBy(*FKEY).agg(F.count("*").alias("pairs"), F.sum(150 - F.col("cost")).alias("saved"))
+
+
+#: All ways to pair three with three at most; a pair that saves nothing needn't be made, so only savings are compared.
+put("assign_optimal_cost", lambda s, d: least_cost(s, d).where("saved > 0").select(*FKEY, "saved"), f"""{ONCE}, {COST}, g AS (SELECT stream_id, frame_no, {", ".join(f"coalesce(max(150-cost) FILTER (WHERE a_id={i} AND b_id={j} AND cost<=150), 0) AS g{i}{j}" for i in range(3) for j in range(3))} FROM c GROUP BY stream_id, frame_no),
+m AS (SELECT stream_id, frame_no, greatest({", ".join("+".join(f"g{i}{j}" for i, j in enumerate(p)) for p in ((0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)))}) AS saved FROM g) SELECT * FROM m WHERE saved > 0""")
+
+
+def multi(s, d):
+    """Pairs over a low bound besides the assigned ones, where greedy and best assignment are the same: costs without ties."""
+    pairs = next_pairs(s, d).withColumn("cost", 1 - F.col("iou") + F.col("a_id") * 1e-4 + F.col("b_id") * 1e-5)
+    best = pairs.where("a_id = 0").withColumn("r", F.row_number().over(Window.partitionBy(*FKEY).orderBy("cost"))).where("r = 1")
+    return T.multi_match(pairs, T.assign_optimal(best, FKEY, 2.0), FKEY, 0.1, 0.02).select(*FKEY, "a_id", "b_id", "extra")
+
+
+put("multi_match", multi, f"""{ONCE}, {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY stream_id, frame_no ORDER BY 1-iou+a_id*1e-4+b_id*1e-5) AS r FROM pr WHERE a_id = 0),
+o AS (SELECT stream_id, frame_no, b_id AS own FROM r WHERE r = 1) SELECT stream_id, frame_no, a_id, b_id, b_id <> own AS extra FROM pr JOIN o USING (stream_id, frame_no) WHERE a_id = 0 AND (b_id = own AND iou >= 0.1 OR b_id <> own AND iou > 0.02)""")
+
 TK = ["stream_id", "det_id"]
 RST = ctes("f4_stream", recursive=True)
 RANK = "k AS (SELECT *, (x1+x2)/2 AS cx, (y1+y2)/2 AS cy, x2-x1 AS w, y2-y1 AS h, (x2-x1)/(y2-y1) AS ar, row_number() OVER (PARTITION BY stream_id, det_id ORDER BY frame_no) AS r FROM f4_stream)"
