@@ -42,7 +42,7 @@ from pixeltide.llm.common import Saved, importable, mix
 MIN_DOCS, TOP, PARTS = 3, 200, 1_000_000_000
 SHARD_KEYS, BROADCAST, HOLD = 16_384, 64 << 20, 96 << 20
 SOURCES, FAN, SALTS = 64, 64, 16
-COUNTED = 400_000  # terms that a task counts before it sends them on
+COUNTED, MOST = 300_000, 1 << 30  # terms, and their occurrences, that a task counts before it looks them up or sends them on
 GAMMA, LEVELS = 2, 48
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
 
@@ -213,19 +213,21 @@ _COLUMNS = ["lang", "source", "shard", "task", "at", "n"]
 class Slots:
     """Dense counts by (lang, source, shard), of `keys` slots each."""
 
-    def __init__(self, task: int):
-        self.task, self.held, self.bytes = task, {}, 0
+    def __init__(self, task: int, kind=np.int64):
+        self.task, self.kind, self.held, self.bytes, self.added = task, kind, {}, 0, 0
 
     def add(self, lang: str, source: str, shard: int, keys: int, slots: np.ndarray, n: np.ndarray) -> None:
+        """Adds n at slots, which are different ones."""
         dense = self.held.get((lang, source, shard))
         if dense is None:
-            dense = self.held[lang, source, shard] = np.zeros(keys, np.int64)
+            dense = self.held[lang, source, shard] = np.zeros(keys, self.kind)
             self.bytes += dense.nbytes + 200
-        np.add.at(dense, slots, n)
+        dense[slots] += n.astype(self.kind)
+        self.added += int(n.sum())
 
     def send(self):
         rows = [_packed(*k, self.task, v) for k, v in self.held.items()]
-        self.held, self.bytes = {}, 0
+        self.held, self.bytes, self.added = {}, 0, 0
         for at in range(0, len(rows), 64):
             yield pd.DataFrame(rows[at : at + 64], columns=_COLUMNS)
 
@@ -237,39 +239,50 @@ def _counted(docs: DataFrame, made: DataFrame, shards: dict[str, int]) -> DataFr
 
     def run(batches):
         own: dict[tuple[str, int], Perfect] = {}
-        held = Slots(TaskContext.get().partitionId())
-        for part in (p for b in batches for p in parts([b])):
-            for lang, group in part.groupby("lang", sort=False):
-                if lang not in shards:
-                    continue
-                counts = {source: Counter() for source in group.source.unique()}
-                for source, text in zip(group.source, group.text, strict=True):
-                    counts[source].update(terms(text))
-                items = list(set().union(*counts.values()))
-                if not items:
-                    continue
-                place = dict(zip(items, range(len(items)), strict=True))
-                h = hashes(items)
-                shard, slot = shard_of(h, shards[lang]), np.full(len(items), -1, np.int64)
-                for s in np.unique(shard).tolist():
-                    if (lang, s) in shared.value:
-                        if (lang, s) not in own:
-                            own[lang, s] = Perfect.load(shared.value[lang, s])
-                        at = np.flatnonzero(shard == s)
-                        slot[at] = own[lang, s].slots([items[i] for i in at], h[at])
-                for source, c in counts.items():
-                    at = np.fromiter(map(place.get, c), np.int64, len(c))
-                    n = np.fromiter(c.values(), np.int64, len(c))
-                    ok = slot[at] >= 0
-                    at, n = at[ok], n[ok]
-                    order = np.argsort(shard[at], kind="stable")
-                    at, n = at[order], n[order]
-                    for run_ in np.split(np.arange(len(at)), np.flatnonzero(np.diff(shard[at])) + 1):
-                        if len(run_):
-                            s = int(shard[at[run_[0]]])
-                            held.add(lang, source, s, len(own[lang, s]), slot[at[run_]], n[run_])
-            if held.bytes > HOLD:
+        held = Slots(TaskContext.get().partitionId(), np.int32)  # a slot stays under 2 * MOST
+        counts: dict[str, dict[str, Counter]] = {}
+
+        def look_up(lang: str, sources: dict[str, Counter]) -> None:
+            items = list(set().union(*sources.values()))
+            place = dict(zip(items, range(len(items)), strict=True))
+            h = hashes(items)
+            shard, slot = shard_of(h, shards[lang]), np.full(len(items), -1, np.int64)
+            order = np.argsort(shard, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                key = lang, int(shard[at[0]])
+                if key in shared.value:
+                    if key not in own:
+                        own[key] = Perfect.load(shared.value[key])
+                    slot[at] = own[key].slots([items[i] for i in at], h[at])
+            for source, c in sources.items():
+                at = np.fromiter(map(place.get, c), np.int64, len(c))
+                n = np.fromiter(c.values(), np.int64, len(c))
+                ok = slot[at] >= 0
+                at, n = at[ok], n[ok]
+                order = np.argsort(shard[at], kind="stable")
+                at, n = at[order], n[order]
+                for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(shard[at])) + 1):
+                    if len(part):
+                        s = int(shard[at[part[0]]])
+                        held.add(lang, source, s, len(own[lang, s]), slot[at[part]], n[part])
+
+        def settle():
+            for lang, sources in counts.items():
+                look_up(lang, sources)
+            counts.clear()
+            if held.bytes > HOLD or held.added > MOST:
                 yield from held.send()
+
+        seen = 0
+        for part in (p for b in batches for p in parts([b])):
+            for lang, source, text in zip(part.lang, part.source, part.text, strict=True):
+                if lang in shards and (found := terms(text)):
+                    counts.setdefault(lang, {}).setdefault(source, Counter()).update(found)
+                    seen += len(found)
+            if seen > MOST or sum(len(c) for sources in counts.values() for c in sources.values()) > COUNTED:
+                yield from settle()
+                seen = 0
+        yield from settle()
         yield from held.send()
 
     return _plain(docs).mapInPandas(run, SLOTS)
