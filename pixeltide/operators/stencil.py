@@ -1,4 +1,8 @@
-"""Neighbourhood operators. Borders are mirrored without the edge pixel (… 2 1 | 0 1 2 … n-1 | n-2 …)."""
+"""Neighbourhood operators. Borders are mirrored without the edge pixel (… 2 1 | 0 1 2 … n-1 | n-2 …).
+
+A frame is dealt out in tiles; a pixel goes to its tile and to those whose border it is in, in one exchange, and a tile is one
+array. So the work spreads over a large frame too, and no pixel is multiplied by the size of a kernel.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from pixeltide.operators.params import clamp, dealt, saturate, small_table
+from pixeltide.operators.params import clamp, saturate, small_table
+from pixeltide.operators.rounds import checkpoint, joined
 
 
 def mirror(i: int, n: int) -> int:
@@ -20,105 +24,191 @@ def mirror(i: int, n: int) -> int:
     return i if n > 1 else 0
 
 
-def padded(px: DataFrame, axis: str, n: int, before: int, after: int) -> DataFrame:
-    """The rows of px with mirrored strips along one axis: a broadcast join with the positions of each source."""
-    rows = [(i, mirror(i, n)) for i in range(-before, n + after)]
-    at = small_table(px.sparkSession, rows, f"_to int, {axis} int")
-    return px.join(at, axis).drop(axis).withColumnRenamed("_to", axis)
+TILE = 64
+
+
+def side_of(reach: int, tile: int | None) -> int:
+    """A tile's side: wide enough that its borders are the smaller part."""
+    return tile or max(TILE, 4 * reach)
+
+
+def places(spark, axis: str, n: int, before: int, after: int, tile: int) -> DataFrame:
+    """For each position along an axis: the tiles (`_t` + axis) it goes to, and its place (`_` + axis) in them, border included.
+
+    Positions beyond the frame are mirrored ones, so a position near the frame's border may go to several places.
+    """
+    rows = []
+    for t in range(-(-n // tile)):
+        first, last = t * tile, min(n, (t + 1) * tile)
+        rows += [(mirror(i, n), t, i - first + before) for i in range(first - before, last + after)]
+    return small_table(spark, rows, f"{axis} int, _t{axis} int, _{axis} int")
+
+
+def tiled(px: DataFrame, value: str, kind: str, fn, out: str, width: int, height: int, before: int, after: int, tile: int, by_channel: bool = True) -> DataFrame:
+    """fn over each tile of a frame with its border, in one exchange of the pixels.
+
+    fn(block, y0, x0, h, w): block is the tile's values, `before` and `after` more on each side; y0, x0 its first own
+    pixel and h, w its size; gives a dict of columns for `out`. Pixels that a frame lacks are 0.
+    """
+    spark = px.sparkSession
+    keys = ["frame_id", "c"] if by_channel else ["frame_id"]
+    at = px.select(*keys, "y", "x", F.col(value).alias("v")).join(places(spark, "y", height, before, after, tile), "y").join(places(spark, "x", width, before, after, tile), "x")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = int(g._ty.iloc[0]) * tile, int(g._tx.iloc[0]) * tile
+        h, w = min(tile, height - y0), min(tile, width - x0)
+        block = np.zeros((h + before + after, w + before + after), kind)
+        block[g._y.to_numpy(), g._x.to_numpy()] = g.v.to_numpy()
+        made = pd.DataFrame(fn(block, y0, x0, h, w))
+        for k in reversed(keys):
+            made.insert(0, k, [g[k].iloc[0]] * len(made))
+        return made
+
+    kinds = ", ".join(f"{k} {px.schema[k].dataType.simpleString()}" for k in keys)
+    return at.select(*keys, "v", "_ty", "_y", "_tx", "_x").groupBy(*keys, "_ty", "_tx").applyInPandas(run, f"{kinds}, {out}")
 
 
-def _sums(px: DataFrame, axis: str, other: str, n: int, before: int, after: int, value: str) -> DataFrame:
-    w = Window.partitionBy("frame_id", "c", other).orderBy(axis).rowsBetween(-before, after)
-    out = padded(px, axis, n, before, after).withColumn(value, F.sum(value).over(w))
-    return out.where(F.col(axis).between(0, n - 1))
+def _pixels(y0: int, x0: int, h: int, w: int) -> dict:
+    y, x = np.mgrid[y0 : y0 + h, x0 : x0 + w]
+    return {"y": y.ravel(), "x": x.ravel()}
 
 
-def box_blur(px: DataFrame, k: int, width: int, height: int) -> DataFrame:
-    """Mean over k x k: two running sums, along x and along y."""
+def box_blur(px: DataFrame, k: int, width: int, height: int, tile: int | None = None) -> DataFrame:
+    """Mean over k x k: differences of running sums along both axes."""
     k = clamp(k, 1, 128)
     before, after = k // 2, k - 1 - k // 2
-    s = px.select("frame_id", "y", "x", "c", F.col("v").cast("long").alias("s"))
-    s = _sums(_sums(s, "x", "y", width, before, after, "s"), "y", "x", height, before, after, "s")
-    return s.select("frame_id", "y", "x", "c", F.bround(F.col("s") / (k * k), 0).cast("int").alias("v"))
 
+    def mean(block, y0, x0, h, w):
+        s = np.zeros((block.shape[0] + 1, block.shape[1] + 1), np.int64)
+        s[1:, 1:] = block.cumsum(0).cumsum(1)
+        total = s[k:, k:] - s[:-k, k:] - s[k:, :-k] + s[:-k, :-k]
+        return _pixels(y0, x0, h, w) | {"v": np.rint(total / (k * k)).astype(int).ravel()}
+
+    return tiled(px, "v", "int64", mean, "y int, x int, v int", width, height, before, after, side_of(before, tile)).select("frame_id", "y", "x", "c", "v")
+
+
+def around(block: np.ndarray, kernel, h: int, w: int) -> np.ndarray:
+    """Sums of neighbours times weights, for h x w places in the middle of a block."""
+    n = len(kernel)
+    y, x = (block.shape[0] - h - n + 1) // 2, (block.shape[1] - w - n + 1) // 2
+    return sum(weight * block[y + dy : y + dy + h, x + dx : x + dx + w] for dy, line in enumerate(kernel) for dx, weight in enumerate(line) if weight)
 
-def correlate(px: DataFrame, kernel: list[list[float]], width: int, height: int, value: str = "v") -> DataFrame:
-    """Sums of neighbours times weights, unrounded, in the column s: each pixel goes to its up to nine targets."""
+
+def correlate(px: DataFrame, kernel: list[list[float]], width: int, height: int, value: str = "v", tile: int | None = None) -> DataFrame:
+    """Sums of neighbours times weights, unrounded, in the column s."""
     reach = len(kernel) // 2
-    rows = [(dy, dx, float(w)) for dy, line in enumerate(kernel, -reach) for dx, w in enumerate(line, -reach) if w]
-    wide = padded(padded(px.select("frame_id", "y", "x", "c", F.col(value).alias("v")), "x", width, reach, reach), "y", height, reach, reach)
-    hit = wide.join(small_table(px.sparkSession, rows, "dy int, dx int, w double"))
-    hit = hit.select("frame_id", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), "c", (F.col("v") * F.col("w")).alias("p"))
-    hit = hit.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
-    return hit.groupBy("frame_id", "y", "x", "c").agg(F.sum("p").alias("s"))
 
+    def run(block, y0, x0, h, w):
+        return _pixels(y0, x0, h, w) | {"s": np.ravel(around(block, kernel, h, w) + np.zeros((h, w)))}
+
+    return tiled(px, value, "float64", run, "y int, x int, s double", width, height, reach, reach, side_of(reach, tile)).select("frame_id", "y", "x", "c", "s")
 
-def filter3x3(px: DataFrame, kernel: list[list[float]], gain: float, width: int, height: int) -> DataFrame:
+
+def filter3x3(px: DataFrame, kernel: list[list[float]], gain: float, width: int, height: int, tile: int | None = None) -> DataFrame:
     gain = clamp(gain, 0.0, 10.0, 3)
     kernel = [[clamp(w, -1.0, 1.0, 3) * gain for w in line] for line in kernel]
-    return correlate(px, kernel, width, height).select("frame_id", "y", "x", "c", saturate(F.col("s")).alias("v"))
+    return correlate(px, kernel, width, height, tile=tile).select("frame_id", "y", "x", "c", saturate(F.col("s")).alias("v"))
 
 
 SOBEL_X = [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]]
 SOBEL_Y = [[-1, -2, -1], [0, 0, 0], [1, 2, 1]]
 
 
-def gradients(gray: DataFrame, width: int, height: int) -> DataFrame:
-    """frame_id, y, x, gx, gy: both Sobel sums in one pass. From here on a frame's rows are together, so nothing else moves."""
-    rows = [(dy, dx, SOBEL_X[dy + 1][dx + 1], SOBEL_Y[dy + 1][dx + 1]) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
-    wide = dealt(padded(padded(gray.select("frame_id", "y", "x", "v"), "x", width, 1, 1), "y", height, 1, 1), "frame_id")
-    hit = wide.join(small_table(gray.sparkSession, rows, "dy int, dx int, wx int, wy int"))
-    hit = hit.select("frame_id", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), (F.col("v") * F.col("wx")).alias("gx"), (F.col("v") * F.col("wy")).alias("gy"))
-    hit = hit.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
-    return hit.groupBy("frame_id", "y", "x").agg(F.sum("gx").cast("int").alias("gx"), F.sum("gy").cast("int").alias("gy"))
+_ROUND = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+
 
+def candidates(block: np.ndarray, lo: int, hi: int, y0: int, x0: int, h: int, w: int, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a tile and one pixel around it: which are largest across their edge and over lo, and of these which over hi.
 
-def edge_candidates(gray: DataFrame, lo: int, hi: int, width: int, height: int) -> DataFrame:
-    """frame_id, y, x, strong: pixels that are largest across their edge, over lo (strong: over hi)."""
+    block has three pixels more on each side; beyond the frame there are no gradients.
+    """
+    h, w = h + 4, w + 4  # the gradients of two pixels around
+    gx, gy = around(block, SOBEL_X, h, w), around(block, SOBEL_Y, h, w)
+    y, x = np.ogrid[y0 - 2 : y0 - 2 + h, x0 - 2 : x0 - 2 + w]
+    inside = (y >= 0) & (y < height) & (x >= 0) & (x < width)
+    m = np.where(inside, np.abs(gx) + np.abs(gy), 0)
+    near = {(dy, dx): m[1 + dy : h - 1 + dy, 1 + dx : w - 1 + dx] for dy, dx in [*_ROUND, (0, 0)]}
+    gx, gy, inside = gx[1:-1, 1:-1], gy[1:-1, 1:-1], inside[1:-1, 1:-1]
+    ax, ay = np.abs(gx), np.abs(gy)
+    flat, steep = ay * 1000 < ax * 414, ay * 1000 > ax * 2414  # tangents of 22.5 and 67.5 degrees
+    same = (gx >= 0) == (gy >= 0)
+    along = [flat, steep, same]
+    before = np.select(along, [near[0, -1], near[-1, 0], near[-1, -1]], near[-1, 1])
+    after = np.select(along, [near[0, 1], near[1, 0], near[1, 1]], near[1, -1])
+    on = inside & (near[0, 0] > lo) & (near[0, 0] > before) & (near[0, 0] >= after)
+    return on, on & (near[0, 0] > hi)
+
+
+def labelled(on: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The least code of each place's 8-connected part of `on`; -1 where it is off."""
+    big = np.iinfo(np.int64).max
+    label = np.full((on.shape[0] + 2, on.shape[1] + 2), big)
+    label[1:-1, 1:-1] = np.where(on, codes, big)
+    inner = label[1:-1, 1:-1]
+    while True:
+        least = inner.copy()
+        for dy, dx in _ROUND:
+            np.minimum(least, label[1 + dy : label.shape[0] - 1 + dy, 1 + dx : label.shape[1] - 1 + dx], out=least)
+        least = np.where(on, least, big)
+        # a part's own code may have a smaller label already: take it over, so that long chains need few turns
+        at = np.flatnonzero(on.ravel())
+        order = np.argsort(codes.ravel()[at])
+        known, value = codes.ravel()[at][order], least.ravel()[at][order]
+        least.ravel()[at] = value[np.searchsorted(known, least.ravel()[at])]
+        if (least == inner).all():
+            return np.where(on, inner, -1)
+        inner[:] = least
+
+
+EDGES = "y int, x int, label long, strong boolean, other long"
+
+
+def edge_parts(gray: DataFrame, lo: int, hi: int, width: int, height: int, tile: int | None = None) -> DataFrame:
+    """frame_id, y, x, label, strong: edge candidates by the part of their tile they are in; and, where `other` isn't null, that a
+    part meets the candidate of that code (y * width + x) in another tile."""
     lo, hi = clamp(lo, 1, 254), clamp(hi, 2, 255)
     if lo > hi:
         lo = hi - 1
-    g = gradients(gray, width, height).withColumn("m", F.abs("gx") + F.abs("gy"))
-    ax, ay = F.abs("gx"), F.abs("gy")
-    flat, steep = ay * 1000 < ax * 414, ay * 1000 > ax * 2414  # tangents of 22.5 and 67.5 degrees
-    same = (F.col("gx") >= 0) == (F.col("gy") >= 0)
-    lines = {"row": ([F.col("y")], "x"), "column": ([F.col("x")], "y"), "fall": ([F.col("y") - F.col("x")], "y"), "rise": ([F.col("y") + F.col("x")], "y")}
-    for name, (line, along) in lines.items():  # both neighbours on each line through a pixel; 0 outside the frame
-        w = Window.partitionBy("frame_id", *line).orderBy(along)
-        for side, at, step in (("before", F.lag, -1), ("after", F.lead, 1)):
-            g = g.withColumn(f"{name}_{side}", F.when(at(along).over(w) == F.col(along) + step, at("m").over(w)).otherwise(0))
-
-    def neighbour(side):
-        return F.when(flat, F.col(f"row_{side}")).when(steep, F.col(f"column_{side}")).when(same, F.col(f"fall_{side}")).otherwise(F.col(f"rise_{side}"))
 
-    return g.where((F.col("m") > lo) & (F.col("m") > neighbour("before")) & (F.col("m") >= neighbour("after"))).select("frame_id", "y", "x", (F.col("m") > hi).alias("strong"))
-
-
-def canny(gray: DataFrame, lo: int, hi: int, width: int, height: int) -> DataFrame:
+    def run(block, y0, x0, h, w):
+        on, strong = candidates(block, lo, hi, y0, x0, h, w, width, height)
+        y, x = np.mgrid[y0 - 1 : y0 + h + 1, x0 - 1 : x0 + w + 1]
+        codes = y.astype(np.int64) * width + x
+        label = np.full(on.shape, -1)
+        label[1:-1, 1:-1] = labelled(on[1:-1, 1:-1], codes[1:-1, 1:-1])
+        ring = on.copy()
+        ring[1:-1, 1:-1] = False
+        met = set()
+        for i, j in zip(*np.nonzero(ring)):
+            for dy, dx in _ROUND:
+                if 0 <= i + dy < on.shape[0] and 0 <= j + dx < on.shape[1] and label[i + dy, j + dx] >= 0:
+                    met.add((label[i + dy, j + dx], codes[i, j]))
+        at = label >= 0
+        n, k = int(at.sum()), len(met)
+        met = np.array(sorted(met), np.int64).reshape(-1, 2)
+        return {
+            "y": np.append(y[at], np.zeros(k, int)), "x": np.append(x[at], np.zeros(k, int)), "label": np.append(label[at], met[:, 0]), "strong": np.append(strong[at], np.zeros(k, bool)),
+            "other": pd.arrays.IntegerArray(np.append(np.zeros(n, np.int64), met[:, 1]), np.arange(n + k) < n),
+        }
+
+    return tiled(gray, "v", "int64", run, EDGES, width, height, 3, 3, side_of(3, tile), by_channel=False)
+
+
+def canny(gray: DataFrame, lo: int, hi: int, width: int, height: int, tile: int | None = None) -> DataFrame:
     """Edges: strong candidates and all candidates that a chain of 8-neighbours joins to one; 255, and 0 elsewhere.
 
-    Chains are followed frame by frame, over the candidates of one frame.
+    Tiles find candidates and join them to parts; parts of different tiles that touch are joined as a graph. So a frame of any
+    size is spread, and only parts at seams are in the graph.
     """
-    cand = edge_candidates(gray, lo, hi, width, height)
-    kind = cand.schema["frame_id"].dataType.simpleString()
-
-    def follow(g: pd.DataFrame) -> pd.DataFrame:
-        wide = width + 2
-        code = (g.y.to_numpy(np.int64) + 1) * wide + g.x.to_numpy(np.int64) + 1
-        order = np.argsort(code)
-        code, on = code[order], g.strong.to_numpy(bool)[order]
-        steps = np.array([dy * wide + dx for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
-        front = code[on]
-        while len(front):
-            near = np.unique(front[:, None] + steps)
-            at = np.minimum(np.searchsorted(code, near), len(code) - 1)
-            at = at[(code[at] == near) & ~on[at]]
-            on[at] = True
-            front = code[at]
-        return g.iloc[order[on]][["frame_id", "y", "x"]]
-
-    found = cand.groupBy("frame_id").applyInPandas(follow, f"frame_id {kind}, y int, x int").withColumn("e", F.lit(255))
-    return gray.select("frame_id", "y", "x", "c").join(found, ["frame_id", "y", "x"], "left").select("frame_id", "y", "x", "c", F.coalesce("e", F.lit(0)).alias("v"))
+    found = checkpoint(edge_parts(gray, lo, hi, width, height, tile))
+    parts = found.where("other is null")
+    code = (F.col("y") * F.lit(width).cast("long") + F.col("x")).alias("other")
+    seams = found.where("other is not null").select("frame_id", "label", "other").join(parts.select("frame_id", code, F.col("label").alias("b")), ["frame_id", "other"])
+    whole = joined(seams.select("frame_id", F.col("label").alias("a"), "b"), "frame_id")
+    named = parts.join(whole.select("frame_id", F.col("node").alias("label"), "root"), ["frame_id", "label"], "left").withColumn("root", F.coalesce("root", "label"))
+    lit = named.where("strong").select("frame_id", "root").distinct()
+    edges = named.join(lit, ["frame_id", "root"], "left_semi").select("frame_id", "y", "x", F.lit(255).alias("e"))
+    return gray.select("frame_id", "y", "x", "c").join(edges, ["frame_id", "y", "x"], "left").select("frame_id", "y", "x", "c", F.coalesce("e", F.lit(0)).alias("v"))
 
 
 def gaussian(n: int = 7, sigma: float = 7 / 6) -> list[float]:
@@ -126,28 +216,18 @@ def gaussian(n: int = 7, sigma: float = 7 / 6) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def weighted(df: DataFrame, columns: dict[str, Column], axis: str, n: int, weights: list[float]) -> DataFrame:
-    """Weighted sums along one axis of several columns, by windows over mirrored rows."""
-    reach = len(weights) // 2
-    other = "y" if axis == "x" else "x"
-    w = Window.partitionBy("frame_id", "c", other).orderBy(axis)
-    wide = padded(df.select("frame_id", "y", "x", "c", "v", *[e.alias(k) for k, e in columns.items()]), axis, n, reach, reach)
-
-    def total(k):
-        out = F.lit(0.0)
-        for i, wt in enumerate(weights):
-            j = i - reach
-            out = out + wt * (F.lead(k, j).over(w) if j > 0 else F.lag(k, -j).over(w) if j < 0 else F.col(k))
-        return out
+def mscn(px: DataFrame, width: int = 8, height: int = 8, floor: float = 1.0, tile: int | None = None) -> DataFrame:
+    """m: each value less its 7x7 Gaussian mean, over the local deviation plus `floor`."""
+    wt = gaussian()
+    reach = len(wt) // 2
 
-    return wide.select("frame_id", "y", "x", "c", "v", *[total(k).alias(k) for k in columns]).where(F.col(axis).between(0, n - 1))
+    def smooth(block, h, w):
+        rows = sum(weight * block[:, i : i + w] for i, weight in enumerate(wt))
+        return sum(weight * rows[i : i + h] for i, weight in enumerate(wt))
 
+    def run(block, y0, x0, h, w):
+        mu, sq = smooth(block, h, w), smooth(block * block, h, w)
+        sd = np.sqrt(np.maximum(0.0, sq - mu * mu))
+        return _pixels(y0, x0, h, w) | {"m": ((block[reach : reach + h, reach : reach + w] - mu) / (sd + floor)).ravel()}
 
-def mscn(px: DataFrame, width: int = 8, height: int = 8, floor: float = 1.0) -> DataFrame:
-    """m: each value less its 7x7 Gaussian mean, over the local deviation plus `floor`."""
-    wt = gaussian()
-    v = F.col("v").cast("double")
-    along = weighted(px, {"mu": v, "sq": v * v}, "x", width, wt)
-    both = weighted(along, {"mu": F.col("mu"), "sq": F.col("sq")}, "y", height, wt)
-    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("sq") - F.col("mu") * F.col("mu")))
-    return both.select("frame_id", "y", "x", "c", ((F.col("v") - F.col("mu")) / (sd + floor)).alias("m"))
+    return tiled(px, "v", "float64", run, "y int, x int, m double", width, height, reach, reach, side_of(reach, tile)).select("frame_id", "y", "x", "c", "m")

@@ -157,7 +157,7 @@ def _mirror(e, n):
     return f"(CASE WHEN {e} < 0 THEN -({e}) WHEN {e} >= {n} THEN {2 * (n - 1)}-({e}) ELSE {e} END)"
 
 
-put("box_blur", on(MOSAIC, lambda p: N.box_blur(p, 5, 64, 64)), f"{M} SELECT t.frame_id, t.y, t.x, t.c, CAST(round_even(sum(s.v)/CAST(25 AS DOUBLE), 0) AS INT) AS v FROM f10_mosaic t, range(-2, 3) dy(i), range(-2, 3) dx(i) JOIN f10_mosaic s ON s.frame_id=t.frame_id AND s.c=t.c AND s.y={_mirror('t.y+dy.i', 64)} AND s.x={_mirror('t.x+dx.i', 64)} GROUP BY ALL")
+put("box_blur", on(MOSAIC, lambda p: N.box_blur(p, 5, 64, 64, tile=32)), f"{M} SELECT t.frame_id, t.y, t.x, t.c, CAST(round_even(sum(s.v)/CAST(25 AS DOUBLE), 0) AS INT) AS v FROM f10_mosaic t, range(-2, 3) dy(i), range(-2, 3) dx(i) JOIN f10_mosaic s ON s.frame_id=t.frame_id AND s.c=t.c AND s.y={_mirror('t.y+dy.i', 64)} AND s.x={_mirror('t.x+dx.i', 64)} GROUP BY ALL")
 put("box_blur_even", on(GRAY, lambda p: N.box_blur(p, 4, 8, 8)), f"{G} SELECT t.frame_id, t.y, t.x, t.c, CAST(round_even(sum(s.v)/CAST(16 AS DOUBLE), 0) AS INT) AS v FROM f1_gray t, range(-2, 2) dy(i), range(-2, 2) dx(i) JOIN f1_gray s ON s.frame_id=t.frame_id AND s.c=t.c AND s.y={_mirror('t.y+dy.i', 8)} AND s.x={_mirror('t.x+dx.i', 8)} GROUP BY ALL")
 KERNEL = [[0, -0.5, 0], [-0.5, 1, -0.25], [0, -0.25, 0.75]]
 
@@ -166,8 +166,8 @@ def _kernel(k, gain=1):
     return values([(dy, dx, float(w * gain)) for dy, row in enumerate(k, -1) for dx, w in enumerate(row, -1) if w])
 
 
-put("filter3x3", on(MOSAIC, lambda p: N.filter3x3(p, KERNEL, 2.0, 64, 64)), f"{M} SELECT t.frame_id, t.y, t.x, t.c, CAST(least(255, greatest(0, round_even(sum(s.v*CAST(k.w AS DOUBLE)), 0))) AS INT) AS v FROM f10_mosaic t, {_kernel(KERNEL, 2)} k(dy, dx, w) JOIN f10_mosaic s ON s.frame_id=t.frame_id AND s.c=t.c AND s.y={_mirror('t.y+k.dy', 64)} AND s.x={_mirror('t.x+k.dx', 64)} GROUP BY ALL")
-put("canny", on(MOSAIC, lambda p: N.canny(p, 100, 200, 64, 64)), f"""{ctes(MOSAIC, recursive=True)},
+put("filter3x3", on(MOSAIC, lambda p: N.filter3x3(p, KERNEL, 2.0, 64, 64, tile=32)), f"{M} SELECT t.frame_id, t.y, t.x, t.c, CAST(least(255, greatest(0, round_even(sum(s.v*CAST(k.w AS DOUBLE)), 0))) AS INT) AS v FROM f10_mosaic t, {_kernel(KERNEL, 2)} k(dy, dx, w) JOIN f10_mosaic s ON s.frame_id=t.frame_id AND s.c=t.c AND s.y={_mirror('t.y+k.dy', 64)} AND s.x={_mirror('t.x+k.dx', 64)} GROUP BY ALL")
+put("canny", on(MOSAIC, lambda p: N.canny(p, 100, 200, 64, 64, tile=16)), f"""{ctes(MOSAIC, recursive=True)},
 grad AS (SELECT t.frame_id, t.y, t.x, CAST(sum(s.v*k.a) AS INT) AS gx, CAST(sum(s.v*k.b) AS INT) AS gy FROM f10_mosaic t, {values([(dy, dx, N.SOBEL_X[dy + 1][dx + 1], N.SOBEL_Y[dy + 1][dx + 1]) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])} k(dy, dx, a, b) JOIN f10_mosaic s ON s.frame_id=t.frame_id AND s.y={_mirror('t.y+k.dy', 64)} AND s.x={_mirror('t.x+k.dx', 64)} GROUP BY ALL),
 mag AS (SELECT *, abs(gx)+abs(gy) AS m, CASE WHEN abs(gy)*1000 < abs(gx)*414 THEN 1 WHEN abs(gy)*1000 > abs(gx)*2414 THEN 0 WHEN (gx>=0)=(gy>=0) THEN 1 ELSE -1 END AS dx, CASE WHEN abs(gy)*1000 < abs(gx)*414 THEN 0 ELSE 1 END AS dy FROM grad),
 cand AS (SELECT a.frame_id, a.y, a.x, a.m > 200 AS strong FROM mag a LEFT JOIN mag n ON n.frame_id=a.frame_id AND n.y=a.y+a.dy AND n.x=a.x+a.dx LEFT JOIN mag p ON p.frame_id=a.frame_id AND p.y=a.y-a.dy AND p.x=a.x-a.dx WHERE a.m>100 AND a.m>coalesce(p.m,0) AND a.m>=coalesce(n.m,0)),

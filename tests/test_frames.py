@@ -5,12 +5,15 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from pixeltide.functions.assign import greedy, optimal, within
+from pixeltide.functions.assign import greedy, optimal, sparse, within
 from pixeltide.operators import annotate, detect, fuse, keypoints, motmetrics, pixels, resample, sampling, segment, stats, stencil, track, trackers
 from pixeltide.operators.params import clamp
+from pixeltide.operators.rounds import joined
 from pixeltide.plans import pipeline
 from pixeltide.plans.fixtures import fixture
 from pixeltide.sources import images, mot
@@ -455,3 +458,164 @@ def test_optimal_assignment_in_columns(spark):
     assert sorted((r.a_id, r.b_id) for r in one.collect()) == [(0, 1), (1, 0), (2, 2)]
     two = track.assign_greedy(pairs, ["frame_id"], 5.0)
     assert sorted((r.a_id, r.b_id) for r in two.collect()) == [(0, 0), (2, 2)]
+
+
+# --- busy sources, crowded frames, large frames
+
+
+def window_keys(df):
+    """The windows in the plan."""
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in text.split("\n") if "Window [" in line]
+
+
+@pytest.mark.parametrize("bucket", ["day", "hour", "month"])
+def test_numbers_run_on_over_buckets(spark, sf_dir, bucket):
+    f = fixture(spark, sf_dir, "f5_frames")
+    by = Window.partitionBy("source_id").orderBy("ts")
+    want = f.withColumn("k", F.row_number().over(by)).withColumn("p", F.lag("frame_id").over(by)).withColumn("s", F.sum("frame_no").over(by))
+    got = sampling.running(sampling.previous(sampling.numbered(f, "k", bucket=bucket), "frame_id", "p", bucket=bucket), "frame_no", "s", bucket=bucket)
+    columns = ["frame_id", "k", "p", "s"]
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+
+
+def test_previous_value_may_be_null(spark):
+    rows = [(1, f"2024-01-0{d} 00:00:0{s}", v) for d, s, v in ((1, 1, 5), (1, 2, None), (3, 1, 7), (4, 1, None), (4, 2, 8))]
+    f = spark.createDataFrame(rows, "source_id int, ts string, v int").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = sampling.previous(f, "v", "p").orderBy("ts").collect()
+    assert [r.p for r in got] == [None, 5, None, 7, None]
+
+
+def test_no_window_of_raw_rows_is_keyed_by_the_source_alone(spark, sf_dir):
+    f = fixture(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"), F.col("event_id").alias("frame_id"), F.col("event_id").alias("frame_no"), "ts")
+    for df in (sampling.numbered(f, "k"), sampling.previous(f, "frame_id", "k"), sampling.running(f, "frame_no", "k"), sampling.recording_sessions(f.withColumn("has_frame", F.lit(True)))):
+        lines = window_keys(df)
+        raw = [x for x in lines if "_b#" not in x.split("windowspecdefinition(")[1].split(" ASC")[0] and "_e#" not in x]
+        assert lines and not raw, raw
+
+
+def test_means_run_on_over_blocks(spark, sf_dir):
+    lat = fixture(spark, sf_dir, "f5_latency").where("seq % 7 <> 3")
+    w = Window.partitionBy("node").orderBy("seq").rowsBetween(-9, 0)
+    want = {(r.node, r.seq): r.m for r in lat.withColumn("m", F.avg("elapsed_ms").over(w)).collect()}
+    for block in (1, 4, 50, 100_000):
+        got = stats.fps(lat, block)
+        assert {(r.node, r.seq): r.mean_ms for r in got.collect()} == want and got.count() == len(want)
+
+
+def crowd(n, room, seed=0, giants=0):
+    rng = np.random.default_rng(seed)
+    xy, wh = rng.integers(0, room, (n, 2)), rng.integers(10, 60, (n, 2))
+    wh[:giants] *= 20
+    score = rng.integers(0, n // 2, n) / n  # with ties
+    return pd.DataFrame({"frame_id": 1, "det_id": range(n), "x1": xy[:, 0] * 1.0, "y1": xy[:, 1] * 1.0, "x2": (xy + wh)[:, 0] * 1.0, "y2": (xy + wh)[:, 1] * 1.0, "score": score, "class_id": rng.integers(0, 2, n)})
+
+
+def nms_by_hand(d, th):
+    d = d.sort_values(["score", "det_id"], ascending=[False, True])
+    b = d[["x1", "y1", "x2", "y2"]].to_numpy()
+    left, kept = np.arange(len(d)), []
+    while len(left):
+        i, rest = left[0], left[1:]
+        kept.append(i)
+        w = np.maximum(0, np.minimum(b[rest, 2], b[i, 2]) - np.maximum(b[rest, 0], b[i, 0]))
+        h = np.maximum(0, np.minimum(b[rest, 3], b[i, 3]) - np.maximum(b[rest, 1], b[i, 1]))
+        area = lambda x: (x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1])
+        left = rest[~(w * h / (area(b[rest]) + area(b[i]) - w * h) > th)]
+    return sorted(d.det_id.iloc[kept])
+
+
+@pytest.mark.parametrize("n, room, giants", [(3000, 300, 20), (20000, 4000, 5)])
+def test_crowded_frames(spark, n, room, giants):
+    d = crowd(n, room, giants=giants)
+    got = detect.nms_crowded(spark.createDataFrame(d), 0.45, crowd=500)
+    assert sorted(r.det_id for r in got.collect()) == nms_by_hand(d, 0.45)
+
+
+def test_crowded_frames_with_odd_boxes(spark):
+    d = crowd(60, 50)
+    d.loc[3, "x1"] = float("nan")
+    d.loc[4, "y2"] = float("inf")
+    got = {r.det_id for r in detect.nms_crowded(spark.createDataFrame(d), 0.45, crowd=10).collect()}
+    assert {3, 4} <= got and got - {3, 4} == set(nms_by_hand(d.drop([3, 4]), 0.45))
+    assert detect.nms_crowded(spark.createDataFrame(d).limit(0), 0.45).count() == 0
+
+
+@pytest.mark.parametrize("touch", [False, True])
+def test_overlapping_pairs_are_those_of_all_pairs(spark, touch):
+    d = spark.createDataFrame(crowd(300, 2000, giants=6)).withColumn("z1", F.col("score") * 10).withColumn("z2", F.col("z1") + 1)
+    a, b = d.withColumnRenamed("det_id", "a_id"), d.withColumnRenamed("det_id", "b_id")
+    for axes in ((("x1", "x2"), ("y1", "y2")), (("x1", "x2"), ("y1", "y2"), ("z1", "z2")), (("x1", "x2"),)):
+        every = track.iou_pairs(a, b, ["frame_id"], plus_one=touch, axes=axes).where("iou > 0")
+        met = track.iou_pairs(a, b, ["frame_id"], plus_one=touch, axes=axes, only_overlapping=True)
+        key = lambda df: sorted((r.a_id, r.b_id, round(r.iou, 9)) for r in df.collect())
+        assert key(met) == key(every)
+
+
+def test_sparse_assignment_equals_brute_force():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        n, m, limit = *rng.integers(1, 5, 2), float(rng.choice([0, 3, 10]))
+        cost = {(i, j): float(rng.integers(-6, 12)) for i in range(n) for j in range(m) if rng.random() < 0.6}
+        got = sparse([i for i, _ in cost], [j for _, j in cost], list(cost.values()), limit)
+        assert len({i for i, *_ in got}) == len({j for _, j, _ in got}) == len(got) and all(cost[i, j] == c <= limit for i, j, c in got)
+
+        def best(i, used):
+            if i == n:
+                return 0.0
+            return min([best(i + 1, used), *(cost[i, j] - limit + best(i + 1, used | {j}) for j in range(m) if j not in used and cost.get((i, j), limit + 1) <= limit)])
+
+        assert sum(c - limit for *_, c in got) == pytest.approx(best(0, frozenset()))
+
+
+def test_a_sequence_with_many_names(spark):
+    n = 10_000
+    rows = [(1, i, (i + k) % n, abs(k) + 0.5) for i in range(n) for k in (-1, 0, 1)]
+    got = track.assign_optimal(spark.createDataFrame(rows, "g int, a_id int, b_id int, cost double"), ["g"], 5.0)
+    assert got.agg(F.count("*"), F.sum("cost")).first() == (n, n / 2)
+
+
+def test_extra_matches(spark):
+    pairs = spark.createDataFrame([(1, 0, 0, 0.9), (1, 0, 1, 0.8), (1, 1, 1, 0.05), (1, 2, 0, 0.85)], "g int, a_id int, b_id int, iou double")
+    own = spark.createDataFrame([(1, 0, 0), (1, 1, 1)], "g int, a_id int, b_id int")
+    key = lambda df: sorted((r.a_id, r.b_id, r.extra) for r in df.collect())
+    assert key(track.multi_match(pairs, own, ["g"])) == [(0, 0, False)]
+    assert key(track.multi_match(pairs, own, ["g"], multi=0.7)) == [(0, 0, False), (0, 1, True)]
+
+
+def test_tiles_don_t_show(spark):
+    rng = np.random.default_rng(2)
+    px = gray(spark, rng.integers(0, 256, (21, 34)).tolist())
+    kernel = [[0.1, -0.3, 0.2], [0.5, 1.0, -0.2], [0.3, 0.1, 0.4]]
+    for op in (lambda t: stencil.box_blur(px, 5, 34, 21, tile=t), lambda t: stencil.box_blur(px, 8, 34, 21, tile=t), lambda t: stencil.filter3x3(px, kernel, 1.5, 34, 21, tile=t), lambda t: stencil.mscn(px, 34, 21, tile=t).withColumn("v", F.round("m", 9)), lambda t: stencil.canny(px, 60, 200, 34, 21, tile=t)):
+        assert grid(op(8)) == grid(op(64)) == grid(op(5))
+
+
+def test_an_edge_through_many_tiles(spark):
+    """A faint step along a winding border, strong at one end only: the whole chain is an edge."""
+    n = 40
+    a = np.zeros((n, n), int)
+    for y in range(n):
+        a[y, 20 + (y // 4) % 2 :] = 30
+    a[:3, 20:] = 200
+    alone = a.copy()
+    alone[:3] = np.where(alone[:3] > 0, 30, 0)
+    got = np.array(grid(stencil.canny(gray(spark, a.tolist()), 60, 400, n, n, tile=5)))
+    assert (got == np.array(grid(stencil.canny(gray(spark, a.tolist()), 60, 400, n, n, tile=64)))).all()
+    assert (got[10:].max(1) == 255).all()
+    assert not np.array(grid(stencil.canny(gray(spark, alone.tolist()), 60, 255, n, n, tile=5))).any()
+
+
+def test_stencils_have_one_exchange(spark, sf_dir):
+    px = fixture(spark, sf_dir, "f10_mosaic")
+    for df in (stencil.box_blur(px, 5, 64, 64), stencil.filter3x3(px, [[0, 0, 0], [0, 1, 0], [0, 0, 0]], 1.0, 64, 64), stencil.mscn(px, 64, 64)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        plain = px._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == plain.count("Exchange hashpartitioning") + 1
+
+
+def test_parts_of_a_graph(spark):
+    links = [(1, i, i + 1) for i in range(30)] + [(2, 5, 9), (2, 9, 7), (1, 100, 50)]
+    got = joined(spark.createDataFrame(links, "g int, a long, b long"), "g").collect()
+    want = {(1, i): 0 for i in range(31)} | {(2, k): 5 for k in (5, 7, 9)} | {(1, 50): 50, (1, 100): 50}
+    assert {(r.g, r.node): r.root for r in got} == want and len(got) == len(want)
