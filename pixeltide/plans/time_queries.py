@@ -130,10 +130,10 @@ def feed(s, rows, at, batches):
     return s.readStream.schema(rows.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(at)
 
 
-#: Frames as they come in: five days in a batch; some twice in it, some again in the next, some only in the next.
-FEED = """SELECT source_id, frame_id, ts, CASE WHEN frame_id % 11 = 0 THEN b + 1 ELSE b END AS batch FROM {base}
-UNION ALL SELECT source_id, frame_id, ts, b AS batch FROM {base} WHERE frame_id % 5 = 0 AND frame_id % 11 <> 0
-UNION ALL SELECT source_id, frame_id, ts, b + 1 AS batch FROM {base} WHERE frame_id % 7 = 0 AND frame_id % 11 <> 0"""
+#: Frames as they come in: five days in a batch; some twice in it, some again in the next, some only in the next or the one after.
+FEED = """SELECT source_id, frame_id, ts, CASE WHEN frame_id % 11 = 0 THEN b + 1 WHEN frame_id % 13 = 0 THEN b + 2 ELSE b END AS batch FROM {base}
+UNION ALL SELECT source_id, frame_id, ts, b AS batch FROM {base} WHERE frame_id % 5 = 0 AND frame_id % 11 <> 0 AND frame_id % 13 <> 0
+UNION ALL SELECT source_id, frame_id, ts, b + 1 AS batch FROM {base} WHERE frame_id % 7 = 0 AND frame_id % 11 <> 0 AND frame_id % 13 <> 0"""
 _BASE = "SELECT source_id, frame_id, ts, CAST(FLOOR((EXTRACT(DAY FROM ts) - 1) / 5) AS INT) AS b FROM {f5_frames}"
 
 
@@ -143,8 +143,8 @@ def stream_intake(s, d):
     base = s.sql(_BASE, f5_frames=fixture(s, d, "f5_frames"))
     at, rows = scratch(s), s.sql(FEED, base=base)
     last = rows.agg(F.max("batch")).first()[0]
-    frames = stateful.prepare(feed(s, rows, f"{at}/in", range(last + 1)), "2 days", ["source_id", "frame_id"])
-    q = stateful.intake(frames, "3 days").writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).format("parquet").start(f"{at}/out")
+    frames = stateful.prepare(feed(s, rows, f"{at}/in", range(last + 1)), "1 day", ["source_id", "frame_id"])
+    q = stateful.intake(frames, "1 day").writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).format("parquet").start(f"{at}/out")
     q.awaitTermination()
     out = s.read.schema(stateful.INTAKE).parquet(f"{at}/out")
     return out.select("source_id", "kind", "frame_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("at", "since")], "frames", "late")
@@ -153,19 +153,19 @@ def stream_intake(s, d):
 #: w: the watermark in a batch, from what the batches before hold. Rows behind that of the batch before are dropped by Spark.
 put("stream_intake", stream_intake, f"""{FR}, base AS ({_BASE.format(f5_frames="f5_frames")}), feed AS ({FEED.format(base="base")}),
 ends AS (SELECT batch, date_trunc('millisecond', max(ts)) AS m FROM feed GROUP BY batch),
-w AS (SELECT n.k AS batch, (SELECT max(m) FROM ends WHERE ends.batch < n.k) - INTERVAL '2 days' AS w FROM range((SELECT max(batch) + 2 FROM feed)) n(k)),
+w AS (SELECT n.k AS batch, (SELECT max(m) FROM ends WHERE ends.batch < n.k) - INTERVAL '1 day' AS w FROM range((SELECT max(batch) + 2 FROM feed)) n(k)),
 own AS (SELECT DISTINCT source_id, frame_id, ts, min(batch) OVER (PARTITION BY source_id, frame_id) AS batch FROM (
   SELECT f.* FROM feed f LEFT JOIN w ON w.batch = f.batch - 1 WHERE w.w IS NULL OR f.ts > w.w)),
 turn AS (SELECT source_id, batch, max(ts) AS newest, min(ts) AS oldest FROM own GROUP BY ALL),
 clock AS (SELECT t.*, max(newest) OVER (PARTITION BY source_id ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM turn t),
-begun AS (SELECT c.*, CASE WHEN before IS NULL OR coalesce(date_trunc('millisecond', before) + INTERVAL '3 days' < w.w, false) THEN 1 ELSE 0 END AS new FROM clock c LEFT JOIN w ON w.batch = c.batch - 1),
+begun AS (SELECT c.*, CASE WHEN before IS NULL OR coalesce(date_trunc('millisecond', before) + INTERVAL '1 day' < w.w, false) THEN 1 ELSE 0 END AS new FROM clock c LEFT JOIN w ON w.batch = c.batch - 1),
 part AS (SELECT *, sum(new) OVER (PARTITION BY source_id ORDER BY batch) AS life FROM begun),
 told AS (SELECT o.source_id, o.frame_id, o.ts, p.life, CASE WHEN p.new = 0 AND o.ts < p.before THEN 'late' ELSE 'frame' END AS kind FROM own o JOIN part p USING (source_id, batch)),
 lives AS (SELECT source_id, life, max(ts) AS newest, count(*) FILTER (WHERE kind = 'frame') AS frames, count(*) FILTER (WHERE kind = 'late') AS late FROM told GROUP BY ALL),
 since AS (SELECT source_id, life, arg_min(oldest, batch) AS since FROM part GROUP BY ALL)
 SELECT source_id, kind, frame_id, ts AS at, CAST(NULL AS TIMESTAMP) AS since, CAST(NULL AS BIGINT) AS frames, CAST(NULL AS BIGINT) AS late FROM told
 UNION ALL SELECT source_id, 'closed', NULL, newest, since, frames, late FROM lives JOIN since USING (source_id, life)
-  WHERE life < (SELECT max(life) FROM part p WHERE p.source_id = lives.source_id) OR date_trunc('millisecond', newest) + INTERVAL '3 days' < (SELECT max(w) FROM w)""")
+  WHERE life < (SELECT max(life) FROM part p WHERE p.source_id = lives.source_id) OR date_trunc('millisecond', newest) + INTERVAL '1 day' < (SELECT max(w) FROM w)""")
 
 
 def stream_recordings(s, d):

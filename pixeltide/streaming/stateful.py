@@ -87,7 +87,7 @@ class Keyed(StatefulProcessor):
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(at)
 
-    def handleExpiredTimer(self, key, timer, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         return iter(list(self.forget(key) or ()))
 
     def close(self) -> None:

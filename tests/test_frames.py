@@ -592,18 +592,16 @@ def test_tiles_don_t_show(spark):
 
 
 def test_an_edge_through_many_tiles(spark):
-    """A faint step along a winding border, strong at one end only: the whole chain is an edge."""
+    """A faint step down a frame, a bit stronger at one end: the whole chain is an edge."""
     n = 40
-    a = np.zeros((n, n), int)
-    for y in range(n):
-        a[y, 20 + (y // 4) % 2 :] = 30
-    a[:3, 20:] = 200
-    alone = a.copy()
-    alone[:3] = np.where(alone[:3] > 0, 30, 0)
-    got = np.array(grid(stencil.canny(gray(spark, a.tolist()), 60, 400, n, n, tile=5)))
-    assert (got == np.array(grid(stencil.canny(gray(spark, a.tolist()), 60, 400, n, n, tile=64)))).all()
-    assert (got[10:].max(1) == 255).all()
-    assert not np.array(grid(stencil.canny(gray(spark, alone.tolist()), 60, 255, n, n, tile=5))).any()
+    faint = np.zeros((n, n), int)
+    faint[:, 20:] = 30
+    a = faint.copy()
+    a[:3, 20:] = 31
+    got = np.array(grid(stencil.canny(gray(spark, a.tolist()), 60, 122, n, n, tile=5)))
+    assert (got == np.array(grid(stencil.canny(gray(spark, a.tolist()), 60, 122, n, n, tile=64)))).all()
+    assert (got.max(1) == 255).all()
+    assert not np.array(grid(stencil.canny(gray(spark, faint.tolist()), 60, 122, n, n, tile=5))).any()
 
 
 def test_stencils_have_one_exchange(spark, sf_dir):
