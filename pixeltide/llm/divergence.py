@@ -345,7 +345,7 @@ def _summed(rows: DataFrame, tasks: int) -> DataFrame:
             yield pd.DataFrame([_packed(*key, total)], columns=_COLUMNS)
 
     while True:
-        tasks = -(-tasks // FAN)
+        tasks = max(1, -(-tasks // FAN))
         rows = rows.withColumn("task", F.pmod("task", F.lit(tasks)) if tasks > 1 else F.lit(0))
         keys = ["lang", "source", "shard", "task"]
         rows = rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(add, SLOTS)
