@@ -2,12 +2,12 @@
 
 1. Each URL is split into host and path; listed rules (host suffix and path prefix, longest first) decide what they fit.
 2. Path segments become template segments: runs of digits are generalised at once; a node with more than MANY different
-   children of fewer than FEW pages each gets one wildcard child instead. The tree has DEPTH levels; what a path has
-   beyond DEPTH - 1 segments is one segment of the last level, so nothing of a path is left out.
+   children of fewer than FEW pages each gets one wildcard child instead. The tree is as deep as the deepest path of the
+   table; of paths with more than MOST segments (no real ones) the rest is one segment of the last level.
 3. What rules decided are the labels. From the host down, siblings are ordered by their smoothed share of blocked pages
    and merged while neighbours don't differ by more than Z standard errors; the purity of a merged branch is its blocked
    share, smoothed towards its parent's by WEIGHT pages (the root: towards the share over all hosts). Below its last
-   segment a path goes on with its purity, so DEPTH doesn't matter to shorter paths.
+   segment a path goes on with its purity, so how deep others are doesn't matter to a path.
 4. A template is rejected if its purity is PURE or more; hosts without a labelled page are allowed.
 
 Each step is one SELECT that Spark and other SQL engines read alike. Only counts per distinct template are grouped and
@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 from pixeltide.llm.common import checkpoint
 
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
-DEPTH, MANY, FEW = 6, 30, 5
+MOST, MANY, FEW = 32, 30, 5
 WEIGHT, Z, PURE = 4, 2, 0.5
 MAX_RULES = 1000
+EVERY = 4  # levels between two checkpoints
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,7 +51,7 @@ def _rule_case(rules) -> str:
     return "CASE " + " ".join(out) + " END"
 
 
-def steps(rules=RULES, depth: int = DEPTH, every: str = "") -> list[tuple[str, str]]:
+def steps(rules=RULES, depth: int = MOST, every: str = "") -> list[tuple[str, str]]:
     """(name, SELECT) in order; {name} stands for an earlier step or the pages. every: what an engine wants besides to replace all matches."""
     assert len(rules) <= MAX_RULES
     t = [f"t{i}" for i in range(1, depth + 1)]
@@ -102,19 +103,27 @@ FROM (SELECT *, rate * (1e0 - rate) / (lab + {WEIGHT}e0) AS spread FROM ({rated}
     return out
 
 
-def judge(pages: DataFrame, rules=RULES, depth: int = DEPTH) -> DataFrame:
-    """page_id, host, path, rule, verdict for each row of pages(page_id, url)."""
+def depth_of(pages: DataFrame) -> int:
+    """How many segments the deepest path has."""
+    select = "SELECT max(length(path) - length(replace(path, '/', ''))) AS n FROM (SELECT regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) AS path FROM {pages} WHERE instr(url, '://') > 0) a"
+    return max(1, min(MOST, pages.sparkSession.sql(select, pages=pages).first().n or 0))
+
+
+def judge(pages: DataFrame, rules=RULES, depth: int | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict for each row of pages(page_id, url). depth: of the tree, where it is known."""
     spark = pages.sparkSession
     made = {"pages": pages.select("page_id", "url")}
+    depth = depth or depth_of(made["pages"])
+    last = (f"leaf{depth}", "leaf0", "template")
     for name, select in steps(rules, depth):
         df = spark.sql(select, **{k: v for k, v in made.items() if "{" + k + "}" in select})
-        kept = name == f"leaf{depth}" or name == "leaf0" or name == "template"
-        made[name] = checkpoint(df) if kept else df
+        level = int(name[4:]) if name[:4] in ("leaf", "node") else 0
+        made[name] = checkpoint(df) if name in last or level and level % EVERY == 0 else df
     return made["result"]
 
 
-def sql(pages: str = "pages", rules=RULES, depth: int = DEPTH) -> str:
-    """The same as one statement, for engines that replace all matches of a pattern by the option g."""
+def sql(pages: str = "pages", rules=RULES, depth: int = 8) -> str:
+    """The same as one statement, for engines that replace all matches of a pattern by the option g; for paths of at most `depth` segments."""
     all_steps = steps(rules, depth, ", 'g'")
     names = {name: name for name, _ in all_steps} | {"pages": pages}
     *before, (_, last) = [(name, select.format(**names)) for name, select in all_steps]

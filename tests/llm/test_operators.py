@@ -195,7 +195,7 @@ def parts_by_hand(url, rules):
     return host, path, *(max(fits, key=lambda x: len(x[0])) if fits else (None, None))
 
 
-def url_verdicts_by_hand(urls, rules=urlfilter.RULES, depth=urlfilter.DEPTH):
+def url_verdicts_by_hand(urls, rules=urlfilter.RULES, depth=urlfilter.MOST):
     """The template tree in plain Python."""
     W = urlfilter.WEIGHT
     pages, leaf = [], {}
@@ -263,18 +263,33 @@ def test_url_tree_by_hand(spark, sf_dir):
     name = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, 3))
     urls = [f"http://a.com/{rng.choice(['x', 'x/ok', 'y', 'z'])}/{name()}/{rng.integers(99)}" for _ in range(300)]
     urls += [f"http://b.com/p/q/r/s/t/u/{rng.choice(['ads', 'ok', 'other'])}/{rng.integers(9)}" for _ in range(200)]
-    urls += [f"http://{rng.choice(['c.com', 'd.net', 'B.com'])}/{'/'.join(str(x) for x in rng.integers(0, 3, rng.integers(0, 9)))}" for _ in range(200)] + URLS + ["http://b.com" + "/deep" * 3000, "http://a.com//x///y"] * 2
+    urls += [f"http://{rng.choice(['c.com', 'd.net', 'B.com'])}/{'/'.join(str(x) for x in rng.integers(0, 3, rng.integers(0, 9)))}" for _ in range(200)] + URLS + ["http://b.com" + "/deep" * 30, "http://a.com//x///y"] * 2
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.page_id: r.verdict for r in urlfilter.judge(pages, rules).collect()}
     want = url_verdicts_by_hand(urls, rules)
     assert [got[i] for i in range(len(urls))] == want and set(want) == {"allow", "block"}
     ads, ok = (want[urls.index(u)] for u in (next(u for u in urls if "u/ads/" in u), next(u for u in urls if "u/ok/" in u)))
     assert (ads, ok) == ("block", "allow")
+    far = spark.createDataFrame([(1, "http://b.com" + "/deep" * 3000)], "page_id long, url string")
+    assert urlfilter.judge(far.union(pages.limit(40)), rules).count() == 41
     real = [(r.page_id, r.url) for r in common.table(spark, sf_dir, "pages").collect()]
     got = {r.page_id: r.verdict for r in urlfilter.judge(common.table(spark, sf_dir, "pages")).collect()}
     assert [got[i] for i, _ in real] == url_verdicts_by_hand([u for _, u in real])
 
 
+@pytest.mark.parametrize("above", [0, 3, 5, 8, 12])
+def test_url_slugs_at_any_depth(spark, above):
+    """Slugs below a blocked and an allowed prefix, and their unlabelled siblings, however deep."""
+    rng = np.random.default_rng(above)
+    prefix = "".join(f"p{chr(97 + k)}/" for k in range(above))
+    slug = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, 9))
+    rules = [(f"x.com/{prefix}ads/listed", "block"), (f"x.com/{prefix}ok/listed", "allow")]
+    urls = [f"http://x.com/{prefix}{kind}/{mark}{slug()}" for kind in ("ads", "ok") for mark in ("listed", "") for _ in range(60)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urlfilter.judge(pages, rules).collect()}
+    assert [got[i] for i in range(240)] == ["block"] * 120 + ["allow"] * 120
+
+
 # --- 4 BPE
 
 
