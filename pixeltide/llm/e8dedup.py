@@ -1,9 +1,15 @@
 """Near-duplicate vectors by E8 lattice hashing.
 
-Unit vectors are projected at random to blocks of 8 numbers; each block is decoded to the nearest point of the E8
-lattice, and a table's cell is the tuple of its blocks' points. Each of TABLES tables has its own projection. A vector
-is stored in its own cell and also looks into PROBES neighbouring cells: those of the lattice points next nearest to it.
-All vectors that meet in a cell are compared by cosine in double precision, in blocks.
+Unit vectors are projected at random to blocks of 8 numbers, scaled so that the lattice is as fine for vectors of any
+length; each block is decoded to the nearest point of the E8 lattice, and a table's cell is the tuple of its blocks' points.
+Each table has its own projection. A vector is stored in its own cell and also looks into PROBES neighbouring cells: those
+of the lattice points next nearest to it. All vectors that meet in a cell are compared by cosine in double precision, in
+blocks.
+
+More vectors need finer cells, so blocks and tables follow from their number (`setting`): a block more makes cells hold about
+a fifteenth as many, so that a vector meets some hundred unlike ones at most, whatever the table's size; and there are
+as many tables as leave MISS of the pairs with a cosine of 0.95 unfound (measured: MET of them meet in a table of two blocks,
+and NEXT of these with each block more, for vectors of 2 to 768 numbers). Nearer pairs are missed far more rarely.
 
 A pair can meet in several cells; it counts only in the first one, which both rows tell from their lists of cells. So
 links are counted per vector where they are found and only a spanning forest of each block's links leaves it: what is
@@ -11,12 +17,14 @@ emitted grows with the vectors, not with the pairs. A cell of more than BLOCK ro
 task holds a whole large cell. Equal vectors are one class with a multiplicity.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite numbers, link with nothing and are their
-own component; vectors of different lengths are never compared; rows without vec_id aren't compared and have no
+own component; vectors of different lengths are never compared (recall was measured for lengths from 2 on); rows without vec_id aren't compared and have no
 component; rows that repeat a vec_id and vector are one; other columns are left out.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -26,11 +34,18 @@ from pyspark.sql import functions as F
 from pixeltide.llm.common import Saved, importable
 from pixeltide.llm.graph import components
 
-TABLES, PROBES, SCALE, BLOCKS = 6, 1, 0.40, 2  # the same at every size, so a pair's link doesn't hang on the table it is in
+PROBES, SCALE = 1, 1.13  # SCALE: a lattice step, by the length that projected unit vectors have
+MISS, MET, NEXT = 0.003, 0.66, 0.67
 BLOCK, LOT = 2048, 4096
 ID = "vec_id"
 
 
+def setting(n: int) -> tuple[int, int]:
+    """Blocks of a cell, and tables, for n vectors."""
+    blocks = 2 + max(0, math.ceil(math.log(n / 5000) / math.log(15))) if n else 2
+    return blocks, math.ceil(math.log(MISS) / math.log(1 - MET * NEXT ** (blocks - 2)))
+
+
 def nearest_d8(x: np.ndarray) -> np.ndarray:
     """The nearest point with whole coordinates of even sum."""
     r = np.rint(x)
@@ -65,9 +80,10 @@ def roots() -> np.ndarray:
     return np.array(out)
 
 
-def cells(unit: np.ndarray, tables: int, blocks: int, probes: int, scale: float) -> np.ndarray:
+def cells(unit: np.ndarray, tables: int, blocks: int, probes: int = PROBES, scale: float = SCALE) -> np.ndarray:
     """Cell hashes of unit vectors: n x tables x (1 + probes); the first of each table is the vector's own."""
     n, dim = unit.shape
+    scale = scale * math.sqrt(8 / max(dim, 8))
     rng = np.random.default_rng(8)
     steps = roots()
     out = np.empty((n, tables, 1 + probes), np.int64)
@@ -137,11 +153,13 @@ def star(label: np.ndarray, r: np.ndarray, q: np.ndarray) -> np.ndarray:
             label[:] = label[label]
 
 
-def linked(vectors: DataFrame, column: str = "embedding", least: float = 0.95, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, blocks: int = BLOCKS) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of vectors(vec_id, column)."""
+def linked(vectors: DataFrame, column: str = "embedding", least: float = 0.95, tables: int | None = None, probes: int = PROBES, scale: float = SCALE, blocks: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of vectors(vec_id, column). tables, blocks: by `setting` if not given."""
     importable(vectors.sparkSession)
     own = Saved(classes(vectors, column)).df
     n = own.count()
+    usual = setting(n)
+    blocks, tables = blocks or usual[0], tables or usual[1]
 
     def place(batches):
         for b in batches:
