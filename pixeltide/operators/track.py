@@ -95,71 +95,178 @@ def assign_greedy(pairs: DataFrame, keys: list[str], limit: float) -> DataFrame:
     return a.select(*keys, F.inline(kept)).select(*keys, "a_id", "b_id", "cost")
 
 
-def _along(rows: DataFrame, keys: list[str], names: list[str], start, step) -> DataFrame:
-    """A state carried along each track by frame_no: step(state, row) changes it and returns the numbers `names`.
+LENGTH = 256  # steps of a segment
 
-    A track is a sequence by its nature; it goes through one worker, in time and memory that follow its length.
-    """
-    columns = [c for c in rows.columns if c not in keys]
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(columns)
-        state, out = start(), []
-        for z in g[columns[1:]].itertuples(index=False):
-            out.append(step(state, z))
-        made = pd.DataFrame(out, columns=names)
-        return pd.concat([g[[*keys, "frame_no"]].reset_index(drop=True), made], axis=1)
+def _along(rows: DataFrame, keys: list[str], names: list[str], run) -> DataFrame:
+    """A filter along each track by frame_no: run(values, lengths) takes the rows of tracks one after the other, and how many each has.
 
+    The rows of a track are together and in order; what is computed for one step is computed for many tracks at once.
+    """
+    columns = [c for c in rows.columns if c not in [*keys, "frame_no"]]
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in [*keys, "frame_no"])
-    return dealt(rows, *keys).groupBy(*keys).applyInPandas(run, f"{kinds}, {', '.join(f'{n} double' for n in names)}")
+
+    def batch(g: pd.DataFrame) -> pd.DataFrame:
+        same = (g[keys].to_numpy()[1:] == g[keys].to_numpy()[:-1]).all(1)
+        starts = np.append(0, np.flatnonzero(~same) + 1)
+        lengths = np.diff(np.append(starts, len(g)))
+        made = run(g[columns].to_numpy(float), lengths)
+        return pd.concat([g[[*keys, "frame_no"]].reset_index(drop=True), pd.DataFrame(made, columns=names)], axis=1)
+
+    def tracks(batches):
+        """Whole tracks: the last one of a batch may go on in the next."""
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            last = (b[keys] == b[keys].iloc[-1]).all(axis=1).to_numpy()
+            whole = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            same = held and (held[-1][keys].iloc[-1] == b[keys].iloc[0]).all()
+            if held and not same:
+                yield batch(pd.concat(held, ignore_index=True))
+                held = []
+            if whole:
+                yield batch(pd.concat([*held, b.iloc[:whole]], ignore_index=True))
+                held = []
+            held.append(b.iloc[whole:])
+        if held:
+            yield batch(pd.concat(held, ignore_index=True))
+
+    sorted_ = dealt(rows, *keys).sortWithinPartitions(*rows.columns)
+    return sorted_.mapInPandas(tracks, f"{kinds}, {', '.join(f'{n} double' for n in names)}")
+
+
+def by_steps(values: np.ndarray, lengths: np.ndarray, width: int, step) -> np.ndarray:
+    """step(k, state, rows) -> state for the k-th rows of all tracks that have so many; a state is a row of `width` numbers."""
+    order = np.argsort(-lengths, kind="stable")
+    starts = (np.cumsum(lengths) - lengths)[order]
+    longest_first = lengths[order]
+    out, state = np.empty((len(values), width)), np.zeros((len(lengths), width))
+    for k in range(int(longest_first[0]) if len(lengths) else 0):
+        n = int(np.searchsorted(-longest_first, -k, "left"))  # tracks of more than k rows
+        state = step(k, state[:n], values[starts[:n] + k])
+        out[starts[:n] + k] = state
+    return out
+
+
+def linear_scan(values: np.ndarray, lengths: np.ndarray, gains: np.ndarray, drift: float, length: int = LENGTH) -> np.ndarray:
+    """Positions and velocities of z by x' = x + drift v, then x + g (z - x'), v + h (z - x'), with gains (g, h) by the row's number.
+
+    A track's first row is its state. The rest is cut in segments; a segment's step maps are linear, so it is run from
+    nothing and from both unit states, which composes them; a pass over the segments gives each its true start.
+    """
+    first = np.cumsum(lengths) - lengths
+    number = np.arange(len(values)) - np.repeat(first, lengths)
+    g, h = gains[np.minimum(number, len(gains) - 1)].T
+    rest = np.maximum(lengths - 1, 0)
+    parts = -(-rest // length)
+    owner = np.repeat(np.arange(len(lengths)), parts)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = first[owner] + 1 + nth * length
+    size = np.minimum(length, first[owner] + lengths[owner] - begin)
+    order = np.argsort(-size, kind="stable")
+    begin_, size_ = begin[order], size[order]
+    out = np.zeros((len(values), 2))
+    out[first, 0] = values[first]
+
+    def run(x, v, keep):
+        for k in range(int(size_[0]) if len(size_) else 0):
+            n = int(np.searchsorted(-size_, -k, "left"))
+            at = begin_[:n] + k
+            ahead = x[:n] + drift * v[:n]
+            off = (values[at][:, None] if keep else values[at][:, None] * np.array([1.0, 0.0, 0.0])) - ahead
+            x[:n], v[:n] = ahead + g[at][:, None] * off, v[:n] + h[at][:, None] * off
+            if keep:
+                out[at] = np.concatenate([x[:n], v[:n]], 1)
+        return x, v
+
+    if len(owner) > len(np.unique(owner)):  # some track has several segments
+        x, v = run(np.tile([0.0, 1.0, 0.0], (len(size_), 1)), np.tile([0.0, 0.0, 1.0], (len(size_), 1)), False)
+        back = np.argsort(order, kind="stable")
+        x, v = x[back], v[back]
+        start = np.zeros((len(owner), 2))
+        for k in range(int(nth.max()) + 1):
+            at = np.flatnonzero(nth == k)
+            if k:
+                sx, sv = start[at - 1].T
+                start[at] = np.stack([x[at - 1] @ [1.0, 0, 0] + x[at - 1, 1] * sx + x[at - 1, 2] * sv, v[at - 1] @ [1.0, 0, 0] + v[at - 1, 1] * sx + v[at - 1, 2] * sv], 1)
+            else:
+                start[at, 0] = values[first[owner[at]]]
+        start = start[order]
+    else:
+        start = np.stack([values[first[owner]], np.zeros(len(owner))], 1)[order]
+    run(start[:, :1].copy(), start[:, 1:].copy(), True)
+    return out
+
+
+def settled(step, state: tuple, longest: int) -> np.ndarray:
+    """The gains that `step` gives again and again, from the second row on, until they don't change any more."""
+    gains = [(0.0, 0.0)]
+    while len(gains) < longest:
+        state, gain = step(state)
+        if len(gains) > 1 and gain == gains[-1]:
+            break
+        gains.append(gain)
+    return np.array(gains)
 
 
 def kalman_smooth(dets: DataFrame, keys: list[str], model: str = "box") -> DataFrame:
     """Filtered centres and sizes of each track's measurements, one step per measurement. model: box or xyah.
 
-    box: 30 steps a second, centre with velocity, static size. xyah: one step a frame; centre, aspect, height with
-    velocity and noise in shares of the filtered height.
+    box: 30 steps a second, centre with velocity, static size; its gains follow from the row's number alone. xyah: one step a
+    frame; centre, aspect, height with velocity and noise in shares of the filtered height.
     """
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     third = w.alias("w") if model == "box" else (w / h).alias("r")
     rows = dets.select(*keys, "frame_no", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), third, h.alias("h"))
     names = ["cx", "cy", "w", "h", "vcx", "vcy"] if model == "box" else ["cx", "cy", "r", "h", "vcx", "vcy", "vr", "vh"]
-    return _along(rows, keys, names, list, _box_step if model == "box" else _xyah_step)
+    return _along(rows, keys, names, _box_run if model == "box" else _xyah_run)
 
 
-def _box_step(state: list, z) -> list[float]:
+def _box_run(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     dt, q = 1 / 30, 5000.0
-    if not state:
-        state += [Axis(z[0], 1000.0, 1000.0), Axis(z[1], 1000.0, 1000.0), [z[2], 1000.0], [z[3], 1000.0]]
-    else:
-        for a, v in zip(state[:2], z[:2], strict=True):
-            a.predict(dt, q * dt**4 / 4, q * dt**3 / 2, q * dt**2)
-            a.update(v, 0.1)
-        for size, v in zip(state[2:], z[2:], strict=True):
-            size[1] += 10.0
-            k = size[1] / (size[1] + 1.0)
-            size[0] += k * (v - size[0])
-            size[1] *= 1 - k
-    x, y, w, h = state
-    return [x.x, y.x, w[0], h[0], x.v, y.v]
-
-
-def _xyah_step(state: list, z) -> list[float]:
-    if not state:
-        hh = z[3] * z[3]
-        state += [Axis(v, 1e-4, 1e-10) if k == 2 else Axis(v, hh * 0.01, hh * (10 / 160) ** 2) for k, v in enumerate(z)]
-    else:
-        hh, then = state[3].x ** 2, (state[3].x + state[3].v) ** 2
-        for k, (a, v) in enumerate(zip(state, z, strict=True)):
-            a.predict(1.0, *((1e-4, 0.0, 1e-10) if k == 2 else (hh * 0.0025, 0.0, hh * (1 / 160) ** 2)))
-            a.update(v, 1e-2 if k == 2 else then * 0.0025)
-    return [a.x for a in state] + [a.v for a in state]
+
+    def moving(state):
+        a = Axis(0.0, 0.0, 0.0)
+        a.a, a.b, a.c = state
+        a.predict(dt, q * dt**4 / 4, q * dt**3 / 2, q * dt**2)
+        gain = a.a / (a.a + 0.1), a.b / (a.a + 0.1)
+        a.update(0.0, 0.1)
+        return (a.a, a.b, a.c), gain
+
+    def still(p):
+        p += 10.0
+        return p * (1 - p / (p + 1.0)), (p / (p + 1.0), 0.0)
+
+    longest = int(lengths.max(initial=1))
+    move, stay = settled(moving, (1000.0, 0.0, 1000.0), longest), settled(still, 1000.0, longest)
+    cx, cy = (linear_scan(values[:, k], lengths, move, dt) for k in (0, 1))
+    w, h = (linear_scan(values[:, k], lengths, stay, 0.0)[:, 0] for k in (2, 3))
+    return np.stack([cx[:, 0], cy[:, 0], w, h, cx[:, 1], cy[:, 1]], 1)
+
+
+def _xyah_run(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A state: four values, their velocities, and the three numbers of each axis' covariance."""
+
+    def step(k, s, z):
+        x, v, a, b, c = s[:, :4], s[:, 4:8], s[:, 8:12], s[:, 12:16], s[:, 16:]
+        aspect = np.arange(4) == 2
+        if k == 0:
+            hh = (z[:, 3] * z[:, 3])[:, None]
+            return np.concatenate([z, np.zeros_like(z), np.where(aspect, 1e-4, hh * 0.01), np.zeros_like(z), np.where(aspect, 1e-10, hh * (10 / 160) ** 2)], 1)
+        hh, then = (x[:, 3] ** 2)[:, None], ((x[:, 3] + v[:, 3]) ** 2)[:, None]
+        a = a + 2 * b + c + np.where(aspect, 1e-4, hh * 0.0025)
+        b, c = b + c, c + np.where(aspect, 1e-10, hh * (1 / 160) ** 2)
+        total = a + np.where(aspect, 1e-2, then * 0.0025)
+        off = z - x - v
+        return np.concatenate([x + v + a / total * off, v + b / total * off, a * (1 - a / total), b * (1 - a / total), c - b / total * b], 1)
+
+    return by_steps(values, lengths, 20, step)[:, :8]
 
 
-def _mean_step(state: list, z) -> list[float]:
-    new = z if not state else [state[0] * 0.8 + z[0] * 0.2, *[o * 0.5 + v * 0.5 for o, v in zip(state[1:], z[1:], strict=True)]]
-    state[:] = new
-    return list(state)
+def _mean_run(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    keep = np.array([0.8, 0.5, 0.5, 0.5, 0.5])
+    return by_steps(values, lengths, 5, lambda k, s, z: z if k == 0 else s * keep + z * (1 - keep))
 
 
 def smooth_tracks(tracks: DataFrame, keys: list[str], feature: str | None = None) -> DataFrame:
@@ -167,7 +274,7 @@ def smooth_tracks(tracks: DataFrame, keys: list[str], feature: str | None = None
 
     feature: a column with an array of numbers, which goes on as .9 old + .1 new; a null leaves it as it is.
     """
-    num = _along(tracks.select(*keys, "frame_no", "score", *BOX), keys, ["score", *BOX], list, _mean_step)
+    num = _along(tracks.select(*keys, "frame_no", "score", *BOX), keys, ["score", *BOX], _mean_run)
     so_far = Window.partitionBy(*keys).orderBy("frame_no")
     per = tracks.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "class_id").orderBy("frame_no"))).withColumn("_first", F.min("frame_no").over(Window.partitionBy(*keys, "class_id")))
     best = per.withColumn("_b", F.max(F.struct("_n", (-F.col("_first")).alias("f"), "class_id")).over(so_far))

@@ -59,11 +59,22 @@ _EMB_SPARK = "SELECT vec_id, i, CAST(e AS DOUBLE) AS e FROM {embeddings} LATERAL
 _EMB_ORACLE = "SELECT vec_id, CAST(r.i AS INT) AS i, CAST(embedding[r.i+1] AS DOUBLE) AS e FROM embeddings, range(64) r(i)"
 
 
+def filled(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """PADDED for Spark, with the number of vectors from the files' footers."""
+    emb, n = fixture(spark, sf_dir, "emb"), spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    if n % k == 0:
+        return emb
+    more = spark.range(n * 64, (n + k - n % k) * 64, 1, 1)
+    return emb.unionByName(more.selectExpr("id div 64 AS vec_id", "CAST(id % 64 AS INT) AS i", "CAST(0 AS DOUBLE) AS e"))
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     def named(text: str) -> dict[str, DataFrame]:
         return {t: fixture(spark, sf_dir, t) for t in ("emb", *PADDED, "embeddings", "lineitem", "events", "orders", "f9_nodes") if "{" + t + "}" in text}
 
-    text = _EMB_SPARK if name == "emb" else (FIXTURES | PADDED).get(name)
+    if name in PADDED:
+        return filled(spark, sf_dir, int(name[3:]))
+    text = _EMB_SPARK if name == "emb" else FIXTURES.get(name)
     if text is None:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spark.sql(text, **named(text))

@@ -617,3 +617,43 @@ def test_parts_of_a_graph(spark):
     got = joined(spark.createDataFrame(links, "g int, a long, b long"), "g").collect()
     want = {(1, i): 0 for i in range(31)} | {(2, k): 5 for k in (5, 7, 9)} | {(1, 50): 50, (1, 100): 50}
     assert {(r.g, r.node): r.root for r in got} == want and len(got) == len(want)
+
+
+def box_filter_by_hand(values, lengths):
+    out, at, dt, q = [], 0, 1 / 30, 5000.0
+    for n in lengths:
+        axes, sizes = [], []
+        for z in values[at : at + n]:
+            if not axes:
+                axes, sizes = [trackers.Axis(v, 1000.0, 1000.0) for v in z[:2]], [[v, 1000.0] for v in z[2:]]
+            else:
+                for a, v in zip(axes, z[:2], strict=True):
+                    a.predict(dt, q * dt**4 / 4, q * dt**3 / 2, q * dt**2)
+                    a.update(v, 0.1)
+                for s, v in zip(sizes, z[2:], strict=True):
+                    s[1] += 10
+                    k = s[1] / (s[1] + 1)
+                    s[0], s[1] = s[0] + k * (v - s[0]), s[1] * (1 - k)
+            out.append([*(a.x for a in axes), *(s[0] for s in sizes), *(a.v for a in axes)])
+        at += n
+    return np.array(out)
+
+
+def test_filters_in_segments_are_those_step_by_step():
+    rng = np.random.default_rng(0)
+    lengths = np.array([1, 2, 700, 3, 1025, 257, 256, 5])
+    values = 50 + rng.normal(0, 1, (lengths.sum(), 4)).cumsum(0)
+    assert np.abs(track._box_run(values, lengths) - box_filter_by_hand(values, lengths)).max() < 1e-9
+    assert track._box_run(values[:0], lengths[:0]).shape == (0, 6)
+
+
+def test_tracks_over_many_batches(spark, sf_dir):
+    f = fixture(spark, sf_dir, "f4_stream")
+    key = lambda df: sorted(str(r) for r in df.collect())
+    want = [key(track.kalman_smooth(f, ["stream_id", "det_id"], m)) for m in ("box", "xyah")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [key(track.kalman_smooth(f, ["stream_id", "det_id"], m)) for m in ("box", "xyah")]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and track.kalman_smooth(f.limit(0), ["stream_id", "det_id"]).count() == 0
