@@ -24,12 +24,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixeltide.llm.bpe import parts
 from pixeltide.llm.common import checkpoint, ids_in, ids_out, importable
 from pixeltide.llm.pieces import WORD_START, Automaton, codes, over_trie, vocabulary
 
 VOCABULARY = "piece_bpe_32k.model"
 PER_LANG, ROUNDS, SMOOTH = 3_000, 3, 0.05
-LONGEST = 40  # longer words of the sample aren't learned from; they are scored
+ROWS, CHARS = 5000, 16 << 20  # of texts whose words share a trie
 _WORDS = re.compile(r"[^\W\d_]+")  # letters, and numbers that are no digits
 
 
@@ -133,8 +134,7 @@ def train(docs: DataFrame, learn=None, path: str | None = None, per_lang: int =
             for lang, text in zip(b.lang, b.text, strict=True):
                 i = lang_no[lang]
                 for w in letter_words(text):
-                    if len(w) < LONGEST:
-                        n[i, w] = n.get((i, w), 0) + 1
+                    n[i, w] = n.get((i, w), 0) + 1
             if n:
                 yield pd.DataFrame({"lang": [k[0] for k in n], "word": [k[1] for k in n], "n": list(n.values())})
 
@@ -162,20 +162,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for b in batches:
-            for at in range(0, len(b), 5000):
-                part = b.iloc[at : at + 5000]
-                index: dict[str, int] = {}
-                new = index.setdefault
-                ids = [np.array([new(w, len(index)) for w in letter_words(t)], np.int64) for t in part.text]
-                langs, scores = ["und"] * len(part), np.zeros(len(part))
-                if index and m.langs:
-                    logs = m.words(list(index))
-                    for i, own in enumerate(ids):
-                        if len(own):
-                            x = logs[own].sum(0) + m.prior
-                            k = int(x.argmax())
-                            langs[i], scores[i] = m.langs[k], 1 / np.exp(x - x[k]).sum()
-                yield pd.DataFrame({"doc_id": part.doc_id.array, "lang_pred": langs, "score": scores})
+        for part in parts(batches, ROWS, CHARS):
+            index: dict[str, int] = {}
+            new = index.setdefault
+            ids = [np.array([new(w, len(index)) for w in letter_words(t)], np.int64) for t in part.text]
+            langs, scores = ["und"] * len(part), np.zeros(len(part))
+            if index and m.langs:
+                logs = m.words(list(index))
+                for i, own in enumerate(ids):
+                    if len(own):
+                        x = logs[own].sum(0) + m.prior
+                        k = int(x.argmax())
+                        langs[i], scores[i] = m.langs[k], 1 / np.exp(x - x[k]).sum()
+            yield pd.DataFrame({"doc_id": part.doc_id.array, "lang_pred": langs, "score": scores})
 
     return ids_out(docs.select(ids_in(), "text").mapInPandas(run, "doc_id long, lang_pred string, score double"))

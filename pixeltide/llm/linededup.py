@@ -2,9 +2,10 @@
 
 State is two tables. `postings` (key, doc_id) says which documents hold which line key; its counts per key are the exact
 reference counts. A key that at least MIN_DOCS documents hold is hot: it stays in the largest doc_id that holds it and is
-dropped elsewhere. `filters` (shard, filter) has one cuckoo filter per shard of the key space with the fingerprints of
+dropped elsewhere. `filters` (shard, shards, filter) has one cuckoo filter per shard of the key space with the fingerprints of
 the hot keys; keys that become hot are inserted, keys that no longer are get deleted, so documents can be added and taken
-back (`add`, `remove`, `update_filters`) without a rebuild. A line whose fingerprint is in no filter is kept without a
+back (`add`, `remove`, `update_filters`) without a rebuild. A filter that gets full is made anew, larger, from the exact
+table; where that isn't given it is null, which holds every key, until it is. A line whose fingerprint is in no filter is kept without a
 look-up; the rest are joined with the exact table, so filter errors never reach the result.
 
 Every line passes the filters. They are sent to the workers while their total is under BROADCAST bytes; beyond that the
@@ -135,53 +136,83 @@ def hot_keys(held: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return held.groupBy("key").agg(F.countDistinct("doc_id").alias("docs"), F.max("doc_id").alias("holder")).where(F.col("docs") >= min_docs)
 
 
+FILTERS = "shard int, shards int, filter binary"
+
+
+def count_of(filters: DataFrame) -> int | None:
+    """How many shards the key space has that the filters are of; None without filters, which hold no key."""
+    row = filters.agg(F.max("shards"), F.min("shards")).first()
+    if row[0] != row[1]:
+        raise ValueError("filters of different numbers of shards")
+    return row[0]
+
+
 def build_filters(hot: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """shard int, filter binary."""
     return update_filters(None, hot, None, shards)
 
 
-def update_filters(filters: DataFrame | None, added: DataFrame, removed: DataFrame | None, shards: int = SHARDS) -> DataFrame:
-    """The filters after keys became hot (added.key) or no longer are (removed.key); a full one is reported by a null."""
+def update_filters(filters: DataFrame | None, added: DataFrame, removed: DataFrame | None, shards: int = SHARDS, hot: DataFrame | None = None) -> DataFrame:
+    """The filters after keys became hot (added.key) or no longer are (removed.key).
+
+    hot: all hot keys by now, from which full filters are made anew. shards is for the first filters; later ones keep theirs.
+    """
     importable(added.sparkSession)
     spark = added.sparkSession
+    if filters is not None:
+        shards = count_of(filters) or shards
     changes = added.select("key", F.lit(1).alias("sign"))
     if removed is not None:
         changes = changes.union(removed.select("key", F.lit(-1).alias("sign")))
 
-    def tag(batches):
-        for b in batches:
-            if len(b):
-                yield b.assign(shard=shard_of(halves(b.key), shards).astype(np.int32))[["shard", "key", "sign"]]
-
-    old = filters if filters is not None else spark.createDataFrame([], "shard int, filter binary")
+    old = filters if filters is not None else spark.createDataFrame([], FILTERS)
 
     def change(before: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
         shard = int(before["shard"].iloc[0] if len(before) else now["shard"].iloc[0])
         plus, minus = now[now.sign > 0], now[now.sign < 0]
         size = 2 * len(plus)
+        full = pd.DataFrame({"shard": [shard], "shards": [shards], "filter": [None]})
+        if len(before) and before["filter"].iloc[0] is None:
+            return full
         f = Cuckoo.load(before["filter"].iloc[0]) if len(before) else Cuckoo(size)
         if len(minus):
             f.delete(halves(minus.key))
         while len(plus) and not f.insert(halves(plus.key)):
-            if len(before):  # an old filter can't tell its keys: rebuild from the exact table
-                return pd.DataFrame({"shard": [shard], "filter": [None]})
+            if len(before):  # an old filter can't tell its keys
+                return full
             size *= 2
             f = Cuckoo(size)
-        return pd.DataFrame({"shard": [shard], "filter": [f.dump()]})
-
-    tagged = changes.mapInPandas(tag, "shard int, key binary, sign int")
-    return old.groupBy("shard").cogroup(tagged.groupBy("shard")).applyInPandas(change, "shard int, filter binary")
-
-
-def candidates(docs: DataFrame, filters: DataFrame, shards: int = SHARDS, min_chars: int = MIN_CHARS, broadcast: int = BROADCAST) -> DataFrame:
+        return pd.DataFrame({"shard": [shard], "shards": [shards], "filter": [f.dump()]})
+
+    def changed(own: DataFrame, changes: DataFrame, only: list[int] | None = None) -> DataFrame:
+        def tag(batches):
+            for b in batches:
+                if len(b):
+                    b = b.assign(shard=shard_of(halves(b.key), shards).astype(np.int32))[["shard", "key", "sign"]]
+                    yield b if only is None else b[b["shard"].isin(only)]
+
+        tagged = changes.mapInPandas(tag, "shard int, key binary, sign int")
+        return own.groupBy("shard").cogroup(tagged.groupBy("shard")).applyInPandas(change, FILTERS)
+
+    done = changed(old, changes)
+    if filters is None or hot is None:
+        return done
+    done = Saved(done).df
+    full = [r.shard for r in done.where("filter is null").select("shard").collect()]  # one number per full filter
+    if not full:
+        return done
+    anew = changed(spark.createDataFrame([], FILTERS), hot.select("key", F.lit(1).alias("sign")), full)
+    return done.where("filter is not null").unionByName(anew)
+
+
+def candidates(docs: DataFrame, filters: DataFrame, min_chars: int = MIN_CHARS, broadcast: int = BROADCAST) -> DataFrame:
     """key, doc_id of the lines that may be hot: those that a filter holds."""
-    size = filters.agg(F.sum(F.length("filter"))).first()[0] or 0
+    size, shards = filters.agg(F.sum(F.length("filter"))).first()[0] or 0, count_of(filters)
     if size > broadcast:
         return _dealt(postings(docs, min_chars), filters, shards)
     shared = docs.sparkSession.sparkContext.broadcast({r.shard: r["filter"] for r in filters.collect()})  # at most `broadcast` bytes
 
     def run(batches):
-        own = {s: Cuckoo.load(raw) for s, raw in shared.value.items()}
+        own = {s: None if raw is None else Cuckoo.load(raw) for s, raw in shared.value.items()}
         for b in batches:
             keys, ids = [], []
             for d, t in zip(b.doc_id, b.text, strict=True):
@@ -194,7 +225,7 @@ def candidates(docs: DataFrame, filters: DataFrame, shards: int = SHARDS, min_ch
                 ok = np.zeros(len(keys), bool)
                 for s, f in own.items():
                     at = np.flatnonzero(shard == s)
-                    ok[at] = f.contains(pairs[at])
+                    ok[at] = True if f is None else f.contains(pairs[at])
                 at = np.flatnonzero(ok)
                 yield pd.DataFrame({"key": [keys[i] for i in at], "doc_id": np.array(ids, np.int64)[at]})
 
@@ -212,6 +243,8 @@ def _dealt(held: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
     def probe(f: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(f) or not len(rows):
             return rows[:0][["key", "doc_id"]]
+        if f["filter"].iloc[0] is None:
+            return rows[["key", "doc_id"]]
         return rows[Cuckoo.load(f["filter"].iloc[0]).contains(halves(rows.key))][["key", "doc_id"]]
 
     tagged = held.mapInPandas(tag, "shard int, key binary, doc_id long").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
@@ -256,4 +289,4 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS,
     hot = Saved(hot_keys(postings(docs, min_chars), min_docs)).df  # the hot part alone: cuts what is computed twice
     shards = max(SHARDS, -(-hot.count() // SHARD_KEYS))
     filters = Saved(build_filters(hot, shards)).df
-    return clean(docs, drops(candidates(docs, filters, shards, min_chars, broadcast), hot), min_chars, counts)
+    return clean(docs, drops(candidates(docs, filters, min_chars, broadcast), hot), min_chars, counts)

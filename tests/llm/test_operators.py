@@ -383,6 +383,36 @@ def test_lines_are_reversible(spark, none):
     assert linededup.dedup(none).count() == 0
 
 
+def test_a_full_filter_holds_all_until_it_is_made_anew(spark):
+    key = lambda i: hashlib.md5(str(i).encode()).digest()
+    table = lambda ids: spark.createDataFrame([(key(i),) for i in ids], "key binary")
+    docs = spark.createDataFrame([(i, f"a line that is long enough to count {i}") for i in range(400)], "doc_id long, text string")
+    hot = linededup.postings(docs).select("key")
+    small = linededup.build_filters(table(range(10)), 2)
+    full = linededup.update_filters(small, hot, None)
+    assert full.where("filter is null").count() == 2 and linededup.count_of(full) == 2
+    assert linededup.candidates(docs, full).count() == linededup.candidates(docs, full, broadcast=-1).count() == 400
+    again = linededup.update_filters(full, table([]), None)
+    assert again.where("filter is null").count() == 2
+    anew = linededup.update_filters(small, hot, None, hot=hot.union(table(range(10))))
+    assert anew.where("filter is null").count() == 0 and linededup.count_of(anew) == 2
+    for limit in (1 << 20, 0):
+        assert linededup.candidates(docs, anew, broadcast=limit).count() == 400
+        strangers = spark.createDataFrame([(i, f"another line that isn't in any filter {i}") for i in range(300)], "doc_id long, text string")
+        assert linededup.candidates(strangers, anew, broadcast=limit).count() < 10
+
+
+def test_filters_know_their_shards(spark):
+    docs = spark.createDataFrame([(i, f"a line that is long enough to count {i % 40}") for i in range(200)], "doc_id long, text string")
+    hot = linededup.hot_keys(linededup.postings(docs))
+    for shards in (1, 7, 100):
+        filters = linededup.build_filters(hot, shards)
+        assert linededup.candidates(docs, filters).count() == linededup.candidates(docs, linededup.update_filters(filters, hot.limit(0), None)).count() == 200
+    with pytest.raises(ValueError):
+        linededup.count_of(linededup.build_filters(hot, 7).union(linededup.build_filters(hot, 9)))
+
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(5)
     keys = rng.integers(0, 2**63, (3000, 2)).astype(np.uint64)
