@@ -35,7 +35,7 @@ from pixeltide.llm.common import Saved, importable
 from pixeltide.llm.graph import components
 
 PROBES, SCALE = 1, 1.13  # SCALE: a lattice step, by the length that projected unit vectors have
-MISS, MET, NEXT = 0.003, 0.66, 0.67
+MISS, MET, NEXT = 0.0005, 0.66, 0.67
 BLOCK, LOT = 2048, 4096
 ID = "vec_id"
 
