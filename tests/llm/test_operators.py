@@ -569,7 +569,46 @@ def test_leaks_of_short_edited_items(spark):
     assert len(want) > 100 and got <= want and len(got) >= 0.98 * len(want)
 
 
-EDITS = [("replace", k) for k in (3, 4, 5, 6, 7, 8, 10)] + [("insert", k) for k in (2, 3, 4, 5)] + [("delete", k) for k in (4, 6)]
+def test_seeds_lose_no_leak():
+    """Words replaced, dropped and put in at any rate, few or many different words: what reaches LEAK is found, nothing else."""
+    rng, found = np.random.default_rng(3), 0
+    for trial in range(600):
+        item = rng.integers(0, rng.choice([3, 10, 1000]), rng.integers(3, 40)).tolist()
+        drop, other, more = rng.random(3) * rng.choice([0.2, 0.4, 0.6])
+        text = [9_000 + i for i in range(rng.integers(1, 30))]
+        for x in item:
+            if rng.random() >= drop:
+                text.append(int(rng.integers(0, 1500)) if rng.random() < other else x)
+            while rng.random() < more or (trial % 7 == 0 and text[-1] < 2_000):
+                text.append(2_000 + len(text))
+        leak = decontam.align(np.array(item), np.array(text))[0] >= len(item)
+        block = decontam.Bench([7, 8], [" ".join(f"q{x}" for x in item).encode()] * 2)
+        assert [x[0] for x in block.leaks(" ".join(f"q{x}" for x in text).encode())] == [7, 8] * leak
+        found += leak
+    assert found > 200
+
+
+def test_frequent_pairs_of_large_benchmarks_are_no_seeds():
+    """Items of few, unequally frequent words: a text that holds no leak meets few of them, however many there are."""
+    rng = np.random.default_rng(5)
+    share = 1 / np.arange(1, 1001)
+    items = [" ".join(f"w{x}" for x in rng.choice(1000, 60, p=share / share.sum())).encode() for _ in range(3_000)]
+    block = decontam.Bench(list(range(len(items))), items)
+    clean = rng.choice(1000, 2_000, p=share / share.sum())
+    h = common.hashes([f"w{x}".encode() for x in clean])
+    k = np.minimum(np.searchsorted(block.known, h), len(block.known) - 1)
+    assert len(list(block.candidates(np.where(block.known[k] == h, k, -1)))) < 60
+    assert {x[0] for x in block.leaks(b"so " + items[17] + b" it goes")} >= {17}
+
+
+def test_windows_of_long_texts(monkeypatch):
+    monkeypatch.setattr(decontam, "WINDOW", 64)
+    block = decontam.Bench([1], [ITEM.encode()])
+    for before in range(0, 200, 7):
+        assert [x[:1] + x[2:] for x in block.leaks(b"filler " * before + ITEM.encode() + b" filler" * 100)] == [(1, before, before + 19)]
+
+
+EDITS = [("replace", k) for k in (3, 4, 5, 6, 7, 8, 10)] + [("insert", k) for k in (1, 2, 3, 4, 5)] + [("delete", k) for k in (4, 6)]
 
 
 def edited_by(w, kind, k):
