@@ -151,6 +151,9 @@ class BoxTracker:
         like = 1 - np.maximum(0.0, 1 - unit(a) @ unit(b).T) / 2
         return m * (self.beta + (1 - self.beta) * like)
 
+    def held(self) -> bool:
+        return bool(self.tracks)
+
     def step(self, frame_no, dets):
         dets = [d for d in dets if None not in d[1:5] and not np.isnan(d[1:5]).any()]
         for t in self.tracks:
@@ -229,6 +232,9 @@ class ScoreTracker:
         m = overlap([t.box() for t in tracks], [d[1:5] for d in dets])
         return within(1 - m * np.array([d[5] for d in dets]) if fuse and not self.crowded else 1 - m, limit)
 
+    def held(self) -> bool:
+        return bool(self.tracked or self.lost)
+
     def step(self, frame_no, dets):
         self.frames += 1
         strong = [d for d in dets if d[5] > self.high]
@@ -347,6 +353,9 @@ class PointTracker:
             taken.add(i)
         return [d for i, d in enumerate(dets) if i not in taken]
 
+    def held(self) -> bool:
+        return bool(self.tracks)
+
     def step(self, frame_no, dets):
         self.tracks = [t for t in self.tracks if t.hits >= t.LEAST]
         for t in self.tracks:
@@ -364,7 +373,7 @@ FIELDS = ["det_id", "x1", "y1", "x2", "y2", "score", "class_id"]
 
 
 def advance(tracker, last: int | None, rows: pd.DataFrame, stream: int) -> tuple[pd.DataFrame, int | None]:
-    """Steps through the frames of rows, in order and without gaps; frames up to `last` came before and are left out."""
+    """Steps through the frames of rows, in order, and through gaps while a track is held; frames up to `last` came before and are left out."""
     out, fields = [], [*FIELDS, *[c for c in ("feature",) if c in rows.columns]]
     rows = rows.sort_values(["frame_no", "det_id"])
     by_frame = dict(tuple(rows.groupby("frame_no")))
@@ -372,6 +381,8 @@ def advance(tracker, last: int | None, rows: pd.DataFrame, stream: int) -> tuple
         if last is not None and n <= last:
             continue
         for gap in range(n if last is None else last + 1, n):
+            if not tracker.held():  # nothing changes until the next detections
+                break
             out += [(stream, gap, *t) for t in tracker.step(gap, [])]
         dets = list(by_frame[n][fields].itertuples(index=False, name=None))
         out += [(stream, n, *t) for t in tracker.step(n, dets)]

@@ -329,6 +329,22 @@ def test_values_are_carried_over_days(spark):
 DET = "stream_id long, frame_no int, det_id int, x1 double, y1 double, x2 double, y2 double, score double, class_id int"
 
 
+@pytest.mark.parametrize("kind", sorted(trackers.TRACKERS))
+def test_trackers_over_wide_gaps(kind):
+    """A gap, of time stamps as frame numbers say, costs no more than its tracks last; what follows is as if each frame was stepped."""
+    seen = [*range(30), *range(33, 60), *range(400, 430)]
+    rows = lambda frames: pd.DataFrame([(n, 1, 10.0 + i, 10.0, 60.0 + i, 90.0, 0.9, 0) for i, n in enumerate(frames)], columns=["frame_no", *trackers.FIELDS])
+    got, last = trackers.advance(trackers.TRACKERS[kind]("s"), None, rows(seen), 1)
+    one, want = trackers.TRACKERS[kind]("s"), []
+    by_frame = {n: (1, 10.0 + i, 10.0, 60.0 + i, 90.0, 0.9, 0) for i, n in enumerate(seen)}
+    for n in range(430):
+        want += [(n, *t) for t in one.step(n, [by_frame[n]] if n in by_frame else [])]
+    assert last == 429 and len(want) > 40 and list(got.drop(columns="stream_id").itertuples(index=False, name=None)) == want
+    far = 1_700_000_000_000
+    got, last = trackers.advance(trackers.TRACKERS[kind]("s"), None, rows([*range(30), *range(far, far + 30)]), 1)
+    assert last == far + 29 and got.frame_no.max() == last
+
+
 def test_box_tracker_step_by_step():
     """By hand: born at frame 0, shown from its third step on, gone after the fifth frame missed in a row (each hit makes good three)."""
     t = trackers.BoxTracker(1)
