@@ -13,8 +13,10 @@ the set; classes are what is compared, so copies are never expanded into pairs.
 4. All pairs of a bucket that are not yet in one component pass the same filters, as they are made, and are verified
    likewise. So no link that joins two components is lost, and no pair inside a component is expanded.
 
-Nothing is capped. Large buckets are one join key whose skewed partitions Spark splits; exact copies are combined
-before the shuffle. Whole sets are only computed for classes of pairs that pass all filters.
+Nothing is capped. Exact copies are combined before the shuffle, and whole sets are only computed for classes of pairs
+that pass all filters. A class with many pairs, as heads have, is dealt out for the verification: its set goes once to
+every PAIRS of them. The head of a bucket is found by a window over the bucket, which one task sorts and spills; in step 4
+a large bucket is a join key whose skewed partitions Spark splits.
 
 Defined cases: null or blank texts have no n-grams and link with nothing; with fewer than k words the whole sequence is
 the one n-gram; rows without doc_id get no component; other columns are left out.
@@ -34,6 +36,7 @@ from pixeltide.llm.graph import components
 
 CELLS, PARTS = 1 << 20, 16
 IDS = 4_000_000  # ids sent to the workers at most, 8 bytes each
+PAIRS = 64  # pairs of one class that are verified together, about
 
 
 def set_of(text: bytes | None, k: int) -> np.ndarray:
@@ -180,9 +183,11 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perc
     sets = made.df
     # ids are small and sets are not: the ids go to the sets while there are IDS of them at most
     small = F.broadcast if pairs.count() <= IDS else lambda df: df
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).alias("salts")).where("salts > 1")
+    pairs = pairs.join(small(many), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).alias("salt"))
     left = sets.select(F.col("class").alias("b"), F.col("s").alias("sb")).join(small(pairs), "b")
-    heads = sets.join(small(pairs.select(F.col("a").alias("class")).distinct()), "class", "left_semi")
-    both = left.join(heads.select(F.col("class").alias("a"), F.col("s").alias("sa")), "a")
+    heads = sets.select(F.col("class").alias("a"), F.col("s").alias("sa")).join(small(pairs.select("a", "salt").distinct()), "a")
+    both = left.join(heads, ["a", "salt"])
     common = F.size(F.array_intersect("sa", "sb"))
     links = checkpoint(both.where(common * (100 + percent) >= percent * (F.size("sa") + F.size("sb"))).select("a", "b").distinct())
     made.drop()
@@ -203,7 +208,8 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     bucket = Window.partitionBy("token")
     heads = F.max(F.struct("copies", "class", "n", "pos")).over(bucket).alias("head")
     shared = tokens.select("*", F.count("*").over(bucket).alias("size"), heads).where("size > 1")
-    shared = Saved(shared.select("token", "class", "n", "pos", "head")).df
+    in_buckets = Saved(shared.select("token", "class", "n", "pos", "head"))
+    shared = in_buckets.df
 
     parities = own.where("class is not null").groupBy("class").agg(F.first("parity").alias("parity"), F.first("n").alias("n"))
     cell = [F.col("parity")[i] for i in range(8)]
@@ -218,10 +224,13 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     placed = shared.select("token", "class", "n", "pos").join(first, F.col("class") == F.col("node"), "left").withColumn("own", F.coalesce("component_id", "class")).drop("node", "component_id")
     split = placed.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("token")
     open_ = placed.join(split, "token", "left_semi").join(parities.select("class", *WIDE), "class").select("token", "class", "n", "pos", "own", *WIDE)
-    open_ = Saved(open_).df
+    still_open = Saved(open_)
+    in_buckets.drop()
+    open_ = still_open.df
     more = open_.alias("x").join(open_.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.own") < F.col("y.own")) & may_link("x", "y", percent) & suffix_filter("x", "y", percent, WIDE))
     more = more.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
     links = links.union(verified(more, docs, classes, k, percent))
+    still_open.drop()
 
     found = components(links)
     joined = classes.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("own", F.coalesce("component_id", "class"))

@@ -460,6 +460,23 @@ def test_ngram_join_against_brute_force(spark, corpus, none, k, percent):
     assert ngramjoin.components_of(none, k, percent).count() == 0
 
 
+@pytest.mark.parametrize("ids", [0, 4_000_000])
+def test_ngram_join_of_hot_heads(spark, monkeypatch, ids):
+    """Many near copies of one text, verified in lots, with ids sent to the workers or joined."""
+    monkeypatch.setattr(ngramjoin, "PAIRS", 3)
+    monkeypatch.setattr(ngramjoin, "IDS", ids)
+    rng = np.random.default_rng(8)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(60):
+        w = list(base)
+        for j in rng.integers(0, 60, rng.integers(0, 3)):
+            w[j] = f"z{i}"
+        rows += [(i, " ".join(w)), (100 + i, " ".join(f"o{i}x{j % 20}" for j in range(30)))]
+    rows += [(200 + i, rows[2 * i][1]) for i in range(20)]
+    got = ngramjoin.components_of(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert sorted(map(tuple, got.collect())) == linked_by_hand(rows, 5, 80)
+
+
 def test_ngram_join_odd(odd):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in ngramjoin.components_of(odd, 3, 90).collect())
     assert len(got) == len(ODD) and [g for g in got if g[0] in (5, 6)] == [(5, 4, 5), (5, 4, 5), (6, 4, 5)]
