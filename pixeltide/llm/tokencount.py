@@ -1,10 +1,10 @@
 """Token counts under a unigram vocabulary by dynamic programming over a trie of pre-tokens.
 
-The distinct pre-tokens of a batch (runs between white space, with a word-start mark) go into a trie. A node has the
-forward score of its prefix: the best log-probability over the segmentations of the prefix into pieces, and the number of
-tokens of that segmentation (of the fewest where scores tie). It depends on the prefix alone, so each shared prefix is
-computed once; the last node of a pre-token holds its count. Characters without a piece fall back to their UTF-8 bytes,
-one token each.
+The distinct pre-tokens (runs between white space, with a word-start mark) of at most ROWS texts and about CHARS characters
+go into a trie. A node has the forward score of its prefix: the best log-probability over the segmentations of the prefix
+into pieces, and the number of tokens of that segmentation (of the fewest where scores tie). It depends on the prefix
+alone, so each shared prefix is computed once; the last node of a pre-token holds its count. Characters without a piece
+fall back to their UTF-8 bytes, one token each.
 
 The public vocabulary has ranks, not probabilities; a piece of rank r has probability proportional to 1 / (r + RANK_SHIFT)
 (Zipf's law). The model is a parameter: log_probs takes any others.
@@ -22,11 +22,13 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame
 
+from pixeltide.llm.bpe import parts
 from pixeltide.llm.common import ids_in, ids_out, importable
 from pixeltide.llm.pieces import WORD_START, Automaton, over_trie, vocabulary
 
 VOCABULARY = "piece_bpe_32k.model"
 RANK_SHIFT = 100
+ROWS, CHARS = 5000, 16 << 20  # of texts whose pre-tokens share a trie
 BYTE = -12.0  # log-probability of a byte token
 
 
@@ -69,14 +71,12 @@ def count(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         c = counter(path)
-        for b in batches:
-            for at in range(0, len(b), 5000):
-                part = b.iloc[at : at + 5000]
-                index: dict[str, int] = {}
-                new = index.setdefault
-                ids = [np.array([new(w, len(index)) for w in (t or "").split()], np.int64) for t in part.text]
-                got = c.words(list(index)) if index else np.zeros((0, 2))
-                sums = np.array([got[i].sum(0) if len(i) else np.zeros(2) for i in ids]).reshape(-1, 2)
-                yield pd.DataFrame({"doc_id": part.doc_id.array, "n_pretokens": [len(i) for i in ids], "n_tokens": sums[:, 1].astype(np.int64), "score": sums[:, 0]})
+        for part in parts(batches, ROWS, CHARS):
+            index: dict[str, int] = {}
+            new = index.setdefault
+            ids = [np.array([new(w, len(index)) for w in (t or "").split()], np.int64) for t in part.text]
+            got = c.words(list(index)) if index else np.zeros((0, 2))
+            sums = np.array([got[i].sum(0) if len(i) else np.zeros(2) for i in ids]).reshape(-1, 2)
+            yield pd.DataFrame({"doc_id": part.doc_id.array, "n_pretokens": [len(i) for i in ids], "n_tokens": sums[:, 1].astype(np.int64), "score": sums[:, 0]})
 
     return ids_out(docs.select(ids_in(), "text").mapInPandas(run, "doc_id long, n_pretokens long, n_tokens long, score double"))

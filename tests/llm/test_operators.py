@@ -128,7 +128,7 @@ def test_language_of_documents_by_hand(spark):
 # --- 2 token counts
 
 
-def test_token_counts_against_a_plain_viterbi(corpus, odd):
+def test_token_counts_against_a_plain_viterbi(corpus, odd, monkeypatch):
     c = tokencount.counter(public_tokenizers.path(tokencount.VOCABULARY))
     vocab = pieces.vocabulary(public_tokenizers.path(tokencount.VOCABULARY))
     logs = tokencount.log_probs(len(vocab))
@@ -150,6 +150,8 @@ def test_token_counts_against_a_plain_viterbi(corpus, odd):
     got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in tokencount.count(odd).collect()}
     assert got[1] == got[2] == got[3] == (0, 0) and got[10][0] == 6000
     assert tokencount.count(odd.limit(0)).count() == 0
+    monkeypatch.setattr(tokencount, "CHARS", 8)  # no trie of two texts
+    assert {r.doc_id: (r.n_pretokens, r.n_tokens) for r in tokencount.count(odd).collect()} == got
 
 
 # --- 3 URL filter
