@@ -9,64 +9,90 @@ from pyspark.sql.window import Window
 
 from pixeltide.functions.assign import sparse
 from pixeltide.operators.params import dealt
+from pixeltide.operators.rounds import checkpoint, joined
 from pixeltide.operators.track import iou_pairs
 
 LIMIT = 0.5
+WHOLE = 1_000_000  # pairs of a sequence that isn't cut in parts
 
 
-def matches(truth: DataFrame, tracks: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """seq, frame_no, t_id, p_id, dist: frame by frame, a pair of the frame before goes on if it may; the rest optimally.
+def pairs_of(truth: DataFrame, tracks: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """seq, part, frame_no, t_id, p_id, dist: the pairs that may be made of truth(seq, frame_no, id, box) and tracks(seq, frame_no, id, box).
 
-    truth(seq, frame_no, id, box) and tracks(seq, frame_no, id, box). The pairs are made and filtered by Spark; a
-    sequence, whose frames depend on each other, is one group.
+    Truths and tracks that no chain of pairs joins have no influence on each other. So a sequence of more than WHOLE pairs
+    is cut in the parts that its pairs join; smaller ones are one part, null.
     """
     pairs = iou_pairs(truth.withColumnRenamed("id", "a_id"), tracks.withColumnRenamed("id", "b_id"), ["seq", "frame_no"], 0.0, only_overlapping=limit < 1)
-    pairs = pairs.select("seq", "frame_no", "a_id", "b_id", (1 - F.col("iou")).alias("dist")).where(F.col("dist") <= limit)
-    schema = pairs.schema
+    pairs = checkpoint(pairs.select("seq", "frame_no", F.col("a_id").alias("t_id"), F.col("b_id").alias("p_id"), (1 - F.col("iou")).alias("dist")).where(F.col("dist") <= limit))
+    large = pairs.groupBy("seq").count().where(F.col("count") > WHOLE).select("seq")
+    if large.isEmpty():
+        return pairs.withColumn("part", F.lit(None).cast("string"))
+    node = lambda c: F.concat(F.lit(c), F.col(c).cast("string"))
+    links = pairs.join(large, "seq", "left_semi").select("seq", node("t_id").alias("a"), node("p_id").alias("b"))
+    parts = joined(links, "seq").select("seq", F.col("node").alias("_node"), F.col("root").alias("part"))
+    return pairs.withColumn("_node", node("t_id")).join(parts, ["seq", "_node"], "left").drop("_node")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        before: dict = {}
-        out = []
-        frames: dict = {}
-        for n, a, b, d in zip(g.frame_no, g.a_id, g.b_id, g.dist, strict=True):
-            frames.setdefault(n, {})[a, b] = d
-        for n in sorted(frames):
-            cost = frames[n]
-            now = {a: b for a, b in before.items() if (a, b) in cost}
-            used = set(now.values())
-            left = [(a, b) for a, b in cost if a not in now and b not in used]
-            if left:
-                rows, columns = sorted({a for a, _ in left}), sorted({b for _, b in left})
-                row, column = ({x: i for i, x in enumerate(xs)} for xs in (rows, columns))
-                made = sparse([row[a] for a, _ in left], [column[b] for _, b in left], [cost[k] for k in left], limit)
-                now |= {rows[i]: columns[j] for i, j, _ in made}
-            before |= now
-            out += [(g.seq.iloc[0], n, a, b, cost[a, b]) for a, b in now.items()]
-        return pd.DataFrame(out, columns=["seq", "frame_no", "a_id", "b_id", "dist"])
-
-    return dealt(pairs, "seq").groupBy("seq").applyInPandas(run, schema).withColumnRenamed("a_id", "t_id").withColumnRenamed("b_id", "p_id")
-
-
-def identity_overlap(truth: DataFrame, tracks: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """seq, idtp: frames that agree under the best one-to-one naming of truths and tracks of each sequence."""
-    pairs = iou_pairs(truth.withColumnRenamed("id", "a_id"), tracks.withColumnRenamed("id", "b_id"), ["seq", "frame_no"], 0.0, only_overlapping=limit < 1).where(1 - F.col("iou") <= limit)
-    counts = pairs.groupBy("seq", "a_id", "b_id").agg(F.count("*").alias("n"))
+
+def matches_of(pairs: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """`matches` of the pairs of `pairs_of`. A part, whose frames depend on each other, comes in sorted batches, of which one
+    frame and the pairs made last are kept."""
+    schema = pairs.select("seq", "frame_no", "t_id", "p_id", "dist").schema
+
+    def step(cost: dict, before: dict) -> dict:
+        now = {a: b for a, b in before.items() if (a, b) in cost}
+        used = set(now.values())
+        left = [(a, b) for a, b in cost if a not in now and b not in used]
+        if left:
+            rows, columns = sorted({a for a, _ in left}), sorted({b for _, b in left})
+            row, column = ({x: i for i, x in enumerate(xs)} for xs in (rows, columns))
+            made = sparse([row[a] for a, _ in left], [column[b] for _, b in left], [cost[k] for k in left], limit)
+            now |= {rows[i]: columns[j] for i, j, _ in made}
+        before |= now
+        return now
+
+    def run(batches):
+        key, frame, cost, before = None, None, {}, {}
+        for b in batches:
+            out = []
+            for seq, part, n, t, p, d in zip(b.seq, b.part, b.frame_no, b.t_id, b.p_id, b.dist, strict=True):
+                if ((seq, part), n) != (key, frame):
+                    out += [(key[0], frame, x, y, cost[x, y]) for x, y in step(cost, before).items()] if key else []
+                    if (seq, part) != key:
+                        key, before = (seq, part), {}
+                    frame, cost = n, {}
+                cost[t, p] = d
+            yield pd.DataFrame(out, columns=schema.names)
+        yield pd.DataFrame([(key[0], frame, x, y, cost[x, y]) for x, y in step(cost, before).items()] if key else [], columns=schema.names)
+
+    return dealt(pairs, "seq", "part").sortWithinPartitions("seq", "part", "frame_no", "t_id", "p_id").mapInPandas(run, schema)
+
+
+def matches(truth: DataFrame, tracks: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """seq, frame_no, t_id, p_id, dist: frame by frame, a pair of the frame before goes on if it may; the rest optimally."""
+    return matches_of(pairs_of(truth, tracks, limit), limit)
+
+
+def identity_overlap(pairs: DataFrame) -> DataFrame:
+    """seq, idtp: frames that agree under the best one-to-one naming of truths and tracks of each sequence, from `pairs_of`."""
+    counts = pairs.groupBy("seq", "part", "t_id", "p_id").agg(F.count("*").alias("n"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = pd.factorize(g.a_id)[0], pd.factorize(g.b_id)[0]
+        a, b = pd.factorize(g.t_id)[0], pd.factorize(g.p_id)[0]
         return pd.DataFrame({"seq": [g.seq.iloc[0]], "idtp": [-int(sum(c for *_, c in sparse(a.tolist(), b.tolist(), (-g.n.astype(float)).tolist(), 0.0)))]})
 
-    return counts.groupBy("seq").applyInPandas(run, f"seq {truth.schema['seq'].dataType.simpleString()}, idtp long")
+    own = counts.groupBy("seq", "part").applyInPandas(run, f"seq {pairs.schema['seq'].dataType.simpleString()}, idtp long")
+    return own.groupBy("seq").agg(F.sum("idtp").alias("idtp"))
 
 
 def mot_metrics(truth: DataFrame, tracks: DataFrame, limit: float = LIMIT) -> DataFrame:
     """Per sequence, and overall in the row whose seq is null: counts, switches, MOTA, MOTP (mean distance) and IDF1."""
-    m = matches(truth, tracks, limit)
+    pairs = pairs_of(truth, tracks, limit)
+    m = matches_of(pairs, limit)
     switch = F.lag("p_id").over(Window.partitionBy("seq", "t_id").orderBy("frame_no"))
     m = m.withColumn("sw", F.coalesce((switch != F.col("p_id")).cast("int"), F.lit(0)))
     hit = m.groupBy("seq").agg(F.count("*").alias("tp"), F.sum("dist").alias("dist"), F.sum("sw").alias("sw"))
     n_t, n_p = truth.groupBy("seq").agg(F.count("*").alias("n_truth")), tracks.groupBy("seq").agg(F.count("*").alias("n_pred"))
-    j = n_t.join(n_p, "seq", "full").join(hit, "seq", "left").join(identity_overlap(truth, tracks, limit), "seq", "left").na.fill(0)
+    j = n_t.join(n_p, "seq", "full").join(hit, "seq", "left").join(identity_overlap(pairs), "seq", "left").na.fill(0)
     s = j.rollup("seq").agg(*[F.sum(c).alias(c) for c in ("n_truth", "n_pred", "tp", "dist", "sw", "idtp")])
     return s.select(
         "seq", "n_truth", "n_pred", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_truth") - F.col("tp")).alias("fn"), F.col("sw").alias("switches"),

@@ -446,6 +446,59 @@ def test_mot_metrics_by_hand(spark):
     assert r.mota == pytest.approx(1 - 3 / 6) and r.motp == pytest.approx((1 - 80 / 120) / 5) and r.idf1 == pytest.approx(2 * 4 / 12)
 
 
+def test_mot_metrics_in_parts_and_batches(spark, monkeypatch):
+    """A sequence cut in the parts that its pairs join, and read in small batches, gives the pairs and scores of the whole."""
+    rng = np.random.default_rng(6)
+    kind = "seq long, frame_no int, id int, x1 double, y1 double, x2 double, y2 double"
+    rows = [[], []]
+    for seq in (1, 2):
+        at = rng.uniform(0, 400, (25, 2))
+        for n in range(12):
+            at += rng.uniform(-3, 3, at.shape)
+            for out, off in zip(rows, (0.0, 2.0), strict=True):
+                for i, (x, y) in enumerate(at + rng.uniform(-off, off, at.shape)):
+                    if rng.random() < 0.9:
+                        out.append((seq, n, int(i if not off else 3 * i + n // 6), float(x), float(y), float(x) + 40, float(y) + 40))
+    truth, tracks = (spark.createDataFrame(r, kind).repartition(3) for r in rows)
+
+    def plain():
+        """Pairs frame by frame, by the dense solver."""
+        out = []
+        for seq in (1, 2):
+            before = {}
+            for n in range(12):
+                t, p = ([r for r in own if r[:2] == (seq, n)] for own in rows)
+                cost = {}
+                for a in t:
+                    for b in p:
+                        w, h = min(a[5], b[5]) - max(a[3], b[3]), min(a[6], b[6]) - max(a[4], b[4])
+                        both = w * h if w > 0 and h > 0 else 0.0
+                        if 1 - both / (3200 - both) <= 0.5:
+                            cost[a[2], b[2]] = 1 - both / (3200 - both)
+                now = {a: b for a, b in before.items() if (a, b) in cost}
+                rest = {k: c for k, c in cost.items() if k[0] not in now and k[1] not in now.values()}
+                ts, ps = sorted({k[0] for k in rest}), sorted({k[1] for k in rest})
+                made = within(np.array([[rest.get((a, b), 9.0) for b in ps] for a in ts]), 0.5) if rest else []
+                now |= {ts[i]: ps[j] for i, j, *_ in made}
+                before |= now
+                out += [(seq, n, a, b) for a, b in now.items()]
+        return sorted(out)
+
+    want, scores = plain(), []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for size in (motmetrics.WHOLE, 0):
+            monkeypatch.setattr(motmetrics, "WHOLE", size)
+            pairs = motmetrics.pairs_of(truth, tracks)
+            assert (pairs.select("seq", "part").distinct().count() > 10) == (size == 0)
+            assert sorted((r.seq, r.frame_no, r.t_id, r.p_id) for r in motmetrics.matches_of(pairs).collect()) == want
+            got = motmetrics.mot_metrics(truth, tracks).drop("motp").collect()  # a sum of fractions in any order
+            scores.append(sorted(map(str, got)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert scores[0] == scores[1] and len(scores[0]) == 3
+
+
 def test_smoothed_features(spark):
     rows = [(1, n, 0.5, 0.0, 0.0, 1.0, 1.0, 0, f) for n, f in enumerate([None, [1.0, 0.0], [0.0, 1.0], None])]
     df = spark.createDataFrame(rows, "t long, frame_no int, score double, x1 double, y1 double, x2 double, y2 double, class_id int, feature array<double>")
