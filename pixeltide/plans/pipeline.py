@@ -115,16 +115,23 @@ def apply_user_code(frames: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame
     """fn on each frame (a one-row table with the columns of frames), as a function; where it fails, the frame and the error."""
     schema = T.StructType([*frames.schema.fields, T.StructField("error", T.StringType())])
 
+    names = frames.columns
+
     def run(batches):
         for b in batches:
-            out = []
+            own = list(zip(*(b[c].tolist() for c in names), strict=True))
+            out, errors = [[] for _ in names], []
             for i in range(len(b)):
-                one = b.iloc[i : i + 1]
                 try:
-                    out.append(fn(one.copy())[list(one.columns)].assign(error=None))
+                    made = fn(b.iloc[i : i + 1].copy())
+                    made = made if isinstance(made, pd.DataFrame) and set(names) <= set(made.columns) else made[names]
+                    values, error = [made[c].tolist() for c in names], None
                 except Exception as e:  # the user's own code: its error is data
-                    out.append(one.assign(error=f"{type(e).__name__}: {e}"))
-            if out:
-                yield pd.concat(out)
-
-    return frames.mapInPandas(run, schema)
+                    values, error = [[v] for v in own[i]], f"{type(e).__name__}: {e}"
+                for column, v in zip(out, values, strict=True):
+                    column += v
+                errors += [error] * len(values[0])
+            yield pd.DataFrame(dict(zip(names, out, strict=True)) | {"error": pd.Series(errors, dtype=object)}, columns=[*names, "error"])
+
+    tasks = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by their bytes, rows would be put together in few
+    return frames.repartition(tasks).mapInPandas(run, schema)
