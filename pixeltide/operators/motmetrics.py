@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pixeltide.functions.assign import sparse
+from pixeltide.operators.detect import BOX
 from pixeltide.operators.params import dealt
 from pixeltide.operators.rounds import checkpoint, joined
 from pixeltide.operators.track import iou_pairs
 
 LIMIT = 0.5
+_NONE = object()
 WHOLE = 1_000_000  # pairs of a sequence that isn't cut in parts
 
 
@@ -39,7 +41,7 @@ def matches_of(pairs: DataFrame, limit: float = LIMIT) -> DataFrame:
     schema = pairs.select("seq", "frame_no", "t_id", "p_id", "dist").schema
 
     def step(cost: dict, before: dict) -> dict:
-        now = {a: b for a, b in before.items() if (a, b) in cost}
+        now = {a: b for a, b in cost if before.get(a, _NONE) == b}
         used = set(now.values())
         left = [(a, b) for a, b in cost if a not in now and b not in used]
         if left:
@@ -76,16 +78,30 @@ def identity_overlap(pairs: DataFrame) -> DataFrame:
     """seq, idtp: frames that agree under the best one-to-one naming of truths and tracks of each sequence, from `pairs_of`."""
     counts = pairs.groupBy("seq", "part", "t_id", "p_id").agg(F.count("*").alias("n"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = pd.factorize(g.t_id)[0], pd.factorize(g.p_id)[0]
-        return pd.DataFrame({"seq": [g.seq.iloc[0]], "idtp": [-int(sum(c for *_, c in sparse(a.tolist(), b.tolist(), (-g.n.astype(float)).tolist(), 0.0)))]})
-
-    own = counts.groupBy("seq", "part").applyInPandas(run, f"seq {pairs.schema['seq'].dataType.simpleString()}, idtp long")
+    def run(batches):
+        key, rows = None, []
+        for b in batches:
+            out = []
+            for seq, part, *row in zip(b.seq, b.part, b.t_id, b.p_id, b.n, strict=True):
+                if (seq, part) != key:
+                    out += [(key[0], agreed(rows))] if rows else []
+                    key, rows = (seq, part), []
+                rows.append(row)
+            yield pd.DataFrame(out, columns=["seq", "idtp"])
+        yield pd.DataFrame([(key[0], agreed(rows))] if rows else [], columns=["seq", "idtp"])
+
+    def agreed(rows: list) -> int:
+        t, p, n = zip(*rows, strict=True)
+        a, b = ({x: i for i, x in enumerate(dict.fromkeys(xs))} for xs in (t, p))
+        return -int(sum(c for *_, c in sparse([a[x] for x in t], [b[x] for x in p], [-float(x) for x in n], 0.0)))
+
+    own = dealt(counts, "seq", "part").sortWithinPartitions("seq", "part", "t_id", "p_id").mapInPandas(run, f"seq {pairs.schema['seq'].dataType.simpleString()}, idtp long")
     return own.groupBy("seq").agg(F.sum("idtp").alias("idtp"))
 
 
 def mot_metrics(truth: DataFrame, tracks: DataFrame, limit: float = LIMIT) -> DataFrame:
     """Per sequence, and overall in the row whose seq is null: counts, switches, MOTA, MOTP (mean distance) and IDF1."""
+    truth, tracks = (checkpoint(d.select("seq", "frame_no", "id", *BOX)) for d in (truth, tracks))  # used again and again
     pairs = pairs_of(truth, tracks, limit)
     m = matches_of(pairs, limit)
     switch = F.lag("p_id").over(Window.partitionBy("seq", "t_id").orderBy("frame_no"))
