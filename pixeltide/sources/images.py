@@ -33,8 +33,10 @@ def write_frames(px: DataFrame, path: str, width: int, height: int, size: tuple[
     done.select("source_id", "session", "frame_id", "y", "x", "c", "v").write.mode(mode).partitionBy("source_id", "session").parquet(path)
 
 
-def stream_frames(frames: DataFrame, path: str, checkpoint: str, write: Callable[[DataFrame, str], None] | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Starts writing a stream of rows with source_id and session (`streaming.stateful.recordings` gives them) as files by both.
+def stream_frames(frames: DataFrame, path: str, checkpoint: str, write: Callable[[DataFrame, str], None] | None = None, trigger: dict | None = None, by: tuple[str, ...] = ()) -> StreamingQuery:
+    """Starts writing a stream of rows with source_id and session (`streaming.stateful.recordings` gives them) as files in which
+    a recording's rows lie together. by: columns to make folders of, where their values are few; a folder for each recording
+    would be as many files as recordings.
 
     A micro-batch writes a folder of its own, batch=<its number>, and replaces what is there: one that is done again after a
     failure or a restart leaves its rows once. write(rows, folder): another way to write a batch, such as write_frames with
@@ -44,7 +46,7 @@ def stream_frames(frames: DataFrame, path: str, checkpoint: str, write: Callable
     def put(rows: DataFrame, batch: int) -> None:
         at = f"{path}/batch={batch}"
         if write is None:
-            rows.write.mode("overwrite").partitionBy("source_id", "session").parquet(at)
+            rows.sortWithinPartitions("source_id", "session").write.mode("overwrite").partitionBy(*by).parquet(at)
         else:
             write(rows, at)
 
