@@ -131,6 +131,8 @@ def apply_user_code(frames: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame
                 for column, v in zip(out, values, strict=True):
                     column += v
                 errors += [error] * len(values[0])
+            if not errors:
+                continue
             yield pd.DataFrame(dict(zip(names, out, strict=True)) | {"error": pd.Series(errors, dtype=object)}, columns=[*names, "error"])
 
     tasks = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by their bytes, rows would be put together in few

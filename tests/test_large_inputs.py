@@ -5,10 +5,14 @@ import time
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pixeltide.functions import assign
 from pixeltide.operators import detect, grid, trackers
-from pixeltide.plans import pipeline
+from pixeltide.plans import detect_queries, pipeline
+from pixeltide.sources import images
+from pixeltide.streaming import stateful
+from tests.conftest import DATA
 
 KINDS = [("point", {}), ("point", {"distance": "corners", "limit": 20.0, "period": 2}), ("score", {}), ("score", {"crowded": True}), ("box", {}), ("box", {"motion": "acceleration"}), ("box", {"beta": 0.5})]
 
@@ -100,3 +104,27 @@ def test_user_code_costs_little_more_than_its_calls(spark):
     begin = time.perf_counter()
     assert pipeline.apply_user_code(rows, lambda f: f).where("error IS NULL").count() == 20_000
     assert time.perf_counter() - begin < 10
+
+
+def test_sums_of_crops_without_their_pixels(spark):
+    """As summed up from crop_by_box, over tiles, channels, holes and boxes beyond the frame; the boxes' pixels aren't made."""
+    rng = np.random.default_rng(2)
+    px = pd.DataFrame([(f, y, x, c, int(rng.integers(0, 256))) for f in (1, 2) for y in range(70) for x in range(90) for c in (0, 1) if f == 1 or rng.random() < 0.3], columns=["frame_id", "y", "x", "c", "v"])
+    x, y = rng.integers(-5, 95, (2, 300)).astype(float)
+    det = pd.DataFrame({"frame_id": rng.integers(1, 4, 300), "det_id": range(300), "x1": x, "y1": y, "x2": x + rng.integers(0, 60, 300), "y2": y + rng.integers(0, 60, 300)})
+    p, d = spark.createDataFrame(px), spark.createDataFrame(det)
+    want = detect.crop_by_box(p, d).groupBy("frame_id", "det_id").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.max("y").alias("bottom"), F.max("x").alias("right"), F.sum(F.col("v") * (F.col("x") + F.col("y"))).alias("moment"))
+    got = sorted(map(tuple, detect.crop_sums(p, d).collect()))
+    assert len(got) > 100 and got == sorted(map(tuple, want.collect()))
+    plan = detect_queries.Q["crop_by_box"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan
+
+
+def test_recordings_make_no_folder_each(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("id AS source_id", "timestamp_seconds(id) AS ts", "true AS has_frame", "1.0D AS payload")
+    rows.repartition(1).write.parquet(str(tmp_path / "in"))
+    stateful.prepare(spark.range(1).withColumn("ts", F.current_timestamp()))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    images.stream_frames(stateful.recordings(stream), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(240)
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) <= 16
+    assert images.read_streamed(spark, str(tmp_path / "out"), "source_id long, session long").where("session = 1").count() == 2000
