@@ -126,7 +126,7 @@ def scratch(s) -> str:
 def feed(s, rows, at, batches):
     """Files to be read one by one: the rows of a batch after those of the one before. Gives the stream of them."""
     for k in batches:
-        rows.where(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(at)
+        rows.where(F.col("batch") == k).drop("batch").repartition(1).write.mode("append").parquet(at)
     return s.readStream.schema(rows.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(at)
 
 
@@ -141,7 +141,9 @@ def stream_intake(s, d):
     from pixeltide.streaming import stateful
 
     base = s.sql(_BASE, f5_frames=fixture(s, d, "f5_frames"))
-    at, rows = scratch(s), s.sql(FEED, base=base)
+    from pixeltide.operators.rounds import checkpoint
+
+    at, rows = scratch(s), checkpoint(s.sql(FEED, base=base))  # read once for each batch
     last = rows.agg(F.max("batch")).first()[0]
     frames = stateful.prepare(feed(s, rows, f"{at}/in", range(last + 1)), "1 day", ["source_id", "frame_id"])
     q = stateful.intake(frames, "1 day").writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).format("parquet").start(f"{at}/out")
