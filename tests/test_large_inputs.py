@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixeltide.functions import assign
-from pixeltide.operators import detect, grid, trackers
+from pixeltide.operators import detect, grid, resample, stats, stencil, trackers
 from pixeltide.plans import detect_queries, pipeline
 from pixeltide.sources import images
 from pixeltide.streaming import stateful
@@ -128,3 +128,45 @@ def test_recordings_make_no_folder_each(spark, tmp_path):
     images.stream_frames(stateful.recordings(stream), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(240)
     assert len(list((tmp_path / "out").rglob("*.parquet"))) <= 16
     assert images.read_streamed(spark, str(tmp_path / "out"), "source_id long, session long").where("session = 1").count() == 2000
+
+
+def frames(spark, n, height, width, partitions=2):
+    at = spark.range(0, n * height * width, 1, partitions).selectExpr("id", f"id % {width} AS x", f"id div {width} % {height} AS y")
+    return at.selectExpr(f"id div {height * width} AS frame_id", "CAST(y AS INT) AS y", "CAST(x AS INT) AS x", "0 AS c", "CAST(pmod(xxhash64(id), 256) AS INT) AS v")
+
+
+def test_small_frames_go_by_many(spark):
+    """Also tiles at the same place of larger frames; each comes once, with the pixels of its frame."""
+    many = lambda blocks, y0, x0, h, w: (np.arange(len(blocks)), {"n": np.full(len(blocks), len(blocks)), "total": blocks[:, :h, :w].sum((1, 2))})
+    for height, width, tile, tiles in ((8, 8, 64, 1), (9, 20, 8, 6)):
+        px = frames(spark, 2000, height, width)
+        got = stencil.tiled(px, "v", "int64", many, "n long, total long", width, height, 0, 0, tile)
+        assert got.agg(F.min("n")).first()[0] > 10 and got.count() == 2000 * tiles
+        assert got.groupBy("frame_id").agg(F.sum("total")).exceptAll(px.groupBy("frame_id").agg(F.sum("v"))).isEmpty()
+
+
+def test_scene_features_cost_little_per_frame(spark):
+    """20,000 frames: 8 s; with calls and a scan of all shapes for each frame, the 2,000 of sf0.1 took 30 s."""
+    stats.brisque_features(frames(spark, 10, 8, 8)).collect()
+    begin = time.perf_counter()
+    assert stats.brisque_features(frames(spark, 20_000, 8, 8, 8)).agg(F.count("value")).first()[0] == 36 * 20_000
+    assert time.perf_counter() - begin < 30
+
+
+@pytest.mark.parametrize("height, width", [(40, 67), (33, 9), (64, 35)])
+def test_scene_features_of_tiles_and_of_a_half_size_frame(spark, height, width):
+    """Tiles don't show, and the second scale is the first of the frame that resize makes."""
+    px = frames(spark, 2, height, width)
+    values = lambda df: sorted((r.frame_id, r.feature, round(r.value, 9)) for r in df.collect())
+    want = values(stats.brisque_features(px, width, height))
+    assert len(want) == 72 and values(stats.brisque_features(px, width, height, tile=16)) == want
+    half = resample.resize(px, width, height, width // 2, height // 2, "area")
+    assert [(f, k + 18, v) for f, k, v in values(stats.brisque_features(half, width // 2, height // 2)) if k <= 18] == [r for r in want if r[1] > 18]
+
+
+def test_the_nearest_shape_is_that_of_a_scan():
+    table = np.array(stats._shapes())
+    assert (np.diff(table[:, 1]) > 0).all()
+    r = np.concatenate([np.random.default_rng(4).random(3000) * 1.2, table[:200, 1], (table[1:200, 1] + table[:199, 1]) / 2, [0.0, 5.0, np.nan, np.inf]])
+    want = [table[np.argmin(np.abs(table[:, 1] - x)), 0] if np.isfinite(x) else 0.2 for x in r]
+    assert stats.nearest_shape(r).tolist() == want
