@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from pixeltide.operators.stats import LAST
 from pixeltide.operators.trackers import PER_CLASS, SCHEMA, TRACKERS, advance, load, save
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ROWS = 50_000  # of a table that is given out at once
 _UNIT = {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
 
 
@@ -173,8 +175,20 @@ def recordings(ticks: DataFrame) -> DataFrame:
     return rows.groupBy("source_id").transformWithStateInPandas(Recorder(), schema, "Append", "None")
 
 
+def _means(values: np.ndarray) -> np.ndarray:
+    """Of each whole number and the LAST - 1 before it; NaNs don't count, and the mean of nothing else is NaN."""
+    there = ~np.isnan(values)
+    total, n = (np.concatenate([np.zeros(LAST, np.int64), np.cumsum(v.astype(np.int64))]) for v in (np.where(there, values, 0), there))
+    total, n = (v[LAST:] - v[:-LAST] for v in (total, n))
+    return np.divide(total, n, out=np.full(len(values), np.nan), where=n > 0)
+
+
+def _whole(values: np.ndarray) -> pd.Series:
+    return pd.Series(values).astype("Int64")
+
+
 class Rate(Keyed):
-    """Mean of the last LAST latencies of a node."""
+    """Mean of the last LAST latencies of a node. The rows of a micro-batch come in order of seq, however they were read."""
 
     def __init__(self, idle: int | None = None):
         self.idle = idle
@@ -183,17 +197,23 @@ class Rate(Keyed):
         self.last = handle.getListState("last", "ms int")
 
     def handleInputRows(self, key, rows, timer):
-        kept, newest = [r[0] for r in self.last.get()], 0
-        for b in rows:
-            out = []
-            for seq, ms in sorted(zip(b.seq, b.elapsed_ms, strict=True)):
-                kept = [*kept, int(ms)][-LAST:]
-                mean = sum(kept) / len(kept)
-                out.append((key[0], int(seq), int(ms), mean, 1000 / mean if mean > 0 else 0.0))
+        parts, newest = [], 0
+        for b in rows:  # in no order; only two numbers of each row are held
+            parts.append((b.seq.to_numpy(float), b.elapsed_ms.to_numpy(float)))
             if self.idle is not None:
                 newest = max(newest, int(b.ms_.max()))
-            yield pd.DataFrame(out, columns=["node", "seq", "elapsed_ms", "mean_ms", "fps"])
-        self.last.put([(v,) for v in kept])
+        seq, ms = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.lexsort((ms, seq))
+        kept = np.array([r[0] for r in self.last.get()], float)
+        for at in range(0, len(order), ROWS):
+            own = order[at : at + ROWS]
+            window = np.concatenate([kept, ms[own]])
+            mean = _means(window)[len(kept) :]
+            rate = np.divide(1000, mean, out=np.zeros_like(mean), where=mean > 0)
+            whole = {"seq": _whole(seq[own]), "elapsed_ms": _whole(ms[own])}
+            yield pd.DataFrame({"node": [key[0]] * len(own), **whole, "mean_ms": mean, "fps": rate})
+            kept = window[-LAST:]
+        self.last.put([(None if np.isnan(v) else int(v),) for v in kept])
         self.awake(newest)
 
     def forget(self, key):

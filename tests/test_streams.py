@@ -29,6 +29,15 @@ def test_rates(spark, sf_dir, tmp_path):
     assert {(r.node, r.seq): round(r.mean_ms, 6) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("latency", ["k * k % 97", "IF(k % 31 < 12, NULL, k * k % 97)"])
+def test_rates_of_rows_in_no_order(spark, tmp_path, latency):
+    """More rows of a node than come in one table, mixed over all of them; some without a latency."""
+    lat = spark.range(25_000).selectExpr("id * 7919 % 25000 AS k").selectExpr("IF(k % 5 = 0, 'b', 'a') AS node", "CAST(k AS INT) AS seq", f"CAST({latency} AS INT) AS elapsed_ms")
+    got = run(spark, lat, tmp_path, lambda s: stateful.fps(stateful_ready(spark, s)))
+    key = lambda df: sorted((r.node, r.seq, str(r.elapsed_ms), str(r.mean_ms and round(r.mean_ms, 6)), round(r.fps, 6)) for r in df.collect())
+    assert key(got) == key(stats.fps(lat))
+
+
 def stateful_ready(spark, df):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.PROVIDER)
     return df
