@@ -120,6 +120,34 @@ def test_sums_of_crops_without_their_pixels(spark):
     assert "MapInPandas" in plan
 
 
+@pytest.mark.parametrize(("holes", "layers"), [(False, 1), (False, 2), (True, 2)])
+def test_each_box_is_cut_out_of_its_tile(holes, layers):
+    """One cut for each box, of just its pixels; their sums are those of the pixels counted from the box's corner."""
+    rng, cuts = np.random.default_rng(3), []
+    y0, x0, h, w = 128, 64, 40, 64
+    pixels = [(y, x, int(rng.integers(-9, 256))) for _ in range(layers) for y in range(h) for x in range(w) if not holes or rng.random() < 0.2]
+    y, x, v = (np.array(p) for p in zip(*pixels, strict=True))
+    tile = detect._Tile((y * 64 + x).astype(np.int32).tobytes(), v.astype(np.int64).tobytes(), y0, x0)
+
+    class Seen(np.ndarray):
+        def __getitem__(self, key):
+            cuts.append(key)
+            return np.asarray(self)[key]
+
+    tile.v = tile.v.view(Seen)
+    x1, y1 = rng.integers(0, 120, (2, 60)) + [[x0 - 30], [y0 - 30]]
+    x2, y2 = x1 + rng.integers(1, 60, 60), y1 + rng.integers(1, 60, 60)
+    got = np.array(tile.cut(x1, y1, x2, y2)).T.tolist()
+    whole = lambda a, b, first, most: slice(*(min(max(int(p) - first, 0), most) for p in (a, b)))
+    assert cuts == [(slice(None), whole(y1[k], y2[k], y0, h), whole(x1[k], x2[k], x0, w)) for k in range(60)]
+    for k in range(60):
+        own = [(p + y0 - y1[k], q + x0 - x1[k], value) for p, q, value in pixels if y1[k] <= p + y0 < y2[k] and x1[k] <= q + x0 < x2[k]]
+        if own:
+            assert got[k] == [len(own), sum(o[2] for o in own), max(o[0] for o in own), max(o[1] for o in own), sum(o[2] * (o[0] + o[1]) for o in own)]
+        else:
+            assert got[k][0] == 0
+
+
 def test_recordings_make_no_folder_each(spark, tmp_path):
     rows = spark.range(2000).selectExpr("id AS source_id", "timestamp_seconds(id) AS ts", "true AS has_frame", "1.0D AS payload")
     rows.repartition(1).write.parquet(str(tmp_path / "in"))
