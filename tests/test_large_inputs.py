@@ -127,7 +127,7 @@ def test_each_box_is_cut_out_of_its_tile(holes, layers):
     y0, x0, h, w = 128, 64, 40, 64
     pixels = [(y, x, int(rng.integers(-9, 256))) for _ in range(layers) for y in range(h) for x in range(w) if not holes or rng.random() < 0.2]
     y, x, v = (np.array(p) for p in zip(*pixels, strict=True))
-    tile = detect._Tile((y * 64 + x).astype(np.int32).tobytes(), v.astype(np.int64).tobytes(), y0, x0)
+    tile = detect._Tile((y * 64 + x).astype(np.uint16).tobytes(), detect._narrow(v), y0, x0)
 
     class Seen(np.ndarray):
         def __getitem__(self, key):
@@ -148,6 +148,12 @@ def test_each_box_is_cut_out_of_its_tile(holes, layers):
             assert got[k][0] == 0
 
 
+def test_values_of_tiles_keep_their_width():
+    for low, high, width in ((0, 255, 1), (-1, 255, 2), (0, 256, 2), (-40_000, 1, 4), (1, 1 << 40, 8)):
+        tile = detect._Tile(np.arange(2, dtype=np.uint16).tobytes(), raw := detect._narrow([low, high]), 0, 0)
+        assert len(raw) == 2 * width and tile.v[0, 0, :2].tolist() == [low, high]
+
+
 def test_recordings_make_no_folder_each(spark, tmp_path):
     rows = spark.range(2000).selectExpr("id AS source_id", "timestamp_seconds(id) AS ts", "true AS has_frame", "1.0D AS payload")
     rows.repartition(1).write.parquet(str(tmp_path / "in"))
